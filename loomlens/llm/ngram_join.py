@@ -35,8 +35,9 @@ BUCKET_BITS = 18
 CHUNKS = 16
 #: Bits of a set's parity bitmap.
 BITS = 512
-#: Set ids are broadcast up to this many (16 bytes each), else joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Bits of the filter of set ids that a pass over the texts carries: 16 MB, however many ids. A crowded filter lets
+#: sets through that a later join drops.
+FILTER_BITS = 27
 HOW = words.table(words.WHITE)
 
 
@@ -141,14 +142,44 @@ def _bitmap(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
 
 
-def _full(rows: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _noted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The part of the filter for ids that begin with the same four bits."""
+    parts: dict[int, np.ndarray] = {}
     for batch in rows:
-        want = batch.column("sid").to_pylist()
-        out = [(sid, len(s), _bitmap(s), s.view(np.int64)) for row, s in _sets(batch, k) if len(s) and (sid := _sid(s)) == want[row]]
+        at = np.asarray(batch.column("sid")).view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+        for chunk in np.unique(at >> np.uint64(FILTER_BITS - 4)).tolist():
+            bits = parts.setdefault(chunk, np.zeros(1 << (FILTER_BITS - 4), bool))
+            bits[(at[at >> np.uint64(FILTER_BITS - 4) == chunk] & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([np.packbits(x).tobytes() for x in parts.values()], pa.binary())], ["chunk", "bits"])
+
+
+def _id_filter(ids: DataFrame):
+    """A broadcast bitmap that holds all ids (sid)."""
+    chunks = ids.select("sid").distinct().repartition(16, F.shiftrightunsigned("sid", 60)).mapInArrow(_noted, "chunk int, bits binary")
+    found = np.zeros((16, 1 << (FILTER_BITS - 7)), np.uint8)
+    for chunk, bits in chunks.collect():  # 16 rows of a fixed size at most
+        found[chunk] = np.frombuffer(bits, np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(found.ravel())
+
+
+def _full(rows: Iterator[pa.RecordBatch], k: int, wanted, items: bool) -> Iterator[pa.RecordBatch]:
+    """Of each set that the filter holds, once in a partition: its bitmap or its elements."""
+    held, seen = wanted.value, set()
+    for batch in rows:
+        out = []
+        for _, s in _sets(batch, k):
+            if len(s) and (sid := _sid(s)) not in seen:
+                at = (sid & (1 << 64) - 1) >> (64 - FILTER_BITS)
+                if held[at >> 3] >> (7 - (at & 7)) & 1:
+                    seen.add(sid)
+                    out.append((sid, s.view(np.int64) if items else _bitmap(s)))
+        if out and items:
+            ends = np.cumsum([0, *(len(x[1]) for x in out)]).astype(np.int32)
+            second = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[1] for x in out])))
+        elif out:
+            second = pa.array([x[1] for x in out], pa.binary())
         if out:
-            ends = np.cumsum([0, *(x[1] for x in out)]).astype(np.int32)
-            items = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[3] for x in out])))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()), items], ["sid", "bits", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), second], ["sid", "items" if items else "bits"])
 
 
 class _Blocks:
@@ -217,7 +248,7 @@ def _compared(rows: Iterator[pa.RecordBatch], t: Fraction, labelled: bool) -> It
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs with how many elements each has and they share, and what of b differs from a."""
+    """Pairs with how many elements each has, and the elements that only one of them has."""
     of = lambda x: sets.select(F.col("sid").alias(x), F.col("items").alias(f"{x}_items"))
     both = pairs.join(of("b"), "b").join(of("a"), "a")
     return both.select("a", "b", F.size("a_items").alias("n"), F.size("b_items").alias("m"), F.concat(F.array_except("a_items", "b_items"), F.array_except("b_items", "a_items")).alias("differ"))
@@ -251,16 +282,18 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 3, similarity: Fraction = Fract
     entries = text.select("text").mapInArrow(partial(_indexed, k=k, t=t, counts=shared_counts), "token long, sid long, n int, pos int")
     lists = written(entries.repartition("token").sortWithinPartitions("token", "n", "pos", "sid").mapInArrow(partial(_shared, t=t), "token long, sid long, n int, pos int"), "lists")
 
-    wanted = lists.select("sid").distinct().join(signed.groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "sid")
-    wanted = written(wanted, "wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    hold = text.join(F.broadcast(wanted) if few else wanted, "doc_id")
-    sets = written(hold.mapInArrow(partial(_full, k=k), "sid long, bits binary, items array<long>"), "sets")
-    listed = written(lists.join(sets.select("sid", "bits"), "sid"), "listed")
+    def looked_up(ids: DataFrame, items: bool) -> DataFrame:
+        schema = "sid long, items array<long>" if items else "sid long, bits binary"
+        return text.select("text").mapInArrow(partial(_full, k=k, wanted=_id_filter(ids), items=items), schema).dropDuplicates(["sid"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _verified(pairs, looked_up(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")), True))
+
+    listed = written(lists.join(looked_up(lists, False), "sid"), "listed")
 
     order = ("token", "n", "pos", "sid")
     pairs = listed.repartition("token").sortWithinPartitions(*order).mapInArrow(partial(_compared, t=t, labelled=False), "a long, b long").distinct()
-    answers = written(_verified(pairs, sets), "answers")
+    answers = written(verified(written(pairs, "pairs")), "answers")
     good = _linked("n", "m", "size(differ)", t)
     first = answers.where(good).select("a", "b")
     label = components(first).select(F.col("node").alias("sid"), F.col("component").alias("label"))
@@ -276,8 +309,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 3, similarity: Fraction = Fract
     of = lambda x: near.select(F.col("sid").alias(x), F.col("a").alias(f"{x}_hub"), F.col("m").alias(f"{x}_n"), F.col("differ").alias(f"{x}_differ"))
     derived = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
     known = derived.where("a_hub = b_hub").where(_linked("a_n", "b_n", "size(a_differ) + size(b_differ) - 2 * size(array_intersect(a_differ, b_differ))", t)).select("a", "b")
-    rest = _verified(derived.where("not (a_hub <=> b_hub) or a_hub is null").select("a", "b"), sets).where(good).select("a", "b")
-    more = known.union(rest)
+    rest = written(derived.where("not (a_hub <=> b_hub) or a_hub is null").select("a", "b"), "rest")
+    more = known.union(verified(rest).where(good).select("a", "b")) if rest.head() else known
     links = label.where("sid <> label").select(F.col("sid").alias("a"), F.col("label").alias("b")).union(more)
     whole = components(links)
 
