@@ -23,6 +23,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,10 @@ BUCKET_BITS = 18
 CHUNKS = 16
 #: Bits of a set's parity bitmap.
 BITS = 512
+#: Sets of more elements than LONG, for which that is crowded, also have one of WIDE bits; it stays out of the index.
+LONG, WIDE = 1500, 8192
+#: Pairs and labels (some 24 bytes each) are broadcast up to this many, else joined by shuffle.
+BROADCAST_ROWS = 2_000_000
 #: Bits of the filter of set ids that a pass over the texts carries: 16 MB, however many ids. A crowded filter lets
 #: sets through that a later join drops.
 FILTER_BITS = 27
@@ -137,9 +142,9 @@ def _shared(rows: Iterator[pa.RecordBatch], t: Fraction) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in last[:4]], ["token", "sid", "n", "pos"])
 
 
-def _bitmap(s: np.ndarray) -> bytes:
+def _bitmap(s: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Bit i: the parity of the number of elements that fall on i."""
-    return np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1)
 
 
 def _noted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +167,8 @@ def _id_filter(ids: DataFrame):
     return ids.sparkSession.sparkContext.broadcast(found.ravel())
 
 
-def _full(rows: Iterator[pa.RecordBatch], k: int, wanted, items: bool) -> Iterator[pa.RecordBatch]:
-    """Of each set that the filter holds, once in a partition: its bitmap or its elements."""
+def _wanted(rows: Iterator[pa.RecordBatch], k: int, wanted) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """The sets that the filter holds, with their ids, each once in a partition."""
     held, seen = wanted.value, set()
     for batch in rows:
         out = []
@@ -172,14 +177,26 @@ def _full(rows: Iterator[pa.RecordBatch], k: int, wanted, items: bool) -> Iterat
                 at = (sid & (1 << 64) - 1) >> (64 - FILTER_BITS)
                 if held[at >> 3] >> (7 - (at & 7)) & 1:
                     seen.add(sid)
-                    out.append((sid, s.view(np.int64) if items else _bitmap(s)))
-        if out and items:
-            ends = np.cumsum([0, *(len(x[1]) for x in out)]).astype(np.int32)
-            second = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[1] for x in out])))
-        elif out:
-            second = pa.array([x[1] for x in out], pa.binary())
+                    out.append((sid, s))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), second], ["sid", "items" if items else "bits"])
+            yield out
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]).astype(np.int32)), pa.array(np.concatenate(arrays).view(np.int64)))
+
+
+def _bitmaps(rows: Iterator[pa.RecordBatch], k: int, wanted) -> Iterator[pa.RecordBatch]:
+    none = np.zeros(0, np.int64)
+    for out in _wanted(rows, k, wanted):
+        wide = _lists([_bitmap(s, WIDE).view(np.int64) if len(s) > LONG else none for _, s in out])
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([len(s) for _, s in out], pa.int64()), pa.array([_bitmap(s).tobytes() for _, s in out], pa.binary()), wide], ["sid", "n", "bits", "wide"])
+
+
+def _elements(rows: Iterator[pa.RecordBatch], k: int, wanted) -> Iterator[pa.RecordBatch]:
+    part = TaskContext.get().partitionId()
+    for out in _wanted(rows, k, wanted):
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([part] * len(out), pa.int32()), _lists([s for _, s in out])], ["sid", "part", "items"])
 
 
 class _Blocks:
@@ -247,11 +264,34 @@ def _compared(rows: Iterator[pa.RecordBatch], t: Fraction, labelled: bool) -> It
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it was counted to be small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs with how many elements each has, and the elements that only one of them has."""
-    of = lambda x: sets.select(F.col("sid").alias(x), F.col("items").alias(f"{x}_items"))
-    both = pairs.join(of("b"), "b").join(of("a"), "a")
-    return both.select("a", "b", F.size("a_items").alias("n"), F.size("b_items").alias("m"), F.concat(F.array_except("a_items", "b_items"), F.array_except("b_items", "a_items")).alias("differ"))
+    """Pairs with how many elements each has, and the elements that only one of them has.
+
+    sets may hold a set once for each partition that has it; the first such row is used. Elements move once: those of
+    b to the rows of a.
+    """
+    one = sets.groupBy("sid").agg(F.min("part").alias("part"))
+    b = _small(written(pairs.join(one.withColumnRenamed("sid", "b"), "b"), "places"))
+    a = _small(written(pairs.select(F.col("a").alias("sid")).distinct().join(one, "sid"), "hubs"))
+    left = sets.join(a, ["sid", "part"]).select(F.col("sid").alias("a"), F.col("items").alias("x"))
+    right = sets.withColumnRenamed("sid", "b").join(b, ["b", "part"]).select("a", "b", F.col("items").alias("y"))
+    both = right.join(left.hint("merge"), "a")
+    both = both.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("differ"))
+    # What differs is kept where it is short enough to derive other answers from.
+    return both.select("a", "b", "n", "m", F.size("differ").alias("d"), F.when(F.size("differ") * 8 <= F.col("n") + F.col("m"), F.col("differ")).alias("differ"))
+
+
+def _plausible(pairs: DataFrame, bitmaps: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs less those of long sets whose wide bitmaps differ in more bits than similar sets' elements can."""
+    of = lambda x: bitmaps.where(f"n > {LONG}").select(F.col("sid").alias(x), F.col("n").alias(f"{x}_n"), F.col("wide").alias(f"{x}_wide"))
+    both = _small(pairs).join(of("a"), "a", "left").join(of("b"), "b", "left")
+    apart = F.aggregate(F.zip_with("a_wide", "b_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return both.withColumn("d", apart).where(F.coalesce(F.expr(_linked("a_n", "b_n", "d", t)), F.lit(True))).select("a", "b")
 
 
 def _linked(n: str, m: str, differ, t: Fraction):
@@ -282,29 +322,30 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 3, similarity: Fraction = Fract
     entries = text.select("text").mapInArrow(partial(_indexed, k=k, t=t, counts=shared_counts), "token long, sid long, n int, pos int")
     lists = written(entries.repartition("token").sortWithinPartitions("token", "n", "pos", "sid").mapInArrow(partial(_shared, t=t), "token long, sid long, n int, pos int"), "lists")
 
-    def looked_up(ids: DataFrame, items: bool) -> DataFrame:
-        schema = "sid long, items array<long>" if items else "sid long, bits binary"
-        return text.select("text").mapInArrow(partial(_full, k=k, wanted=_id_filter(ids), items=items), schema).dropDuplicates(["sid"])
+    bitmaps = text.select("text").mapInArrow(partial(_bitmaps, k=k, wanted=_id_filter(lists)), "sid long, n long, bits binary, wide array<long>")
+    bitmaps = written(written(bitmaps, "bitmaps").dropDuplicates(["sid"]), "bitmaps")
+    listed = written(lists.join(_small(bitmaps.select("sid", "bits")), "sid"), "listed")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return _verified(pairs, looked_up(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")), True))
-
-    listed = written(lists.join(looked_up(lists, False), "sid"), "listed")
+        pairs = written(_plausible(pairs, bitmaps, t), "plausible")
+        ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b"))
+        return _verified(pairs, written(text.select("text").mapInArrow(partial(_elements, k=k, wanted=_id_filter(ids)), "sid long, part int, items array<long>"), "sets"))
 
     order = ("token", "n", "pos", "sid")
     pairs = listed.repartition("token").sortWithinPartitions(*order).mapInArrow(partial(_compared, t=t, labelled=False), "a long, b long").distinct()
-    answers = written(verified(written(pairs, "pairs")), "answers")
-    good = _linked("n", "m", "size(differ)", t)
+    tested = written(pairs, "pairs")
+    answers = written(verified(tested), "answers")
+    good = _linked("n", "m", "d", t)
     first = answers.where(good).select("a", "b")
-    label = components(first).select(F.col("node").alias("sid"), F.col("component").alias("label"))
+    label = written(components(first).select(F.col("node").alias("sid"), F.col("component").alias("label")), "labels")
 
     # Second round: what hubs left apart. Lists whose sets are all connected give nothing.
-    relabelled = listed.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    relabelled = listed.join(_small(label), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     pairs = relabelled.repartition("token").sortWithinPartitions(*order).mapInArrow(partial(_compared, t=t, labelled=True), "a long, b long").distinct()
-    pairs = written(pairs.join(answers.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    hub = answers.groupBy("b").agg(F.min_by(F.struct("a", "m", "differ"), F.struct(F.size("differ"), "a")).alias("h"))
+    pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    hub = answers.where("differ is not null").groupBy("b").agg(F.min_by(F.struct("a", "m", "differ"), F.struct(F.size("differ"), "a")).alias("h"))
     near = hub.select(F.col("b").alias("sid"), "h.*")
-    own = answers.select(F.col("a").alias("sid"), "a", F.col("n").alias("m"), F.expr("cast(array() as array<bigint>)").alias("differ")).dropDuplicates(["sid"])
+    own = answers.where("differ is not null").select(F.col("a").alias("sid"), "a", F.col("n").alias("m"), F.expr("cast(array() as array<bigint>)").alias("differ")).dropDuplicates(["sid"])
     near = near.unionByName(own.join(near.select("sid"), "sid", "left_anti"))
     of = lambda x: near.select(F.col("sid").alias(x), F.col("a").alias(f"{x}_hub"), F.col("m").alias(f"{x}_n"), F.col("differ").alias(f"{x}_differ"))
     derived = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
