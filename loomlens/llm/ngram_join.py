@@ -39,10 +39,10 @@ BITS = 512
 #: Sets of more elements than LONG, for which that is crowded, also have one of WIDE bits; it stays out of the index.
 LONG, WIDE = 1500, 8192
 #: Pairs and labels (some 24 bytes each) are broadcast up to this many, else joined by shuffle.
-BROADCAST_ROWS = 2_000_000
-#: Bits of the filter of set ids that a pass over the texts carries: 16 MB, however many ids. A crowded filter lets
-#: sets through that a later join drops.
-FILTER_BITS = 27
+BROADCAST_ROWS = 250_000
+#: Bits of the filter of set ids that a pass over the texts carries, as a power of 2: about 16 for an id, within bounds.
+#: 16 MB at most, however many ids; a crowded filter lets sets through that a later join drops.
+FILTER_LEAST, FILTER_MOST = 18, 27
 HOW = words.table(words.WHITE)
 
 
@@ -147,21 +147,23 @@ def _bitmap(s: np.ndarray, bits: int = BITS) -> np.ndarray:
     return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1)
 
 
-def _noted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _noted(rows: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """The part of the filter for ids that begin with the same four bits."""
     parts: dict[int, np.ndarray] = {}
     for batch in rows:
-        at = np.asarray(batch.column("sid")).view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-        for chunk in np.unique(at >> np.uint64(FILTER_BITS - 4)).tolist():
-            bits = parts.setdefault(chunk, np.zeros(1 << (FILTER_BITS - 4), bool))
-            bits[(at[at >> np.uint64(FILTER_BITS - 4) == chunk] & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+        at = np.asarray(batch.column("sid")).view(np.uint64) >> np.uint64(64 - size)
+        for chunk in np.unique(at >> np.uint64(size - 4)).tolist():
+            bits = parts.setdefault(chunk, np.zeros(1 << (size - 4), bool))
+            bits[(at[at >> np.uint64(size - 4) == chunk] & np.uint64(len(bits) - 1)).astype(np.int64)] = True
     yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([np.packbits(x).tobytes() for x in parts.values()], pa.binary())], ["chunk", "bits"])
 
 
 def _id_filter(ids: DataFrame):
-    """A broadcast bitmap that holds all ids (sid)."""
-    chunks = ids.select("sid").distinct().repartition(16, F.shiftrightunsigned("sid", 60)).mapInArrow(_noted, "chunk int, bits binary")
-    found = np.zeros((16, 1 << (FILTER_BITS - 7)), np.uint8)
+    """A broadcast bitmap that holds all ids (sid); to be destroyed after use."""
+    ids = written(ids.select("sid").distinct(), "ids")
+    size = min(FILTER_MOST, max(FILTER_LEAST, (16 * ids.count()).bit_length()))
+    chunks = ids.repartition(16, F.shiftrightunsigned("sid", 60)).mapInArrow(partial(_noted, size=size), "chunk int, bits binary")
+    found = np.zeros((16, 1 << (size - 7)), np.uint8)
     for chunk, bits in chunks.collect():  # 16 rows of a fixed size at most
         found[chunk] = np.frombuffer(bits, np.uint8)
     return ids.sparkSession.sparkContext.broadcast(found.ravel())
@@ -170,11 +172,12 @@ def _id_filter(ids: DataFrame):
 def _wanted(rows: Iterator[pa.RecordBatch], k: int, wanted) -> Iterator[list[tuple[int, np.ndarray]]]:
     """The sets that the filter holds, with their ids, each once in a partition."""
     held, seen = wanted.value, set()
+    size = (8 * len(held)).bit_length() - 1
     for batch in rows:
         out = []
         for _, s in _sets(batch, k):
             if len(s) and (sid := _sid(s)) not in seen:
-                at = (sid & (1 << 64) - 1) >> (64 - FILTER_BITS)
+                at = (sid & (1 << 64) - 1) >> (64 - size)
                 if held[at >> 3] >> (7 - (at & 7)) & 1:
                     seen.add(sid)
                     out.append((sid, s))
@@ -321,15 +324,22 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 3, similarity: Fraction = Fract
 
     entries = text.select("text").mapInArrow(partial(_indexed, k=k, t=t, counts=shared_counts), "token long, sid long, n int, pos int")
     lists = written(entries.repartition("token").sortWithinPartitions("token", "n", "pos", "sid").mapInArrow(partial(_shared, t=t), "token long, sid long, n int, pos int"), "lists")
+    shared_counts.destroy()
 
-    bitmaps = text.select("text").mapInArrow(partial(_bitmaps, k=k, wanted=_id_filter(lists)), "sid long, n long, bits binary, wide array<long>")
-    bitmaps = written(written(bitmaps, "bitmaps").dropDuplicates(["sid"]), "bitmaps")
+    def looked_up(ids: DataFrame, how, schema: str) -> DataFrame:
+        wanted = _id_filter(ids)
+        out = written(text.select("text").mapInArrow(partial(how, k=k, wanted=wanted), schema), "sets")
+        wanted.destroy()
+        return out
+
+    bitmaps = looked_up(lists, _bitmaps, "sid long, n long, bits binary, wide array<long>").dropDuplicates(["sid"])
+    bitmaps = written(bitmaps, "bitmaps")
     listed = written(lists.join(_small(bitmaps.select("sid", "bits")), "sid"), "listed")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = written(_plausible(pairs, bitmaps, t), "plausible")
         ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b"))
-        return _verified(pairs, written(text.select("text").mapInArrow(partial(_elements, k=k, wanted=_id_filter(ids)), "sid long, part int, items array<long>"), "sets"))
+        return _verified(pairs, looked_up(ids, _elements, "sid long, part int, items array<long>"))
 
     order = ("token", "n", "pos", "sid")
     pairs = listed.repartition("token").sortWithinPartitions(*order).mapInArrow(partial(_compared, t=t, labelled=False), "a long, b long").distinct()

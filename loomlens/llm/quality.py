@@ -57,11 +57,10 @@ def _features(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield index, x / (np.sqrt((x * x).sum()) or 1)
 
 
-def _sparse(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
-        if len(batch):
-            found = list(_features(batch))
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([x.astype(np.int32) for x, _ in found], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in found], pa.list_(pa.float32()))], ["y", "index", "x"])
+def _fitted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weights, from all examples of the one partition that holds the sample."""
+    examples = [(y, *x) for batch in rows for y, x in zip(batch.column("y").to_pylist(), _features(batch), strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array([fit(examples).tobytes()], pa.binary())], ["weights"])
 
 
 def fit(examples: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-4) -> np.ndarray:
@@ -104,12 +103,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> n
     drawn = known.join(present, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = text.join(F.broadcast(drawn), "doc_id").select("y", "text", F.xxhash64("doc_id", "text").alias("o")).orderBy("o", "y").limit(sample).drop("o")  # sample bounds both
-    found = rows.mapInArrow(_sparse, "y int, index array<int>, x array<float>").toArrow()
-    ys = found.column("y").to_pylist()
-    examples = []
-    for chunk_i, chunk_x in zip(found.column("index").chunks, found.column("x").chunks, strict=True):
-        examples += [(np.asarray(a.values), np.asarray(b.values)) for a, b in zip(chunk_i, chunk_x, strict=True)]
-    return fit([(y, a, b) for y, (a, b) in zip(ys, examples, strict=True)])
+    return np.frombuffer(rows.coalesce(1).mapInArrow(_fitted, "weights binary").first()[0], np.float64)
 
 
 def quality_score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
