@@ -2,5 +2,401 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomlens.functions import text as tx
+from loomlens.operators import graph, index, spans
+from loomlens.streaming import upsert
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+WORDS = ["the", "license", "of"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Shared SQL: terms of a text, as functions.text.terms has them.
+_PARTS = "list_filter(string_split_regex(regexp_replace(regexp_replace(r, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+'), lambda p: length(p) > 0)"
+_TERMS = f"flatten(list_transform(list_filter(regexp_extract_all(text, '[A-Za-z0-9_$]+'), lambda r: length(r) <= 64 AND NOT regexp_matches(r, '^[0-9]')), lambda r: list_concat([lower(r)], list_filter(list_transform({_PARTS}, lambda p: lower(p)), lambda p: p <> lower(r)))))"
+_T = f"t AS (SELECT doc_id, lang, {_TERMS} AS t FROM documents)"
+_FLAT = "flat AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM t)"
+_POST = "post AS (SELECT doc_id, term, count(*) AS tf, min(pos) AS first FROM flat GROUP BY ALL)"
+_BM25 = f"""{_T}, n AS (SELECT doc_id, lang, least(len(list_distinct(t)), 4096) AS n, [least(len(list_filter(t, lambda x: x = w)), 63) for w in ['the', 'license', 'of']] AS h FROM t),
+s AS (SELECT count(*) AS nd, avg(n) FILTER (n > 0) AS av, [count(*) FILTER (h[1] > 0), count(*) FILTER (h[2] > 0), count(*) FILTER (h[3] > 0)] AS df FROM n),
+scored AS (SELECT doc_id, lang, list_sum([ln(1 + (nd - df[i] + 0.5) / (df[i] + 0.5)) * h[i] * 2.2 / (h[i] + 1.2 * (0.25 + 0.75 * n / av)) for i in [1, 2, 3]]) AS score FROM n, s WHERE h[1] + h[2] + h[3] > 0)"""
+
+
+@query(f"WITH {_T}, {_FLAT}, {_POST} SELECT doc_id, term, least(tf, 63) AS tf FROM post")
+def tokenize_terms(t):
+    return index.postings(t("documents")).select("doc_id", "term", F.col("tf").cast("long").alias("tf"))
+
+
+@query(f"WITH {_T}, {_FLAT}, {_POST} SELECT doc_id, term, least(tf, 63) AS tf, first::BIGINT AS first FROM post QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY first) <= 50")
+def term_first_occurrence_cap(t):
+    return index.postings(t("documents"), cap=50).select("doc_id", "term", F.col("tf").cast("long").alias("tf"), F.col("first").cast("long").alias("first"))
+
+
+@query(f"WITH {_T}, {_FLAT} SELECT term, count(DISTINCT doc_id) AS df FROM flat GROUP BY term")
+def doc_frequency(t):
+    each = t("documents").select(F.explode(F.array_distinct(tx.terms(F.col("text")))).alias("term"))
+    return each.groupBy("term").agg(F.count("*").alias("df"))
+
+
+@query(f"WITH {_T} SELECT count(*) AS n_docs, round(avg(len(list_distinct(t))) FILTER (len(t) > 0), 6) AS avg_terms FROM t")
+def corpus_stats(t):
+    return index.stats(t("documents")).select("n_docs", F.round("avg_terms", 6).alias("avg_terms"))
+
+
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, doc_id LIMIT 10")
+def bm25_topk(t):
+    return index.top(index.bm25(t("documents"), WORDS), 10).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_BM25}, top AS (SELECT * FROM scored ORDER BY score DESC, doc_id LIMIT 180) SELECT doc_id, round(score, 6) AS score FROM top WHERE lang = 'en' ORDER BY top.score DESC, doc_id LIMIT 60")
+def bm25_filtered_after_topk(t):
+    first = index.top(index.bm25(t("documents"), WORDS), 180)
+    kept = first.join(t("documents").select("doc_id", "lang").where("lang = 'en'"), "doc_id")
+    return index.top(kept, 60).select("doc_id", F.round("score", 6).alias("score"))
+
+
+_LINES = "l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS line_no FROM (SELECT doc_id, string_split_regex(text, '\\r?\\n') AS x FROM documents))"
+
+
+def _lines(t) -> DataFrame:
+    return t("documents").select("doc_id", F.posexplode(tx.lines(F.col("text"))).alias("line_no", "line")).withColumn("line_no", (F.col("line_no") + 1).cast("long"))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, line_no, line FROM l")
+def line_explode(t):
+    return _lines(t)
+
+
+def _hits(t) -> DataFrame:
+    n = tx.line_matches(F.col("line"), ["the", "license", "on"])
+    comment = F.when(F.col("line").rlike(r"^\s*(?://|#|\*)"), 1).otherwise(0)
+    return _lines(t).where(F.length("line") <= 500).withColumn("n", n.cast("long")).where("n > 0").withColumn("score", F.col("n") * 2 - comment)
+
+
+_HITS = f"""{_LINES}, h AS (SELECT doc_id, line_no, line, least(len(list_distinct(regexp_extract_all(lower(line), '(^|[^a-z0-9_])(the|license|on)', 2))), 9) AS n FROM l WHERE length(line) <= 500),
+hits AS (SELECT doc_id, line_no, n::BIGINT AS n, (n * 2 - CASE WHEN regexp_matches(line, '^\\s*(?://|#|\\*)') THEN 1 ELSE 0 END)::BIGINT AS score FROM h WHERE n > 0)"""
+
+
+@query(f"WITH {_HITS} SELECT doc_id, line_no, n, score FROM hits")
+def line_hits(t):
+    return _hits(t).select("doc_id", "line_no", "n", F.col("score").cast("long").alias("score"))
+
+
+@query(f"WITH {_HITS} SELECT doc_id, line_no // 4 AS block, line_no, score FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id, line_no // 4 ORDER BY score DESC, line_no) = 1")
+def hits_best_per_group(t):
+    h = _hits(t).withColumn("block", F.expr("line_no div 4"))
+    return spans.best(h, ["doc_id", "block"], [F.desc("score"), "line_no"]).select("doc_id", "block", "line_no", F.col("score").cast("long").alias("score"))
+
+
+@query(f"WITH first AS (SELECT doc_id FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 2500), {_LINES} SELECT doc_id, line_no FROM l SEMI JOIN first USING (doc_id) WHERE regexp_matches(line, '[A-Z][a-z]+ing ')")
+def regex_search_capped(t):
+    first = t("documents").where("lang = 'en'").select("doc_id").orderBy("doc_id").limit(2500)  # the feature: the first files in order
+    return _lines(t).join(F.broadcast(first), "doc_id", "left_semi").where(F.col("line").rlike("[A-Z][a-z]+ing ")).select("doc_id", "line_no")
+
+
+_COST = r"""(CASE WHEN coalesce(length({0}), 0) = 0 THEN 0 ELSE ceil(length({0}) / (4.0::DOUBLE + (3.1::DOUBLE - 4.0::DOUBLE) * least(1.0, greatest(0.0, ((length({0}) - length(regexp_replace({0}, '[{{}}()\[\]<>=+\-*/%&|^~!?:;,.@#$`"''\\]', '', 'g')))::DOUBLE / length({0}) - 0.03) / 0.12)))
+ + (length({0}) - length(replace({0}, chr(10), ''))) * 0.25) END)::BIGINT"""
+
+
+@query(f"SELECT doc_id, {_COST.format('text')} AS tokens FROM documents")
+def estimate_tokens(t):
+    return t("documents").select("doc_id", tx.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query(f"WITH c AS (SELECT doc_id, n_chars, {_COST.format('text')} AS cost FROM documents ORDER BY n_chars, doc_id LIMIT 500) SELECT doc_id, cost, used::BIGINT AS used FROM (SELECT *, sum(cost) OVER (ORDER BY n_chars, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM c) WHERE used <= 25000")
+def budget_prefix(t):
+    rows = t("documents").select("doc_id", "n_chars", "text").orderBy("n_chars", "doc_id").limit(500)  # only so many can fit
+    rows = rows.select("doc_id", "n_chars", tx.estimate_tokens(F.col("text")).alias("cost"))
+    return spans.budget(rows, "cost", ["n_chars", "doc_id"], 25000).select("doc_id", "cost", "used")
+
+
+@query(f"""WITH c AS (SELECT source, sum({_COST.format('text')} + 11)::BIGINT AS fully, sum({_COST.format("(doc_id || ' (' || lang || ')')")} + 11)::BIGINT AS named FROM documents GROUP BY 1)
+SELECT source, fully, named, CASE WHEN fully <= 25000 THEN 'full' WHEN named <= 1000 THEN 'named' ELSE 'packed' END AS detail FROM c""")
+def budget_detail_choice(t):
+    label = F.concat(F.col("doc_id").cast("string"), F.lit(" ("), "lang", F.lit(")"))
+    c = t("documents").groupBy("source").agg(F.sum(tx.estimate_tokens(F.col("text")) + 11).alias("fully"), F.sum(tx.estimate_tokens(label) + 11).alias("named"))
+    return c.withColumn("detail", F.when(F.col("fully") <= 25000, "full").when(F.col("named") <= 1000, "named").otherwise("packed"))
+
+
+@query("SELECT doc_id, 'r' || substr(sha1(source || ':' || doc_id || ':' || n_chars || ':' || lang), 1, 8) AS handle FROM documents")
+def handle_ids(t):
+    return t("documents").select("doc_id", tx.handle(F.col("source"), F.col("doc_id"), F.col("n_chars"), F.col("lang")).alias("handle"))
+
+
+@query(f"WITH i AS (SELECT p_partkey, replace(p_name || 'HTTPResponse' || p_type, ' ', '_') AS r FROM part) SELECT p_partkey, array_to_string(list_transform({_PARTS}, lambda p: lower(p)), ' ') AS parts FROM i")
+def identifier_split(t):
+    name = F.regexp_replace(F.concat("p_name", F.lit("HTTPResponse"), "p_type"), " ", "_")
+    return t("part").select("p_partkey", F.array_join(tx.split_identifier(name), " ").alias("parts"))
+
+
+@query("""WITH p AS (SELECT p_partkey, lower(p_name) AS n FROM part), needle AS (SELECT lower(p_name) AS w FROM part WHERE p_partkey = 1)
+SELECT p_partkey, (CASE WHEN n = w THEN 100 WHEN starts_with(n, w[1:4]) THEN 60 WHEN contains(n, w[1:3]) THEN 40 ELSE 10 * len(list_intersect(string_split(n, ' '), string_split(w, ' '))) END)::BIGINT AS score FROM p, needle""")
+def symbol_name_score(t):
+    needle = t("part").where("p_partkey = 1").select(F.lower("p_name").alias("w"))
+    p = t("part").select("p_partkey", F.lower("p_name").alias("n")).crossJoin(F.broadcast(needle))  # one row
+    score = F.when(F.col("n") == F.col("w"), 100).when(F.col("n").startswith(F.substring("w", 1, 4)), 60).when(F.col("n").contains(F.substring("w", 1, 3)), 40).otherwise(10 * F.size(F.array_intersect(F.split("n", " "), F.split("w", " "))))
+    return p.select("p_partkey", score.cast("long").alias("score"))
+
+
+@query("WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) SELECT source, string_agg(lang || '×' || n, ' ' ORDER BY n DESC, lang) AS tally FROM c GROUP BY 1")
+def lang_tally(t):
+    c = t("documents").groupBy("source", "lang").count()
+    top = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("k"), "lang")))
+    return c.groupBy("source").agg(F.array_join(F.transform(top, lambda x: F.concat(x["lang"], F.lit("×"), (-x["k"]).cast("string"))), " ").alias("tally"))
+
+
+_PATHS = "u AS (SELECT page_id, length(html) AS size, regexp_extract(url, '://([^?#]*)', 1) AS p FROM pages)"
+
+
+def _paths(t) -> DataFrame:
+    return t("pages").select("page_id", F.length("html").cast("long").alias("size"), F.regexp_extract("url", "://([^?#]*)", 1).alias("p"))
+
+
+@query(f"""WITH {_PATHS}, s AS (SELECT page_id, size, list_filter(string_split(p, '/'), lambda x: x <> '') AS x FROM u),
+a AS (SELECT array_to_string(x[1:i], '/') AS dir, CASE WHEN i = len(x) - 1 THEN 1 ELSE 0 END AS own, size FROM (SELECT *, unnest(range(1, len(x))) AS i FROM s))
+SELECT dir, sum(own)::BIGINT AS files, sum(own * size)::BIGINT AS bytes FROM a GROUP BY dir""")
+def dir_rollup_with_ancestors(t):
+    s = _paths(t).select("size", F.filter(F.split("p", "/"), lambda x: x != "").alias("x")).where("size(x) > 1")
+    a = s.select("size", "x", F.explode(F.sequence(F.lit(1), F.size("x") - 1)).alias("i"))
+    a = a.select(F.array_join(F.slice("x", F.lit(1), F.col("i")), "/").alias("dir"), (F.col("i") == F.size("x") - 1).cast("long").alias("own"), "size")
+    return a.groupBy("dir").agg(F.sum("own").alias("files"), F.sum(F.col("own") * F.col("size")).alias("bytes"))
+
+
+_EDGES = "e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem)"
+
+
+def _edges(t) -> DataFrame:
+    return t("lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
+
+
+_IMPORTANCE = f"{_EDGES}, d AS (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e), imp AS (SELECT node, sum(i)::BIGINT AS n_in, sum(o)::BIGINT AS n_out, 3 * ln(1 + sum(i)) + 0.5 * ln(1 + sum(o)) AS score FROM d GROUP BY node)"
+
+
+@query(f"WITH {_IMPORTANCE} SELECT node, n_in, n_out, round(score, 6) AS score FROM imp")
+def importance_rank(t):
+    return graph.importance(_edges(t)).select("node", "n_in", "n_out", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_IMPORTANCE}, {_BM25}, f AS (SELECT 's' || (doc_id % 100 + 1) AS node, max(score) AS s FROM (SELECT * FROM scored ORDER BY score DESC, doc_id LIMIT 400) GROUP BY 1) SELECT imp.node, round(imp.score + coalesce(20 * f.s / (SELECT max(s) FROM f), 0), 6) AS score FROM imp LEFT JOIN f ON imp.node = f.node WHERE imp.node LIKE 's%'")
+def focus_blend(t):
+    top = index.top(index.bm25(t("documents"), WORDS), 400)
+    f = top.groupBy(F.concat(F.lit("s"), F.col("doc_id") % 100 + 1).alias("node")).agg(F.max("score").alias("s"))
+    most = F.broadcast(f.agg(F.max("s").alias("most")))  # one row
+    imp = graph.importance(_edges(t)).where("node like 's%'").join(f, "node", "left").crossJoin(most)
+    return imp.select("node", F.round(F.col("score") + F.coalesce(20 * F.col("s") / F.col("most"), F.lit(0.0)), 6).alias("score"))
+
+
+@query("SELECT DISTINCT o_orderkey AS src, c_custkey AS dst FROM orders JOIN customer ON c_custkey = o_custkey")
+def edges_resolved(t):
+    return t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("src"), F.col("c_custkey").alias("dst")).distinct()
+
+
+_HREF = "h AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages)"
+
+
+def _hrefs(t) -> DataFrame:
+    return t("pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))).alias("href")).distinct()
+
+
+@query(f"WITH {_HREF} SELECT page_id, href FROM h ANTI JOIN (SELECT url FROM pages) p ON p.url = h.href")
+def edges_external(t):
+    return _hrefs(t).join(t("pages").select(F.col("url").alias("href")), "href", "left_anti").select("page_id", "href")
+
+
+@query(f"""WITH {_PATHS}, {_HREF}, b AS (SELECT page_id AS target, regexp_extract(rtrim(p, '/'), '([^/]*)$', 1) AS base FROM u),
+m AS (SELECT h.page_id, href, min(target) AS target, count(*) AS n FROM h JOIN b ON b.base = ltrim(href, '/') GROUP BY ALL)
+SELECT h.page_id, h.href, CASE WHEN n = 1 THEN target END AS target FROM h LEFT JOIN m USING (page_id, href)""")
+def suffix_resolve_unique(t):
+    b = _paths(t).select(F.col("page_id").alias("target"), F.regexp_extract(F.regexp_replace("p", "/+$", ""), r"([^/]*)\z", 1).alias("base"))
+    h = _hrefs(t)
+    m = h.join(b, F.regexp_replace("href", "^/+", "") == b.base).groupBy("page_id", "href").agg(F.min("target").alias("target"), F.count("*").alias("n"))
+    return h.join(m, ["page_id", "href"], "left").select("page_id", "href", F.when(F.col("n") == 1, F.col("target")).alias("target"))
+
+
+@query("""WITH c AS (SELECT o_orderkey AS src, o_custkey AS ref, unnest([o_custkey * 7, o_custkey * 3, o_custkey]) AS path, unnest([0, 1, 2]) AS prio FROM orders)
+SELECT o_orderkey AS src, o_custkey AS ref, d.dst FROM orders LEFT JOIN (SELECT src, ref, arg_min(path, prio) AS dst FROM c JOIN customer ON c_custkey = path GROUP BY ALL) d ON d.src = o_orderkey AND d.ref = o_custkey""")
+def candidate_priority_resolve(t):
+    refs = t("orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("ref"), F.expr("array(o_custkey * 7, o_custkey * 3, o_custkey)").alias("candidates"))
+    return graph.resolve(refs, t("customer").select(F.col("c_custkey").alias("path")))
+
+
+def _walk_sql(depth: int) -> str:
+    return f"""WITH RECURSIVE {_EDGES}, sym AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
+w AS (SELECT 'p1' AS node, 0 AS hop UNION SELECT dst, hop + 1 FROM w JOIN sym ON src = node WHERE hop < {depth}) SELECT node, min(hop)::BIGINT AS hop FROM w GROUP BY node"""
+
+
+def _walk(t, depth: int) -> DataFrame:
+    e = _edges(t)
+    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    start = t("part").where("p_partkey = 1").select(F.lit("p1").alias("node"))
+    return graph.walk(both, start, depth).select("node", F.col("hop").cast("long").alias("hop"))
+
+
+@query(_walk_sql(2))
+def bfs_2hop(t):
+    return _walk(t, 2)
+
+
+@query(_walk_sql(4))
+def bfs_4hop(t):
+    return _walk(t, 4)
+
+
+_DIRS = "dirs AS (SELECT unnest(['en', 'en/1', 'en/12', 'fr', 'de/2', '']) AS dir)"
+
+
+@query(f"""WITH u AS (SELECT page_id, regexp_extract(url, '://[^/]*/([^?#]*)', 1) AS p FROM pages), {_DIRS}
+SELECT page_id, arg_max(dir, length(dir)) AS owner FROM u JOIN dirs ON dir = '' OR starts_with(p, dir) GROUP BY page_id""")
+def prefix_owner_longest(t):
+    u = t("pages").select("page_id", F.regexp_extract("url", "://[^/]*/([^?#]*)", 1).alias("p"))
+    # Every prefix a page has is looked up, so the join is by equality, not by a scan of all directories.
+    each = u.select("page_id", F.explode(F.sequence(F.lit(0), F.least(F.length("p"), F.lit(255)))).alias("n"), "p").select("page_id", F.expr("substring(p, 1, n)").alias("dir"))
+    dirs = u.sparkSession.createDataFrame([(x,) for x in ("en", "en/1", "en/12", "fr", "de/2", "")], "dir string")
+    return each.join(F.broadcast(dirs), "dir").groupBy("page_id").agg(F.max_by("dir", F.length("dir")).alias("owner"))
+
+
+_SPANS = "s AS (SELECT l_orderkey AS k, l_linenumber * 3 AS start, l_linenumber * 3 + (l_quantity::BIGINT) % 9 AS stop, l_linenumber AS depth, 'f' || l_linenumber AS name FROM lineitem)"
+
+
+def _spans(t) -> DataFrame:
+    return t("lineitem").selectExpr("l_orderkey as k", "l_linenumber * 3 as start", "l_linenumber * 3 + cast(l_quantity as bigint) % 9 as stop", "l_linenumber as depth", "concat('f', l_linenumber) as name")
+
+
+@query(f"""WITH {_SPANS}, p AS (SELECT DISTINCT l_orderkey AS k, l_linenumber * 3 + 4 AS line FROM lineitem)
+SELECT k, line::BIGINT AS line, arg_max(name, depth) AS name FROM p JOIN s USING (k) WHERE line BETWEEN start AND stop GROUP BY ALL""")
+def enclosing_interval(t):
+    points = t("lineitem").selectExpr("l_orderkey as k", "l_linenumber * 3 + 4 as line").distinct()
+    return spans.enclosing(points, _spans(t), "k").select("k", F.col("line").cast("long").alias("line"), "name")
+
+
+@query(f"""WITH {_SPANS}, c AS (SELECT l_orderkey AS k, l_linenumber * 4 AS low, l_linenumber * 4 + 1 AS high FROM lineitem WHERE l_returnflag = 'R'),
+m AS (SELECT DISTINCT s.* FROM c JOIN s USING (k) WHERE stop >= low AND start <= high),
+kept AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m i WHERE i.k = m.k AND i.name <> m.name AND m.start <= i.start AND m.stop >= i.stop))
+SELECT k, name FROM kept UNION ALL SELECT k, name FROM m WHERE k NOT IN (SELECT k FROM kept)""")
+def overlap_touched(t):
+    changes = t("lineitem").where("l_returnflag = 'R'").selectExpr("l_orderkey as k", "l_linenumber * 4 as low", "l_linenumber * 4 + 1 as high")
+    return spans.touched(changes, _spans(t), "k").select("k", "name")
+
+
+_RANGES = "r AS (SELECT l_orderkey AS k, l_linenumber * 5 - 2 AS low, l_linenumber * 5 + (l_quantity::BIGINT) % 4 AS high FROM lineitem)"
+_UNION = f"{_RANGES}, w AS (SELECT *, max(high) OVER (PARTITION BY k ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM r), g AS (SELECT *, sum(CASE WHEN b IS NULL OR low > b + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY low, high) AS run FROM w)"
+
+
+@query(f"WITH {_UNION} SELECT k, min(low)::BIGINT AS low, max(high)::BIGINT AS high FROM g GROUP BY k, run")
+def interval_union(t):
+    r = t("lineitem").selectExpr("l_orderkey as k", "cast(l_linenumber * 5 - 2 as bigint) as low", "l_linenumber * 5 + cast(l_quantity as bigint) % 4 as high")
+    return spans.union(r, "k").select("k", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"))
+
+
+@query(f"""WITH {_LINES}, body AS (SELECT doc_id, line_no, count(*) OVER (PARTITION BY doc_id) AS n, line FROM l)
+SELECT doc_id, line_no, CASE WHEN n >= 6 AND line_no = 3 THEN '… ' || (n - 4) || ' lines' ELSE line END AS line FROM body WHERE NOT (n >= 6 AND line_no BETWEEN 4 AND n - 2)""")
+def skeleton_elide(t):
+    n = F.col("n")
+    rows = t("documents").select("doc_id", tx.lines(F.col("text")).alias("x")).select("doc_id", F.size("x").cast("long").alias("n"), F.posexplode("x").alias("i", "line")).withColumn("line_no", (F.col("i") + 1).cast("long"))
+    kept = rows.where(~((n >= 6) & F.col("line_no").between(4, n - 2)))
+    return kept.select("doc_id", "line_no", F.when((n >= 6) & (F.col("line_no") == 3), F.concat(F.lit("… "), (n - 4).cast("string"), F.lit(" lines"))).otherwise(F.col("line")).alias("line"))
+
+
+@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS asked FROM conversations")
+def fill_forward(t):
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    return t("conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(w).alias("asked"))
+
+
+@query("SELECT conv_id, seg::BIGINT AS seg, min(turn) AS first_turn, count(*) AS n FROM (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS seg FROM conversations) GROUP BY ALL")
+def segment_runs(t):
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    seg = t("conversations").withColumn("seg", F.sum((F.col("role") == "user").cast("long")).over(w))
+    return seg.groupBy("conv_id", "seg").agg(F.min("turn").alias("first_turn"), F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
+SELECT h.event_id, min(l.n - h.n)::BIGINT AS after FROM e h JOIN e l ON l.user_id = h.user_id AND l.n BETWEEN h.n + 1 AND h.n + 3 WHERE h.event_type = 'error' AND l.event_type = 'purchase' GROUP BY 1""")
+def bounded_forward_match(t):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    ahead = [F.when(F.lead("event_type", i).over(w) == "purchase", i) for i in (1, 2, 3)]  # a bounded window instead of a join
+    e = t("events").select("event_id", "event_type", F.coalesce(*ahead).cast("long").alias("after"))
+    return e.where("event_type = 'error' and after is not null").select("event_id", "after")
+
+
+@query("""SELECT doc_id, key FROM (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))[1:120] AS key, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS generic FROM documents)
+QUALIFY row_number() OVER (PARTITION BY key ORDER BY generic, doc_id) = 1""")
+def dedupe_prefer_specific(t):
+    key = F.substring(F.lower(tx.squish(F.col("text"))), 1, 120)
+    d = t("documents").select("doc_id", key.alias("key"), (F.col("lang") == "en").cast("int").alias("generic"))
+    return d.groupBy("key").agg(F.min_by("doc_id", F.struct("generic", "doc_id")).alias("doc_id")).select("doc_id", "key")
+
+
+@query("""SELECT event_id, severity, rank FROM (SELECT event_id, CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END::BIGINT AS severity,
+row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END, props IS NULL, ts, event_id) AS rank FROM events) WHERE rank <= 15""")
+def rank_severity_stable(t):
+    severity = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "purchase", 1).otherwise(2)
+    w = Window.partitionBy("user_id").orderBy("severity", F.col("props").isNull(), "ts", "event_id")
+    e = t("events").withColumn("severity", severity.cast("long"))
+    return e.withColumn("rank", F.row_number().over(w)).where("rank <= 15").select("event_id", "severity", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT doc_id, 'gone' AS state FROM documents ANTI JOIN labels USING (doc_id) UNION ALL SELECT doc_id, 'kept' FROM documents SEMI JOIN labels USING (doc_id)")
+def changed_vs_seen(t):
+    d, seen = t("documents").select("doc_id"), t("labels").select("doc_id", F.lit(1).alias("seen")).distinct()
+    return d.join(seen, "doc_id", "left").select("doc_id", F.when(F.col("seen").isNull(), "gone").otherwise("kept").alias("state"))
+
+
+_LATEST = "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
+
+
+@query(_LATEST)
+def upsert_latest(t):
+    return upsert.latest(t("events").select("user_id", "event_id", "event_type", "value", "ts"), "user_id", ["ts", "event_id"]).drop("ts")
+
+
+@query(_LATEST)
+def stream_upsert_latest(t):
+    rows = t("events").select("user_id", "event_id", "event_type", "value", "ts")
+    spark = rows.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomlens-")
+    at = f"{shared.rstrip('/')}/loomlens-stream/{uuid.uuid4().hex}"
+    rows.repartition(4).write.parquet(f"{at}/in")
+    return upsert.stream_latest(spark, f"{at}/in", rows.schema, "user_id", ["ts", "event_id"], f"{at}/out", f"{at}/state").drop("ts")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.page') AS page FROM events")
+def json_field(t):
+    return t("events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.page").alias("page"))
+
+
+@query("""WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'tests/' WHEN 1 THEN 'docs/' ELSE '' END || regexp_extract(url, '://[^/]*/([^?#]*)', 1) || CASE WHEN page_id % 3 = 0 THEN '/index.ts' ELSE '.ts' END AS path FROM pages)
+SELECT page_id, path, CASE WHEN regexp_matches(path, '(?i)(^|/)(tests?|__tests__|spec)/|\\.(test|spec)\\.[^/]+$|(^|/)test_[^/]*\\.py$') THEN 'test' WHEN regexp_matches(path, '(?i)(^|/)(examples?|samples?|docs?)/') THEN 'example' WHEN regexp_matches(path, '(?i)(^|/)(index|main|cli|app|server)\\.[^/]+$') THEN 'entrypoint' END AS class FROM p""")
+def classify_paths(t):
+    path = F.expr("concat(case page_id % 4 when 0 then 'tests/' when 1 then 'docs/' else '' end, regexp_extract(url, '://[^/]*/([^?#]*)', 1), case when page_id % 3 = 0 then '/index.ts' else '.ts' end)")
+    return t("pages").select("page_id", path.alias("path")).withColumn("class", tx.path_class(F.col("path")))
+
+
+@query("""SELECT item_id, score FROM (SELECT item_id, (CASE WHEN contains(lower(text), 'the on') THEN 5 ELSE 0 END + CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'on') THEN 1 ELSE 0 END)::BIGINT AS score FROM benchmark) WHERE score > 0 ORDER BY score DESC, item_id LIMIT 20""")
+def note_search(t):
+    low = F.lower("text")
+    score = F.when(low.contains("the on"), 5).otherwise(0) + F.when(low.contains("the"), 1).otherwise(0) + F.when(low.contains("on"), 1).otherwise(0)
+    return t("benchmark").select("item_id", score.cast("long").alias("score")).where("score > 0").orderBy(F.desc("score"), "item_id").limit(20)
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_name COLLATE en_us, p_partkey) AS place FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 100)")
+def locale_order(t):
+    first = t("part").orderBy("p_partkey").limit(100)  # a page of a listing
+    return first.select("p_partkey", F.row_number().over(Window.orderBy(F.collate("p_name", "UNICODE"), "p_partkey")).cast("long").alias("place"))
