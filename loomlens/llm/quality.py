@@ -103,7 +103,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> n
     drawn = known.join(present, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = text.join(F.broadcast(drawn), "doc_id").select("y", "text", F.xxhash64("doc_id", "text").alias("o")).orderBy("o", "y").limit(sample).drop("o")  # sample bounds both
-    return np.frombuffer(rows.coalesce(1).mapInArrow(_fitted, "weights binary").first()[0], np.float64)
+    found = rows.coalesce(1).mapInArrow(_fitted, "weights binary").first()
+    return np.frombuffer(found[0], np.float64) if found else np.zeros(DIMENSIONS + 1)
 
 
 def quality_score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
