@@ -33,7 +33,8 @@ def bm25(docs: DataFrame, words: list[str], key: str = "doc_id") -> DataFrame:
     """(key, score) of texts that hold any of the words. Terms are counted inside each row, so nothing but the scores
     of texts with a hit and one row of statistics moves."""
     each = F.array(*[F.lit(w) for w in dict.fromkeys(words)])
-    row = docs.select(key, tx.terms(F.col("text")).alias("t"))
+    # Generating one row from each keeps the optimiser from copying the terms' expression to each use of it.
+    row = docs.select(key, F.explode(F.array(tx.terms(F.col("text")))).alias("t"))
     row = row.select(key, F.size(F.array_distinct("t")).alias("n"), F.transform(each, lambda w: F.struct(w.alias("term"), F.least(F.size(F.filter("t", lambda x: x == w)), F.lit(TF_MAX)).alias("tf"))).alias("hits"))
     n = len(dict.fromkeys(words))
     df = [F.sum((F.col("hits")[i]["tf"] > 0).cast("long")).alias(f"df{i}") for i in range(n)]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlens.functions import text as tx
-from loomlens.operators import graph, index, spans
+from loomlens.operators import graph, index, parse, spans
 from loomlens.streaming import upsert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -400,3 +400,20 @@ def note_search(t):
 def locale_order(t):
     first = t("part").orderBy("p_partkey").limit(100)  # a page of a listing
     return first.select("p_partkey", F.row_number().over(Window.orderBy(F.collate("p_name", "UNICODE"), "p_partkey")).cast("long").alias("place"))
+
+
+@query()
+def html_outline(t):
+    """Headings of pages, their markup turned into the parse stage's heading form."""
+    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>", "\n#H$1 $2\n"), "<[^>]+>", " ")
+    for n in range(1, 7):
+        text = F.regexp_replace(text, f"#H{n} ", "#" * n + " ")
+    files = t("pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".md")).alias("path"), text.alias("content"))
+    return parse.parse_files(files).select("path", F.inline("symbols")).select("path", "name", "depth", "start_line", "end_line")
+
+
+@query()
+def mask_source(t):
+    """Symbols and imports of every text read as source: prose has few, and the stage must get through it."""
+    files = t("documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".ts")).alias("path"), F.col("text").alias("content"))
+    return parse.parse_files(files).select("path", "line_count", F.size("symbols").alias("n_symbols"), F.size("imports").alias("n_imports"))
