@@ -209,7 +209,8 @@ def extract_symbols(source: str, language: str) -> list[Symbol]:
     if family not in _COMPILED:
         return []
     lines = mask_source(source, language).split("\n")
-    found, open_: list[tuple[Symbol, int]] = [], []
+    found: list[Symbol] = []
+    open_: list[tuple[Symbol, int]] = []
     by_indent, level = language in ("python", "ruby"), 0
     for i, line in enumerate(lines):
         if by_indent:
