@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from loomlens.functions import text as tx
 
+from .spread import spread
+
 K1, B, TF_MAX, TERMS_MAX = 1.2, 0.75, 63, 4096
 
 
 def postings(docs: DataFrame, key: str = "doc_id", cap: int = TERMS_MAX) -> DataFrame:
     """(key, term, tf, first): the first `cap` distinct terms of each text. One shuffle, on key and term, after counting
     in the map; the cap's window only ever sees texts that could pass it."""
-    flat = docs.select(key, F.posexplode(tx.terms(F.col("text"))).alias("pos", "term"))
+    flat = spread(docs.select(key, "text"), key).select(key, F.posexplode(tx.terms(F.col("text"))).alias("pos", "term"))
     counted = flat.groupBy(key, "term").agg(F.count("*").alias("tf"), F.min("pos").alias("first"))
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("first")))
     return ranked.where(F.col("rank") <= cap).select(key, "term", F.least("tf", F.lit(TF_MAX)).alias("tf"), "first")
@@ -21,7 +23,7 @@ def postings(docs: DataFrame, key: str = "doc_id", cap: int = TERMS_MAX) -> Data
 
 def lengths(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n): distinct terms of each text, without a shuffle."""
-    return docs.select(key, F.least(F.size(F.array_distinct(tx.terms(F.col("text")))), F.lit(TERMS_MAX)).alias("n"))
+    return spread(docs.select(key, "text"), key).select(key, F.least(F.size(F.array_distinct(tx.terms(F.col("text")))), F.lit(TERMS_MAX)).alias("n"))
 
 
 def stats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -34,7 +36,7 @@ def bm25(docs: DataFrame, words: list[str], key: str = "doc_id") -> DataFrame:
     of texts with a hit and one row of statistics moves."""
     each = F.array(*[F.lit(w) for w in dict.fromkeys(words)])
     # Generating one row from each keeps the optimiser from copying the terms' expression to each use of it.
-    row = docs.select(key, F.explode(F.array(tx.terms(F.col("text")))).alias("t"))
+    row = spread(docs.select(key, "text"), key).select(key, F.explode(F.array(tx.terms(F.col("text")))).alias("t"))
     row = row.select(key, F.size(F.array_distinct("t")).alias("n"), F.transform(each, lambda w: F.struct(w.alias("term"), F.least(F.size(F.filter("t", lambda x: x == w)), F.lit(TF_MAX)).alias("tf"))).alias("hits"))
     n = len(dict.fromkeys(words))
     df = [F.sum((F.col("hits")[i]["tf"] > 0).cast("long")).alias(f"df{i}") for i in range(n)]

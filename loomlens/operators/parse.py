@@ -3,6 +3,7 @@ batches. Sequential scans with state are the part of the engine that column expr
 
 from __future__ import annotations
 
+import functools
 import posixpath
 import re
 from collections.abc import Iterator
@@ -11,6 +12,8 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .spread import spread
+
 SYMBOLS_MAX, IMPORTS_MAX, SIGNATURE_MAX, DOC_MAX = 2000, 400, 200, 160
 
 # Languages by file ending.
@@ -39,6 +42,16 @@ SYNTAX = {
 TEXTUAL = ("markdown", "json", "html", "text")
 
 
+BEFORE_REGEX = frozenset("return typeof case in of void delete throw else do await yield".split())
+
+
+@functools.cache
+def _special(syntax: Syntax) -> re.Pattern:
+    """What can begin or end something to mask."""
+    marks = [*syntax.line, *(x[0] for x in syntax.block), *syntax.long, *syntax.quotes, *("`{}" if syntax.template else ""), *("/" if syntax.regex else "")]
+    return re.compile("|".join(map(re.escape, sorted(set(marks), key=len, reverse=True))))
+
+
 def detect_language(path: str) -> str:
     base = posixpath.basename(path).lower()
     return NAMES.get(base) or LANGUAGE.get(base.rpartition(".")[2] if "." in base[1:] else "", "text")
@@ -49,7 +62,15 @@ def mask_source(source: str, language: str) -> str:
     if language in TEXTUAL:
         return source
     syntax, out, i, n = SYNTAX.get(language, Syntax()), list(source), 0, len(source)
-    word, holes = "", []  # the last code seen, and brace depths of open template holes
+    special, after, holes = _special(syntax), 0, []  # after: the end of the last literal; holes: brace depths in templates
+
+    def operand(i: int) -> bool:
+        """Whether what stands before i is a value, after which a slash divides."""
+        code = "".join(out[max(after, i - 200) : i]).rstrip()
+        if not code:
+            return after > 0
+        word = re.search(r"[\w$]+$", code)
+        return word[0] not in BEFORE_REGEX if word else code[-1] in ")]"
 
     def blank(a: int, b: int) -> int:
         for k in range(a, min(b, n)):
@@ -72,7 +93,8 @@ def mask_source(source: str, language: str) -> str:
                 i += 1
         return blank(a, n)
 
-    while i < n:
+    while at := special.search(source, i):
+        i = at.start()
         c = source[i]
         if any(source.startswith(x, i) for x in syntax.line):
             end = source.find("\n", i)
@@ -82,36 +104,31 @@ def mask_source(source: str, language: str) -> str:
             i = blank(i, n if end < 0 else end + len(start[1]))
         elif mark := next((x for x in syntax.long if source.startswith(x, i)), None):
             end = source.find(mark, i + len(mark))
-            i = blank(i, n if end < 0 else end + len(mark))
-            word = '"'
+            i = after = blank(i, n if end < 0 else end + len(mark))
         elif c == "`" and syntax.template:
             blank(i, i + 1)
-            i, word = template(i + 1), '"'
+            i = after = template(i + 1)
         elif c in syntax.quotes:
             k = i + 1
             while k < n and source[k] not in (c, "\n"):
                 k += 2 if source[k] == "\\" else 1
-            i, word = blank(i, min(k + 1, n) if k < n and source[k] == c else k), '"'
-        elif c == "/" and syntax.regex and (not word or word[-1] in "([{=,;:!&|?+-*%<>~^}" or word in ("return", "typeof", "case", "in", "of", "void", "delete", "throw", "else", "do", "await", "yield")):
+            i = after = blank(i, min(k + 1, n) if k < n and source[k] == c else k)
+        elif c == "/" and syntax.regex and not operand(i):
             k, inside = i + 1, False
             while k < n and source[k] != "\n" and (inside or source[k] != "/"):
                 inside = source[k] == "[" or inside and source[k] != "]"
                 k += 2 if source[k] == "\\" else 1
-            i, word = (blank(i, k + 1), '"') if k < n and source[k] == "/" else (i + 1, "/")
+            if k < n and source[k] == "/":
+                i = after = blank(i, k + 1)
+            else:
+                i += 1
+        elif holes and c == "}" and holes[-1] == 0:
+            holes.pop()
+            blank(i, i + 1)
+            i = after = template(i + 1)
         else:
-            if holes and c == "{":
-                holes[-1] += 1
-            if holes and c == "}":
-                if holes[-1] == 0:
-                    holes.pop()
-                    blank(i, i + 1)
-                    i, word = template(i + 1), '"'
-                    continue
-                holes[-1] -= 1
-            if c.isalnum() or c in "_$":
-                word = word + c if i and (source[i - 1].isalnum() or source[i - 1] in "_$") else c
-            elif not c.isspace():
-                word = c
+            if holes and c in "{}":
+                holes[-1] += 1 if c == "{" else -1
             i += 1
     return "".join(out)
 
@@ -239,10 +256,10 @@ def extract_symbols(source: str, language: str) -> list[Symbol]:
                 if opens is not None and "{" in lines[opens] and ("{" in lines[i] or s.kind not in ("constant", "property")):
                     open_.append((s, level))
         if not by_indent:
-            for c in line:
-                if c in "{":
+            for c in re.findall("[{}]", line):
+                if c == "{":
                     level += 1
-                elif c == "}":
+                else:
                     level = max(0, level - 1)
                     if open_ and level == open_[-1][1]:
                         open_.pop()[0].end_line = i + 1
@@ -325,4 +342,4 @@ def _parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def parse_files(files: DataFrame) -> DataFrame:
     """files (path, content) to a nested row each. A map: nothing moves between tasks."""
-    return files.select("path", "content").mapInPandas(_parsed, SCHEMA)
+    return spread(files.select("path", "content"), "path").mapInPandas(_parsed, SCHEMA)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomlens.functions import text as tx
 from loomlens.operators import graph, index, parse, spans
+from loomlens.operators.spread import spread
 from loomlens.streaming import upsert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,7 +52,7 @@ def term_first_occurrence_cap(t):
 
 @query(f"WITH {_T}, {_FLAT} SELECT term, count(DISTINCT doc_id) AS df FROM flat GROUP BY term")
 def doc_frequency(t):
-    each = t("documents").select(F.explode(F.array_distinct(tx.terms(F.col("text")))).alias("term"))
+    each = spread(t("documents").select("doc_id", "text"), "doc_id").select(F.explode(F.array_distinct(tx.terms(F.col("text")))).alias("term"))
     return each.groupBy("term").agg(F.count("*").alias("df"))
 
 
