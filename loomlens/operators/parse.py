@@ -263,6 +263,11 @@ def extract_symbols(source: str, language: str) -> list[Symbol]:
                     level = max(0, level - 1)
                     if open_ and level == open_[-1][1]:
                         open_.pop()[0].end_line = i + 1
+    if family == "js":
+        for i, line in enumerate(raw):
+            if lines[i].strip() and (m := re.match(r"""\s*export\s+(?:type\s+)?(?:\*|\{)[^'"]*\bfrom\s*['"]([^'"]+)['"]""", line)):
+                found.append(Symbol(m[1], "module", i + 1, i + 1, 0, re.sub(r"[\s;]+$", "", line.strip())[:SIGNATURE_MAX], False))
+        found.sort(key=lambda s: s.start_line)
     for s, _ in open_:
         s.end_line = max(s.start_line, len(lines) - (lines[-1].strip() == ""))
     return found[:SYMBOLS_MAX]
