@@ -32,24 +32,36 @@ BAND = 1.15
 TABLE_BITS = 20
 
 
-def _walked(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, salts: np.ndarray, coordinates: np.ndarray) -> np.ndarray:
-    """Keys (repetitions x windows) of the sampled coordinates of the embeddings of h[start:end].
+def _walked(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, salts: np.ndarray, coordinates: np.ndarray, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(repetition, window, key) of the sampled coordinates of the embeddings of h[start:end], and all keys on the way.
 
-    Step j shows the walk's word (0 past the end) and moves on if a random bit of step and word says so.
+    Step j shows the walk's word (0 past the end) and moves on if a random bit of step and word says so; each sampled
+    coordinate is folded into the key. With `among`, a sorted array of the keys that the other side has on its way, a
+    window leaves a repetition at the first coordinate that no other side shares.
     """
-    reps, last = len(salts), int(coordinates.max(initial=-1))
-    at = np.repeat(starts[None, :], reps, 0)
-    key = np.repeat(words._mixed(salts)[:, None], len(starts), 1)
-    wide = np.append(h, np.uint64(0))
+    reps, n = len(salts), len(starts)
+    rep, col = np.repeat(np.arange(reps), n), np.tile(np.arange(n), reps)
+    at, end, key = starts[col], ends[col], words._mixed(salts)[rep]
+    wide, way = np.append(h, np.uint64(0)), []
     with np.errstate(over="ignore"):
-        for j in range(last + 1):
-            word = np.where(at < ends, wide[np.minimum(at, len(h))], np.uint64(0))
-            shown = (coordinates == j).any(1)
-            if shown.any():
-                key[shown] = words._mixed(key[shown] * np.uint64(words.BASE) + word[shown])
-            move = ((word ^ words._mixed(salts + np.uint64(j + 1))[:, None]) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)
-            at = at + move.astype(np.int64)
-    return key
+        for j in range(int(coordinates.max(initial=-1)) + 1):
+            word = np.where(at < end, wide[np.minimum(at, len(h))], np.uint64(0))
+            if (shown := (coordinates == j).any(1)).any():
+                now = np.flatnonzero(shown[rep])
+                new = words._mixed(key[now] * np.uint64(words.BASE) + word[now])
+                key[now] = new
+                if among is None:
+                    way.append(new)
+                else:
+                    gone = now[among[np.minimum(np.searchsorted(among, new), len(among) - 1)] != new]
+                    keep = np.ones(len(rep), bool)
+                    keep[gone] = False
+                    rep, col, at, end, key, word = (x[keep] for x in (rep, col, at, end, key, word))
+                    if not len(rep):
+                        break
+            bits = words._mixed(salts + np.uint64(j + 1))[rep]
+            at = at + (((word ^ bits) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)).astype(np.int64)
+    return rep, col, key, np.unique(np.concatenate(way)) if way else np.zeros(0, np.uint64)
 
 
 def edits(item: np.ndarray, text: np.ndarray) -> int:
@@ -103,18 +115,19 @@ class Index:
         coordinates = np.sort(rng.integers(0, 2 * short, (MOST, SAMPLED)), 1)
         h, ends = np.concatenate([self.items[k] for k in members]), np.cumsum([len(self.items[k]) for k in members])
         starts = ends - [len(self.items[k]) for k in members]
-        keys = _walked(h, starts, ends, salts, coordinates)
+        keys = _walked(h, starts, ends, salts, coordinates)[2].reshape(MOST, -1)
         tried = rng.choice(len(members), 64)
         changed = [self._edited(self.items[members[k]], self.allowed[members[k]], rng) for k in tried]
         ends2 = np.cumsum([len(x) for x in changed])
-        agree = _walked(np.concatenate(changed), ends2 - [len(x) for x in changed], ends2, salts, coordinates) == keys[:, tried]
+        agree = _walked(np.concatenate(changed), ends2 - [len(x) for x in changed], ends2, salts, coordinates)[2].reshape(MOST, -1) == keys[:, tried]
         found = np.logical_or.accumulate(agree, 0).mean(1)
         reps = min(MOST, int(np.argmax(found >= recall)) + 1 if (found >= recall).any() else MOST)
         flat, item = keys[:reps].ravel(), np.tile(np.arange(members.start, members.stop), reps)
         order = np.argsort(flat, kind="stable")
+        way = _walked(h, starts, ends, salts[:reps], coordinates[:reps])[3]
         most = max(self.allowed[k] for k in members)
         least = min(len(self.items[k]) - 1 - 2 * self.allowed[k] for k in members)
-        return {"long": long, "window": long + most, "least": least, "short": max(1, short - self.allowed[members[0]]), "salts": salts[:reps], "coordinates": coordinates[:reps], "keys": flat[order], "item": item[order]}
+        return {"long": long, "window": long + most, "least": least, "short": max(1, short - self.allowed[members[0]]), "salts": salts[:reps], "coordinates": coordinates[:reps], "way": way, "keys": flat[order], "item": item[order]}
 
     @staticmethod
     def _edited(x: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
@@ -152,23 +165,21 @@ class Index:
             p, text = p[ok], text[ok]
             for lo in range(0, len(p), 1 << 14):
                 q, d = p[lo : lo + (1 << 14)], text[lo : lo + (1 << 14)]
-                keys = _walked(h, q, np.minimum(q + band["long"], at[d + 1]), band["salts"], band["coordinates"])
-                first = np.searchsorted(band["keys"], keys)
-                rep, col = np.nonzero(band["keys"][np.minimum(first, len(band["keys"]) - 1)] == keys)
-                if not len(rep):
-                    continue
-                a = first[rep, col]
-                b = np.searchsorted(band["keys"], keys[rep, col], "right")
+                _, col, key, _ = _walked(h, q, np.minimum(q + band["long"], at[d + 1]), band["salts"], band["coordinates"], band["way"])
+                a, b = np.searchsorted(band["keys"], key), np.searchsorted(band["keys"], key, "right")
                 n = b - a
-                which = np.repeat(col, n)
+                if not n.sum():
+                    continue
                 item = band["item"][np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                for c, k in np.unique(np.stack([which, item], 1), axis=0).tolist():
-                    doc, start = int(d[c]), int(q[c])
+                # Starts near each other are verified at once, over all that any of them could reach.
+                start = np.repeat(q[col], n)
+                near = np.stack([np.repeat(d[col], n), item, start // band["long"]], 1)
+                for doc, k, block in np.unique(near, axis=0).tolist():
                     if (doc, k) in out:
                         continue
                     x, most = self.items[k], self.allowed[k]
-                    region = h[max(int(at[doc]), start - most) : min(int(at[doc + 1]), start + len(x) + most)]
-                    if edits(x, region) <= most:
+                    low, high = block * band["long"] - most, (block + 1) * band["long"] + len(x) + most
+                    if edits(x, h[max(int(at[doc]), low) : min(int(at[doc + 1]), high)]) <= most:
                         out.add((doc, k))
         return out
 
