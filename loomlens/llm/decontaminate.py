@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .scratch import small_batches
 
 HOW = words.table(words.NOT_WORD)
 #: Items handled in one pass over the texts; a larger benchmark takes several passes.
@@ -206,6 +207,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
     one with fewer edits nearly always, and nothing beyond the limit is reported.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id is not null and text is not null")
     out = out.withColumn("item_ids", F.expr("cast(array() as array<bigint>)"))
@@ -234,6 +236,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
     """The rows of docs whose text holds no item of benchmark, with all their columns. Null texts hold none."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id is not null and text is not null")
+    small_batches(spark)
     rows, out = items.toLocalIterator(), docs
     while block := list(islice(rows, ITEMS)):
         index = spark.sparkContext.broadcast(Index([x[0] for x in block], [bytes(x[1]) for x in block], similarity, recall))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .scratch import small_batches
 
 # Phrases of the base scan and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -162,5 +163,6 @@ def license_scan(docs: DataFrame) -> DataFrame:
     for a malformed expression. Null and empty texts have no words and no labels; repeated rows and null doc_ids are
     returned as they are; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return src.mapInArrow(_scanned, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .graph import components
-from .scratch import written
+from .scratch import small_batches, written
 
 #: Counting buckets for the order of elements: 2**BUCKET_BITS counters, whatever the corpus.
 BUCKET_BITS = 18
@@ -313,6 +313,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 3, similarity: Fraction = Fract
     than doc_id and text are ignored, whatever their names.
     """
     spark, t = docs.sparkSession, Fraction(similarity)
+    small_batches(spark)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signed = written(text.mapInArrow(partial(_signed, k=k), "doc_id long, sid long, n long, chunk int, counts binary"), "signed")
     sums = signed.where("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk").mapInArrow(_summed, "chunk int, counts binary")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
+from .scratch import small_batches
 
 #: Weights of the model.
 DIMENSIONS = 1 << 18
@@ -59,7 +60,7 @@ def _features(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _fitted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The weights, from all examples of the one partition that holds the sample."""
-    examples = [(y, *x) for batch in rows for y, x in zip(batch.column("y").to_pylist(), _features(batch), strict=True)]
+    examples = [(y, index.astype(np.int32), x.astype(np.float32)) for batch in rows for y, (index, x) in zip(batch.column("y").to_pylist(), _features(batch), strict=True)]
     yield pa.RecordBatch.from_arrays([pa.array([fit(examples).tobytes()], pa.binary())], ["weights"])
 
 
@@ -96,6 +97,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> n
     the partitioning. Null ids and labels are not used; a document with several labels is used once for each; without
     examples all weights are 0 and all scores 0.5.
     """
+    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1).distinct()
     # Whole texts are fetched for the drawn ids only.
@@ -110,6 +112,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> n
 def quality_score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """docs without text, plus score (0 to 1: how likely label 1 is). A text's words alone decide; empty and null
     texts score as the intercept does. Every other column of docs is kept as it is."""
+    small_batches(docs.sparkSession)
     if "score" in docs.columns:
         docs = docs.drop("score")
     model = docs.sparkSession.sparkContext.broadcast(weights)
@@ -137,5 +140,6 @@ def _kept(rows: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
 
 def keep_quality(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """The rows of docs that score 0.5 or more, with all their columns."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(weights)
     return docs.mapInArrow(partial(_kept, model=model), docs.schema)

@@ -34,3 +34,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Most rows of texts that go to a Python worker at once.
+BATCH = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker holds of long texts; a session's own smaller bound stays. Set for the session, as
+    results are lazy."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, BATCH)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import fresh, written
+from .scratch import fresh, small_batches, written
 
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 1000
@@ -115,6 +115,7 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, revi
     table gives no files. folder is one that all executors reach by its URI.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"")).alias("payload")).withColumn("digest", F.sha1("payload"))
     info = written(src.where(F.octet_length("payload") >= revisit_bytes).select("page_id", "digest"), "payloads")
     shared = info.groupBy("digest").agg(F.max("page_id").alias("refers"), F.count("*").alias("n")).where("n > 1 and refers is not null").drop("n")
