@@ -11,7 +11,9 @@ rare. Those prefixes make an inverted index whose lists are sorted by set size a
   all. What two sets differ in from a hub they were both verified against gives their intersection without reading
   either set, and sets that are already connected are not compared at all.
 
-Rows stay in proportion to the index: a list of n similar sets gives about n pairs, not n * n.
+Rows stay in proportion to the index: a list of n similar sets gives about n pairs, not n * n. Lists of more than HOT
+entries are dealt out: twice over random parts, whose hubs connect what is similar, then, where sets of more than one
+label are left, over cells, so that each two parts of the list meet in one.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ CHUNKS = 16
 BITS = 512
 #: Sets of more elements than LONG, for which that is crowded, also have one of WIDE bits; it stays out of the index.
 LONG, WIDE = 1500, 8192
+#: Entries of an index list, about, that one task compares.
+HOT = 1000
 #: Pairs and labels (some 24 bytes each) are broadcast up to this many, else joined by shuffle.
 BROADCAST_ROWS = 250_000
 #: Bits of the filter of set ids that a pass over the texts carries, as a power of 2: about 16 for an id, within bounds.
@@ -234,20 +238,20 @@ class _Blocks:
 
 
 def _compared(rows: Iterator[pa.RecordBatch], t: Fraction, labelled: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of sets to verify, from entries sorted by element, size, position and id.
+    """Pairs (a, b) of sets to verify, from entries sorted by element, part of its list, size, position and id.
 
-    First round: each set against the list's hubs. Second round (labelled): sets against all earlier ones of the list
+    First round: each set against the part's hubs. Second round (labelled): sets against all earlier ones of the part
     with another label.
     """
     now, blocks, last = None, None, None
     for batch in rows:
-        token, sid, n, pos = (batch.column(x).to_pylist() for x in ("token", "sid", "n", "pos"))
+        token, part, sid, n, pos = (batch.column(x).to_pylist() for x in ("token", "part", "sid", "n", "pos"))
         label = batch.column("label").to_pylist() if labelled else sid
         bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(len(batch), BITS // 64)
         out: tuple[list, list] = ([], [])
-        for i, tok in enumerate(token):
-            if tok != now:
-                now, blocks, labels = tok, _Blocks(t), set()
+        for i, key in enumerate(zip(token, part, strict=True)):
+            if key != now:
+                now, blocks, labels = key, _Blocks(t), set()
                 last = None
             if last == (sid[i], n[i]):
                 continue
@@ -272,6 +276,39 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _pairs(parts: DataFrame, t: Fraction, labelled: bool) -> DataFrame:
+    """(a, b) to verify, from entries with the part of a list that they are in."""
+    laid = parts.repartition("token", "part").sortWithinPartitions("token", "part", "n", "pos", "sid")
+    return laid.mapInArrow(partial(_compared, t=t, labelled=labelled), "a long, b long").distinct()
+
+
+def _dealt(listed: DataFrame) -> DataFrame:
+    """Entries with a part of their list: the only one, or two random ones of a long list's, from two deals."""
+    of = lambda deal: F.pmod(F.xxhash64("token", "sid", F.lit(deal)), F.col("parts")) + deal * F.col("parts")
+    return listed.withColumn("part", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.array(of(0), of(1)))))
+
+
+def _cells(labelled: DataFrame) -> DataFrame:
+    """Entries with the parts of their list in which each two of different labels meet.
+
+    A long list's most frequent label is the main one. Its m parts meet the s parts of the others in m * s cells; the
+    others' parts meet each other in more cells. Others that fit one part thus cost about as many rows as the list has.
+    """
+    long = labelled.where("parts > 1")
+    by = long.groupBy("token", "label").count().groupBy("token")
+    by = by.agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.max("count").alias("most"), F.sum("count").alias("all")).where("all > most")
+    by = written(by.select("token", "main", F.ceil(F.col("most") / HOT).alias("m"), F.ceil((F.col("all") - F.col("most")) / HOT).alias("s")), "mixed")
+    rows = long.join(_small(by), "token").withColumn("is_main", F.col("label") == F.col("main"))
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("token", "sid"), F.when(F.col("is_main"), F.col("m")).otherwise(F.col("s"))))
+    upto = lambda n, cell: F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), cell)
+    cell = lambda part, label: F.struct(part.alias("part"), label.cast("long").alias("label"))
+    h, m, s, label = F.col("h"), F.col("m"), F.col("s"), F.col("label")
+    main = upto("s", lambda j: cell(h * s + j, F.lit(0)))
+    other = F.concat(upto("m", lambda i: cell(i * s + h, F.lit(1))), upto("s", lambda j: cell((m + F.least(h, j)) * s + F.greatest(h, j), label)))
+    rows = rows.select("token", "sid", "n", "pos", "bits", F.inline(F.when(F.col("is_main"), main).otherwise(other)))
+    return labelled.where("parts = 1").select("token", "sid", "n", "pos", "bits", F.lit(0).cast("long").alias("part"), "label").unionByName(rows)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs with how many elements each has, and the elements that only one of them has.
 
@@ -323,9 +360,13 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 3, similarity: Fraction = Fract
     shared_counts = spark.sparkContext.broadcast(counts.ravel())
     signed = signed.where("chunk is null").select("doc_id", "sid", "n")
 
-    entries = text.select("text").mapInArrow(partial(_indexed, k=k, t=t, counts=shared_counts), "token long, sid long, n int, pos int")
-    lists = written(entries.repartition("token").sortWithinPartitions("token", "n", "pos", "sid").mapInArrow(partial(_shared, t=t), "token long, sid long, n int, pos int"), "lists")
+    entries = written(text.select("text").mapInArrow(partial(_indexed, k=k, t=t, counts=shared_counts), "token long, sid long, n int, pos int"), "entries")
     shared_counts.destroy()
+    long = written(entries.groupBy("token").count().where(F.col("count") > HOT).select("token", F.ceil(F.col("count") / HOT).alias("parts")), "long")
+    long = _small(long)
+    rest = entries.join(long, "token", "left_anti").repartition("token").sortWithinPartitions("token", "n", "pos", "sid")
+    rest = rest.mapInArrow(partial(_shared, t=t), "token long, sid long, n int, pos int").withColumn("parts", F.lit(1).cast("long"))
+    lists = written(rest.unionByName(entries.join(long, "token").distinct()), "lists")
 
     def looked_up(ids: DataFrame, how, schema: str) -> DataFrame:
         wanted = _id_filter(ids)
@@ -342,9 +383,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 3, similarity: Fraction = Fract
         ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b"))
         return _verified(pairs, looked_up(ids, _elements, "sid long, part int, items array<long>"))
 
-    order = ("token", "n", "pos", "sid")
-    pairs = listed.repartition("token").sortWithinPartitions(*order).mapInArrow(partial(_compared, t=t, labelled=False), "a long, b long").distinct()
-    tested = written(pairs, "pairs")
+    tested = written(_pairs(_dealt(listed), t, False), "pairs")
     answers = written(verified(tested), "answers")
     good = _linked("n", "m", "d", t)
     first = answers.where(good).select("a", "b")
@@ -352,8 +391,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 3, similarity: Fraction = Fract
 
     # Second round: what hubs left apart. Lists whose sets are all connected give nothing.
     relabelled = listed.join(_small(label), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    pairs = relabelled.repartition("token").sortWithinPartitions(*order).mapInArrow(partial(_compared, t=t, labelled=True), "a long, b long").distinct()
-    pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    pairs = written(_pairs(_cells(relabelled), t, True).join(tested, ["a", "b"], "left_anti"), "pairs")
     hub = answers.where("differ is not null").groupBy("b").agg(F.min_by(F.struct("a", "m", "differ"), F.struct(F.size("differ"), "a")).alias("h"))
     near = hub.select(F.col("b").alias("sid"), "h.*")
     own = answers.where("differ is not null").select(F.col("a").alias("sid"), "a", F.col("n").alias("m"), F.expr("cast(array() as array<bigint>)").alias("differ")).dropDuplicates(["sid"])

@@ -79,13 +79,28 @@ def groups(rows, k, t):
     return [(r[0], len(sets[i]), min(least[find(i)], default=None)) for i, r in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("k", "t"), [(3, Fraction(9, 10)), (5, Fraction(4, 5))])
-def test_ngram_join(spark, rows, k, t):
+@pytest.mark.parametrize(("k", "t", "hot"), [(3, Fraction(9, 10), ngram_join.HOT), (5, Fraction(4, 5), 3)])
+def test_ngram_join(spark, rows, k, t, hot, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT", hot)
     got = [tuple(r) for r in ngram_join.ngram_jaccard_join(docs(spark, rows), k, t).collect()]
     assert sorted(got, key=str) == sorted(groups(rows, k, t), key=str)
     assert ngram_join.ngram_jaccard_join(docs(spark, []), k, t).collect() == []
 
 
+def test_ngram_join_deals_out_long_lists(spark, monkeypatch):
+    """Sets that share an element but form many groups: long lists stay mixed, and every two parts must meet."""
+    rng = random.Random(9)
+    rows = []
+    for group in range(12):
+        words_ = [f"g{group}w{i}" for i in range(20)]
+        rows += [(len(rows) + j, " ".join(["same start here"] + [w if rng.random() > 0.05 else "x" for w in words_]), None) for j in range(rng.randrange(1, 9))]
+    rng.shuffle(rows)
+    want = sorted(groups(rows, 1, Fraction(7, 10)), key=str)
+    for hot in (1, 4):
+        monkeypatch.setattr(ngram_join, "HOT", hot)
+        assert sorted([tuple(r) for r in ngram_join.ngram_jaccard_join(docs(spark, rows), 1, Fraction(7, 10)).collect()], key=str) == want
+
+
 def test_url_filter(spark):
     urls = ["https://A.example.com/en/25#top", "http://example.com/en/7x", "https://example.net/de/80", "http://x.net/de/", "ftp://o.org/es/", "http://notexample.com/fr", None, "no url", "http://h?q=://z/en/", "http://bad-host.example/x", ""]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] + [(3, urls[3], "x")] + [(100 + i, f"http://www{i}.spam.test/en{i}?id={i}", "x") for i in range(40)] + [(200 + i, f"http://www{i}.fine.test/en{i}", "x") for i in range(40)], "page_id long, url string, host string")
