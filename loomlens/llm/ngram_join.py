@@ -407,6 +407,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 3, similarity: Fraction = Fract
     found = whole.select(F.col("node").alias("sid"), "component").join(signed.groupBy("sid").agg(F.min("doc_id").alias("least")), "sid", "left")
     joined = found.join(found.groupBy("component").agg(F.min("least").alias("low")), "component").select("sid", "low")
     classes = signed.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least")).join(joined, "sid", "left")
-    classes = classes.select("sid", F.coalesce("low", "least").alias("component_id"))
+    # Written, so that both sides of the join are plain shuffles, of which adaptive execution splits a set with many copies.
+    classes = written(classes.select("sid", F.coalesce("low", "least").alias("component_id")), "classes")
     out = signed.join(classes, "sid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
