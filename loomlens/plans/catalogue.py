@@ -121,9 +121,9 @@ def estimate_tokens(t):
     return t("documents").select("doc_id", tx.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query(f"WITH c AS (SELECT doc_id, n_chars, {_COST.format('text')} AS cost FROM documents ORDER BY n_chars, doc_id LIMIT 500) SELECT doc_id, cost, used::BIGINT AS used FROM (SELECT *, sum(cost) OVER (ORDER BY n_chars, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM c) WHERE used <= 25000")
+@query(f"WITH c AS (SELECT doc_id, n_chars, {_COST.format('text')} AS cost FROM documents WHERE text <> '') SELECT doc_id, cost, used::BIGINT AS used FROM (SELECT *, sum(cost) OVER (ORDER BY n_chars, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM c) WHERE used <= 25000")
 def budget_prefix(t):
-    rows = t("documents").select("doc_id", "n_chars", "text").orderBy("n_chars", "doc_id").limit(500)  # only so many can fit
+    rows = t("documents").where("text <> ''").select("doc_id", "n_chars", "text").orderBy("n_chars", "doc_id").limit(25000)  # a text costs a token at least
     rows = rows.select("doc_id", "n_chars", tx.estimate_tokens(F.col("text")).alias("cost"))
     return spans.budget(rows, "cost", ["n_chars", "doc_id"], 25000).select("doc_id", "cost", "used")
 
@@ -397,9 +397,9 @@ def note_search(t):
     return t("benchmark").select("item_id", score.cast("long").alias("score")).where("score > 0").orderBy(F.desc("score"), "item_id").limit(20)
 
 
-@query("SELECT p_partkey, row_number() OVER (ORDER BY p_name COLLATE en_us, p_partkey) AS place FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 100)")
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_name COLLATE en_us, p_partkey) AS place FROM part QUALIFY place <= 100")
 def locale_order(t):
-    first = t("part").orderBy("p_partkey").limit(100)  # a page of a listing
+    first = t("part").orderBy(F.collate("p_name", "UNICODE"), "p_partkey").limit(100)  # the first page of a listing
     return first.select("p_partkey", F.row_number().over(Window.orderBy(F.collate("p_name", "UNICODE"), "p_partkey")).cast("long").alias("place"))
 
 
