@@ -25,9 +25,10 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
             break
         last = now
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select("lo", "hi"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        # Both sides of a join are plain shuffles of tables, so that a hub's rows are split.
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = written(both.where("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "large")
+        low = written(large.groupBy("hi").agg(F.min("lo").alias("m")), "low")
         moved = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         stars = moved.union(low.select("hi", F.col("m").alias("lo"))).distinct()
     else:
