@@ -1,4 +1,4 @@
-"""Near-duplicate vectors: balanced binary codes by iterative quantisation, multi-index Hamming tables, exact rerank."""
+"""Near-duplicate vectors: tables of random-hyperplane keys, as many as the target recall takes, and exact rerank."""
 
 from __future__ import annotations
 
@@ -14,52 +14,66 @@ from pyspark.sql import functions as F
 from .graph import components
 from .scratch import written
 
-#: The rotation is learned on at most so many vectors; every vector is indexed.
-SAMPLE = 20_000
+#: The length of keys is chosen by at most so many vectors, and PAIRED of them against each other; every vector is indexed.
+SAMPLE, PAIRED = 20_000, 1000
+#: The least chance that a pair at the threshold is compared.
+RECALL = 0.9999
+#: A vector's row in a table costs about as much as comparing it with so many others.
+COPY = 4000
 #: Most vectors of one bucket that a task compares at once; larger buckets are dealt as pairs of blocks.
 BLOCK = 1024
 
 
-def learn_rotation(x: np.ndarray, bits: int, rounds: int = 40, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection (dimensions x bits): principal axes, then alternately codes and the rotation nearest to them."""
-    mean = x.mean(0) if len(x) else np.zeros(x.shape[1])
-    y = x - mean
-    _, axes = np.linalg.eigh(y.T @ y)
-    axes = axes[:, ::-1][:, : min(bits, x.shape[1])]
-    rng = np.random.default_rng(seed)
-    if axes.shape[1] < bits:
-        axes = np.hstack([axes, rng.standard_normal((x.shape[1], bits - axes.shape[1])) / math.sqrt(x.shape[1])])
-    v = y @ axes
-    r = np.linalg.qr(rng.standard_normal((bits, bits)))[0]
-    for _ in range(rounds if len(x) else 0):
-        u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
-        r = (u @ w).T
-    return mean, axes @ r
+def plan_tables(x: np.ndarray, label: np.ndarray, others: float, threshold: float, bits: int = 64, block: int = BLOCK, recall: float = RECALL) -> tuple[int, int]:
+    """Bits of a key and number of tables, for unit vectors x that stand for labels of `others` vectors on average.
+
+    Two vectors are on the same side of a random hyperplane with a chance of 1 - angle / pi, whatever the data, and so
+    share a key of k bits with its k-th power. For each k that gives the tables that find a pair at the threshold
+    with a chance of `recall`; k itself only decides the cost. No bits and one table compare all pairs.
+    """
+    x, label = x[:PAIRED], label[:PAIRED]
+    same = np.triu(label[:, None] == label[None, :], 1)
+    if not same.any():
+        same = np.triu(np.ones_like(same), 1)
+    side = 1 - np.arccos(np.clip((x @ x.T)[same], -1, 1)) / math.pi
+    at_least = 1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi
+    found, alike = [], np.ones(len(side))
+    for k in range(bits + 1):
+        hit = at_least**k
+        if hit < 1e-4:
+            break
+        tables = 1 if hit == 1 else math.ceil(math.log(1 - recall) / math.log1p(-hit))
+        bucket = 1 + others * (alike.mean() if len(alike) else 0.5**k)
+        # Buckets that fit a block first: those beyond are dealt as pairs of blocks, rows that grow with their square.
+        found.append((bucket > block / 2, tables * (COPY * (1 + bucket / block) + bucket / 2), k, tables))
+        alike = alike * side
+    return min(found)[2:]
+
+
+def hyperplanes(width: int, bits: int, tables: int, seed: int = 7) -> np.ndarray:
+    """Independent normals, as columns."""
+    return np.random.default_rng([seed, width]).standard_normal((width, bits * tables))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, width)
 
 
-def _coded(rows: Iterator[pa.RecordBatch], mean: np.ndarray, projection: np.ndarray, tables: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """A row for each vector and table: the substring of its code that is the table's key, with the whole code."""
-    width, bits = projection.shape
+def _coded(rows: Iterator[pa.RecordBatch], mean: np.ndarray, bits: int, tables: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """A row for each vector and table: the table's key, with the keys of all tables."""
+    projection = hyperplanes(len(mean), bits, tables)
     for batch in rows:
         if not len(batch):
             continue
-        x = _matrix(batch.column("v"), width)
-        code = np.packbits((x / np.linalg.norm(x, axis=1, keepdims=True) - mean) @ projection >= 0, axis=1)
-        per = bits // 8 // tables
+        x = _matrix(batch.column("v"), len(mean))
+        sides = ((x / np.linalg.norm(x, axis=1, keepdims=True) - mean) @ projection >= 0).reshape(len(x), tables, bits)
+        keys = (sides.astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
+        code = pa.array([c.tobytes() for c in keys], pa.binary())
         for t in range(tables):
-            key = np.zeros(len(batch), np.int64)
-            for b in range(per):
-                key = (key << 8) | code[:, t * per + b]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("rep"), batch.column("label"), batch.column("copies"), batch.column("v"), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(np.full(len(batch), t, np.int32)), pa.array(key)], schema=schema
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("label"), batch.column("copies"), batch.column("v"), code, pa.array(np.full(len(batch), t, np.int32)), pa.array(keys[:, t])], schema=schema)
 
 
-def _reranked(rows: Iterator[pa.RecordBatch], threshold: float, radius: int, tables: int, width: int) -> Iterator[pa.RecordBatch]:
+def _reranked(rows: Iterator[pa.RecordBatch], threshold: float, width: int) -> Iterator[pa.RecordBatch]:
     """For each bucket, or pair of blocks of one: how many vectors each vector links with, and edges that span its links.
 
     A pair that meets in several tables counts in the first. Rows are sorted by bucket; one bucket's rows, at most two
@@ -73,8 +87,7 @@ def _reranked(rows: Iterator[pa.RecordBatch], threshold: float, radius: int, tab
         x = _matrix(t.column("v"), width)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         rep, copies, side = (np.asarray(t.column(c)) for c in ("rep", "copies", "side"))
-        code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(t), -1)
-        cut = np.split(code, tables, axis=1)
+        code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.int64).reshape(len(t), -1)
         table, n = t.column("t")[0].as_py(), len(t)
         count, edges = np.zeros(n, np.int64), ([], [])
         root = np.arange(n)
@@ -88,15 +101,19 @@ def _reranked(rows: Iterator[pa.RecordBatch], threshold: float, radius: int, tab
         across = t.column("i")[0].as_py() != t.column("j")[0].as_py()
         for a in range(0, n, 256):
             b = slice(a, min(a + 256, n))
-            ham = np.bitwise_count(code[b, None, :] ^ code[None, a:, :]).sum(2, dtype=np.int32)
-            near = (ham <= radius) & (np.arange(a, n)[None, :] > np.arange(a, b.stop)[:, None])
+            cosine = x[b] @ x[a:].T
+            near = (cosine >= threshold - 1e-9) & (np.arange(a, n)[None, :] > np.arange(a, b.stop)[:, None])
             if across:
                 near &= side[b, None] != side[None, a:]
-            for earlier in range(table):
-                near &= (cut[earlier][b, None, :] != cut[earlier][None, a:, :]).any(2)
             i, j = np.nonzero(near)
+            found = cosine[i, j]
             i, j = i + a, j + a
-            good = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
+            # At the threshold the order of summing decides; there, it is the same for every bucket.
+            close = np.flatnonzero(found < threshold + 1e-9)
+            found[close] = np.einsum("ij,ij->i", x[i[close]], x[j[close]])
+            good = found >= threshold
+            for earlier in range(table):
+                good &= code[i, earlier] != code[j, earlier]
             i, j = i[good], j[good]
             np.add.at(count, i, copies[j])
             np.add.at(count, j, copies[i])
@@ -132,14 +149,13 @@ def _reranked(rows: Iterator[pa.RecordBatch], threshold: float, radius: int, tab
         yield out
 
 
-def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.98, bits: int = 64, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.98, bits: int = 64, sample: int = SAMPLE, block: int = BLOCK, recall: float = RECALL) -> DataFrame:
     """Per row of vectors (vec_id long, embedding array<float>, label int): vec_id, n_links, component_id, kept.
 
     Rows link when their labels are equal and their cosine, in double precision, is threshold or more. Equal vectors of
-    one label are collapsed first and counted as often as they occur. Pairs are found by codes of `bits` bits: they must
-    agree in one substring of the code, of 8 or 16 bits by the number of vectors, and differ in a bounded number of
-    bits; each is then measured on the original vectors. Recall is that of the codes (the tests measure it); no pair
-    below the threshold is linked.
+    one label are collapsed first and counted as often as they occur. Pairs are found by tables of keys of at most `bits`
+    bits and measured on the original vectors. A pair at the threshold is met with a chance of `recall` at least, at
+    every size, a nearer one with more; small labels are compared whole. No pair below the threshold is linked.
 
     Null vectors, vectors of zeros, of another width than the first usable one or with null or non-finite components,
     and null labels link with nothing: n_links 0, own component. Rows that repeat a vec_id count each; a null vec_id is
@@ -157,27 +173,24 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.98, bits: int
     usable = usable.where(F.size("v") == width)
     classes = usable.groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     classes = written(classes.withColumn("rep", F.xxhash64("label", "v")), "classes")
-    n, labels = classes.agg(F.count("*"), F.countDistinct("label")).first()
+    labels = classes.groupBy("label").agg(F.count("*").alias("m"))
+    others = labels.agg(F.sum(F.col("m").cast("double") * F.col("m")) / F.sum("m")).first()[0]
     # A bounded sample, the same whatever the partitioning: the smallest hashes.
-    few = classes.select("v").orderBy("rep").limit(sample).toPandas()["v"]
-    x = np.stack(few.to_list()).astype(np.float64)
+    few = classes.select("v", "label", "rep").orderBy("rep").limit(sample).toPandas()
+    x = np.stack(few["v"].to_list()).astype(np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    mean, projection = learn_rotation(x, bits)
-    # Substrings about as long as the logarithm of a label's vectors; buckets then stay small as the table grows.
-    tables = bits // 8 if n / max(labels, 1) < 1 << 16 else bits // 16
-    # Expected differing bits at the threshold, plus four deviations.
-    p = math.acos(threshold) / math.pi
-    radius = math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
+    mean = x.mean(0)
+    bits, tables = plan_tables(x, few["label"].to_numpy(), others, threshold, bits, block, recall)
     schema = "rep long, label long, copies long, v array<float>, code binary, t int, key long"
     arrow = pa.schema([("rep", pa.int64()), ("label", pa.int64()), ("copies", pa.int64()), ("v", pa.list_(pa.field("element", pa.float32()))), ("code", pa.binary()), ("t", pa.int32()), ("key", pa.int64())])
-    coded = written(classes.mapInArrow(partial(_coded, mean=mean, projection=projection, tables=tables, schema=arrow), schema), "codes")
+    coded = written(classes.mapInArrow(partial(_coded, mean=mean, bits=bits, tables=tables, schema=arrow), schema), "codes")
     key = ["label", "t", "key"]
     full = coded.groupBy(*key).count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).drop("count")
     dealt = coded.join(full, key).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"i": F.least("mine", "with"), "j": F.greatest("mine", "with"), "side": F.col("mine")}).drop("mine", "with", "blocks")
     order = [*key, "i", "j"]
-    met = dealt.repartition(*order).sortWithinPartitions(*order, "rep").mapInArrow(partial(_reranked, threshold=threshold, radius=radius, tables=tables, width=width), "rep long, n long, other long")
+    met = dealt.repartition(*order).sortWithinPartitions(*order, "rep").mapInArrow(partial(_reranked, threshold=threshold, width=width), "rep long, n long, other long")
     met = written(met, "met")
     counted = met.where("other is null").groupBy("rep").agg(F.sum("n").alias("n"))
     grouped = components(met.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))

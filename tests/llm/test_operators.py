@@ -318,6 +318,36 @@ def test_embeddings(spark):
     assert embedding_dedup.embedding_near_dedup(table.limit(0)).collect() == []
 
 
+def pairs_at(rng, n, cosine, mean=0.0, width=64):
+    """n pairs of vectors at a cosine, about a common direction that gives others a cosine of `mean`."""
+    x = rng.standard_normal((n, width))
+    x = np.sqrt(1 - mean) * x / np.linalg.norm(x, axis=1, keepdims=True)
+    x[:, 0] += np.sqrt(mean)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.standard_normal((n, width))
+    off -= (off * x).sum(1, keepdims=True) * x
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    return np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * off])
+
+
+def links_found(spark, x, **how):
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = sum(r.n_links for r in embedding_dedup.embedding_near_dedup(table, **how).collect())
+    y = x.astype(np.float32).astype(float)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    return got, ((y @ y.T >= how.get("threshold", 0.98)) & ~np.eye(len(y), dtype=bool)).sum()
+
+
+def test_embedding_recall_with_long_keys(spark, monkeypatch):
+    """Keys of 16 bits, as a table of many vectors has them, find pairs at the threshold as others do."""
+    planned = embedding_dedup.plan_tables
+    monkeypatch.setattr(embedding_dedup, "plan_tables", lambda x, label, others, *a: planned(x, label, 4e7, *a))
+    x = pairs_at(np.random.default_rng(3), 1000, 0.9801)
+    assert planned(x, np.zeros(len(x)), 4e7, 0.98)[0] >= 16
+    got, want = links_found(spark, x)
+    assert want == 2000 and 0.998 * want <= got <= want
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
