@@ -59,14 +59,17 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, width)
 
 
-def _coded(rows: Iterator[pa.RecordBatch], mean: np.ndarray, bits: int, tables: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """A row for each vector and table: the table's key, with the keys of all tables."""
-    projection = hyperplanes(len(mean), bits, tables)
+def _coded(rows: Iterator[pa.RecordBatch], width: int, bits: int, tables: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """A row for each vector and table: the table's key, with the keys of all tables.
+
+    The hyperplanes pass through the origin, as the cosine's angle does; about a mean, angles would be wider.
+    """
+    projection = hyperplanes(width, bits, tables)
     for batch in rows:
         if not len(batch):
             continue
-        x = _matrix(batch.column("v"), len(mean))
-        sides = ((x / np.linalg.norm(x, axis=1, keepdims=True) - mean) @ projection >= 0).reshape(len(x), tables, bits)
+        x = _matrix(batch.column("v"), width)
+        sides = (x @ projection >= 0).reshape(len(x), tables, bits)
         keys = (sides.astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
         code = pa.array([c.tobytes() for c in keys], pa.binary())
         for t in range(tables):
@@ -179,11 +182,10 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.98, bits: int
     few = classes.select("v", "label", "rep").orderBy("rep").limit(sample).toPandas()
     x = np.stack(few["v"].to_list()).astype(np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    mean = x.mean(0)
     bits, tables = plan_tables(x, few["label"].to_numpy(), others, threshold, bits, block, recall)
     schema = "rep long, label long, copies long, v array<float>, code binary, t int, key long"
     arrow = pa.schema([("rep", pa.int64()), ("label", pa.int64()), ("copies", pa.int64()), ("v", pa.list_(pa.field("element", pa.float32()))), ("code", pa.binary()), ("t", pa.int32()), ("key", pa.int64())])
-    coded = written(classes.mapInArrow(partial(_coded, mean=mean, bits=bits, tables=tables, schema=arrow), schema), "codes")
+    coded = written(classes.mapInArrow(partial(_coded, width=width, bits=bits, tables=tables, schema=arrow), schema), "codes")
     key = ["label", "t", "key"]
     full = coded.groupBy(*key).count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).drop("count")
     dealt = coded.join(full, key).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))

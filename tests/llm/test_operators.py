@@ -348,6 +348,12 @@ def test_embedding_recall_with_long_keys(spark, monkeypatch):
     assert want == 2000 and 0.998 * want <= got <= want
 
 
+def test_embedding_recall_about_a_common_direction(spark):
+    """Vectors that share a direction keep their links: centred, the angle of such pairs is several times as wide."""
+    got, want = links_found(spark, pairs_at(np.random.default_rng(4), 1000, 0.9801, mean=0.9))
+    assert want >= 2000 and 0.998 * want <= got <= want
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
