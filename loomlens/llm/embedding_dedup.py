@@ -1,10 +1,18 @@
-"""Near-duplicate vectors: tables of random-hyperplane keys, as many as the target recall takes, and exact rerank."""
+"""Near-duplicate vectors: iterative quantisation, multi-index Hamming tables, exact rerank.
+
+A sample teaches rotations under which the signs of centred vectors are balanced bits that keep most of what the vectors
+say: in turn, codes are read off the rotated sample, and the rotation is fitted to the codes. Substrings of the codes
+are the keys of tables; vectors that agree in a whole substring are compared by cosine. Longer keys make smaller buckets
+and take more tables, and so more rotations, each learned from a start of its own. How many tables is read off pairs
+planted at the threshold, at every size alike; the length of keys only decides the cost.
+"""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -14,69 +22,139 @@ from pyspark.sql import functions as F
 from .graph import components
 from .scratch import written
 
-#: The length of keys is chosen by at most so many vectors, and PAIRED of them against each other; every vector is indexed.
-SAMPLE, PAIRED = 20_000, 1000
+#: Rotations are learned, and keys chosen, by at most so many vectors of a width, PAIRED of them against each other; every
+#: vector is indexed.
+SAMPLE, PAIRED = 4_000, 1000
+#: Steps of learning, and pairs planted at the threshold to choose by.
+ROUNDS, PLANTED = 20, 2000
 #: The least chance that a pair at the threshold is compared.
-RECALL = 0.9999
+RECALL = 0.9998
 #: A vector's row in a table costs about as much as comparing it with so many others.
 COPY = 4000
 #: Most vectors of one bucket that a task compares at once; larger buckets are dealt as pairs of blocks.
 BLOCK = 1024
 
 
-def plan_tables(x: np.ndarray, label: np.ndarray, others: float, threshold: float, bits: int = 64, block: int = BLOCK, recall: float = RECALL) -> tuple[int, int]:
-    """Bits of a key and number of tables, for unit vectors x that stand for labels of `others` vectors on average.
+class Plan(NamedTuple):
+    """Keys of one width: their bits, how many tables, the mean of the sample, and the learned normals as columns."""
+
+    bits: int
+    tables: int
+    mean: np.ndarray
+    normals: np.ndarray
+
+
+def learn_rotation(x: np.ndarray, rng: np.random.Generator, rounds: int = ROUNDS) -> np.ndarray:
+    """A rotation of centred vectors x, from a random start, that brings them close to their own signs."""
+    rotation = np.linalg.qr(rng.standard_normal((x.shape[1], x.shape[1])))[0]
+    for _ in range(rounds):
+        codes = np.where(x @ rotation >= 0, 1.0, -1.0)
+        left, _, right = np.linalg.svd(codes.T @ x)
+        rotation = (left @ right).T
+    return rotation
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _at_threshold(x: np.ndarray, threshold: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit vectors at the threshold: from vectors of the sample, half of them in any direction, half in the
+    direction of another vector."""
+    a = x[rng.integers(0, len(x), PLANTED)]
+    off = np.where((np.arange(PLANTED) % 2 == 0)[:, None], rng.standard_normal(a.shape), x[rng.integers(0, len(x), PLANTED)] + 1e-3 * rng.standard_normal(a.shape))
+    off -= (off * a).sum(1, keepdims=True) * a
+    length = np.linalg.norm(off, axis=1, keepdims=True)
+    off = np.divide(off, length, out=np.zeros_like(off), where=length > 1e-12)
+    t = min(1.0, max(-1.0, threshold))
+    return a, t * a + math.sqrt(1 - t * t) * off
+
 
-    Two vectors are on the same side of a random hyperplane with a chance of 1 - angle / pi, whatever the data, and so
-    share a key of k bits with its k-th power. For each k that gives the tables that find a pair at the threshold
-    with a chance of `recall`; k itself only decides the cost. No bits and one table compare all pairs.
+def _keys(x: np.ndarray, plan: Plan) -> np.ndarray:
+    """The key of each vector in each table, (vectors, tables)."""
+    sides = (x - plan.mean) @ plan.normals >= 0
+    return _folded(sides.reshape(len(x), plan.tables, plan.bits))
+
+
+def _folded(sides: np.ndarray) -> np.ndarray:
+    return (sides.astype(np.uint64) << np.arange(sides.shape[2], dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
+
+
+def plan_tables(x: np.ndarray, label: np.ndarray, others: float, threshold: float, longest: int = 64, block: int = BLOCK, recall: float = RECALL, seed: int = 7) -> Plan:
+    """Keys for unit vectors x, a sample that stands for labels of `others` vectors on average.
+
+    For keys of each length, the tables are those that let planted pairs at the threshold agree in one with a chance of
+    `recall`, by how often their bits agree; of these the cheapest is taken, by how often other pairs' bits agree. It
+    is then tried on the planted pairs, and gets more tables, or shorter keys, until it meets them. Keys of no bits
+    make one table that compares all, so there always is an answer.
     """
-    x, label = x[:PAIRED], label[:PAIRED]
-    same = np.triu(label[:, None] == label[None, :], 1)
+    rng = np.random.default_rng([seed, x.shape[1]])
+    width, mean = x.shape[1], x.mean(0)
+    a, b = _at_threshold(x, threshold, rng)
+    learned: list[np.ndarray] = []
+
+    def normals(n: int) -> np.ndarray:
+        while len(learned) * width < n:
+            learned.append(learn_rotation(x - mean, rng))
+        return np.concatenate(learned, 1)[:, :n] if n else np.zeros((width, 0))
+
+    few = normals(max(256, width))
+    side = lambda v: (v - mean) @ few >= 0
+    agree = (side(a) == side(b)).mean(1)
+    near = x[:PAIRED]
+    signs = np.where(side(near), 1.0, -1.0)
+    same = np.triu(label[:PAIRED, None] == label[None, :PAIRED], 1)
     if not same.any():
         same = np.triu(np.ones_like(same), 1)
-    side = 1 - np.arccos(np.clip((x @ x.T)[same], -1, 1)) / math.pi
-    at_least = 1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi
-    found, alike = [], np.ones(len(side))
-    for k in range(bits + 1):
-        hit = at_least**k
-        if hit < 1e-4:
+    alike = ((signs @ signs.T / signs.shape[1] + 1) / 2)[same]
+    choices = [(others > block / 2, COPY * (1 + (1 + others) / block) + (1 + others) / 2, 0, 1)]
+    hit, met = np.ones(len(agree)), np.ones(len(alike))
+    for k in range(1, longest + 1):
+        hit, met = hit * agree, met * alike
+        tables = next((t for t in _counts(4096) if (1 - (1 - hit) ** t).mean() >= recall), 0)
+        if not tables:
             break
-        tables = 1 if hit == 1 else math.ceil(math.log(1 - recall) / math.log1p(-hit))
-        bucket = 1 + others * (alike.mean() if len(alike) else 0.5**k)
+        bucket = 1 + others * (met.mean() if len(met) else 0.5**k)
         # Buckets that fit a block first: those beyond are dealt as pairs of blocks, rows that grow with their square.
-        found.append((bucket > block / 2, tables * (COPY * (1 + bucket / block) + bucket / 2), k, tables))
-        alike = alike * side
-    return min(found)[2:]
+        choices.append((bucket > block / 2, tables * (COPY * (1 + bucket / block) + bucket / 2), k, tables))
+    bits, tables = min(choices)[2:]
+    while bits:
+        plan = Plan(bits, tables, mean, normals(bits * tables))
+        if (_keys(a, plan) == _keys(b, plan)).any(1).mean() >= recall - 1 / PLANTED:
+            return plan
+        tables += max(1, tables // 4)
+        if tables > 4096:
+            bits, tables = bits - 1, 1
+    return Plan(0, 1, mean, normals(0))
 
 
-def hyperplanes(width: int, bits: int, tables: int, seed: int = 7) -> np.ndarray:
-    """Independent normals, as columns."""
-    return np.random.default_rng([seed, width]).standard_normal((width, bits * tables))
+def _counts(most: int) -> Iterator[int]:
+    n = 1
+    while n <= most:
+        yield n
+        n += max(1, n // 16)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, width)
 
 
-def _coded(rows: Iterator[pa.RecordBatch], width: int, bits: int, tables: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """A row for each vector and table: the table's key, with the keys of all tables.
-
-    The hyperplanes pass through the origin, as the cosine's angle does; about a mean, angles would be wider.
-    """
-    projection = hyperplanes(width, bits, tables)
+def _coded(rows: Iterator[pa.RecordBatch], plans, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """A row for each vector and table: the table's key, and the bits of all tables."""
     for batch in rows:
-        if not len(batch):
-            continue
-        x = _matrix(batch.column("v"), width)
-        sides = (x @ projection >= 0).reshape(len(x), tables, bits)
-        keys = (sides.astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
-        code = pa.array([c.tobytes() for c in keys], pa.binary())
-        for t in range(tables):
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("label"), batch.column("copies"), batch.column("v"), code, pa.array(np.full(len(batch), t, np.int32)), pa.array(keys[:, t])], schema=schema)
+        widths = np.asarray(batch.column("width"))
+        for width in np.unique(widths).tolist():
+            plan, part = plans.value[width], batch.filter(pa.array(widths == width))
+            sides = ((_unit(_matrix(part.column("v"), width)) - plan.mean) @ plan.normals >= 0).reshape(len(part), plan.tables, plan.bits)
+            keys = _folded(sides)
+            code = pa.array([c.tobytes() for c in np.packbits(sides.reshape(len(part), -1), 1)], pa.binary())
+            same = [part.column(c) for c in ("rep", "label", "copies", "width", "v")]
+            for t in range(plan.tables):
+                yield pa.RecordBatch.from_arrays([*same, code, pa.array(np.full(len(part), t, np.int32)), pa.array(keys[:, t])], schema=schema)
 
 
-def _reranked(rows: Iterator[pa.RecordBatch], threshold: float, width: int) -> Iterator[pa.RecordBatch]:
+def _reranked(rows: Iterator[pa.RecordBatch], threshold: float, shapes: dict[int, tuple[int, int]]) -> Iterator[pa.RecordBatch]:
     """For each bucket, or pair of blocks of one: how many vectors each vector links with, and edges that span its links.
 
     A pair that meets in several tables counts in the first. Rows are sorted by bucket; one bucket's rows, at most two
@@ -87,11 +165,12 @@ def _reranked(rows: Iterator[pa.RecordBatch], threshold: float, width: int) -> I
         t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
         if len(t) < 2:
             return None
-        x = _matrix(t.column("v"), width)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        width, table, n = t.column("width")[0].as_py(), t.column("t")[0].as_py(), len(t)
+        x = _unit(_matrix(t.column("v"), width))
         rep, copies, side = (np.asarray(t.column(c)) for c in ("rep", "copies", "side"))
-        code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.int64).reshape(len(t), -1)
-        table, n = t.column("t")[0].as_py(), len(t)
+        bits, tables = shapes[width]
+        code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(n, -1)
+        code = _folded(np.unpackbits(code, 1, bits * tables).reshape(n, tables, bits)) if table else None
         count, edges = np.zeros(n, np.int64), ([], [])
         root = np.arange(n)
 
@@ -136,7 +215,7 @@ def _reranked(rows: Iterator[pa.RecordBatch], threshold: float, width: int) -> I
     held: list[pa.RecordBatch] = []
     now = None
     for batch in rows:
-        keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("label", "t", "key", "i", "j")], 1)
+        keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("width", "label", "t", "key", "i", "j")], 1)
         cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
             if hi == lo:
@@ -152,47 +231,50 @@ def _reranked(rows: Iterator[pa.RecordBatch], threshold: float, width: int) -> I
         yield out
 
 
-def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.98, bits: int = 64, sample: int = SAMPLE, block: int = BLOCK, recall: float = RECALL) -> DataFrame:
-    """Per row of vectors (vec_id long, embedding array<float>, label int): vec_id, n_links, component_id, kept.
+def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.98, longest: int = 64, sample: int = SAMPLE, block: int = BLOCK, recall: float = RECALL) -> DataFrame:
+    """Per row of vectors (vec_id long, embedding array<float> or array<double>, label int): vec_id, n_links,
+    component_id, kept.
 
     Rows link when their labels are equal and their cosine, in double precision, is threshold or more. Equal vectors of
-    one label are collapsed first and counted as often as they occur. Pairs are found by tables of keys of at most `bits`
-    bits and measured on the original vectors. A pair at the threshold is met with a chance of `recall` at least, at
-    every size, a nearer one with more; small labels are compared whole. No pair below the threshold is linked.
+    one label are collapsed first and counted as often as they occur. Pairs are found by tables of keys of at most
+    `longest` bits and measured on the original vectors. A pair at the threshold is met with a chance of about `recall`
+    or more, at every size, a nearer one with more; small labels are compared whole. No pair below the threshold is
+    linked. Vectors of several widths are searched each among their own; widths are taken to be few, as each has its
+    rotations learned on the driver from at most `sample` vectors.
 
-    Null vectors, vectors of zeros, of another width than the first usable one or with null or non-finite components,
-    and null labels link with nothing: n_links 0, own component. Rows that repeat a vec_id count each; a null vec_id is
-    returned with n_links of its vector and the component's smallest id. Other columns are ignored.
+    Null vectors, empty ones, vectors of zeros or with null or non-finite components, and null labels link with
+    nothing: n_links 0, own component. Rows that repeat a vec_id count each; a null vec_id is returned with n_links of
+    its vector and the component's smallest id. Empty tables give no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
-    src = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"), F.col("label").cast("long").alias("label"))
+    # Components stay as they are stored: floats as floats, anything else as doubles.
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    src = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("v"), F.col("label").cast("long").alias("label"))
     sound = "v is not null and label is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"
     usable = src.where(sound)
-    first = usable.select(F.size("v").alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").first()
-    alone = src.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not first:
-        return alone
-    width = first[0]
-    usable = usable.where(F.size("v") == width)
+    # Numbered once and written: every vector of a label has a number that no other has.
     classes = usable.groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
-    classes = written(classes.withColumn("rep", F.xxhash64("label", "v")), "classes")
-    labels = classes.groupBy("label").agg(F.count("*").alias("m"))
-    others = labels.agg(F.sum(F.col("m").cast("double") * F.col("m")) / F.sum("m")).first()[0]
-    # A bounded sample, the same whatever the partitioning: the smallest hashes.
-    few = classes.select("v", "label", "rep").orderBy("rep").limit(sample).toPandas()
-    x = np.stack(few["v"].to_list()).astype(np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    bits, tables = plan_tables(x, few["label"].to_numpy(), others, threshold, bits, block, recall)
-    schema = "rep long, label long, copies long, v array<float>, code binary, t int, key long"
-    arrow = pa.schema([("rep", pa.int64()), ("label", pa.int64()), ("copies", pa.int64()), ("v", pa.list_(pa.field("element", pa.float32()))), ("code", pa.binary()), ("t", pa.int32()), ("key", pa.int64())])
-    coded = written(classes.mapInArrow(partial(_coded, width=width, bits=bits, tables=tables, schema=arrow), schema), "codes")
-    key = ["label", "t", "key"]
+    classes = written(classes.select("*", F.size("v").alias("width"), F.monotonically_increasing_id().alias("rep")), "classes")
+    sizes = classes.groupBy("width", "label").agg(F.count("*").cast("double").alias("m")).groupBy("width").agg((F.sum(F.col("m") * F.col("m")) / F.sum("m")).alias("others"))
+    plans = {}
+    for width, others in sizes.collect():  # widths are few
+        # A bounded sample, the same whatever the partitioning: the smallest hashes.
+        few = classes.where(F.col("width") == width).select("v", "label").orderBy(F.xxhash64("label", "v"), "label", "v").limit(sample).toPandas()
+        plans[width] = plan_tables(_unit(np.stack(few["v"].to_list()).astype(np.float64)), few["label"].to_numpy(), others, threshold, longest, block, recall)
+    if not plans:
+        return src.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    shared = spark.sparkContext.broadcast(plans)  # width * bits * tables doubles for each width
+    schema = f"rep long, label long, copies long, width int, v array<{kind}>, code binary, t int, key long"
+    arrow = pa.schema([("rep", pa.int64()), ("label", pa.int64()), ("copies", pa.int64()), ("width", pa.int32()), ("v", pa.list_(pa.field("element", pa.float32() if kind == "float" else pa.float64()))), ("code", pa.binary()), ("t", pa.int32()), ("key", pa.int64())])
+    coded = written(classes.select("rep", "label", "copies", "width", "v").mapInArrow(partial(_coded, plans=shared, schema=arrow), schema), "codes")
+    key = ["width", "label", "t", "key"]
     full = coded.groupBy(*key).count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).drop("count")
     dealt = coded.join(full, key).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"i": F.least("mine", "with"), "j": F.greatest("mine", "with"), "side": F.col("mine")}).drop("mine", "with", "blocks")
     order = [*key, "i", "j"]
-    met = dealt.repartition(*order).sortWithinPartitions(*order, "rep").mapInArrow(partial(_reranked, threshold=threshold, width=width), "rep long, n long, other long")
+    shapes = {w: (p.bits, p.tables) for w, p in plans.items()}
+    met = dealt.repartition(*order).sortWithinPartitions(*order, "rep").mapInArrow(partial(_reranked, threshold=threshold, shapes=shapes), "rep long, n long, other long")
     met = written(met, "met")
     counted = met.where("other is null").groupBy("rep").agg(F.sum("n").alias("n"))
     grouped = components(met.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
@@ -203,4 +285,4 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.98, bits: int
     known = known.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("low", "least").alias("component_id"))
     out = usable.join(known, ["label", "v"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     out = out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
-    return out.unionByName(src.where(f"not coalesce({sound} and size(v) = {width}, false)").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")))
+    return out.unionByName(src.where(f"not coalesce({sound}, false)").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")))
