@@ -6,6 +6,10 @@ walk embeds windows of about an item's size so that few edits become few differi
 from it, in as many repetitions as the target recall takes, are looked up among the items' own; each window and item
 that agree are compared exactly, by edit distance. A window is embedded only if it holds as many word pairs of the
 benchmark as a leak must (the q-gram lemma), which loses nothing.
+
+The walks of long items drift apart under their many edits. So an item of more than PIECE words is looked up by its
+pieces, of PIECE / 2 to PIECE words: if all of it is within the limit, one of its pieces at least is within the limit
+of that piece (the pigeonhole principle). What is compared in the end is the whole item, about where the piece stands.
 """
 
 from __future__ import annotations
@@ -13,7 +17,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import partial
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +27,15 @@ from . import words
 from .scratch import small_batches
 
 HOW = words.table(words.NOT_WORD)
-#: Items handled in one pass over the texts; a larger benchmark takes several passes.
-ITEMS = 20_000
-#: Coordinates in one sample, the share of leaks at the limit of edits to find, and most repetitions.
-SAMPLED, RECALL, MOST = 3, 0.99, 96
+#: Items, and bytes of their text, handled in one pass over the texts, an item at least; a larger benchmark takes several.
+ITEMS, ITEM_BYTES = 20_000, 8 << 20
+#: Words of an item beyond which it is looked up by pieces.
+PIECE = 48
+#: Coordinates in one sample, and the share of leaks at the limit of edits to find.
+SAMPLED, RECALL = 3, 0.99
+#: Repetitions tried at once, how often they may be doubled, and leaks simulated for a band. Where the last doubling
+#: still finds too few, a band's places are all compared exactly.
+REPS, DOUBLINGS, TRIED = 96, 3, 256
 #: Lengths of one band differ by this factor at most.
 BAND = 1.15
 TABLE_BITS = 20
@@ -65,6 +73,26 @@ def _walked(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, salts: np.ndarr
     return rep, col, key, np.unique(np.concatenate(way)) if way else np.zeros(0, np.uint64)
 
 
+def _cuts(n: int) -> list[tuple[int, int]]:
+    """Where the pieces of an item of n words begin and end: as few as have PIECE words at most, about equally long."""
+    m = -(-n // PIECE)
+    return [(i * n // m, (i + 1) * n // m) for i in range(m)]
+
+
+def _passes(items: DataFrame) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Ids and texts of items, as many at a time as one pass takes."""
+    ids, texts, size = [], [], 0
+    for i, text in items.toLocalIterator():
+        if ids and (len(ids) == ITEMS or size + len(text) > ITEM_BYTES):
+            yield ids, texts
+            ids, texts, size = [], [], 0
+        ids.append(i)
+        texts.append(bytes(text))
+        size += len(text)
+    if ids:
+        yield ids, texts
+
+
 def edits(item: np.ndarray, text: np.ndarray) -> int:
     """The least number of word edits between item and any run of text, by bit-parallel columns."""
     m = len(item)
@@ -87,48 +115,63 @@ def edits(item: np.ndarray, text: np.ndarray) -> int:
 
 
 class Index:
-    """Items of one pass, by bands of length."""
+    """Items of one pass, by bands of the length of their pieces."""
 
-    def __init__(self, ids: list[int], texts: list[bytes], similarity: float, recall: float, seed: int = 11) -> None:
+    def __init__(self, ids: list[int], texts: list[bytes], similarity: float, recall: float, seed: int = 11, doublings: int = DOUBLINGS) -> None:
         column = pa.array(texts, pa.binary())
         data, offsets = words.buffers(column)
         h, at = words.hashed(data, offsets, HOW)
         kept = [(i, h[a:b]) for i, a, b in zip(ids, at[:-1], at[1:], strict=True) if b > a]
-        kept.sort(key=lambda x: len(x[1]))
         self.ids, self.items = [x[0] for x in kept], [x[1] for x in kept]
-        self.allowed = [math.floor((1 - similarity) * len(x) + 1e-9) for x in self.items]
+        allowed = lambda x: math.floor((1 - similarity) * len(x) + 1e-9)
+        self.allowed = [allowed(x) for x in self.items]
+        self.doublings = doublings
+        # Pieces by length: the words, the edits they may have, the item and where in it they begin.
+        cut = [(x[lo:hi], k, lo) for k, x in enumerate(self.items) for lo, hi in _cuts(len(x))]
+        cut.sort(key=lambda x: (len(x[0]), x[1], x[2]))
+        self.pieces, self.of, self.offset = [x[0] for x in cut], np.array([x[1] for x in cut], np.int64), np.array([x[2] for x in cut], np.int64)
+        self.may = [allowed(x) for x in self.pieces]
         self.pairs = np.zeros(1 << TABLE_BITS, bool)
         self.bands = []
         rng = np.random.default_rng(seed)
-        for x in self.items:
+        for x in self.pieces:
             self.pairs[(words.grams(x, 2) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
         i = 0
-        while i < len(self.items):
-            low = len(self.items[i])
-            j = next((j for j in range(i, len(self.items)) if len(self.items[j]) > max(low, low * BAND)), len(self.items))
+        while i < len(self.pieces):
+            low = len(self.pieces[i])
+            j = next((j for j in range(i, len(self.pieces)) if len(self.pieces[j]) > max(low, low * BAND)), len(self.pieces))
             self.bands.append(self._band(range(i, j), rng, recall))
             i = j
 
     def _band(self, members: range, rng: np.random.Generator, recall: float) -> dict:
-        short, long = len(self.items[members[0]]), len(self.items[members[-1]])
-        salts = rng.integers(0, 1 << 63, MOST, dtype=np.uint64)
-        # About two steps show a word; past that both sides have ended.
-        coordinates = np.sort(rng.integers(0, 2 * short, (MOST, SAMPLED)), 1)
-        h, ends = np.concatenate([self.items[k] for k in members]), np.cumsum([len(self.items[k]) for k in members])
-        starts = ends - [len(self.items[k]) for k in members]
-        keys = _walked(h, starts, ends, salts, coordinates)[2].reshape(MOST, -1)
-        tried = rng.choice(len(members), 64)
-        changed = [self._edited(self.items[members[k]], self.allowed[members[k]], rng) for k in tried]
-        ends2 = np.cumsum([len(x) for x in changed])
-        agree = _walked(np.concatenate(changed), ends2 - [len(x) for x in changed], ends2, salts, coordinates)[2].reshape(MOST, -1) == keys[:, tried]
-        found = np.logical_or.accumulate(agree, 0).mean(1)
-        reps = min(MOST, int(np.argmax(found >= recall)) + 1 if (found >= recall).any() else MOST)
-        flat, item = keys[:reps].ravel(), np.tile(np.arange(members.start, members.stop), reps)
+        short, long = len(self.pieces[members[0]]), len(self.pieces[members[-1]])
+        h, ends = np.concatenate([self.pieces[k] for k in members]), np.cumsum([len(self.pieces[k]) for k in members])
+        starts = ends - [len(self.pieces[k]) for k in members]
+        tried = rng.choice(len(members), TRIED)
+        changed = [self._edited(self.pieces[members[k]], self.may[members[k]], rng) for k in tried]
+        words2, ends2 = np.concatenate(changed), np.cumsum([len(x) for x in changed])
+        starts2 = ends2 - [len(x) for x in changed]
+        salts, coordinates, keys, agree = [], [], [], []
+        for doubling in range(self.doublings + 1):
+            n = REPS << max(0, doubling - 1)
+            salt = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            # About two steps show a word. Near the end some walks are over, which says little about what was walked.
+            at = np.sort(rng.integers(0, max(1, 3 * short // 2), (n, SAMPLED)), 1)
+            key = _walked(h, starts, ends, salt, at)[2].reshape(n, -1)
+            agree.append(_walked(words2, starts2, ends2, salt, at)[2].reshape(n, -1) == key[:, tried])
+            for x, y in ((salts, salt), (coordinates, at), (keys, key)):
+                x.append(y)
+            found = np.logical_or.accumulate(np.concatenate(agree), 0).mean(1) >= recall
+            if found.any():
+                break
+        reps = int(np.argmax(found)) + 1 if found.any() else 0
+        salts, coordinates, keys = (np.concatenate(x)[:reps] for x in (salts, coordinates, keys))
+        flat, piece = keys.ravel(), np.tile(np.arange(members.start, members.stop), reps)
         order = np.argsort(flat, kind="stable")
-        way = _walked(h, starts, ends, salts[:reps], coordinates[:reps])[3]
-        most = max(self.allowed[k] for k in members)
-        least = min(len(self.items[k]) - 1 - 2 * self.allowed[k] for k in members)
-        return {"long": long, "window": long + most, "least": least, "short": max(1, short - self.allowed[members[0]]), "salts": salts[:reps], "coordinates": coordinates[:reps], "way": way, "keys": flat[order], "item": item[order]}
+        way = _walked(h, starts, ends, salts, coordinates)[3]
+        most = max(self.may[k] for k in members)
+        least = min(len(self.pieces[k]) - 1 - 2 * self.may[k] for k in members)
+        return {"members": members, "long": long, "window": long + most, "least": least, "short": max(1, short - self.may[members[0]]), "salts": salts, "coordinates": coordinates, "way": way, "keys": flat[order], "piece": piece[order]}
 
     @staticmethod
     def _edited(x: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
@@ -166,27 +209,38 @@ class Index:
             p, text = p[ok], text[ok]
             for lo in range(0, len(p), 1 << 14):
                 q, d = p[lo : lo + (1 << 14)], text[lo : lo + (1 << 14)]
+                if not len(band["salts"]):
+                    for k in band["members"]:
+                        self._verified(out, h, at, d, np.full(len(q), k), q)
+                    continue
                 _, col, key, _ = _walked(h, q, np.minimum(q + band["long"], at[d + 1]), band["salts"], band["coordinates"], band["way"])
                 a, b = np.searchsorted(band["keys"], key), np.searchsorted(band["keys"], key, "right")
                 n = b - a
-                if not n.sum():
-                    continue
-                item = band["item"][np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                # Starts near each other are verified at once, over all that any of them could reach.
-                start = np.repeat(q[col], n)
-                near = np.stack([np.repeat(d[col], n), item, start // band["long"]], 1)
-                for doc, k, block in np.unique(near, axis=0).tolist():
-                    if (doc, k) in out:
-                        continue
-                    x, most = self.items[k], self.allowed[k]
-                    low, high = block * band["long"] - most, (block + 1) * band["long"] + len(x) + most
-                    if edits(x, h[max(int(at[doc]), low) : min(int(at[doc + 1]), high)]) <= most:
-                        out.add((doc, k))
+                if n.sum():
+                    piece = band["piece"][np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                    self._verified(out, h, at, np.repeat(d[col], n), piece, np.repeat(q[col], n))
         return out
 
+    def _verified(self, out: set[tuple[int, int]], h: np.ndarray, at: np.ndarray, text: np.ndarray, piece: np.ndarray, start: np.ndarray) -> None:
+        """Adds to out the texts and items where pieces that seem to start somewhere are part of a leak of their item.
+
+        Starts of an item that are near each other are verified at once, over all that any of them could reach.
+        """
+        item = self.of[piece]
+        begin = start - self.offset[piece]
+        size = np.array([max(PIECE, len(x) // 2) for x in self.items], np.int64)[item]
+        near = np.stack([text, item, begin // size], 1)
+        for doc, k, block in np.unique(near, axis=0).tolist():
+            if (doc, k) in out:
+                continue
+            x, most, wide = self.items[k], self.allowed[k], max(PIECE, len(self.items[k]) // 2)
+            low, high = block * wide - most, (block + 1) * wide + len(x) + most
+            if edits(x, h[max(int(at[doc]), low) : max(0, min(int(at[doc + 1]), high))]) <= most:
+                out.add((doc, k))
+
 
 def _leaks(rows: Iterator[pa.RecordBatch], index, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Adds the items of one pass to item_ids; text goes on only if the schema has it."""
+    """Adds the items of one pass to item_ids."""
     ix = index.value
     for batch in rows:
         items = [x or [] for x in batch.column("item_ids").to_pylist()]
@@ -203,22 +257,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
     benchmark has item_id long and text string. Null and empty texts hold nothing, and items without words are held by
     nothing; items of under 5 words are found where they stand word for word. Repeated items and rows count by id;
     null item ids are left out, null doc_ids are returned. An empty benchmark gives empty lists. Other columns are
-    ignored. Each text is read whole; a leak at the limit of edits is found with a chance of about `recall` or more,
-    one with fewer edits nearly always, and nothing beyond the limit is reported.
+    ignored. Each text is read whole; a leak at the limit of edits, of an item of any length, is found with a chance of
+    about `recall` or more, one with fewer edits nearly always, and nothing beyond the limit is reported.
     """
     spark = docs.sparkSession
     small_batches(spark)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id is not null and text is not null")
     out = out.withColumn("item_ids", F.expr("cast(array() as array<bigint>)"))
-    blocks = list(range(0, items.count(), ITEMS))
-    rows = items.toLocalIterator()
-    for lo in blocks:
-        block = list(islice(rows, ITEMS))
-        index = spark.sparkContext.broadcast(Index([x[0] for x in block], [bytes(x[1]) for x in block], similarity, recall))
-        names = ["doc_id", *(["text"] if lo != blocks[-1] else []), "item_ids"]
-        schema = pa.schema([(n, {"text": pa.binary(), "doc_id": pa.int64()}.get(n, pa.list_(pa.int64()))) for n in names])
-        out = out.mapInArrow(partial(_leaks, index=index, schema=schema), ", ".join(f"{n} {dict(text='binary', doc_id='long').get(n, 'array<long>')}" for n in names))
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("item_ids", pa.list_(pa.int64()))])
+    for block in _passes(items):
+        index = spark.sparkContext.broadcast(Index(*block, similarity, recall))
+        out = out.mapInArrow(partial(_leaks, index=index, schema=schema), "doc_id long, text binary, item_ids array<long>")
     return out.select("doc_id", F.size("item_ids").cast("long").alias("n_items"), "item_ids")
 
 
@@ -237,8 +287,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id is not null and text is not null")
     small_batches(spark)
-    rows, out = items.toLocalIterator(), docs
-    while block := list(islice(rows, ITEMS)):
-        index = spark.sparkContext.broadcast(Index([x[0] for x in block], [bytes(x[1]) for x in block], similarity, recall))
+    out = docs
+    for block in _passes(items):
+        index = spark.sparkContext.broadcast(Index(*block, similarity, recall))
         out = out.mapInArrow(partial(_clean, index=index), docs.schema)
     return out
