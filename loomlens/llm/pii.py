@@ -1,9 +1,12 @@
 """Personal data: fixed forms, and identifiers found by bootstrapping over contexts. DataFrame and SQL functions only.
 
-Four fixed forms (email, ip, card, phone) give seed entities. Tokens with a digit are candidate instances; the words
-before and after each place of one are its lexical patterns. Patterns score by how much of what they surround is
-trusted, instances by how well their patterns score, in turn, over the whole corpus's pattern-instance graph. Places
-where a high-confidence instance stands in a high-confidence pattern become spans of kind `id`.
+Four fixed forms (email, ip, card, phone) give seed entities. Tokens with a digit are candidate instances. What stands
+around a place of one are its lexical patterns: the words before it, what it is glued to (as in `password=`), the word
+after it, and, for long runs of letters and digits, their beginning, length and letters. Seeds are trusted;
+strings that no one would write by hand are half trusted until their patterns say more. Patterns score by how pure and how many trusted
+instances they surround, instances by how well their patterns score, in turn, over the whole corpus's
+pattern-instance graph. Places where a high-confidence instance stands in a high-confidence pattern become spans of
+kind `id`.
 """
 
 from __future__ import annotations
@@ -24,10 +27,15 @@ PATTERNS = {
 }
 #: Cheap tests that a text with a match passes.
 HINT = {"email": r"@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9][\x20-]?+[0-9]", "phone": r"\+[0-9]"}
-#: Candidate instances: a token with a digit, less the punctuation around it.
+#: Candidate instances: of a token with a digit the first part that has one, less the punctuation around it, of
+#: SHORTEST characters or more. Parts end where an assignment, a quotation or a bracket does.
 TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
-CORE = r"[\p{L}\p{N}](?:\S*[\p{L}\p{N}])?"
+CORE = r"""[\p{L}\p{N}+][^\s=:"'`<>(){}\[\],;|]*[\p{L}\p{N}]"""
+PART = r"""[^\s0-9=:"'`<>(){}\[\],;|]*+[0-9][^\s=:"'`<>(){}\[\],;|]*+"""
 SHORTEST, REACH = 6, 64
+#: Strings that no one writes by hand: so many letters and digits in a run, with three of each at least. Before anything
+#: is known of their patterns they are trusted this much.
+MADE, PRIOR = r"^(?=(?:[A-Za-z]*[0-9]){3})(?=(?:[0-9]*[A-Za-z]){3})[A-Za-z0-9]{16,}$", 0.5
 
 SPAN = "array<struct<start:bigint,kind:string,rank:int,end:bigint,value:string>>"
 
@@ -78,26 +86,58 @@ def base_spans(text: Column) -> Column:
 
 
 def _candidates(text: Column) -> Column:
-    """Tokens with a digit, with the words around them; digits in contexts count as one sign."""
+    """Candidate instances with their patterns; digits in patterns count as one sign."""
     plain = lambda x: F.lower(F.regexp_replace(x, "[0-9]+", "0"))
 
     def at(x: Column) -> Column:
-        core = F.regexp_extract(x["value"], CORE, 0)
+        core = F.regexp_extract(F.regexp_extract(x["value"], PART, 0), CORE, 0)
         start = x["start"] + F.instr(x["value"], core) - 1
+        glued = plain(F.substring(x["value"], F.lit(1), (F.instr(x["value"], core) - 1).cast("int")))
         before = F.split(F.rtrim(F.regexp_replace(F.substring(text, F.greatest(x["start"] - REACH, F.lit(0)).cast("int") + 1, F.least(x["start"], F.lit(REACH)).cast("int")), r"\s+", " ")), " ")
         after = F.split(F.ltrim(F.regexp_replace(F.substring(text, (x["end"] + 1).cast("int"), F.lit(REACH)), r"\s+", " ")), " ")
-        left = F.array_join(F.slice(before, F.greatest(F.size(before) - 1, F.lit(1)), 2), " ")
-        return F.struct(start.alias("start"), (start + F.length(core)).alias("end"), core.alias("value"), F.concat(F.lit("<"), plain(left)).alias("left"), F.concat(F.lit(">"), plain(after[0])).alias("right"))
-
-    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,value:string,left:string,right:string>>)")
-    return F.when(text.rlike("[0-9]"), F.filter(F.transform(_places(text, TOKEN), at), lambda x: (F.length(x["value"]) >= SHORTEST) & x["value"].rlike("[0-9]"))).otherwise(none)
+        last = lambda n: plain(F.array_join(F.slice(before, F.greatest(F.size(before) - n + 1, F.lit(1)), n), " "))
+        form = F.when(core.rlike("^[0-9a-f]+$"), "hex").when(core.rlike("^[0-9A-Z]+$"), "upper").otherwise("mixed")
+        made = core.rlike(MADE)
+        patterns = F.array(
+            F.concat(F.lit("<2 "), last(2), F.lit(" | "), glued),
+            F.concat(F.lit("<1 "), last(1), F.lit(" | "), glued),
+            F.when(glued.rlike("[a-z]"), F.concat(F.lit("= "), glued)),
+            F.concat(F.lit("<> "), last(1), F.lit(" | "), glued, F.lit(" | "), plain(after[0])),
+            F.when(core.rlike("^[A-Za-z0-9]{16,}$"), F.concat_ws(" ", F.lit("#"), form, F.length(core), F.substring(core, 1, 4))),
+        )
+        name = F.when(F.length(core) <= 64, core).otherwise(F.sha1(core.cast("binary")))
+        return F.struct(start.alias("start"), (start + F.length(core)).alias("end"), name.alias("inst"), made.alias("made"), F.filter(patterns, lambda p: p.isNotNull()).alias("patterns"))
+
+    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,inst:string,made:boolean,patterns:array<string>>>)")
+    return F.when(text.rlike("[0-9]"), F.filter(F.transform(_places(text, TOKEN), at), lambda x: x["end"] - x["start"] >= SHORTEST)).otherwise(none)
+
+
+def score_graph(graph: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(pattern, score) and (inst, trust), from distinct edges (pattern, inst, seed, made), after so many rounds.
+
+    An instance starts with a trust of 1 if it is a seed, PRIOR if it is made, else 0. A pattern scores
+    pure * (1 - product of (1 - trust)), pure being its share of instances with a trust of PRIOR or more, of which it
+    needs `support`; scores below half the confidence count as none. Then an instance's trust is the larger of what it
+    started with and 1 - product of (1 - score).
+    """
+    start = graph.groupBy("inst").agg(F.max(F.when(F.col("seed"), 1.0).when(F.col("made"), PRIOR).otherwise(0.0)).alias("start"))
+    start = written(start, "instances")
+    trusted = start.select("inst", F.col("start").alias("trust"))
+    any_of = lambda c: 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col(c), F.lit(1e-9)))))
+    for _ in range(rounds):
+        k = F.sum((F.col("trust") >= PRIOR).cast("long"))
+        scored = graph.join(trusted, "inst").groupBy("pattern").agg((k / F.count("*") * any_of("trust")).alias("score"), k.alias("k"))
+        scored = written(scored.where((F.col("k") >= support) & (F.col("score") >= confidence / 2)).select("pattern", "score"), "patterns")
+        up = graph.join(scored, "pattern").groupBy("inst").agg(any_of("score").alias("up"))
+        trusted = written(start.join(up, "inst", "left").select("inst", F.greatest("start", F.coalesce("up", F.lit(0.0))).alias("trust")), "trusted")
+    return scored, trusted
 
 
 def personal_spans(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 3) -> DataFrame:
     """(rk, doc_id, base, spans) per row of docs (doc_id long, text string); spans are base's and those of kind `id`.
 
-    rk is a hash of doc_id and text. A pattern needs `support` distinct trusted instances, and it and an instance a
-    score of `confidence`. Null and empty texts have no spans.
+    rk is a hash of doc_id and text. A pattern and an instance need a score of `confidence`, as score_graph has it.
+    What has no digit, or fewer than SHORTEST characters, is no candidate. Null and empty texts have no spans.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
@@ -105,23 +145,17 @@ def personal_spans(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, su
     read = written(read, "spans")
 
     # A candidate that overlaps a base span is a seed; it stands for an entity already known.
-    seen = read.where("size(cand) > 0").select("rk", "base", F.inline("cand"))
+    seen = read.where("size(cand) > 0").select("rk", "doc_id", "base", F.inline("cand"))
     seen = seen.withColumn("seed", F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start"))))
-    seen = written(seen.select("rk", "start", "end", F.xxhash64("value").alias("inst"), "seed", "left", "right"), "candidates")
-    graph = seen.select("inst", "seed", F.explode(F.array("left", "right")).alias("pattern")).where("length(pattern) > 1")
-    graph = graph.groupBy("pattern", "inst").agg(F.max("seed").alias("seed"))
-    trusted = graph.groupBy("inst").agg(F.max(F.col("seed").cast("double")).alias("trust"))
-    for _ in range(rounds):
-        scored = graph.join(trusted, "inst").groupBy("pattern").agg(F.sum("trust").alias("good"), F.count("*").alias("n"), F.sum((F.col("trust") >= confidence).cast("long")).alias("k"))
-        scored = scored.where(F.col("k") >= support).select("pattern", (F.col("good") / F.col("n")).alias("score")).where(F.col("score") >= confidence / 2)
-        up = graph.join(scored, "pattern").groupBy("inst").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("up"), F.max("seed").alias("seed"))
-        trusted = graph.select("inst").distinct().join(up, "inst", "left").select("inst", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("up", F.lit(0.0))).alias("trust"))
-    fine = written(scored.where(F.col("score") >= confidence), "patterns").select("pattern")
+    seen = written(seen.select("rk", "doc_id", "start", "end", "inst", "made", "seed", F.explode("patterns").alias("pattern")), "candidates")
+    graph = written(seen.groupBy("pattern", "inst").agg(F.max("seed").alias("seed"), F.max("made").alias("made")), "graph")
+    scored, trusted = score_graph(graph, rounds, confidence, support)
+    fine = scored.where(F.col("score") >= confidence).select("pattern")
     sure = trusted.where(F.col("trust") >= confidence).select("inst")
-    here = seen.where("not seed").select("rk", "start", "end", "inst", F.explode(F.array("left", "right")).alias("pattern"))
-    here = here.join(fine, "pattern", "left_semi").join(sure, "inst", "left_semi").select("rk", "start", "end").distinct()
-    more = here.groupBy("rk").agg(F.collect_list(F.struct("start", F.lit("id").alias("kind"), F.lit(len(KINDS)).alias("rank"), "end", F.lit("").alias("value"))).alias("more"))
-    out = read.select("rk", "doc_id", "base").join(more, "rk", "left")
+    here = seen.where("not seed").join(fine, "pattern", "left_semi").join(sure, "inst", "left_semi").select("rk", "doc_id", "start", "end").distinct()
+    more = here.groupBy("rk", "doc_id").agg(F.collect_list(F.struct("start", F.lit("id").alias("kind"), F.lit(len(KINDS)).alias("rank"), "end", F.lit("").alias("value"))).alias("more"))
+    more = more.withColumnsRenamed({"rk": "_rk", "doc_id": "_id"})
+    out = read.select("rk", "doc_id", "base").join(more, (F.col("rk") == F.col("_rk")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     every = F.array_sort(F.concat("base", F.col("more").cast(SPAN)), lambda a, b: F.when(a["start"] * 8 + a["rank"] < b["start"] * 8 + b["rank"], -1).otherwise(1))
     return out.select("rk", "doc_id", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(every).alias("spans"))
 
@@ -164,10 +198,11 @@ BROADCAST_ROWS = 50_000
 def redact_personal_data(docs: DataFrame, **how) -> DataFrame:
     """docs with every span in text replaced by its kind; all columns and rows stay, n_chars (where there is one)
     counts the new text. Rows without spans keep their text, null included."""
-    found = written(personal_spans(docs, **how).where("size(spans) > 0").dropDuplicates(["rk"]).select(F.col("rk").alias("_rk"), F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))).alias("_spans")), "redact")
+    found = written(personal_spans(docs, **how).where("size(spans) > 0").dropDuplicates(["rk", "doc_id"]).select(F.col("rk").alias("_rk"), F.col("doc_id").alias("_id"), F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))).alias("_spans")), "redact")
     stats = found.agg(F.count("*"), F.sum(F.size("_spans"))).first()
     few = F.broadcast(found) if stats[0] <= BROADCAST_ROWS and (stats[1] or 0) <= 4 * BROADCAST_ROWS else found
-    joined = docs.withColumn("_rk", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))).join(few, "_rk", "left")
+    mine = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    joined = docs.join(few, (mine == F.col("_rk")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("_spans")))
     new = {"text": text} | ({"n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return joined.withColumns(new).select(*docs.columns)
