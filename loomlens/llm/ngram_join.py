@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
@@ -84,13 +84,13 @@ def _signed(rows: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
         if buckets:
             counts += np.bincount(np.concatenate(buckets), minlength=len(counts))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sid, pa.int64(), mask=n == 0), pa.array(n), pa.nulls(len(batch), pa.int32()), pa.nulls(len(batch), pa.binary())],
-            ["doc_id", "sid", "n", "chunk", "counts"],
+            [batch.column("doc_id"), batch.column("digest"), pa.array(sid, pa.int64(), mask=n == 0), pa.array(n), pa.nulls(len(batch), pa.int32()), pa.nulls(len(batch), pa.binary())],
+            ["doc_id", "digest", "sid", "n", "chunk", "counts"],
         )
     if counts.any():
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.array(range(CHUNKS), pa.int32()), pa.array([x.tobytes() for x in np.split(counts, CHUNKS)], pa.binary())],
-            ["doc_id", "sid", "n", "chunk", "counts"],
+            [*[pa.nulls(CHUNKS, pa.int64())] * 4, pa.array(range(CHUNKS), pa.int32()), pa.array([x.tobytes() for x in np.split(counts, CHUNKS)], pa.binary())],
+            ["doc_id", "digest", "sid", "n", "chunk", "counts"],
         )
 
 
@@ -339,26 +339,24 @@ def _linked(n: str, m: str, differ, t: Fraction):
     return f"{t.denominator} * ({n} + {m} - ({differ})) >= {t.numerator} * ({n} + {m} + ({differ}))"
 
 
-def ngram_jaccard_join(docs: DataFrame, k: int = 3, similarity: Fraction = Fraction(9, 10)) -> DataFrame:
-    """Per row of docs (doc_id long, text string): doc_id, n_shingles, component_id.
+def _digest(text: Column) -> Column:
+    return F.xxhash64(text.cast("binary"))
 
-    Words are runs without ASCII white space, A-Z lower-cased; elements are distinct k-word shingles, the whole
-    sequence where there are fewer words. component_id is the smallest doc_id reachable by links of similarity
-    `similarity` or more, exactly. Null, empty and blank texts have no elements, link with nothing and are their own
-    component. Repeated rows each return a row; rows that repeat a doc_id link as their texts do. A row with a null
-    doc_id is returned; it takes part through other rows of the same set, else its component is null. Empty tables give empty results; columns other
-    than doc_id and text are ignored, whatever their names.
-    """
+
+def _grouped(docs: DataFrame, k: int, similarity: Fraction) -> tuple[DataFrame, DataFrame]:
+    """signed (doc_id, digest, sid, n), a row for each of docs; and of the sets that links connect (sid, set), set being
+    the same for all that reach each other."""
     spark, t = docs.sparkSession, Fraction(similarity)
     small_batches(spark)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    signed = written(text.mapInArrow(partial(_signed, k=k), "doc_id long, sid long, n long, chunk int, counts binary"), "signed")
+    marked = text.withColumn("digest", _digest(F.col("text")))
+    signed = written(marked.mapInArrow(partial(_signed, k=k), "doc_id long, digest long, sid long, n long, chunk int, counts binary"), "signed")
     sums = signed.where("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk").mapInArrow(_summed, "chunk int, counts binary")
     counts = np.zeros((CHUNKS, (1 << BUCKET_BITS) // CHUNKS), np.int64)
     for chunk, x in sums.collect():  # CHUNKS rows of a fixed size
         counts[chunk] = np.frombuffer(x, np.int64)
     shared_counts = spark.sparkContext.broadcast(counts.ravel())
-    signed = signed.where("chunk is null").select("doc_id", "sid", "n")
+    signed = signed.where("chunk is null").select("doc_id", "digest", "sid", "n")
 
     entries = written(text.select("text").mapInArrow(partial(_indexed, k=k, t=t, counts=shared_counts), "token long, sid long, n int, pos int"), "entries")
     shared_counts.destroy()
@@ -402,12 +400,50 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 3, similarity: Fraction = Fract
     rest = written(derived.where("not (a_hub <=> b_hub) or a_hub is null").select("a", "b"), "rest")
     more = known.union(verified(rest).where(good).select("a", "b")) if rest.head() else known
     links = label.where("sid <> label").select(F.col("sid").alias("a"), F.col("label").alias("b")).union(more)
-    whole = components(links)
+    return signed, components(links).select(F.col("node").alias("sid"), F.col("component").alias("set"))
 
-    found = whole.select(F.col("node").alias("sid"), "component").join(signed.groupBy("sid").agg(F.min("doc_id").alias("least")), "sid", "left")
-    joined = found.join(found.groupBy("component").agg(F.min("least").alias("low")), "component").select("sid", "low")
-    classes = signed.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least")).join(joined, "sid", "left")
+
+def ngram_jaccard_join(docs: DataFrame, k: int = 3, similarity: Fraction = Fraction(9, 10)) -> DataFrame:
+    """Per row of docs (doc_id long, text string): doc_id, n_shingles, component_id.
+
+    Words are runs without ASCII white space, A-Z lower-cased; elements are distinct k-word shingles, the whole
+    sequence where there are fewer words. component_id is the smallest doc_id reachable by links of similarity
+    `similarity` or more, exactly. Null, empty and blank texts have no elements, link with nothing and are their own
+    component. Repeated rows each return a row; rows that repeat a doc_id link as their texts do. A row with a null
+    doc_id is returned; it takes part through other rows of the same set, else its component is null. Empty tables give empty results; columns other
+    than doc_id and text are ignored, whatever their names.
+    """
+    signed, groups = _grouped(docs, k, similarity)
+    least = signed.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
+    least = least.join(groups, "sid", "left").withColumn("set", F.coalesce("set", "sid"))
+    low = least.groupBy("set").agg(F.min("least").alias("component_id"))
     # Written, so that both sides of the join are plain shuffles, of which adaptive execution splits a set with many copies.
-    classes = written(classes.select("sid", F.coalesce("low", "least").alias("component_id")), "classes")
-    out = signed.join(classes, "sid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    classes = written(least.join(low, "set").select("sid", "component_id"), "classes")
+    return signed.join(classes, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, k: int = 5, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
+    """The rows of docs less near duplicates, with all their columns: of the rows that links connect, as in
+    ngram_jaccard_join, the one with the smallest doc_id stays, null last; then the one with the smallest digest of its
+    text; of rows equal in both one stays, the least by its other columns.
+
+    Rows without elements (null, empty and blank texts) are nobody's duplicates and all stay. Rows are told apart by
+    doc_id and digest together, so unlike texts that share a doc_id, or have none, are judged each on its own. Columns
+    must be of types that can be ordered.
+    """
+    signed, groups = _grouped(docs, k, similarity)
+    signed = signed.where("sid is not null")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    first = signed.groupBy("sid").agg(F.min(rank).alias("r")).join(groups, "sid", "left").groupBy(F.coalesce("set", "sid")).agg(F.min("r").alias("r"))
+    first = first.select(F.col("r.doc_id").alias("first_id"), F.col("r.digest").alias("first_digest"))
+    each = signed.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
+    each = each.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("first_digest")), "left")
+    # Only what goes, or stays once of several equal rows, is looked up among the texts.
+    marks = each.where("first_digest is null or n > 1").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("first_digest").isNotNull().alias("_once"))
+    marks = written(marks, "marks")
+    found = docs.join(_small(marks), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_digest(F.col("text")) == F.col("_digest")), "left")
+    stay = found.where("_once is null").select(*docs.columns)
+    if marks.where("_once").head() is None:
+        return stay
+    once = found.where("_once").groupBy("_id", "_digest").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return stay.unionByName(once)

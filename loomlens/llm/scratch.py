@@ -36,13 +36,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Most rows of texts that go to a Python worker at once.
-BATCH = 2000
+#: Most rows, and most bytes, of texts that go to a Python worker at once; one text longer than that goes alone.
+BATCH, BATCH_BYTES = 2000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker holds of long texts; a session's own smaller bound stays. Set for the session, as
+    """Bounds what a Python worker holds of long texts; a session's own smaller bounds stay. Set for the session, as
     results are lazy."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH:
-        spark.conf.set(key, BATCH)
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, most)
