@@ -381,3 +381,180 @@ def test_pipeline_stages(spark):
 def test_queries_run_on_whole_tables(spark):
     for name, rows in {"op3_license_scan": "documents", "op7_decontaminate": "documents", "op8_warc_archive": "pages", "op10_embedding_dedup": "embeddings"}.items():
         assert catalogue.QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/{rows}.parquet").agg(F.count("*")).first()[0]
+
+
+def test_one_of_each_is_kept(spark):
+    """Unlike texts that share an id, or have none, stay; of equal rows and near copies one does; blank texts all do."""
+    long = " ".join(f"w{i}" for i in range(60))
+    near = long.replace("w59", "other")
+    rows = [(7, long, "a"), (7, "quite another text of seven words here", "b"), (None, "one two three four five six", "c"), (None, "no relation to any of the others", "d"), (None, None, "e"), (None, None, "e"), (3, near, "f"), (3, near, "f"), (9, long, "g"), (None, long, "h"), (11, "", "i"), (12, "Short", "j"), (13, "short", "k")]
+    got = collections.Counter((r.doc_id, r.text, r.source) for r in ngram_join.keep_one_of_each(docs(spark, rows)).collect())
+    gone = [(7, long, "a"), (3, near, "f"), (9, long, "g"), (None, long, "h"), (13, "short", "k")]
+    assert got == collections.Counter(rows) - collections.Counter(gone)
+    assert ngram_join.keep_one_of_each(docs(spark, [])).collect() == []
+
+
+def edited(rng, w, n, voc):
+    w = list(w)
+    for _ in range(n):
+        k, kind = rng.randrange(len(w)), rng.randrange(3)
+        w[k : k + (kind != 1)] = [rng.choice(voc)] if kind < 2 else []
+    return w
+
+
+@pytest.mark.parametrize("n", [5, 48, 49, 100, 400, 1000, 5000])
+def test_long_benchmark_items_are_found(n):
+    """At the limit of edits, recall does not fall with an item's length."""
+    import pyarrow as pa
+
+    rng, m = random.Random(n), 60 if n <= 1000 else 8
+    voc = [f"w{i}" for i in range(5000)]
+    items = [[rng.choice(voc) for _ in range(n)] for _ in range(m)]
+    ix = decontaminate.Index(list(range(m)), [" ".join(x).encode() for x in items], 0.8, 0.99)
+    texts = [" ".join([*rng.choices(voc, k=60), *edited(rng, x, n // 5, voc), *rng.choices(voc, k=60)]).encode() for x in items]
+    found = {(i + d, k) for i, h, at in words.batches(pa.array(texts, pa.binary()), decontaminate.HOW) for d, k in ix.found(h, at)}
+    assert sum((i, i) in found for i in range(m)) >= 0.97 * m
+
+
+def test_benchmark_items_are_compared_exactly_where_walks_fail():
+    """No repetitions reach the recall asked for: every place is compared."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    voc = [f"w{i}" for i in range(40)]
+    items = [[rng.choice(voc) for _ in range(12)] for _ in range(5)]
+    ix = decontaminate.Index(list(range(5)), [" ".join(x).encode() for x in items], 0.8, 1.01)
+    assert all(not len(b["salts"]) for b in ix.bands)
+    texts = [" ".join([*rng.choices(voc, k=9), *edited(rng, items[i % 5], i % 4, voc), *rng.choices(voc, k=9)]) for i in range(60)]
+    found = {(i + d, k) for i, h, at in words.batches(pa.array([t.encode() for t in texts], pa.binary()), decontaminate.HOW) for d, k in ix.found(h, at)}
+    assert found == {(i, k) for i, t in enumerate(texts) for k in range(5) if word_edits(items[k], t.split()) <= 2}
+
+
+def test_embeddings_of_several_widths_and_in_doubles(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for width in (3, 7, 16):
+        x = pairs_at(rng, 20, 0.985, width=width)
+        rows += [(100 * width + i, (v * 1e200).tolist(), 1) for i, v in enumerate(x)]
+    # A hair below and a hair above the threshold: only doubles can tell.
+    t = 0.98
+    rows += [(1, [1.0, 0.0], 2), (2, [t + 1e-12, float(np.sqrt(1 - (t + 1e-12) ** 2))], 2), (3, [t - 1e-10, -float(np.sqrt(1 - (t - 1e-10) ** 2))], 2)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_near_dedup(table).collect()}
+    for i, v, k in rows:
+        x, ids = np.array([np.array(w) / np.abs(w).max() for _, w, l in rows if l == k and len(w) == len(v)]), [j for j, w, l in rows if l == k and len(w) == len(v)]
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        assert got[i][0] == (x[ids.index(i)] @ x.T >= 0.98).sum() - 1
+
+
+def test_learned_codes_are_balanced():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((2000, 24)) * np.linspace(0.2, 3, 24) + 1
+    centred = x - x.mean(0)
+    r = embedding_dedup.learn_rotation(centred, rng)
+    assert np.allclose(r @ r.T, np.eye(24)) and abs((centred @ r >= 0).mean(0) - 0.5).max() < 0.06
+    loss = lambda q: ((np.where(centred @ q >= 0, 1, -1) - centred @ q) ** 2).sum()
+    assert loss(r) < loss(np.linalg.qr(rng.standard_normal((24, 24)))[0])
+
+
+def test_pattern_graph_scores(spark):
+    """Scores and trust against a plain computation of the same rounds."""
+    rng = random.Random(4)
+    edges = sorted({(f"p{rng.randrange(12)}", f"i{rng.randrange(30)}") for _ in range(90)})
+    seeds, made = {f"i{i}" for i in range(6)}, {f"i{i}" for i in range(4, 14)}
+    graph = spark.createDataFrame([(p, i, i in seeds, i in made) for p, i in edges], "pattern string, inst string, seed boolean, made boolean")
+    scored, trusted = (dict(map(tuple, x.collect())) for x in pii.score_graph(graph, 3, 0.6, 2))
+    start = {i: 1.0 if i in seeds else 0.5 if i in made else 0.0 for _, i in edges}
+    trust = dict(start)
+    some = lambda xs: 1 - np.prod([max(1 - x, 1e-9) for x in xs]) if xs else 0.0
+    for _ in range(3):
+        scores = {}
+        for p in {p for p, _ in edges}:
+            xs = [trust[i] for q, i in edges if q == p]
+            k = sum(x >= 0.5 for x in xs)
+            score = k / len(xs) * some(xs)
+            if k >= 2 and score >= 0.3:
+                scores[p] = score
+        trust = {i: max(start[i], some([scores[p] for p, j in edges if j == i and p in scores])) for i in start}
+    assert scored.keys() == scores.keys() and all(abs(scored[p] - scores[p]) < 1e-6 for p in scores)
+    assert trusted.keys() == trust.keys() and all(abs(trusted[i] - trust[i]) < 1e-6 for i in trust)
+
+
+def test_secrets_are_found_by_their_patterns(spark):
+    rng = random.Random(6)
+    run = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    word = lambda: run(6, "abcdefghij")
+    rows = [(i, f'{word()} token = "{run(40, "0123456789abcdef")}" {word()} {word()}', "s") for i in range(12)]
+    rows += [(100 + i, f"{word()} {word()} pw={run(18, '0123456789abcdef')} {word()}", "s") for i in range(12)]
+    rows += [(200 + i, f"{word()} {word()} KEYX{run(16, 'ABCDEFGHIJKLMNOP23456')} {word()}", "s") for i in range(12)]
+    rows += [(300 + i, f"{word()} in 2021{i:02d} and {word()} chapter{i}seven {word()}", "s") for i in range(12)]
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(docs(spark, rows)).collect()}
+    for i, t, _ in rows:
+        m = re.search(r"[0-9a-f]{18,}|KEYX\w+", t)
+        assert got[i] == (f"id:{m.start()}:{m.end()}" if i < 300 else ""), (t, got[i])
+
+
+def test_url_rules_against_plain_counting(spark):
+    """Every combination of tokens, counted; rules by support, confidence and cover; verdicts by trying all rules."""
+    import itertools
+
+    rng = random.Random(12)
+    urls = [f"http://{rng.choice('ab')}.{rng.choice('xyz')}.test/{rng.choice(['p', 'q'])}/{rng.choice(['u', 'v', 'w'])}" for _ in range(400)]
+    bad = [("a.x" in u or "/q/w" in u) ^ (rng.random() < 0.1) for u in urls]
+    table = spark.createDataFrame(list(zip(urls, bad)), "url string, bad boolean")
+    rules = url_filter.mine_rules(table.select("url"), table, support=0.02, least=5, confidence=0.75)
+    got = {tuple(r["items"]): r.confidence for r in rules.collect()}
+    items = {r.url: frozenset(r.t) for r in table.select("url", url_filter.tokens(F.col("url")).alias("t")).distinct().collect()}
+    every = frozenset.intersection(*(items[u] for u in urls))
+    count, wrong = collections.Counter(), collections.Counter()
+    for u, b in zip(urls, bad):
+        rest = sorted(items[u] - every)
+        for n in range(1, len(rest) + 1):
+            for c in itertools.combinations(rest, n):
+                count[c] += 1
+                wrong[c] += b
+    good = {c: wrong[c] / count[c] for c in count if wrong[c] >= 8 and wrong[c] / count[c] >= 0.75}
+    want = {c: x for c, x in good.items() if not any(set(d) < set(c) and good[d] >= x for d in good)}
+    assert got.keys() == want.keys() and want and all(abs(got[c] - want[c]) < 1e-9 for c in want)
+    hits = {r.url: r.confidence for r in url_filter.match_rules(table, rules).collect()}
+    best = {u: max((x for c, x in want.items() if set(c) <= items[u]), default=None) for u in items}
+    assert hits == {u: x for u, x in best.items() if x is not None}
+
+
+def test_quality_updates_against_a_dense_reference():
+    """The same updates written out over whole vectors."""
+    rng = np.random.default_rng(1)
+    examples = []
+    for _ in range(40):
+        index = np.sort(rng.choice(50, 6, replace=False))
+        examples.append((int(rng.integers(0, 2)), index.astype(np.int32), rng.random(6).astype(np.float32)))
+    got = quality.fit(examples, epochs=2)
+    d = quality.DIMENSIONS + 1
+    z, n = np.zeros(d), np.zeros(d)
+    for _ in range(2):
+        for y, index, v in examples:
+            x = np.zeros(d)
+            x[index], x[-1] = v, 1
+            w = np.where(np.abs(z) <= 1e-3, 0, -(z - np.sign(z) * 1e-3) / ((1 + np.sqrt(n)) / 0.5 + 1e-4))
+            g = (1 / (1 + np.exp(-(w @ x))) - y) * x
+            z += g - (np.sqrt(n + g * g) - np.sqrt(n)) / 0.5 * w
+            n += g * g
+    want = np.where(np.abs(z) <= 1e-3, 0, -(z - np.sign(z) * 1e-3) / ((1 + np.sqrt(n)) / 0.5 + 1e-4))
+    assert np.allclose(got, want, atol=1e-9)
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated ids and rows, empty and long texts, and an empty table."""
+    import corpus_pipeline as cp
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, text_2 string"
+    odd = [(None,) * 6, (None,) * 6, (1, None, None, None, None, "x"), (2, "", "en", "s", 0, "x"), (2, "two words", None, None, 9, "x"), (None, "mail a@b.example now", "en", None, 20, "x"), (4, "long " * 30000, "en", "s", None, "x"), (4, "long " * 30000, "en", "s", None, "x")]
+    for name, kind in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([(None, None, None)[: kind.count(",") + 1]], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    for rows in (odd, []):
+        now = spark.createDataFrame(rows, schema)
+        for name, stage in cp.STAGES:
+            out = stage(spark, now, str(tmp_path))
+            out.write.parquet(f"{tmp_path}/{name}-{len(rows)}")
+            now = spark.read.parquet(f"{tmp_path}/{name}-{len(rows)}")
+            assert now.count() == (len(rows) if name == "quality" or not rows else len(rows) - 1), name
