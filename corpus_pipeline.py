@@ -14,33 +14,31 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject (score 0.5 or more)."""
+    """Documents that the classifier does not reject (score 0.5 or more). Null and empty texts score as the model's
+    intercept does; without labels nothing is rejected. Repeated rows stay, and an empty table stays empty."""
     docs = docs.select(*COLUMNS)
     weights = quality.train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_quality(docs, weights)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id."""
-    docs = docs.select(*COLUMNS)
-    joined = ngram_join.ngram_jaccard_join(docs, 5, Fraction(4, 5))
-    # A repeated row of the document that stays goes too.
-    gone = joined.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the row with the smallest id, null
+    last; of repeated rows one. Null, empty and blank texts are in no group and all stay."""
+    return ngram_join.keep_one_of_each(docs.select(*COLUMNS), 5, Fraction(4, 5))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, their columns and repeats as they were; null and empty texts hold none."""
     return decontaminate.drop_leaks(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents, with personal data replaced by its kind, and n_chars that of the new text; null texts stay null."""
     return pii.redact_personal_data(docs.select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes, repeats counted."""
+    """How many words of each document the mix takes, repeats counted; 0 of null and empty texts. A row for each of docs."""
     return mixing.mix_sources(docs)
 
 
