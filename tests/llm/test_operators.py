@@ -558,3 +558,18 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
             out.write.parquet(f"{tmp_path}/{name}-{len(rows)}")
             now = spark.read.parquet(f"{tmp_path}/{name}-{len(rows)}")
             assert now.count() == (len(rows) if name == "quality" or not rows else len(rows) - 1), name
+
+
+@pytest.mark.parametrize("chunk", [3, 1 << 17])
+def test_components_against_plain_search(spark, chunk):
+    from loomlens.llm import graph
+
+    rng = random.Random(chunk)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(50)] + [(5, 5), (None, 7)]
+    low = {x: x for e in edges[:-2] for x in e}
+    for _ in low:
+        for a, b in edges[:-2]:
+            low[a] = low[b] = min(low[a], low[b])
+    alone = {a for a, b in edges[:-2] if a == b} - {x for a, b in edges[:-2] if a != b for x in (a, b)}
+    got = graph.components(spark.createDataFrame(edges, "a long, b long").repartition(4), chunk=chunk).collect()
+    assert {r.node: r.component for r in got} == {x: c for x, c in low.items() if x not in alone} and len({r.node for r in got}) == len(got)
