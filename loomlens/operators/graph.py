@@ -13,6 +13,18 @@ def resolve(refs: DataFrame, files: DataFrame) -> DataFrame:
     return refs.select("src", "ref").join(found, ["src", "ref"], "left")
 
 
+def resolve_ends(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """(src, ref, path): the one file that a path's end (src, ref, tail) means. Of files with the end's last name those
+    count whose path is the end, or ends in it after a slash; where none does and only one file has the name, that one.
+    Several leave it open. The join is by the last name, so nothing is compared with all files."""
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    bare = lambda c: F.regexp_replace(c, r"\.[^./]+$", "")
+    met = refs.withColumn("base", last("tail")).join(files.select("path", last("path").alias("base")), "base")
+    whole = (F.col("path") == F.col("tail")) | F.endswith("path", F.concat(F.lit("/"), "tail")) | F.endswith(bare("path"), F.concat(F.lit("/"), "tail"))
+    n = met.groupBy("src", "ref").agg(F.count("*").alias("n"), F.sum(whole.cast("int")).alias("fits"), F.min("path").alias("any"), F.min(F.when(whole, F.col("path"))).alias("fit"))
+    return n.where("fits = 1 or fits = 0 and n = 1").select("src", "ref", F.coalesce("fit", "any").alias("path"))
+
+
 def importance(edges: DataFrame) -> DataFrame:
     """(node, n_in, n_out, score) from distinct edges (src, dst)."""
     ends = edges.select(F.col("src").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))

@@ -12,17 +12,18 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from . import grammar
 from .spread import spread
 
 SYMBOLS_MAX, IMPORTS_MAX, SIGNATURE_MAX, DOC_MAX = 2000, 400, 200, 160
 
-# Languages by file ending.
+# Languages by file ending, and by name.
 ENDINGS = {
     "typescript": "ts tsx mts cts", "javascript": "js jsx mjs cjs", "python": "py pyi", "go": "go", "rust": "rs", "java": "java", "kotlin": "kt kts", "swift": "swift", "csharp": "cs",
-    "c": "c h", "cpp": "cc cpp cxx hpp hh", "ruby": "rb", "php": "php", "shell": "sh bash zsh", "sql": "sql", "css": "css scss less", "markdown": "md mdx", "json": "json", "yaml": "yml yaml", "toml": "toml", "html": "html htm",
+    "c": "c h", "cpp": "cc cpp cxx hpp hh", "ruby": "rb", "php": "php", "shell": "sh bash zsh", "sql": "sql", "css": "css scss less", "markdown": "md mdx", "json": "json jsonc", "yaml": "yml yaml", "toml": "toml", "html": "html htm vue svelte",
 }
 LANGUAGE = {ending: name for name, endings in ENDINGS.items() for ending in endings.split()}
-NAMES = {"makefile": "shell", "dockerfile": "shell", "gemfile": "ruby", "rakefile": "ruby"}
+NAMES = {"makefile": "shell", "dockerfile": "shell", ".bashrc": "shell", ".zshrc": "shell", "cargo.toml": "toml", "go.mod": "text"}
 
 
 @dataclass(frozen=True)
@@ -40,6 +41,8 @@ SYNTAX = {
     "sql": Syntax(("--",)), "yaml": Syntax(("#",), ()), "toml": Syntax(("#",), (), long=('"""', "'''")), "php": Syntax(("//", "#")), "rust": Syntax(quotes='"'), "swift": Syntax(quotes='"', long=('"""',)), "kotlin": Syntax(long=('"""',)), "css": Syntax(()),
 }
 TEXTUAL = ("markdown", "json", "html", "text")
+FLAT = ("shell", "sql")
+SCRIPT = ("typescript", "javascript")
 
 
 BEFORE_REGEX = frozenset("return typeof case in of void delete throw else do await yield".split())
@@ -133,27 +136,6 @@ def mask_source(source: str, language: str) -> str:
     return "".join(out)
 
 
-_MOD = r"(?:(?:export|default|declare|public|private|protected|internal|static|final|abstract|sealed|open|override|async|readonly|virtual|partial|data|pub(?:\([^)]*\))?|unsafe|const|extern)\s+)*"
-# Declarations: kind and pattern, the first that fits a masked line.
-DECLARATIONS: dict[str, list[tuple[str, str]]] = {
-    "js": [("class", rf"^\s*{_MOD}class\s+(\w+)"), ("interface", rf"^\s*{_MOD}interface\s+(\w+)"), ("enum", rf"^\s*{_MOD}enum\s+(\w+)"), ("type", rf"^\s*{_MOD}type\s+(\w+)\s*[=<]"), ("module", rf"^\s*{_MOD}namespace\s+([\w.]+)"), ("function", rf"^\s*{_MOD}function\s*\*?\s*(\w+)"), ("function", rf"^\s*{_MOD}(?:const|let|var)?\s*(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>"), ("constant", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)"), ("method", rf"^\s*{_MOD}(?:get\s+|set\s+|\*\s*)?(#?\w+)\s*(?:<[^>]*>)?\([^;]*\)?\s*(?::[^={{]+)?\{{\s*$"), ("property", rf"^\s*{_MOD}(#?\w+)\s*[?!]?\s*(?::[^=;]+)?[=;]")],
-    "python": [("class", r"^\s*class\s+(\w+)"), ("function", r"^\s*(?:async\s+)?def\s+(\w+)"), ("constant", r"^([A-Z][A-Z0-9_]*)\s*(?::[^=]+)?=")],
-    "go": [("method", r"^func\s+\([^)]*\)\s*(\w+)"), ("function", r"^func\s+(\w+)"), ("interface", r"^type\s+(\w+)\s+interface"), ("struct", r"^type\s+(\w+)\s+struct"), ("type", r"^type\s+(\w+)"), ("constant", r"^(?:const|var)\s+(\w+)")],
-    "rust": [("function", rf"^\s*{_MOD}fn\s+(\w+)"), ("struct", rf"^\s*{_MOD}struct\s+(\w+)"), ("enum", rf"^\s*{_MOD}enum\s+(\w+)"), ("interface", rf"^\s*{_MOD}trait\s+(\w+)"), ("class", r"^\s*impl(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?(\w+)"), ("module", rf"^\s*{_MOD}mod\s+(\w+)"), ("type", rf"^\s*{_MOD}type\s+(\w+)"), ("constant", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(\w+)")],
-    "java": [("class", rf"^\s*{_MOD}(?:class|record|object|struct|extension|actor)\s+(\w+)"), ("interface", rf"^\s*{_MOD}(?:interface|protocol)\s+(\w+)"), ("enum", rf"^\s*{_MOD}enum\s+(?:class\s+)?(\w+)"), ("module", rf"^\s*{_MOD}namespace\s+([\w.]+)"), ("function", rf"^\s*{_MOD}(?:fun|func)\s+(?:<[^>]*>\s*)?(\w+)"), ("method", rf"^\s*{_MOD}[\w<>\[\],.?]+\s+(\w+)\s*\([^;]*\)?[^;=]*\{{\s*$")],
-    "c": [("struct", r"^\s*(?:typedef\s+)?(?:struct|union)\s+(\w+)"), ("class", r"^\s*(?:template\s*<[^>]*>\s*)?class\s+(\w+)"), ("enum", r"^\s*enum\s+(?:class\s+)?(\w+)"), ("module", r"^\s*namespace\s+(\w+)"), ("constant", r"^\s*#\s*define\s+(\w+)"), ("function", r"^\s*(?:[\w:*&<>~]+\s+)+\*?([\w:~]+)\s*\([^;]*\)?[^;=]*\{?\s*$")],
-    "ruby": [("class", r"^\s*class\s+(\w+)"), ("module", r"^\s*module\s+(\w+)"), ("function", r"^\s*def\s+(?:self\.)?(\w+[?!=]?)"), ("constant", r"^\s*([A-Z][A-Z0-9_]*)\s*=")],
-    "php": [("class", rf"^\s*{_MOD}(?:class|trait)\s+(\w+)"), ("interface", rf"^\s*{_MOD}interface\s+(\w+)"), ("enum", rf"^\s*{_MOD}enum\s+(\w+)"), ("function", rf"^\s*{_MOD}function\s+&?(\w+)"), ("constant", r"^\s*const\s+(\w+)")],
-    "shell": [("function", r"^\s*function\s+([\w-]+)"), ("function", r"^\s*([\w-]+)\s*\(\)")],
-    "sql": [("function", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:function|procedure)\s+([\w.]+)"), ("type", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:table|view|index)\s+(?:if\s+not\s+exists\s+)?([\w.]+)")],
-    "css": [("type", r"^\s*([.#@]?[\w-][^{;]*?)\s*\{")],
-}
-FAMILY = {"typescript": "js", "javascript": "js", "kotlin": "java", "swift": "java", "csharp": "java", "cpp": "c"}
-RESERVED = frozenset("if for while switch catch return else do try with function new typeof await super elif case when until".split())
-CONTAINERS = frozenset(("class", "interface", "enum", "module", "struct", "type"))
-_COMPILED = {k: [(kind, re.compile(p)) for kind, p in v] for k, v in DECLARATIONS.items()}
-
-
 @dataclass
 class Symbol:
     name: str
@@ -167,15 +149,6 @@ class Symbol:
     indent: int = field(default=0, repr=False)
 
 
-def _declared(family: str, line: str, inside: str | None) -> tuple[str, str] | None:
-    for kind, pattern in _COMPILED[family]:
-        if kind in ("method", "property") and family != "go" and inside not in CONTAINERS:
-            continue
-        if (m := pattern.match(line)) and m[1] not in RESERVED:
-            return ("method" if kind == "function" and inside in CONTAINERS and inside != "module" else kind), m[1]
-    return None
-
-
 def _exported(language: str, line: str, name: str, parent: Symbol | None) -> bool:
     if parent and not parent.exported:
         return False
@@ -206,6 +179,10 @@ def _doc(lines: list[str], at: int) -> str | None:
     return next((x[:DOC_MAX] for x in reversed(found) if x and not x.startswith("@")), None)
 
 
+def _signature(head: str) -> str:
+    return " ".join(head.split()).rstrip(" ;:,{")[:SIGNATURE_MAX]
+
+
 def extract_symbols(source: str, language: str) -> list[Symbol]:
     """Declarations in order, with their extents, depth among each other and visibility."""
     raw = source.split("\n")
@@ -222,8 +199,13 @@ def extract_symbols(source: str, language: str) -> list[Symbol]:
         key = re.compile(r"^([A-Za-z_][\w.-]*)\s*:" if language == "yaml" else r"^\[+([^\]]+)\]+")
         heads = [(i, m[1]) for i, line in enumerate(mask_source(source, language).split("\n"), 1) if (m := key.match(line))]
         return [Symbol(n, "property", i, (heads[k + 1][0] - 1 if k + 1 < len(heads) else len(raw)), 0, raw[i - 1].strip(), True) for k, (i, n) in enumerate(heads)][:SYMBOLS_MAX]
-    family = FAMILY.get(language, language)
-    if family not in _COMPILED:
+    if language in FLAT:
+        lines = mask_source(source, language).split("\n")
+        heads = [(i, said) for i, line in enumerate(lines, 1) if (said := grammar.flat(language, line))]
+        last = max((k + 1 for k, x in enumerate(lines) if x.strip()), default=len(lines))
+        ends = [*(i - 1 for i, _ in heads[1:]), last]
+        return [Symbol(name, kind, i, max(i, end), 0, _signature(raw[i - 1]), _exported(language, raw[i - 1], name, None), _doc(raw, i - 1)) for (i, (kind, name)), end in zip(heads, ends)][:SYMBOLS_MAX]
+    if language not in grammar.GRAMMAR and language != "css":
         return []
     lines = mask_source(source, language).split("\n")
     found: list[Symbol] = []
@@ -239,15 +221,14 @@ def extract_symbols(source: str, language: str) -> list[Symbol]:
                 s.end_line = next((k + 1 for k in range(i - 1, -1, -1) if lines[k].strip()), s.start_line)
         parent = open_[-1][0] if open_ else None
         # Bodies of functions are not searched, those of containers are.
-        searched = parent is None or parent.kind in CONTAINERS and (by_indent or level == open_[-1][1] + 1)
-        said = _declared(family, line, parent.kind if parent else None) if searched or by_indent and parent else None
+        searched = parent is None or parent.kind in grammar.CONTAINERS and (by_indent or level == open_[-1][1] + 1)
+        said = grammar.declared(language, line, parent.kind if parent else None) if searched or by_indent and parent else None
         if said and (by_indent or parent or level == 0):
             head, k = raw[i].strip(), i
             while not re.search(r"[{;:]\s*$|=>", lines[k]) and k + 1 < min(len(lines), i + 5) and head.count("(") > head.count(")"):
                 k += 1
                 head += " " + raw[k].strip()
-            signature = re.sub(r"[\s;:,{]+$", "", re.sub(r"\s+", " ", head))[:SIGNATURE_MAX]
-            s = Symbol(said[1], said[0], i + 1, i + 1, len(open_), signature, _exported(language, raw[i], said[1], parent), _doc(raw, i))
+            s = Symbol(said[1], said[0], i + 1, i + 1, len(open_), _signature(head), _exported(language, raw[i], said[1], parent), _doc(raw, i))
             found.append(s)
             if by_indent and s.kind != "constant":
                 open_.append((s, level))
@@ -263,65 +244,47 @@ def extract_symbols(source: str, language: str) -> list[Symbol]:
                     level = max(0, level - 1)
                     if open_ and level == open_[-1][1]:
                         open_.pop()[0].end_line = i + 1
-    if family == "js":
+    if language in SCRIPT:
         for i, line in enumerate(raw):
-            if lines[i].strip() and (m := re.match(r"""\s*export\s+(?:type\s+)?(?:\*|\{)[^'"]*\bfrom\s*['"]([^'"]+)['"]""", line)):
-                found.append(Symbol(m[1], "module", i + 1, i + 1, 0, re.sub(r"[\s;]+$", "", line.strip())[:SIGNATURE_MAX], False))
+            if lines[i].lstrip().startswith("export") and lines[i].split("export", 1)[1].lstrip()[:1] in ("*", "{", "t"):
+                found += [Symbol(said, "module", i + 1, i + 1, 0, _signature(line), False) for said, _ in grammar.imported(language, line)]
         found.sort(key=lambda s: s.start_line)
     for s, _ in open_:
         s.end_line = max(s.start_line, len(lines) - (lines[-1].strip() == ""))
     return found[:SYMBOLS_MAX]
 
 
-_IMPORTS = {
-    "js": r"""^\s*(?:import|export)\b[^'"]*?(?:from\s*)?['"]([^'"]+)['"]|\b(?:require|import)\(\s*['"]([^'"]+)['"]\s*\)""",
-    "python": r"^\s*(?:from\s+([.\w]+)\s+import\b|import\s+([\w.]+))",
-    "go": r"""^\s*(?:import\s+)?(?:[\w.]+\s+)?"([^"]+)"\s*$""",
-    "rust": r"^\s*(?:pub\s+)?(?:use\s+([\w:]+)|mod\s+(\w+)\s*;)",
-    "java": r"^\s*(?:import|using)\s+(?:static\s+)?([\w.]+)",
-    "c": r"""^\s*#\s*include\s*[<"]([^>"]+)[>"]""",
-    "ruby": r"""^\s*require(?:_relative)?\s*\(?['"]([^'"]+)['"]""",
-    "php": r"""^\s*(?:use\s+([\w\\]+)|(?:require|include)(?:_once)?\s*\(?['"]([^'"]+)['"])""",
-    "css": r"""^\s*@import\s+(?:url\()?['"]([^'"]+)['"]""",
-    "shell": r"^\s*(?:source|\.)\s+(\S+)",
-}
-_IMPORTS = {k: re.compile(v) for k, v in _IMPORTS.items()}
-
-
 def extract_imports(source: str, language: str) -> list[tuple[str, int, list[str]]]:
     """(specifier, first line, local names), once for each specifier; lines that are comments or strings are skipped."""
-    family = FAMILY.get(language, language)
-    if family not in _IMPORTS:
-        return []
     found: dict[str, tuple[int, list[str]]] = {}
-    in_block = False
+    block = False
     for i, (line, plain) in enumerate(zip(source.split("\n"), mask_source(source, language).split("\n"), strict=True), 1):
-        if family == "go":
-            if re.match(r"\s*import\s*\(", plain):
-                in_block = True
-                continue
-            if in_block and plain.strip() == ")":
-                in_block = False
-            if not in_block and not plain.lstrip().startswith("import"):
+        if language == "go":
+            bare = plain.split()
+            if bare[:1] == [")"]:
+                block = False
+            if not block and bare[:1] not in (["import"], ["import("]):
                 continue
-        if not plain.strip() and family != "go":
+            block |= "import(" in "".join(bare)
+        elif not plain.strip():
             continue
-        if not (m := _IMPORTS[family].search(line)):
-            continue
-        names: list[str] = []
-        if family == "js":
-            clause = re.sub(r"^\s*(?:import|export)\s+(?:type\s+)?", "", line[: m.start(1) - 1] if m[1] else "")
-            inner = re.search(r"\{([^}]*)\}", clause)
-            parts = [*(inner[1].split(",") if inner else []), *re.sub(r"\{[^}]*\}|\bfrom\b", "", clause).split(",")]
-            names = [re.split(r"\s+as\s+", re.sub(r"^\s*type\s+", "", x).strip())[-1].strip() for x in parts]
-        elif family == "python":
-            tail = line.split(" import ", 1)[1] if m[1] and " import " in line else ""
-            names = [re.split(r"\s+as\s+", x.strip(" ()"))[-1] for x in tail.split("#")[0].split(",")]
-        at = found.setdefault(next(x for x in m.groups() if x), (i, []))
-        at[1].extend(x for x in names if re.fullmatch(r"[\w$]+", x) and x not in at[1])
+        for specifier, names in grammar.imported(language, line):
+            at = found.setdefault(specifier, (i, []))
+            at[1].extend(x for x in names if x not in at[1])
     return [(k, i, names) for k, (i, names) in found.items()][:IMPORTS_MAX]
 
 
+def listed_exports(source: str) -> list[str]:
+    """Names that `export { .. }` lists give to the outside, wherever they stand."""
+    names = []
+    for after in source.split("export")[1:]:
+        inner = after.lstrip().removeprefix("type").lstrip()
+        if inner.startswith("{") and "}" in inner:
+            parts = (x.split() for x in inner[1 : inner.index("}")].split(","))
+            names += [p[-1] for p in parts if p and re.fullmatch(r"[\w$]+", p[-1])]
+    return names
+
+
 SCHEMA = """path string, language string, line_count int, symbols array<struct<name:string,kind:string,start_line:int,end_line:int,depth:int,signature:string,exported:boolean,doc:string>>,
 imports array<struct<specifier:string,line:int,names:array<string>>>, exports array<string>"""
 
@@ -330,9 +293,8 @@ def parse(path: str, content: str) -> dict:
     language = detect_language(path)
     symbols = extract_symbols(content, language)
     exports = [s.name for s in symbols if s.exported and s.depth == 0]
-    if FAMILY.get(language) == "js":
-        for inner in re.findall(r"export\s*\{([^}]*)\}", content):
-            exports += [re.split(r"\s+as\s+", x.strip())[-1] for x in inner.split(",") if x.strip()]
+    if language in SCRIPT:
+        exports += listed_exports(content)
     return {
         "path": path, "language": language, "line_count": content.count("\n") + (content != "" and not content.endswith("\n")), "exports": list(dict.fromkeys(exports)),
         "symbols": [{k: getattr(s, k) for k in ("name", "kind", "start_line", "end_line", "depth", "signature", "exported", "doc")} for s in symbols],

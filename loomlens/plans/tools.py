@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from loomlens.functions import text as tx
 from loomlens.operators import graph, index, logs, parse, spans
 
-# Endings tried for an import without one, in order, and names of directory indexes.
+# Endings tried for an import without one, in order; names of directory indexes; manifests; folders that
+# hold packages; stems of entry points.
 TRY = {
     "typescript": [".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs"],
     "javascript": [".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx"],
@@ -25,51 +26,89 @@ TRY = {
     "cpp": [".hpp", ".h", ".cpp", ".cc"],
     "rust": [".rs"],
     "css": [".css", ".scss"],
+    "go": [".go"],
+    "java": [".java"],
+    "kotlin": [".kt"],
+    "csharp": [".cs"],
 }
-STEM = {"typescript": "index", "javascript": "index", "python": "__init__", "rust": "mod"}
+STEM = {"typescript": "index", "javascript": "index", "ruby": "index", "python": "__init__", "rust": "mod"}
 MANIFESTS = ("package.json", "Cargo.toml", "go.mod", "pyproject.toml")
 GROUPS = ("packages", "apps", "services", "libs", "modules", "crates", "plugins")
 ENTRIES = ("index", "main", "app", "server", "cli", "mod", "__init__", "__main__", "lib", "setup")
+SCRIPT_ENDINGS = (".js", ".mjs", ".cjs", ".jsx")
+PYTHON_ROOTS = ("", "src", "lib", "app")
+#: Crates that come with the language.
+RUST_OUTSIDE = ("std", "core", "alloc")
+#: Languages whose imports are dotted paths, looked up by their end.
+DOTTED = ("java", "kotlin", "csharp", "go")
 
 
-def candidates(path: str, language: str, specifier: str) -> list[str]:
-    """Paths that an import may mean, the best first; none for what lies outside the tree."""
-    here, endings, stem = posixpath.dirname(path), TRY.get(language, []), STEM.get(language)
-
-    def tried(base: str) -> list[str]:
-        base = posixpath.normpath(base)
-        if base.startswith(".."):
-            return []
-        bare = re.sub(r"\.[mc]?jsx?$", "", base)
-        stems = [bare, base] if bare != base else [base]
-        return [base, *(s + e for s in stems for e in endings), *([f"{base}/{stem}{e}" for e in endings] if stem else [])]
+def _bases(path: str, language: str, specifier: str) -> list[str]:
+    """Paths without endings that an import may mean, the best first; none for what lies outside the tree.
 
+    A specifier is a way up (as many folders as it says), then names: each language only differs in how it spells that
+    and in which folders it may start.
+    """
+    folders = path.split("/")[:-1]
     if language in ("typescript", "javascript"):
-        return tried(posixpath.join(here, specifier)) if specifier.startswith(".") else tried(specifier[1:]) if specifier.startswith("/") else []
+        if specifier[:1] not in (".", "/"):
+            return []
+        return [specifier.lstrip("/") if specifier[0] == "/" else "/".join([*folders, specifier])]
     if language == "python":
-        dots = len(specifier) - len(specifier.lstrip("."))
-        rest = specifier.lstrip(".").replace(".", "/")
-        if dots:
-            return tried(posixpath.join(here, *[".."] * (dots - 1), rest))
-        return [x for root in ("", "src/", "lib/", "app/") for x in tried(root + rest)]
+        names = specifier.lstrip(".")
+        up, tail = len(specifier) - len(names), names.split(".") if names else []
+        if up:
+            return ["/".join([*folders, *[".."] * (up - 1), *tail])]
+        return ["/".join(filter(None, [root, *tail])) for root in PYTHON_ROOTS]
     if language == "rust":
-        parts = [p for p in specifier.split("::") if p]
-        if parts[:1] == ["crate"]:
-            base, parts = re.match(r"(.*?src)(/|$)", path)[1] if "src/" in path else here, parts[1:]
-        elif parts[:1] == ["super"]:
-            base, parts = posixpath.dirname(here), parts[1:]
-        else:
-            base, parts = here, parts[1:] if parts[:1] == ["self"] else parts
-        return [x for k in range(len(parts), 0, -1) for x in tried(posixpath.join(base, *parts[:k]))]
+        names = [x for x in specifier.split("::") if x]
+        if not names or names[0] in RUST_OUTSIDE:
+            return []
+        # A module file stands beside its folder; only mod, lib and main speak for the folder they are in.
+        if path.rpartition("/")[2].partition(".")[0] not in ("mod", "lib", "main") and names[0] in ("self", "super"):
+            folders = [*folders, path.rpartition("/")[2].partition(".")[0]]
+        top = folders[: folders.index("src") + 1] if "src" in folders else folders[:0]
+        start = {"crate": top, "self": folders, "super": folders}.get(names[0], folders)
+        while names and names[0] in ("crate", "self", "super"):
+            start = start[:-1] if names[0] == "super" else start
+            names = names[1:]
+        # What is imported may be a thing inside a module: ever shorter, down to the folder itself.
+        return ["/".join([*start, *names[:k]]) for k in range(len(names), -1, -1)]
     if language in ("c", "cpp", "css", "ruby", "php", "shell"):
-        return tried(posixpath.join(here, specifier))
+        return ["/".join([*folders, specifier.replace("\\", "/")])]
     return []
 
 
+def candidates(path: str, language: str, specifier: str) -> list[str]:
+    """Paths of files that an import may mean, the best first."""
+    endings, found = TRY.get(language, []), []
+    for base in map(posixpath.normpath, _bases(path, language, specifier)):
+        if base == ".." or base.startswith("../"):
+            continue
+        base = "" if base == "." else base
+        stem, ending = posixpath.splitext(base)
+        names = [stem, base] if ending in SCRIPT_ENDINGS and language in ("typescript", "javascript") else [base]
+        inside = [posixpath.join(base, STEM[language] + e) for e in endings or [".rb"]] if language in STEM else []
+        found += [base, *(name + e for name in names if name for e in endings), *inside]
+    return [x for x in dict.fromkeys(found) if x]
+
+
+def ends(language: str, specifier: str) -> str | None:
+    """The end of the path of the file that an import of a dotted or bare language means; null where there is no such rule."""
+    if language in DOTTED:
+        names = [x for x in re.split(r"[./]" if language != "go" else "/", specifier.removesuffix("*")) if x]
+        return "/".join(names) + TRY[language][0] if names and language != "go" else None
+    if language == "python" and not specifier.startswith("."):
+        return specifier.replace(".", "/") + ".py"
+    if language in ("c", "cpp", "ruby", "php"):
+        return specifier.replace("\\", "/").lstrip("./") or None
+    return None
+
+
 def _references(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        rows = [(p, i["specifier"], candidates(p, lang, i["specifier"])) for p, lang, imports in zip(f["path"], f["language"], f["imports"], strict=True) for i in imports]
-        yield pd.DataFrame(rows, columns=["src", "ref", "candidates"])
+        rows = [(p, i["specifier"], candidates(p, lang, i["specifier"]), ends(lang, i["specifier"])) for p, lang, imports in zip(f["path"], f["language"], f["imports"], strict=True) for i in imports]
+        yield pd.DataFrame(rows, columns=["src", "ref", "candidates", "tail"])
 
 
 class Index:
@@ -87,12 +126,11 @@ class Index:
     @functools.cached_property
     def resolved(self) -> DataFrame:
         """(src, ref, dst): ordered candidates first; then a unique file that the specifier is the end of."""
-        refs = self.parsed.select("path", "language", "imports").mapInPandas(_references, "src string, ref string, candidates array<string>")
+        refs = self.parsed.select("path", "language", "imports").mapInPandas(_references, "src string, ref string, candidates array<string>, tail string")
         first = graph.resolve(refs, self.files.select("path"))
-        base = self.files.select("path", F.element_at(F.split("path", "/"), -1).alias("base"))
-        loose = first.where("dst is null and ref not like '.%' and ref like '%.%'").select("src", "ref", F.element_at(F.split("ref", "/"), -1).alias("base"))
-        one = loose.join(base, "base").where("path = ref or path like concat('%/', ref)").groupBy("src", "ref").agg(F.min("path").alias("path"), F.count("*").alias("n")).where("n = 1")
-        return first.join(one.drop("n"), ["src", "ref"], "left").select("src", "ref", F.coalesce("dst", "path").alias("dst"))
+        loose = refs.where("tail is not null").select("src", "ref", "tail").join(first.where("dst is null").select("src", "ref"), ["src", "ref"])
+        one = graph.resolve_ends(loose, self.files.select("path"))
+        return first.join(one, ["src", "ref"], "left").select("src", "ref", F.coalesce("dst", "path").alias("dst"))
 
     @functools.cached_property
     def edges(self) -> DataFrame:

@@ -96,10 +96,14 @@ def test_masks_keep_the_shape(language):
 
 
 def test_ignore_rules():
-    ig = workspace.Ignore().add("node_modules/\n*.log\n/only-root.txt\nbuild\n!keep.log\ndocs/**/*.tmp\n# no\n\\#yes\n").add("secret.txt", "packages/app")
-    for path, is_dir, want in [("node_modules", True, True), ("deep/node_modules", True, True), ("node_modules", False, False), ("a/b/debug.log", False, True), ("only-root.txt", False, True), ("nested/only-root.txt", False, False), ("build/x/y.ts", False, True), ("src/index.ts", False, False), ("keep.log", False, False), ("docs/a.tmp", False, True), ("docs/a/b/c.tmp", False, True), ("other/a.tmp", False, False), ("packages/app/secret.txt", False, True), ("packages/other/secret.txt", False, False), ("#yes", False, True), ("node_modules/a/b.js", False, True)]:
-        assert ig.ignores(path, is_dir) is want, path
-    assert workspace.compile_rule("# x") is None and workspace.compile_rule("  ") is None
+    """Each rule by itself, then together: the last that fits decides."""
+    ig = workspace.Ignore().add("cache/\n*.bak\n/top.md\nout\n!spare.bak\nart/**/*.psd\n# remark\n\\#real\n").add("own.key", "apps/till")
+    for path, want in {
+        "cache/": True, "x/y/cache/": True, "cache": False, "cache/deep/er.txt": True, "x/z.bak": True, "spare.bak": False, "top.md": True, "x/top.md": False, "out/a/b.c": True, "lib/out.c": False,
+        "art/a.psd": True, "art/x/y/b.psd": True, "x/a.psd": False, "apps/till/own.key": True, "apps/desk/own.key": False, "#real": True, "# remark": False,
+    }.items():
+        assert ig.ignores(path.rstrip("/"), path.endswith("/")) is want, path
+    assert workspace.compile_rule("# remark") is None and workspace.compile_rule(" \t") is None
 
 
 def test_workspace(spark, tmp_path):
