@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlens.sources.shared import written
+
 
 def resolve(refs: DataFrame, files: DataFrame) -> DataFrame:
     """(src, ref, dst): for each reference its first candidate that exists; null if none. refs: src, ref, candidates."""
@@ -13,14 +15,16 @@ def resolve(refs: DataFrame, files: DataFrame) -> DataFrame:
     return refs.select("src", "ref").join(found, ["src", "ref"], "left")
 
 
-def resolve_ends(refs: DataFrame, files: DataFrame) -> DataFrame:
+def resolve_ends(refs: DataFrame, files: DataFrame, endings: bool = True) -> DataFrame:
     """(src, ref, path): the one file that a path's end (src, ref, tail) means. Of files with the end's last name those
     count whose path is the end, or ends in it after a slash; where none does and only one file has the name, that one.
-    Several leave it open. The join is by the last name, so nothing is compared with all files."""
+    Several leave it open. With `endings` a path also ends as it does without its ending. The join is by the last name, so
+    nothing is compared with all files."""
     last = lambda c: F.element_at(F.split(c, "/"), -1)
     bare = lambda c: F.regexp_replace(c, r"\.[^./]+$", "")
     met = refs.withColumn("base", last("tail")).join(files.select("path", last("path").alias("base")), "base")
-    whole = (F.col("path") == F.col("tail")) | F.endswith("path", F.concat(F.lit("/"), "tail")) | F.endswith(bare("path"), F.concat(F.lit("/"), "tail"))
+    whole = (F.col("path") == F.col("tail")) | F.endswith("path", F.concat(F.lit("/"), "tail"))
+    whole = whole | F.endswith(bare("path"), F.concat(F.lit("/"), "tail")) if endings else whole
     n = met.groupBy("src", "ref").agg(F.count("*").alias("n"), F.sum(whole.cast("int")).alias("fits"), F.min("path").alias("any"), F.min(F.when(whole, F.col("path"))).alias("fit"))
     return n.where("fits = 1 or fits = 0 and n = 1").select("src", "ref", F.coalesce("fit", "any").alias("path"))
 
@@ -33,11 +37,14 @@ def importance(edges: DataFrame) -> DataFrame:
 
 
 def walk(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(node, hop): nodes within depth steps along src -> dst, with the fewest steps. Each round joins only the new
-    frontier and leaves out what was seen."""
-    seen = frontier = start.select("node").distinct().withColumn("hop", F.lit(0))
+    """(node, hop): nodes within depth steps along src -> dst, with the fewest steps. Edges are written once and each
+    frontier too, so a round joins the new frontier alone, and the walk ends where nothing new is met."""
+    edges = written(edges.select("src", "dst"), "edges")
+    seen = frontier = written(start.select("node").distinct().withColumn("hop", F.lit(0)), "frontier")
     for hop in range(1, depth + 1):
         step = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop))
+        frontier = written(step.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop)), "frontier")
+        if frontier.head() is None:
+            break
         seen = seen.unionByName(frontier)
     return seen

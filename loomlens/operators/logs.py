@@ -18,54 +18,76 @@ def _rows(df: DataFrame, source: str, severity: Column, file: Column, line: Colu
     return df.select("log_id", "line_no", level.alias("severity"), blank(file).alias("file"), line.try_cast("int").alias("line"), col.try_cast("int").alias("col"), blank(code).alias("code"), message.alias("message"), F.lit(source).alias("source"))
 
 
+#: Pieces of the forms: a file, a line, a place in a line.
+_FILE, _LINE, _PLACE = r"([^\s:]+)", r":(\d+)", r":(\d+)(?::(\d+))?"
+#: Rank, source, form of a line without the white space around it, and by group number or as it stands: severity, file,
+#: line, column, code, message. The lowest rank is the most specific; GENERIC gives way to all.
+GENERIC = 9
+FORMS = (
+    (0, "tsc", r"^(.+?)\((\d+),(\d+)\): (error|warning) (TS\d+): (.*)$", (4, 1, 2, 3, 5, 6)),
+    (0, "tsc", r"^(.+?):(\d+):(\d+) - (error|warning) (TS\d+): (.*)$", (4, 1, 2, 3, 5, 6)),
+    (4, "pytest", r"^FAILED\s+" + _FILE + r"(?:::(\S+))?(?:\s+-\s+(.+))?$", ("error", 1, "", "", 2, 3)),
+    (4, "pytest", r"^([^\s:]+\.py)" + _LINE + r":\s+([A-Z]\w*(?:Error|Exception)\b.*)$", ("error", 1, 2, "", "", 3)),
+    (6, "go", r"^(?:vet:\s+)?(?:\./)?([^\s:]+\.go)" + _PLACE + r":\s*(.+)$", ("error", 1, 2, 3, "", 4)),
+    (6, "go", r"^--- FAIL:\s+(\S+)", ("error", "", "", "", 1, 1)),
+    (7, "maven", r"^\[(ERROR|WARNING)\]\s+([^\s:]+\.(?:java|kt)):\[(\d+),(\d+)\]\s*(.+)$", (1, 2, 3, 4, "", 5)),
+    (GENERIC, "generic", r"(?i)^([^\s:][^:]*?)" + _PLACE + r":?\s*(error|warning|note)(?:\[([^\]]+)\])?:\s*(.+)$", (4, 1, 2, 3, 5, 6)),
+    (GENERIC, "generic", r"^(?:\S+\s)?(?:Error|FATAL|Exception)\s*:\s*(.+)$", ("error", "", "", "", "", 1)),
+)
+#: Signs that test runners put before the title of a failure; a title of that name is none.
+MARKS, NO_TITLE = r"^\s*(?:●|×|✕|✗|FAIL)\s+(.+?)\s*$", "console"
+TITLE_REACH, HEAD_REACH = 24, 3
+
+
 def diagnostics(log: DataFrame) -> DataFrame:
     """Problems that compilers, linters and test runners report; what a specific form found beats the generic form.
 
     Context is carried by windows over a log's lines: the file above (fill forward), the next location within a bound,
-    and the traceback that a line belongs to (running count).
+    and the traceback that a line belongs to (running count). A head without a location is a problem without a place.
     """
     w = Window.partitionBy("log_id").orderBy("line_no")
     none = F.lit("")
     found = []
-
-    def add(rank: int, pattern: str, source: str, severity, file, line, col, code, message) -> None:
-        pick = lambda i: _x(pattern, i) if isinstance(i, int) else F.lit(i)
-        found.append(_rows(log.where(F.col("text").rlike(pattern)), source, pick(severity), pick(file), pick(line), pick(col), pick(code), pick(message)).withColumn("rank", F.lit(rank)))
-
-    add(0, r"^(.+?)\((\d+),(\d+)\): (error|warning) (TS\d+): (.*)$", "tsc", 4, 1, 2, 3, 5, 6)
-    add(0, r"^(.+?):(\d+):(\d+) - (error|warning) (TS\d+): (.*)$", "tsc", 4, 1, 2, 3, 5, 6)
-    lint = r"^\s+(\d+):(\d+)\s+(error|warning)\s+(.*?)\s{2,}(\S+)\s*$"
-    above = F.last(F.when(F.col("text").rlike(r"^(?:[A-Za-z]:)?[/\w.][^\s:]*\.\w+$"), F.col("text")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    bare = log.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
+    for rank, source, pattern, picks in FORMS:
+        severity, file, line, col, code, message = (_x(pattern, i) if isinstance(i, int) else F.lit(i) for i in picks)
+        if source == "pytest":
+            message = F.when(message == "", "test failed").otherwise(message)
+        if pattern.startswith("^---"):
+            message = F.concat(F.lit("test failed: "), message)
+        found.append(_rows(bare.where(F.col("text").rlike(pattern)), source, F.lower(severity), file, line, col, code, message).withColumn("rank", F.lit(rank)))
+
+    lint = r"^\s+(\d+):(\d+)\s+(error|warning)\s+(.*?\S)(?:\s{2,}([\w@/-]+))?\s*$"
+    above = F.last(F.when(F.col("text").rlike(r"^(?:[A-Za-z]:)?[/\w.][^\s:]*\.\w+\s*$"), F.rtrim("text")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     linted = log.withColumn("above", above).where(F.col("text").rlike(lint) & F.col("above").isNotNull())
     found.append(_rows(linted, "eslint", _x(lint, 3), F.col("above"), _x(lint, 1), _x(lint, 2), _x(lint, 5), _x(lint, 4)).withColumn("rank", F.lit(1)))
-    head, arrow = r"^(error|warning)(?:\[(E\d+)\])?: (.*)$", r"^\s*--> (.+?):(\d+):(\d+)"
-    ahead = [F.when(F.lead("text", i).over(w).rlike(arrow), F.lead("text", i).over(w)) for i in (1, 2, 3)]
-    cargo = log.withColumn("at", F.coalesce(*ahead)).where(F.col("text").rlike(head) & F.col("at").isNotNull())
-    found.append(_rows(cargo, "cargo", _x(head, 1), F.regexp_extract("at", arrow, 1), F.regexp_extract("at", arrow, 2), F.regexp_extract("at", arrow, 3), _x(head, 2), _x(head, 3)).withColumn("rank", F.lit(2)))
+
+    # An arrow's line: the file, its line and column are what colons part after it.
+    ahead = [F.when(F.ltrim(F.lead("text", i).over(w)).startswith("-->"), F.trim(F.substring_index(F.lead("text", i).over(w), "-->", -1))) for i in range(1, HEAD_REACH + 1)]
+    head = r"^(error|warning)(\[E\d+\])?:\s*(\S.*)$"
+    cargo = bare.withColumn("at", F.split(F.coalesce(*ahead), ":")).where(F.col("text").rlike(head))
+    part = lambda i: F.coalesce(F.get("at", F.lit(i)), none)
+    found.append(_rows(cargo, "cargo", _x(head, 1), part(0), part(1), part(2), F.translate(_x(head, 2), "[]", ""), _x(head, 3)).withColumn("rank", F.lit(2)))
+
     frame, raised = r'^\s*File "(.+?)", line (\d+)', r"^([A-Za-z_][\w.]*(?:Error|Exception|Interrupt|Warning|Exit)): ?(.*)$"
-    part = F.sum(F.col("text").startswith("Traceback").cast("int")).over(w)
-    tb = log.withColumn("part", part).where("part > 0")
+    tb = log.withColumn("part", F.sum(F.col("text").startswith("Traceback").cast("int")).over(w)).where("part > 0")
     own = Window.partitionBy("log_id", "part").orderBy("line_no")
     project = F.col("text").rlike(frame) & ~F.col("text").rlike(r"site-packages|/lib/python|<frozen")
     tb = tb.withColumn("frame", F.last(F.when(project, F.col("text")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
     tb = tb.where(F.col("text").rlike(raised)).withColumn("n", F.row_number().over(own)).where("n = 1")
     found.append(_rows(tb, "python", F.lit("error"), F.coalesce(F.regexp_extract("frame", frame, 1), none), F.coalesce(F.regexp_extract("frame", frame, 2), none), none, _x(raised, 1), _x(raised, 2)).withColumn("rank", F.lit(3)))
-    add(4, r"^FAILED (.+?)::(\S+)(?: - (.*))?$", "pytest", "error", 1, "", "", 2, 3)
-    add(4, r"^(\S+\.py):(\d+): (\w*(?:Error|Exception))\s*$", "pytest", "error", 1, 2, "", 3, 3)
-    title, place = r"^\s*● (.+)$", r"\(?([^\s()]+\.[jt]sx?):(\d+):(\d+)\)?"
-    ahead = [F.when(F.lead("text", i).over(w).rlike(r"^\s+at .*" + place) & ~F.lead("text", i).over(w).contains("node_modules"), F.lead("text", i).over(w)) for i in range(1, 25)]
-    jest = log.withColumn("at", F.coalesce(*ahead)).where(F.col("text").rlike(title) & F.col("at").isNotNull())
-    found.append(_rows(jest, "jest", F.lit("error"), F.regexp_extract("at", place, 1), F.regexp_extract("at", place, 2), F.regexp_extract("at", place, 3), none, _x(title, 1)).withColumn("rank", F.lit(5)))
-    add(6, r"^(?:vet: )?(\S+\.go):(\d+)(?::(\d+))?: (.*)$", "go", "error", 1, 2, 3, "", 4)
-    add(6, r"^\s*--- FAIL: (\S+)", "go", "error", "", "", "", "", 1)
-    add(7, r"^\[(ERROR|WARNING)\] (.+?):\[(\d+),(\d+)\] (.*)$", "maven", 1, 2, 3, 4, "", 5)
-    add(9, r"^(\S+?\.\w+):(\d+)(?::(\d+))?:?\s+(error|warning|note)[: ]+(.*)$", "generic", 4, 1, 2, 3, "", 5)
-    add(9, r"^Error: (.+)$", "generic", "error", "", "", "", "", 1)
+
+    place = r"([^\s()]+\.[jt]sx?):(\d+):(\d+)"
+    shown = lambda i: F.lead("text", i).over(w)
+    ahead = [F.when(shown(i).rlike(r"^\s*(?:at\s.*?\(?)?" + place) & ~shown(i).contains("node_modules"), shown(i)) for i in range(1, TITLE_REACH + 1)]
+    jest = log.withColumn("at", F.coalesce(*ahead)).where(F.col("text").rlike(MARKS) & (F.lower(_x(MARKS, 1)) != NO_TITLE))
+    found.append(_rows(jest, "jest", F.lit("error"), *[F.coalesce(F.regexp_extract("at", place, i), none) for i in (1, 2, 3)], none, _x(MARKS, 1)).withColumn("rank", F.lit(5)))
+
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
     key = Window.partitionBy("log_id", "file", "line", F.substring(F.regexp_replace(F.lower("message"), r"\s+", " "), 1, 120))
-    kept = every.withColumn("seq", F.min("line_no").over(key)).withColumn("n", F.row_number().over(key.orderBy((F.col("rank") == 9).cast("int"), "rank", "line_no"))).where("n = 1")
+    kept = every.withColumn("seq", F.min("line_no").over(key)).withColumn("n", F.row_number().over(key.orderBy((F.col("rank") == GENERIC).cast("int"), "rank", "line_no"))).where("n = 1")
     return kept.select(*COLUMNS, "seq")
 
 
@@ -80,10 +102,11 @@ def changes(diff: DataFrame) -> DataFrame:
     """Files of a unified diff without context, from (log_id, line_no, text): path, status, previous, ranges, added, removed."""
     w = Window.partitionBy("log_id").orderBy("line_no")
     d = diff.withColumn("part", F.sum(F.col("text").startswith("diff --git ").cast("int")).over(w)).where("part > 0")
-    hunk = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
-    at = F.col("text").rlike(hunk)
-    start = F.regexp_extract("text", hunk, 1).try_cast("int")
-    count = F.coalesce(F.nullif(F.regexp_extract("text", hunk, 2), F.lit("")).try_cast("int"), F.lit(1))
+    # A hunk's head says by its third word where it is in the new file: +start or +start,count.
+    at = F.col("text").startswith("@@ -")
+    new = F.split(F.substring_index(F.get(F.split("text", " "), F.lit(2)), "+", -1), ",")
+    start = F.get(new, F.lit(0)).try_cast("int")
+    count = F.coalesce(F.get(new, F.lit(1)).try_cast("int"), F.lit(1))
     low = F.greatest(start, F.lit(1))
     span = F.struct(low.alias("from"), F.when(count > 0, start + count - 1).otherwise(low).alias("to"))
     old, new = F.max(F.regexp_extract("text", r"^--- (?:a/)?(.+)$", 1)), F.max(F.regexp_extract("text", r"^\+\+\+ (?:b/)?(.+)$", 1))
@@ -95,3 +118,27 @@ def changes(diff: DataFrame) -> DataFrame:
     )
     status = F.when(F.col("old") == "/dev/null", "added").when(F.col("new") == "/dev/null", "deleted").when(F.col("a") != F.col("b"), "renamed").otherwise("modified")
     return g.select("log_id", F.when(F.col("new") == "/dev/null", F.col("a")).otherwise(F.col("b")).alias("path"), status.alias("status"), F.when(F.col("a") != F.col("b"), F.col("a")).alias("previous"), "ranges", "added", "removed")
+
+
+def untracked(status: DataFrame, changed: DataFrame) -> DataFrame:
+    """Files that a status listing (log_id, line_no, text) marks as unknown and the diff's changes do not have."""
+    path = F.trim(F.substring("text", 4, 1 << 20))
+    rows = status.where(F.col("text").startswith("?? ")).select("log_id", path.alias("path")).where("path <> ''").distinct()
+    return rows.join(changed.select("log_id", "path"), ["log_id", "path"], "left_anti").withColumn("status", F.lit("untracked"))
+
+
+# Branches that others start from, the likeliest first.
+BASES = ("origin/main", "origin/master", "main", "master", "origin/develop", "develop")
+
+
+def default_base(branches: DataFrame) -> DataFrame:
+    """(log_id, base): of the branches that a listing (log_id, line_no, text) names, the likeliest to be the base."""
+    place = F.array_position(F.array(*map(F.lit, BASES)), F.trim("text"))
+    return branches.where(place > 0).groupBy("log_id").agg(F.min_by(F.trim("text"), place).alias("base"))
+
+
+def tail(log: DataFrame, most: int = 20, width: int = 200) -> DataFrame:
+    """The last lines that say anything, for a failed run in which no problem was recognised."""
+    w = Window.partitionBy("log_id").orderBy(F.desc("line_no"))
+    rows = log.where(F.trim("text") != "").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
+    return rows.select("log_id", "line_no", F.when(F.length("text") <= width, F.col("text")).otherwise(F.concat(F.rtrim(F.substring("text", 1, width - 1)), F.lit("…"))).alias("text"))

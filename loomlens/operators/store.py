@@ -1,0 +1,59 @@
+"""The ranked index as stored tables: texts are taken apart once, searches read the lists of their terms only.
+
+postings (bucket, term, key, tf, n) are laid out by bucket of term and sorted by term, so a search prunes folders by the
+buckets of its words and row groups by their terms. Each posting carries its text's length, so no other table is joined;
+terms (bucket, term, df) and one row of statistics are all that is left to look up.
+"""
+
+from __future__ import annotations
+
+import zlib
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomlens.functions import text as tx
+
+from . import index
+
+#: Folders of postings; a large corpus takes more.
+BUCKETS = 32
+#: What a symbol's name adds to the count of each of its terms.
+BOOST = 3
+
+
+def boosted(postings: DataFrame, names: DataFrame, key: str = "doc_id") -> DataFrame:
+    """postings (key, term, tf) with BOOST more for each time that a term is part of a name (key, name); terms that are
+    not in the text stay out, and counts stop at index.TF_MAX."""
+    said = names.select(key, F.explode(tx.terms(F.col("name"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("times"))
+    rows = postings.join(said, [key, "term"], "left")
+    return rows.withColumn("tf", F.least(F.col("tf") + BOOST * F.coalesce("times", F.lit(0)), F.lit(index.TF_MAX))).drop("times")
+
+
+def build(docs: DataFrame, folder: str, key: str = "doc_id", names: DataFrame | None = None, buckets: int = BUCKETS) -> None:
+    """Writes the index of docs (key, text) to folder. One shuffle by text and term, one by bucket."""
+    rows = index.postings(docs, key)
+    rows = boosted(rows, names, key) if names is not None else rows
+    rows = rows.withColumn("n", F.count("*").over(index.Window.partitionBy(key)))
+    rows = rows.select(F.pmod(F.crc32("term"), F.lit(buckets)).cast("int").alias("bucket"), "term", F.col(key).alias("key"), F.col("tf").cast("int").alias("tf"), F.col("n").cast("int").alias("n"))
+    rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{folder}/postings")
+    stored = docs.sparkSession.read.parquet(f"{folder}/postings")
+    terms = stored.groupBy("bucket", "term").agg(F.count("*").alias("df"))
+    terms.repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").mode("overwrite").parquet(f"{folder}/terms")
+    # Texts without terms count among all, not in the average.
+    total = docs.agg(F.count("*").alias("n_docs")).crossJoin(stored.select("key", "n").distinct().agg(F.coalesce(F.avg("n"), F.lit(1.0)).alias("avg_terms")))  # one row each
+    total.coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
+
+
+def search(spark: SparkSession, folder: str, words: list[str], key: str = "doc_id", buckets: int = BUCKETS) -> DataFrame:
+    """(key, score) of texts that hold any of the words, by BM25, from the stored tables."""
+    words = list(dict.fromkeys(words))
+    if not words:
+        return spark.read.parquet(f"{folder}/postings").select(F.col("key").alias(key), F.lit(0.0).alias("score")).limit(0)
+    here = F.col("bucket").isin(*sorted({zlib.crc32(w.encode()) % buckets for w in words})) & F.col("term").isin(*words)
+    df = spark.read.parquet(f"{folder}/terms").where(here).select("term", "df")
+    known = F.broadcast(df.crossJoin(spark.read.parquet(f"{folder}/stats")))  # a row for each word
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (index.K1 + 1) / (F.col("tf") + index.K1 * (1 - index.B + index.B * F.col("n") / F.col("avg_terms")))
+    met = spark.read.parquet(f"{folder}/postings").where(here).join(known, "term")
+    return met.groupBy(F.col("key").alias(key)).agg(F.sum(part).alias("score"))

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlens.functions import text as tx
-from loomlens.operators import graph, index, parse, spans
+from loomlens.operators import answers, graph, index, parse, spans, store
 from loomlens.operators.spread import spread
+from loomlens.sources.shared import fresh
 from loomlens.streaming import upsert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,14 +220,18 @@ def edges_external(t):
     return _hrefs(t).join(t("pages").select(F.col("url").alias("href")), "href", "left_anti").select("page_id", "href")
 
 
-@query(f"""WITH {_PATHS}, {_HREF}, b AS (SELECT page_id AS target, regexp_extract(rtrim(p, '/'), '([^/]*)$', 1) AS base FROM u),
-m AS (SELECT h.page_id, href, min(target) AS target, count(*) AS n FROM h JOIN b ON b.base = ltrim(href, '/') GROUP BY ALL)
-SELECT h.page_id, h.href, CASE WHEN n = 1 THEN target END AS target FROM h LEFT JOIN m USING (page_id, href)""")
+@query(f"""WITH {_PATHS}, {_HREF}, b AS (SELECT page_id AS target, rtrim(p, '/') AS p, regexp_extract(rtrim(p, '/'), '([^/]*)$', 1) AS base FROM u),
+r AS (SELECT page_id, href, regexp_replace(regexp_replace(href, '^[a-z]+://', ''), '^/+|/+$', '', 'g') AS tail FROM h),
+m AS (SELECT r.page_id, href, count(*) AS n, count(DISTINCT p) FILTER (p = tail OR ends_with(p, '/' || tail)) AS fits, min(p) AS one, min(p) FILTER (p = tail OR ends_with(p, '/' || tail)) AS fit
+  FROM r JOIN (SELECT DISTINCT p, base FROM b) b ON b.base = regexp_extract(tail, '([^/]*)$', 1) WHERE tail <> '' GROUP BY ALL)
+SELECT h.page_id, h.href, CASE WHEN fits = 1 OR fits = 0 AND n = 1 THEN coalesce(fit, one) END AS target FROM h LEFT JOIN m USING (page_id, href)""")
 def suffix_resolve_unique(t):
-    b = _paths(t).select(F.col("page_id").alias("target"), F.regexp_extract(F.regexp_replace("p", "/+$", ""), r"([^/]*)\z", 1).alias("base"))
     h = _hrefs(t)
-    m = h.join(b, F.regexp_replace("href", "^/+", "") == b.base).groupBy("page_id", "href").agg(F.min("target").alias("target"), F.count("*").alias("n"))
-    return h.join(m, ["page_id", "href"], "left").select("page_id", "href", F.when(F.col("n") == 1, F.col("target")).alias("target"))
+    tail = F.regexp_replace(F.regexp_replace("href", "^[a-z]+://", ""), "^/+|/+$", "")
+    refs = h.select(F.col("page_id").alias("src"), F.col("href").alias("ref"), tail.alias("tail")).where("tail <> ''")
+    files = _paths(t).select(F.regexp_replace("p", "/+$", "").alias("path")).distinct()
+    one = graph.resolve_ends(refs, files, endings=False).select(F.col("src").alias("page_id"), F.col("ref").alias("href"), F.col("path").alias("target"))
+    return h.join(one, ["page_id", "href"], "left")
 
 
 @query("""WITH c AS (SELECT o_orderkey AS src, o_custkey AS ref, unnest([o_custkey * 7, o_custkey * 3, o_custkey]) AS path, unnest([0, 1, 2]) AS prio FROM orders)
@@ -264,11 +267,11 @@ _DIRS = "dirs AS (SELECT unnest(['en', 'en/1', 'en/12', 'fr', 'de/2', '']) AS di
 
 
 @query(f"""WITH u AS (SELECT page_id, regexp_extract(url, '://[^/]*/([^?#]*)', 1) AS p FROM pages), {_DIRS}
-SELECT page_id, arg_max(dir, length(dir)) AS owner FROM u JOIN dirs ON dir = '' OR starts_with(p, dir) GROUP BY page_id""")
+SELECT page_id, arg_max(dir, length(dir)) AS owner FROM u JOIN dirs ON dir = '' OR p = dir OR starts_with(p, dir || '/') GROUP BY page_id""")
 def prefix_owner_longest(t):
-    u = t("pages").select("page_id", F.regexp_extract("url", "://[^/]*/([^?#]*)", 1).alias("p"))
-    # Every prefix a page has is looked up, so the join is by equality, not by a scan of all directories.
-    each = u.select("page_id", F.explode(F.sequence(F.lit(0), F.least(F.length("p"), F.lit(255)))).alias("n"), "p").select("page_id", F.expr("substring(p, 1, n)").alias("dir"))
+    u = t("pages").select("page_id", F.split(F.regexp_extract("url", "://[^/]*/([^?#]*)", 1), "/").alias("x"))
+    # A path's folders are looked up one by one, so the join is by equality, not by a scan of all directories.
+    each = u.select("page_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("x")), lambda n: F.array_join(F.slice(F.col("x"), F.lit(1), n), "/"))).alias("dir"))
     dirs = u.sparkSession.createDataFrame([(x,) for x in ("en", "en/1", "en/12", "fr", "de/2", "")], "dir string")
     return each.join(F.broadcast(dirs), "dir").groupBy("page_id").agg(F.max_by("dir", F.length("dir")).alias("owner"))
 
@@ -289,7 +292,7 @@ def enclosing_interval(t):
 
 @query(f"""WITH {_SPANS}, c AS (SELECT l_orderkey AS k, l_linenumber * 4 AS low, l_linenumber * 4 + 1 AS high FROM lineitem WHERE l_returnflag = 'R'),
 m AS (SELECT DISTINCT s.* FROM c JOIN s USING (k) WHERE stop >= low AND start <= high),
-kept AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m i WHERE i.k = m.k AND i.name <> m.name AND m.start <= i.start AND m.stop >= i.stop))
+kept AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m i WHERE i.k = m.k AND (i.name <> m.name OR i.start <> m.start OR i.stop <> m.stop) AND m.start <= i.start AND m.stop >= i.stop))
 SELECT k, name FROM kept UNION ALL SELECT k, name FROM m WHERE k NOT IN (SELECT k FROM kept)""")
 def overlap_touched(t):
     changes = t("lineitem").where("l_returnflag = 'R'").selectExpr("l_orderkey as k", "l_linenumber * 4 as low", "l_linenumber * 4 + 1 as high")
@@ -306,13 +309,21 @@ def interval_union(t):
     return spans.union(r, "k").select("k", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"))
 
 
-@query(f"""WITH {_LINES}, body AS (SELECT doc_id, line_no, count(*) OVER (PARTITION BY doc_id) AS n, line FROM l)
-SELECT doc_id, line_no, CASE WHEN n >= 6 AND line_no = 3 THEN '… ' || (n - 4) || ' lines' ELSE line END AS line FROM body WHERE NOT (n >= 6 AND line_no BETWEEN 4 AND n - 2)""")
+_BODY = f"""{_LINES}, f AS (SELECT doc_id, min(line_no) AS top, max(line_no) AS last FROM l GROUP BY 1), o AS (SELECT doc_id, line_no AS low, line_no + 2 + length(line) % 7 AS high, last FROM l JOIN f USING (doc_id) WHERE line_no % 5 = 2),
+body AS (SELECT doc_id, low + 1 AS low, least(high, last) - 1 AS high FROM o WHERE least(high, last) - 1 - low >= 4)"""
+
+
+@query(f"""WITH {_BODY}, w AS (SELECT *, max(high) OVER (PARTITION BY doc_id ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM body),
+g AS (SELECT *, sum(CASE WHEN b IS NULL OR low > b + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY low, high) AS run FROM w),
+cut AS (SELECT doc_id, min(low) AS low, max(high) AS high FROM g GROUP BY doc_id, run)
+SELECT doc_id, line_no, line FROM l WHERE NOT EXISTS (SELECT 1 FROM cut WHERE cut.doc_id = l.doc_id AND line_no BETWEEN low AND high)
+UNION ALL SELECT doc_id, low, '… ' || (high - low + 1) || ' lines' FROM cut""")
 def skeleton_elide(t):
-    n = F.col("n")
-    rows = t("documents").select("doc_id", tx.lines(F.col("text")).alias("x")).select("doc_id", F.size("x").cast("long").alias("n"), F.posexplode("x").alias("i", "line")).withColumn("line_no", (F.col("i") + 1).cast("long"))
-    kept = rows.where(~((n >= 6) & F.col("line_no").between(4, n - 2)))
-    return kept.select("doc_id", "line_no", F.when((n >= 6) & (F.col("line_no") == 3), F.concat(F.lit("… "), (n - 4).cast("string"), F.lit(" lines"))).otherwise(F.col("line")).alias("line"))
+    """Bodies (every fifth line begins one, its length says how long) cut out of the lines of a text."""
+    lines = _lines(t)
+    last = lines.groupBy("doc_id").agg(F.max("line_no").alias("last"))
+    body = lines.where("line_no % 5 = 2").join(last, "doc_id").selectExpr("doc_id", "line_no + 1 as low", "least(line_no + 2 + length(line) % 7, last) - 1 as high").where("high - low + 1 >= 4")
+    return spans.elided(lines, body, "doc_id", "line_no", "line")
 
 
 @query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS asked FROM conversations")
@@ -372,8 +383,7 @@ def upsert_latest(t):
 def stream_upsert_latest(t):
     rows = t("events").select("user_id", "event_id", "event_type", "value", "ts")
     spark = rows.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomlens-")
-    at = f"{shared.rstrip('/')}/loomlens-stream/{uuid.uuid4().hex}"
+    at = fresh(spark, "stream")
     rows.repartition(4).write.parquet(f"{at}/in")
     return upsert.stream_latest(spark, f"{at}/in", rows.schema, "user_id", ["ts", "event_id"], f"{at}/out", f"{at}/state").drop("ts")
 
@@ -403,14 +413,24 @@ def locale_order(t):
     return first.select("p_partkey", F.row_number().over(Window.orderBy(F.collate("p_name", "UNICODE"), "p_partkey")).cast("long").alias("place"))
 
 
-@query()
+_HEADS = """h AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>', 1)) AS level, unnest(regexp_extract_all(html, '(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>', 2)) AS inner_html,
+  generate_subscripts(regexp_extract_all(html, '(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>', 1), 1) AS i FROM pages),
+o AS (SELECT page_id, level::INT - 1 AS depth, trim(regexp_replace(regexp_replace(inner_html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS name, i FROM h)"""
+
+
+@query(f"""WITH {_HEADS} SELECT page_id, i::BIGINT AS seq, name, depth::BIGINT AS depth,
+coalesce((SELECT min(x.i) FROM o x WHERE x.page_id = o.page_id AND x.i > o.i AND x.depth <= o.depth) - 1, (SELECT max(x.i) FROM o x WHERE x.page_id = o.page_id))::BIGINT AS last FROM o""")
 def html_outline(t):
-    """Headings of pages, their markup turned into the parse stage's heading form."""
-    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>", "\n#H$1 $2\n"), "<[^>]+>", " ")
+    """Headings of pages in order, by the parse stage, each with the last heading that stands under it."""
+    html = F.regexp_replace("html", r"\s+", " ")
+    text = F.regexp_replace(F.regexp_replace(html, r"(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>", "\n#H$1 $2\n"), "<[^>]+>", " ")
     for n in range(1, 7):
         text = F.regexp_replace(text, f"#H{n} ", "#" * n + " ")
-    files = t("pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".md")).alias("path"), text.alias("content"))
-    return parse.parse_files(files).select("path", F.inline("symbols")).select("path", "name", "depth", "start_line", "end_line")
+    # What isn't a heading must not look like one.
+    kept = F.filter(F.split(text, "\n"), lambda x: x.rlike("^#{1,6} "))
+    files = t("pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".md")).alias("path"), F.array_join(kept, "\n").alias("content"))
+    found = parse.parse_files(files).select(F.regexp_replace("path", r"\.md$", "").cast("long").alias("page_id"), F.inline("symbols"))
+    return found.select("page_id", F.col("start_line").cast("long").alias("seq"), F.trim(F.regexp_replace("name", r"\s+", " ")).alias("name"), F.col("depth").cast("long").alias("depth"), F.col("end_line").cast("long").alias("last"))
 
 
 @query()
@@ -418,3 +438,97 @@ def mask_source(t):
     """Symbols and imports of every text read as source: prose has few, and the stage must get through it."""
     files = t("documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".ts")).alias("path"), F.col("text").alias("content"))
     return parse.parse_files(files).select("path", "line_count", F.size("symbols").alias("n_symbols"), F.size("imports").alias("n_imports"))
+
+
+_stored: dict[tuple[str, str], str] = {}
+
+
+def _index(t, sf_dir: str, names: bool = False) -> str:
+    """The folder of the stored index of the documents; built once for a session and a set of tables, then only read."""
+    docs = t("documents").select("doc_id", "text")
+    key = (docs.sparkSession.sparkContext.applicationId, f"{sf_dir}:{names}")
+    if key not in _stored:
+        folder = fresh(docs.sparkSession, "index")
+        store.build(docs, folder, names=_names(t) if names else None)
+        _stored[key] = folder
+    return _stored[key]
+
+
+def _names(t) -> DataFrame:
+    """A text's first three words, as if they were the names of what it declares."""
+    return t("documents").select("doc_id", F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("name"))
+
+
+def stored(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), sf_dir)
+        ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+@stored(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, doc_id LIMIT 10")
+def postings_search(t, sf_dir):
+    found = store.search(t("documents").sparkSession, _index(t, sf_dir), WORDS)
+    return index.top(found, 10).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_T}, {_FLAT}, {_POST}, names AS (SELECT doc_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS text FROM documents),
+said AS (SELECT doc_id, unnest({_TERMS}) AS term FROM names), times AS (SELECT doc_id, term, count(*) AS times FROM said GROUP BY ALL)
+SELECT doc_id, term, least(least(tf, 63) + 3 * coalesce(times, 0), 63) AS tf FROM post LEFT JOIN times USING (doc_id, term)""")
+def symbol_boost(t):
+    return store.boosted(index.postings(t("documents")).select("doc_id", "term", "tf"), _names(t)).select("doc_id", "term", F.col("tf").cast("long").alias("tf"))
+
+
+_ROW = "doc_id || ' ' || lang || ' ' || coalesce(source, '')"
+
+
+@query(f"""WITH c AS (SELECT doc_id, n_chars, {_COST.format(f"({_ROW} || chr(10))")} AS cost FROM documents), u AS (SELECT *, sum(cost) OVER (ORDER BY n_chars, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM c)
+SELECT doc_id, cost, used::BIGINT AS used FROM u WHERE used <= 2000 - 70""")
+def budget_reserve(t):
+    row = F.concat(F.col("doc_id").cast("string"), F.lit(" "), "lang", F.lit(" "), F.coalesce("source", F.lit("")))
+    return answers.admitted(t("documents").select("doc_id", "n_chars", row.alias("row")), "row", ["n_chars", "doc_id"], answers.clamp_budget(None)).select("doc_id", "cost", "used")
+
+
+@query(f"""WITH s AS (SELECT doc_id, replace(text[1:200], chr(10), ' ') AS x FROM documents), n AS (SELECT doc_id, x, unnest(range(0, length(x) + 1)) AS n FROM s), e AS (SELECT doc_id, x, n, x[1:n] || '…' AS cut FROM n),
+m AS (SELECT doc_id, max(n) FILTER ({_COST.format('cut')} <= 12) AS n FROM e GROUP BY 1)
+SELECT doc_id, CASE WHEN {_COST.format('x')} <= 12 THEN x ELSE rtrim(x[1:coalesce(n, 0)], ' ') || '…' END AS label FROM s LEFT JOIN m USING (doc_id)""")
+def clamp_tokens(t):
+    return t("documents").select("doc_id", answers.clamp_tokens(F.translate(F.substring("text", 1, 200), "\n", " "), 12).alias("label"))
+
+
+@query("""WITH s AS (SELECT source AS folder, lang AS kind, 'n' || (n_chars % 40) AS name, min(doc_id) AS seq FROM documents GROUP BY ALL), k AS (SELECT folder, kind, min(seq) AS first, list(name ORDER BY seq) AS names FROM s GROUP BY ALL),
+c AS (SELECT *, unnest(range(0, (len(names) + 5) // 6)) AS part FROM k)
+SELECT folder, kind, part::BIGINT AS part, CASE WHEN part = 0 THEN len(names) || ' ' || CASE WHEN len(names) = 1 THEN kind WHEN kind LIKE '%y' THEN kind[:-2] || 'ies' WHEN regexp_matches(kind, '(s|ch|x)$') THEN kind || 'es' ELSE kind || 's' END || ': ' ELSE '  ' END
+  || array_to_string(names[part * 6 + 1:part * 6 + 6], ', ') AS line FROM c""")
+def names_packed(t):
+    rows = t("documents").select(F.col("source").alias("folder"), F.col("lang").alias("kind"), F.concat(F.lit("n"), (F.col("n_chars") % 40).cast("string")).alias("name"), F.col("doc_id").alias("seq"))
+    kinds = rows.groupBy("folder", "kind").agg(F.min("seq").alias("first"))
+    return answers.packed(rows, "folder").join(kinds, ["folder", "first"]).select("folder", "kind", F.col("part").cast("long").alias("part"), "line")
+
+
+@query(f"""WITH {_BM25}, d AS (SELECT doc_id, doc_id // 50 AS folder, score FROM scored), g AS (SELECT folder, max(score) AS best FROM d GROUP BY 1)
+SELECT doc_id, folder, row_number() OVER (ORDER BY best DESC, folder, score DESC, doc_id) AS place FROM d JOIN g USING (folder) QUALIFY place <= 200""")
+def folders_by_best(t):
+    d = index.bm25(t("documents"), WORDS).withColumn("folder", F.expr("doc_id div 50"))
+    best = d.groupBy("folder").agg(F.max("score").alias("best"))
+    order = [F.desc("best"), "folder", F.desc("score"), "doc_id"]
+    first = d.join(best, "folder").orderBy(*order).limit(200)  # the first page of a listing
+    return first.select("doc_id", "folder", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+
+
+@query(f"""WITH {_HITS} SELECT count(*) AS hits, count(DISTINCT doc_id || ':' || line_no // 4) AS places, count(DISTINCT doc_id) AS files FROM hits""")
+def hit_counts(t):
+    h = _hits(t).groupBy("doc_id", F.expr("line_no div 4").alias("place")).agg(F.count("*").alias("n"))
+    return h.agg(F.sum("n").alias("hits"), F.count("*").alias("places"), F.count_distinct("doc_id").alias("files"))
+
+
+@query("SELECT count(*) AS files, sum(l_linenumber * 3)::BIGINT AS added, sum(l_quantity::BIGINT)::BIGINT AS removed FROM lineitem")
+def churn_totals(t):
+    return t("lineitem").agg(F.count("*").alias("files"), F.sum(F.col("l_linenumber") * 3).cast("long").alias("added"), F.sum(F.col("l_quantity").cast("long")).alias("removed"))
+
+
+@query("""SELECT user_id, count(*) AS problems, count(*) FILTER (event_type = 'error') AS errors, min(event_id) AS first FROM events GROUP BY 1""")
+def problems_by_file(t):
+    return t("events").groupBy("user_id").agg(F.count("*").alias("problems"), F.count_if(F.col("event_type") == "error").alias("errors"), F.min("event_id").alias("first"))

@@ -10,11 +10,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlens.functions import text as tx
-from loomlens.operators import graph, index, logs, parse, spans
+from loomlens.operators import answers, graph, index, logs, parse, spans
+from loomlens.sources.shared import written
 
 # Endings tried for an import without one, in order; names of directory indexes; manifests; folders that
 # hold packages; stems of entry points.
@@ -111,6 +112,34 @@ def _references(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["src", "ref", "candidates", "tail"])
 
 
+def resolve(parsed: DataFrame, files: DataFrame) -> DataFrame:
+    """(src, ref, dst) of parsed files' imports: ordered candidates first; then a unique file that the specifier ends."""
+    refs = parsed.select("path", "language", "imports").mapInPandas(_references, "src string, ref string, candidates array<string>, tail string")
+    first = graph.resolve(refs, files.select("path"))
+    loose = refs.where("tail is not null").select("src", "ref", "tail").join(first.where("dst is null").select("src", "ref"), ["src", "ref"])
+    one = graph.resolve_ends(loose, files.select("path"))
+    return first.join(one, ["src", "ref"], "left").select("src", "ref", F.coalesce("dst", "path").alias("dst"))
+
+
+#: Raised when the parse stage changes, so that no stored row of an older one is used.
+PARSER_VERSION = 2
+
+
+def parsed_with_cache(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
+    """Parsed rows of files (path, size, mtime_ms, content), kept in folder: a file whose path, size and time are there
+    under this parser's version is read back, others are parsed and added. Rows of files that are gone stay unread."""
+    stamp = ["path", "size", "mtime_ms"]
+    place = f"{folder.rstrip('/')}/parser_version={PARSER_VERSION}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    known = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    new = files.where("content is not null")
+    if known:
+        new = new.join(spark.read.parquet(place).select(*stamp), stamp, "left_anti")
+    new = written(new, "unparsed")
+    parse.parse_files(new).join(new.select(*stamp), "path").write.mode("append").parquet(place)
+    return spark.read.parquet(place).join(files.select(*stamp), stamp, "left_semi").drop("size", "mtime_ms")
+
+
 class Index:
     """files (path, size, mtime_ms, content), as the workspace source reads them, and what follows from them."""
 
@@ -125,12 +154,12 @@ class Index:
 
     @functools.cached_property
     def resolved(self) -> DataFrame:
-        """(src, ref, dst): ordered candidates first; then a unique file that the specifier is the end of."""
-        refs = self.parsed.select("path", "language", "imports").mapInPandas(_references, "src string, ref string, candidates array<string>, tail string")
-        first = graph.resolve(refs, self.files.select("path"))
-        loose = refs.where("tail is not null").select("src", "ref", "tail").join(first.where("dst is null").select("src", "ref"), ["src", "ref"])
-        one = graph.resolve_ends(loose, self.files.select("path"))
-        return first.join(one, ["src", "ref"], "left").select("src", "ref", F.coalesce("dst", "path").alias("dst"))
+        return resolve(self.parsed, self.files)
+
+    @functools.cached_property
+    def externals(self) -> DataFrame:
+        """(src, externals): what a file imports from outside the tree."""
+        return self.resolved.where("dst is null").groupBy("src").agg(F.array_sort(F.collect_set("ref")).alias("externals"))
 
     @functools.cached_property
     def edges(self) -> DataFrame:
@@ -190,6 +219,21 @@ def map_files(ix: Index, prefix: str = "", focus: str | None = None, per_file: i
     return rows.orderBy(F.desc("score"), "path")
 
 
+def map_folders(ix: Index, prefix: str = "", focus: str | None = None) -> DataFrame:
+    """map_files with each file's folder: the folder with the best file first, then its files."""
+    folder = F.regexp_replace("path", "/?[^/]*$", "")
+    rows = map_files(ix, prefix, focus).withColumn("folder", F.when(folder == "", ".").otherwise(folder))
+    best = rows.groupBy("folder").agg(F.max("score").alias("best"))
+    return rows.join(best, "folder").orderBy(F.desc("best"), "folder", F.desc("score"), "path")
+
+
+def tally(ix: Index, prefix: str = "", most: int = 6) -> DataFrame:
+    """One row: how many files of which languages, the commonest first."""
+    n = _under(ix.parsed, prefix).groupBy("language").count().orderBy(F.desc("count"), "language").limit(most)
+    lists = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("k"), "language"))), lambda x: F.concat(x["language"], F.lit("×"), (-x["k"]).cast("string")))
+    return n.agg(F.array_join(lists, " ").alias("tally"))
+
+
 def map_tree(ix: Index, prefix: str = "") -> DataFrame:
     """Directories with their own files and lines; those that only hold directories have 0."""
     parts = F.split("path", "/")
@@ -203,6 +247,21 @@ def outline(ix: Index, path: str, include_private: bool = True, max_depth: int =
     return (rows if include_private else rows.where("exported")).orderBy("path", "start_line", "seq")
 
 
+def outline_lines(ix: Index, path: str, budget: int | None = None, include_private: bool = True, max_depth: int = 5) -> DataFrame:
+    """(path, detail, n, line): symbols with signature, else with name and kind, else names packed by kind, whichever fits
+    the budget; properties have no handle."""
+    budget = answers.clamp_budget(budget)
+    rows = outline(ix, path, include_private, max_depth)
+    how = answers.detail(rows, "path", budget)
+    each = rows.join(how.select("path", "detail"), "path")
+    label = F.when(F.col("detail") == "full", answers.clamp_tokens(F.col("signature"), answers.LABEL_MOST)).otherwise(F.concat("name", F.lit(" ("), "kind", F.lit(")")))
+    place = F.concat(F.lit(":"), F.col("start_line").cast("string"), F.when(F.col("start_line") == F.col("end_line"), "").otherwise(F.concat(F.lit("-"), F.col("end_line").cast("string"))))
+    line = answers.indent(F.col("depth") + 1, answers.fields(F.when(F.col("kind") != "property", F.col("handle")), label, place))
+    full = each.where("detail <> 'packed'").select("path", "detail", F.col("seq").cast("long").alias("n"), line.alias("line"))
+    pack = answers.packed(each.where("detail = 'packed'"), "path").select("path", F.lit("packed").alias("detail"), (F.col("first") * 1000 + F.col("part")).cast("long").alias("n"), F.concat(F.lit("  "), "line").alias("line"))
+    return answers.admitted(full.unionByName(pack), "line", ["path", "n"], budget).select("path", "detail", "n", "line").orderBy("path", "n")
+
+
 def focus_terms(query: str) -> list[str]:
     """Search terms of a short query: its identifiers lower-cased and their parts."""
     out = []
@@ -232,6 +291,21 @@ def search(ix: Index, query: str, prefix: str = "", language: str | None = None,
     return rows.join(F.broadcast(first.select("path")), "path").select("path", "rank", "line", "text", F.col("name.name").alias("symbol"), "score").orderBy(F.desc("rank"), "path", F.desc("score"), "line")
 
 
+def search_context(ix: Index, hits: DataFrame, around: int = 2) -> DataFrame:
+    """(path, line, text, hit): the lines about hits (path, line), each once; hit tells which are hits."""
+    low, high = F.greatest(F.col("line") - around, F.lit(1)), F.col("line") + around
+    windows = spans.union(hits.select("path", low.alias("low"), high.alias("high")), "path")
+    wanted = windows.select("path", F.explode(F.sequence("low", "high")).alias("line"))
+    marked = hits.select("path", "line", F.lit(True).alias("hit")).distinct()
+    return ix.lines().join(wanted, ["path", "line"]).join(marked, ["path", "line"], "left").withColumn("hit", F.coalesce("hit", F.lit(False))).orderBy("path", "line")
+
+
+def search_counts(hits: DataFrame) -> DataFrame:
+    """One row: lines shown, distinct symbols or loose lines, and files of hits (path, line, symbol)."""
+    place = F.coalesce("symbol", F.col("line").cast("string"))
+    return hits.agg(F.count("*").alias("hits"), F.count_distinct("path", place).alias("places"), F.count_distinct("path").alias("files"))
+
+
 def search_symbols(ix: Index, query: str, limit: int = 60) -> DataFrame:
     """Symbols by how their name answers to query: the same, a beginning, a part, or shared words."""
     q, parts = query.lower(), F.array(*[F.lit(x) for x in focus_terms(query)])
@@ -262,14 +336,16 @@ def read_symbol(ix: Index, path: str, name: str, context: int = 0) -> DataFrame:
     return ix.lines().where(F.col("path") == path).join(F.broadcast(one), F.col("line").between(F.col("start_line") - context, F.col("end_line") + context)).select("line", "text").orderBy("line")
 
 
+def read_handle(ix: Index, handle: str, context: int = 0) -> DataFrame:
+    """(path, line, text) of the region that a handle stands for; nothing for one that no symbol has any more."""
+    one = ix.symbols.where(F.col("handle") == handle).select("path", (F.col("start_line") - context).alias("low"), (F.col("end_line") + context).alias("high")).limit(1)
+    return ix.lines().join(F.broadcast(one), "path").where("line between low and high").select("path", "line", "text").orderBy("line")
+
+
 def skeleton(ix: Index, path: str, least: int = 4) -> DataFrame:
     """A file's lines with the bodies of functions left out, a mark in the place of each."""
     body = ix.symbols.where(F.col("path") == path).where("kind in ('function', 'method')").select("path", (F.col("start_line") + 1).alias("low"), (F.col("end_line") - 1).alias("high")).where(F.col("high") - F.col("low") + 1 >= least)
-    cut = spans.union(body, "path")
-    mine = ix.lines().where(F.col("path") == path)
-    inside = mine.join(F.broadcast(cut), "path").where("line between low and high").select("path", "line")  # one file
-    marks = cut.select("path", F.col("low").alias("line"), F.concat(F.lit("… "), F.col("high") - F.col("low") + 1, F.lit(" lines")).alias("text"))
-    return mine.join(inside, ["path", "line"], "left_anti").unionByName(marks).select("line", "text").orderBy("line")
+    return spans.elided(ix.lines().where(F.col("path") == path), body, "path").select("line", "text").orderBy("line")
 
 
 def define(ix: Index, symbol: str, source: str | None = None, limit: int = 10) -> DataFrame:
@@ -302,6 +378,22 @@ def trace(ix: Index, path: str, direction: str = "dependents", depth: int = 1) -
     return out.select("path", "hop", tx.path_class(F.col("path")).alias("class"), "owner", F.coalesce(F.col("owner") != F.col("mine"), F.lit(False)).alias("crosses")).orderBy("hop", "path")
 
 
+def locate(ix: Index, target: str) -> DataFrame:
+    """(path, symbol, choices): what to trace: a path of the tree, else the files that declare a symbol of that name; only
+    where choices is 1 it is clear which."""
+    file = ix.files.where(F.col("path") == target.strip("/")).select("path", F.lit(None).cast("string").alias("symbol"), F.lit(0).alias("prio"))
+    named = ix.symbols.where(F.col("name") == target).select("path", F.col("name").alias("symbol"), F.lit(1).alias("prio")).distinct()
+    both = file.unionByName(named)
+    first = both.agg(F.min("prio").alias("first"))
+    kept = both.crossJoin(F.broadcast(first)).where("prio = first")  # one row
+    return kept.crossJoin(F.broadcast(kept.agg(F.count("*").alias("choices")))).select("path", "symbol", "choices").orderBy("path")  # one row
+
+
+def notes_on(rows: DataFrame, paths: list[str], limit: int = 5) -> DataFrame:
+    """Notes that name any of the paths, the newest first."""
+    return rows.where(F.arrays_overlap("paths", F.array(*map(F.lit, paths)))).orderBy(F.desc("created_at"), "id").limit(limit)
+
+
 def references(ix: Index, path: str, symbol: str, per_file: int = 4) -> DataFrame:
     """Lines of a file's dependents that name a symbol, less their import lines."""
     users = trace(ix, path).select("path")
@@ -311,8 +403,9 @@ def references(ix: Index, path: str, symbol: str, per_file: int = 4) -> DataFram
     return spans.best(found, ["path"], ["line"], per_file).orderBy("path", "line")
 
 
-def changes(ix: Index, diff: DataFrame) -> DataFrame:
-    """(path, status, added, removed, symbols, dependents): what a diff (log_id, line_no, text) touched."""
+def changes(ix: Index, diff: DataFrame, status: DataFrame | None = None) -> DataFrame:
+    """(path, status, added, removed, symbols, dependents): what a diff (log_id, line_no, text) touched, and the files that a
+    status listing has as unknown."""
     c = logs.changes(diff)
     ranges = c.select(F.col("path"), F.inline("ranges")).withColumnsRenamed({"from": "low", "to": "high"})
     near = ix.symbols.select("path", F.col("start_line").alias("start"), F.col("end_line").alias("stop"), "name")
@@ -320,10 +413,35 @@ def changes(ix: Index, diff: DataFrame) -> DataFrame:
     hit = spans.touched(ranges.join(c.where("status <> 'added'").select("path"), "path"), near, "path").select("path", "name").unionByName(fresh)
     names = hit.groupBy("path").agg(F.array_sort(F.collect_set("name")).alias("symbols"))
     used = ix.edges.groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("dependents"))
-    out = c.join(names, "path", "left").join(used, "path", "left")
+    more = () if status is None else (logs.untracked(status, c),)
+    whole = c if not more else c.unionByName(more[0], allowMissingColumns=True).na.fill(0, ["added", "removed"])
+    out = whole.join(names, "path", "left").join(used, "path", "left")
     return out.select("path", "status", "previous", "added", "removed", "symbols", F.coalesce("dependents", F.lit(0)).alias("dependents")).orderBy(F.desc(F.col("added") + F.col("removed")), "path")
 
 
+def still_imported(ix: Index, changed: DataFrame, most: int = 5) -> DataFrame:
+    """(path, by, more): files that a diff deleted although others import them; the first of those, and how many more."""
+    used = changed.where("status = 'deleted'").select("path").join(ix.edges.select(F.col("src"), F.col("dst").alias("path")), "path")
+    n = used.groupBy("path").agg(F.array_sort(F.collect_set("src")).alias("every"))
+    return n.select("path", F.slice("every", 1, most).alias("by"), F.greatest(F.size("every") - most, F.lit(0)).alias("more")).orderBy("path")
+
+
+def churn(changed: DataFrame) -> DataFrame:
+    """One row: files, lines added and lines removed."""
+    return changed.agg(F.count("*").alias("files"), F.coalesce(F.sum("added"), F.lit(0)).alias("added"), F.coalesce(F.sum("removed"), F.lit(0)).alias("removed"))
+
+
+def problem_windows(ix: Index, problems: DataFrame, around: int = 2) -> DataFrame:
+    """(path, line, text, problem): source about the located problems (file, line) that lie in the tree."""
+    at = problems.where("file is not null and line is not null").select(F.col("file").alias("path"), "line").join(ix.files.select("path"), "path", "left_semi")
+    return search_context(ix, at, around).withColumnRenamed("hit", "problem")
+
+
+def by_file(problems: DataFrame) -> DataFrame:
+    """(file, n, errors, first): problems of each file, in the order of the first."""
+    return problems.groupBy("file").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "error").alias("errors"), F.min("place").alias("first")).orderBy("first")
+
+
 def diagnose(ix: Index, log: DataFrame, warnings: bool = False, most: int = 15) -> DataFrame:
     """Problems of a log in reading order, their files matched to the tree by a unique ending, with the symbol around."""
     found = logs.ranked(logs.diagnostics(log))
@@ -350,6 +468,68 @@ def notes(rows: DataFrame, query: str = "", path: str | None = None, limit: int
     return rows.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), F.desc("created_at"), "id").limit(limit)
 
 
+NOTES_MOST = 500
+
+
+def add_note(rows: DataFrame, id: str, text: str, paths: list[str], tags: list[str], created_at: str) -> DataFrame:
+    """Notes with one more; the oldest go beyond NOTES_MOST."""
+    new = rows.sparkSession.createDataFrame([(id, text.strip(), paths, tags, created_at)], "id string, text string, paths array<string>, tags array<string>, created_at string")
+    return rows.unionByName(new).orderBy(F.desc("created_at"), "id").limit(NOTES_MOST)
+
+
+def remove_note(rows: DataFrame, id: str) -> DataFrame:
+    return rows.where(F.col("id") != id)
+
+
+def missing_paths(ix: Index, paths: list[str]) -> DataFrame:
+    """Paths that neither are files of the tree nor hold any."""
+    asked = ix.files.sparkSession.createDataFrame([(p.strip("/"),) for p in paths], "path string")
+    return path_kinds(ix, asked).where("kind = 'missing'").select("path")
+
+
+def path_kinds(ix: Index, asked: DataFrame) -> DataFrame:
+    """(path, kind): whether each path is a file, a directory or missing in the tree."""
+    parts = F.split("path", "/")
+    folders = ix.files.select(F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("path")).distinct()
+    known = ix.files.select("path", F.lit("file").alias("kind")).unionByName(folders.select("path", F.lit("directory").alias("kind"))).groupBy("path").agg(F.max("kind").alias("kind"))
+    return asked.join(known, "path", "left").select("path", F.coalesce("kind", F.lit("missing")).alias("kind"))
+
+
+# Checks by the file that marks them; and names of checks, the most useful first.
+DEFAULT_CHECKS = (
+    ("Cargo.toml", "cargo:test", "cargo test"),
+    ("Cargo.toml", "cargo:check", "cargo check --message-format=short"),
+    ("Cargo.toml", "cargo:clippy", "cargo clippy"),
+    ("go.mod", "go:test", "go test ./..."),
+    ("go.mod", "go:build", "go build ./..."),
+    ("go.mod", "go:vet", "go vet ./..."),
+    ("pyproject.toml", "py:test", "python3 -m pytest -q"),
+    ("pytest.ini", "py:test", "python3 -m pytest -q"),
+    ("setup.cfg", "py:test", "python3 -m pytest -q"),
+    ("tsconfig.json", "ts:typecheck", "npx --no-install tsc --noEmit"),
+)
+CHECK_ORDER = ("typecheck", "test", "lint", "build", "check", "tsc", "vitest", "jest")
+
+
+def checks(files: DataFrame) -> DataFrame:
+    """(name, command, origin): checks that a tree declares: scripts of its manifest, targets of its Makefile, and what
+    its marker files stand for; the first of a name counts, the most useful come first."""
+    spark = files.sparkSession
+    top = files.where("path in ('package.json', 'Makefile')").select("path", "content")
+    scripts = top.where("path = 'package.json'").select(F.explode(F.json_object_keys(F.get_json_object("content", "$.scripts"))).alias("name")).where(F.col("name").rlike(r"^[A-Za-z0-9_:.-]{1,64}\z"))
+    scripts = scripts.select("name", F.concat(F.lit("npm run --silent "), "name").alias("command"), F.lit("package.json").alias("origin"), F.lit(0).alias("rank"))
+    lines = top.where("path = 'Makefile'").select(F.explode(tx.lines(F.col("content"))).alias("line"))
+    target = F.rtrim(F.substring_index("line", ":", 1))
+    targets = lines.where(F.col("line").contains(":") & ~F.substring(F.col("line"), F.instr("line", ":") + 1, F.lit(1)).eqNullSafe("=") & target.rlike(r"^[A-Za-z][A-Za-z0-9_.-]*\z") & (target != "PHONY")).select(target.alias("t")).distinct()
+    targets = targets.select(F.concat(F.lit("make:"), "t").alias("name"), F.concat(F.lit("make "), "t").alias("command"), F.lit("Makefile").alias("origin"), F.lit(1).alias("rank"))
+    marks = spark.createDataFrame([(o, n, c, 2 + i) for i, (o, n, c) in enumerate(DEFAULT_CHECKS)], "origin string, name string, command string, rank int")
+    marks = marks.join(files.select(F.col("path").alias("origin")), "origin", "left_semi").select("name", "command", "origin", "rank")
+    every = scripts.unionByName(targets).unionByName(marks)
+    first = every.groupBy("name").agg(F.min_by(F.struct("command", "origin"), "rank").alias("c")).select("name", "c.*")
+    place = F.array_position(F.array(*map(F.lit, CHECK_ORDER)), F.regexp_replace("name", "^.*:", ""))
+    return first.orderBy(F.when(place > 0, place).otherwise(len(CHECK_ORDER) + 1), F.collate("name", "UNICODE"))
+
+
 def health(ix: Index) -> DataFrame:
     """(level, label, n): what to know before trusting the answers."""
     skipped = ix.files.agg(F.lit("files not read").alias("label"), F.sum(F.col("content").isNull().cast("long")).alias("n"))
