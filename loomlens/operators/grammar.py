@@ -8,6 +8,8 @@ from dataclasses import dataclass
 
 #: A quoted text, a name, an arrow or path sign, any other sign.
 _TOKEN = re.compile(r"""("[^"]*"|'[^']*'|`[^`]*`)|([#@]?[^\W\d][\w$]*|\$\w+|\d[\w.]*)|(=>|::|->|\.\.\.|\S)""")
+#: The same where texts are blanked: a quote is a sign, as before a lifetime.
+_MASKED = re.compile(r"""()([#@]?[^\W\d][\w$]*|\$\w+|\d[\w.]*)|(=>|::|->|\.\.\.|\S)""")
 CONTAINERS = frozenset(("class", "interface", "enum", "module", "struct", "type"))
 
 
@@ -48,8 +50,8 @@ GRAMMAR = {
 RESERVED = frozenset("if for while switch catch return else do try with function new typeof await super elif case when until throw using lock foreach sizeof".split())
 
 
-def _tokens(line: str) -> list[str]:
-    return [m[0] for m in _TOKEN.finditer(line)]
+def _tokens(line: str, masked: bool = False) -> list[str]:
+    return [m[0] for m in (_MASKED if masked else _TOKEN).finditer(line)]
 
 
 def _name(x: str) -> bool:
@@ -71,7 +73,7 @@ def declared(language: str, line: str, inside: str | None) -> tuple[str, str] |
     if language == "css":
         head, brace, _ = line.partition("{")
         return ("type", head.strip()) if brace and re.match(r"\s*[.#@\w:*&]", head) else None
-    words, tokens = GRAMMAR[language], _tokens(line)
+    words, tokens = GRAMMAR[language], _tokens(line, True)
     i = 0
     while i < len(tokens):
         if tokens[i].startswith("@") or tokens[i] == "template":
@@ -163,7 +165,8 @@ def _member(rest: list[str]) -> tuple[str, str] | None:
     if after[:1] == ["<"]:
         after = after[_closing(after, 0, "<>") :]
     if after[:1] == ["("]:
-        return ("method", name) if after[-1] == "{" else None
+        tail = after[_closing(after, 0, "()") :]
+        return ("method", name) if tail and tail[0] in "{:;" else None
     after = after[1:] if after[:1] in (["?"], ["!"]) else after
     if _calls(after):
         return "method", name

@@ -159,7 +159,7 @@ def _exported(language: str, line: str, name: str, parent: Symbol | None) -> boo
     if language == "go":
         return name[:1].isupper()
     if language == "rust":
-        return bool(re.match(r"\s*(pub\b|impl\b)", line)) or bool(parent and parent.kind == "interface")
+        return bool(re.match(r"\s*(pub\b|impl\b)", line)) or bool(parent and (parent.kind == "interface" or " for " in parent.signature))
     if language in ("java", "csharp"):
         return "public" in line or bool(parent and parent.kind == "interface")
     if language in ("kotlin", "swift", "php"):
@@ -167,16 +167,19 @@ def _exported(language: str, line: str, name: str, parent: Symbol | None) -> boo
     return not name.startswith("_")
 
 
-def _doc(lines: list[str], at: int) -> str | None:
+def _doc(raw: list[str], masked: list[str], at: int) -> str | None:
+    """The first telling line of the comment right above a declaration; decorators may stand between."""
     found: list[str] = []
     for k in range(at - 1, max(-1, at - 13), -1):
-        s = lines[k].strip()
-        if s.startswith(("@", "#[")):
-            continue
-        if not re.match(r"(//|/\*|\*|#)", s) and not s.endswith("*/"):
+        if not raw[k].strip():
+            break
+        if masked[k].strip():
+            if raw[k].lstrip()[0] in "@#[":
+                continue
             break
-        found.append(re.sub(r"^[/*#!\s]+|\s*\*+/$", "", s).strip())
-    return next((x[:DOC_MAX] for x in reversed(found) if x and not x.startswith("@")), None)
+        found.append(raw[k].strip().strip("/*#!-\"' \t"))
+    text = next((x for x in reversed(found) if len(x) > 2 and x.strip("=_")), None)
+    return text and " ".join(text.split())[:DOC_MAX]
 
 
 def _signature(head: str) -> str:
@@ -204,14 +207,16 @@ def extract_symbols(source: str, language: str) -> list[Symbol]:
         heads = [(i, said) for i, line in enumerate(lines, 1) if (said := grammar.flat(language, line))]
         last = max((k + 1 for k, x in enumerate(lines) if x.strip()), default=len(lines))
         ends = [*(i - 1 for i, _ in heads[1:]), last]
-        return [Symbol(name, kind, i, max(i, end), 0, _signature(raw[i - 1]), _exported(language, raw[i - 1], name, None), _doc(raw, i - 1)) for (i, (kind, name)), end in zip(heads, ends)][:SYMBOLS_MAX]
+        return [Symbol(name, kind, i, max(i, end), 0, _signature(raw[i - 1]), _exported(language, raw[i - 1], name, None), _doc(raw, lines, i - 1)) for (i, (kind, name)), end in zip(heads, ends)][:SYMBOLS_MAX]
     if language not in grammar.GRAMMAR and language != "css":
         return []
     lines = mask_source(source, language).split("\n")
     found: list[Symbol] = []
     open_: list[tuple[Symbol, int]] = []
-    by_indent, level = language in ("python", "ruby"), 0
+    by_indent, level, within = language in ("python", "ruby"), 0, 0
     for i, line in enumerate(lines):
+        # What goes on inside brackets of an earlier line declares nothing.
+        before, within = within, max(0, within + sum(line.count(c) for c in "([") - sum(line.count(c) for c in ")]"))
         if by_indent:
             if not line.strip():
                 continue
@@ -221,14 +226,19 @@ def extract_symbols(source: str, language: str) -> list[Symbol]:
                 s.end_line = next((k + 1 for k in range(i - 1, -1, -1) if lines[k].strip()), s.start_line)
         parent = open_[-1][0] if open_ else None
         # Bodies of functions are not searched, those of containers are.
-        searched = parent is None or parent.kind in grammar.CONTAINERS and (by_indent or level == open_[-1][1] + 1)
-        said = grammar.declared(language, line, parent.kind if parent else None) if searched or by_indent and parent else None
+        searched = level == 0 if parent is None else parent.kind in grammar.CONTAINERS and (by_indent or level == open_[-1][1] + 1)
+        head = line
+        for more in lines[i + 1 : i + 5]:  # a wrapped head is read as one line
+            if head.count("(") <= head.count(")"):
+                break
+            head += " " + more
+        said = grammar.declared(language, head, parent.kind if parent else None) if searched and not before else None
         if said and (by_indent or parent or level == 0):
             head, k = raw[i].strip(), i
             while not re.search(r"[{;:]\s*$|=>", lines[k]) and k + 1 < min(len(lines), i + 5) and head.count("(") > head.count(")"):
                 k += 1
                 head += " " + raw[k].strip()
-            s = Symbol(said[1], said[0], i + 1, i + 1, len(open_), _signature(head), _exported(language, raw[i], said[1], parent), _doc(raw, i))
+            s = Symbol(said[1], said[0], i + 1, i + 1, len(open_), _signature(head), _exported(language, raw[i], said[1], parent), _doc(raw, lines, i))
             found.append(s)
             if by_indent and s.kind != "constant":
                 open_.append((s, level))

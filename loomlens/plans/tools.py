@@ -195,7 +195,9 @@ class Index:
         return base.join(n, "path", "left").select("path", "language", "line_count", n_in.alias("n_in"), n_out.alias("n_out"), score.alias("score"))
 
     def lines(self) -> DataFrame:
-        return self.files.where("content is not null").select("path", F.posexplode(tx.lines(F.col("content"))).alias("i", "text")).select("path", (F.col("i") + 1).alias("line"), "text")
+        """(path, line, text); what ends with a line break has no empty line after it."""
+        every = tx.lines(F.regexp_replace("content", r"\r?\n\z", ""))
+        return self.files.where("content is not null").select("path", F.posexplode(every).alias("i", "text")).select("path", (F.col("i") + 1).alias("line"), "text")
 
 
 def _under(df: DataFrame, prefix: str) -> DataFrame:

@@ -63,3 +63,34 @@ def test_changes_diagnose_notes(spark, ix):
     assert [r.id for r in tools.notes(table).collect()] == ["b", "a"]
     assert [r.id for r in tools.notes(table, "store").collect()] == ["a"] and [r.id for r in tools.notes(table, path="x.ts").collect()] == ["a"]
     assert {r.label: r.n for r in tools.health(ix).collect()} == {"files": 10, "files not read": 1, "files without symbols": 4, "imports from outside": 1}
+
+
+def test_parse_cache(spark, tmp_path):
+    """Rows are read back while path, size and time stay, and only what is asked for."""
+    files = lambda rows: spark.createDataFrame(rows, "path string, size long, mtime_ms long, content string")
+    first = [("a.py", 5, 1, "X = 1"), ("b.py", 5, 1, "Y = 1")]
+    folder = str(tmp_path / "cache")
+    names = lambda df: {r.path: [s.name for s in r.symbols] for r in df.collect()}
+    assert names(tools.parsed_with_cache(spark, files(first), folder)) == {"a.py": ["X"], "b.py": ["Y"]}
+    second = [("a.py", 5, 1, "not read again"), ("b.py", 6, 2, "YZ = 1"), ("c.py", 5, 1, "Z = 1")]
+    assert names(tools.parsed_with_cache(spark, files(second), folder)) == {"a.py": ["X"], "b.py": ["YZ"], "c.py": ["Z"]}
+    assert names(tools.parsed_with_cache(spark, files(first[:1]), folder)) == {"a.py": ["X"]}
+
+
+def test_short_forms(spark):
+    from pyspark.sql import functions as F
+
+    from loomlens.operators import answers
+
+    row = spark.range(1).select(answers.plural(F.lit(1), "row").alias("a"), answers.plural(F.lit(2), "entry", "entries").alias("b"), answers.fields(F.lit("x"), F.lit(None), F.lit(""), F.lit(3)).alias("c"), answers.indent(F.lit(2), F.lit("x")).alias("d"), answers.span(F.lit("p"), F.lit(3), F.lit(3)).alias("e"), answers.span(F.lit("p"), F.lit(3), F.lit(9)).alias("f")).first()
+    assert tuple(row) == ("1 row", "2 entries", "x  3", "    x", "p:3", "p:3-9")
+    assert [answers.clamp_budget(x) for x in (None, 5, 300, 99_999)] == [2000, 100, 300, 25_000]
+    assert answers.split_command("""run 'a b' "c 'd" e"f g"h  '' \t$X; "open end""") == ["run", "a b", "c 'd", "ef gh", "", "$X;", "open end"]
+
+
+def test_watch_batches():
+    from loomlens.streaming import incremental
+
+    assert incremental.wanted(["a.py", "dist/x.js", "a/node_modules/b.js"]) == ["a.py"]
+    assert incremental.wanted(None) is None and incremental.wanted(["x/.gitignore"]) is None and incremental.wanted([f"{i}.py" for i in range(401)]) is None
+    assert incremental.wanted([".git/index"]) == []
