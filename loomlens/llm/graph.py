@@ -46,15 +46,21 @@ def _contracted(rows: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.Recor
 def components(edges: DataFrame, most: int = 60, chunk: int = CHUNK) -> DataFrame:
     """(node, component) for the nodes of edges (a, b): the smallest node that each reaches.
 
-    Runs of edges are contracted where they lie; then alternating large-star and small-star contraction: every round
-    points each node's neighbours at the smallest of them, until no node points at two, or at one that points on.
-    Loops, repeated edges and either direction are allowed; nulls join nothing. No group is ever gathered: a round is
-    minima by key and joins, so a hub of any degree is combined before the shuffle and split by adaptive execution
-    after it.
+    Edges are contracted in runs of about `chunk`, each in one task; if one run held them all, it is done. Else follows
+    a round of large-star and small-star contraction, which points each node's neighbours at the smallest of them, and
+    what it leaves is contracted again, until no node points at two, or at one that points on. Loops, repeated edges
+    and either direction are allowed; nulls join nothing. No group is ever gathered: a round is minima by key and
+    joins, so a hub of any degree is combined before the shuffle and split by adaptive execution after it.
     """
-    stars = edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(partial(_contracted, chunk=chunk), "hi long, lo long").distinct()
+    left = edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     for _ in range(most):
-        e = written(stars, "stars")
+        # Written before it is contracted, so that few tasks read edges, but many find them.
+        left = written(left, "edges")
+        runs = max(1, -(-left.count() // chunk))
+        e = left.coalesce(runs).mapInArrow(partial(_contracted, chunk=chunk), "hi long, lo long")
+        e = written(e if runs == 1 else e.distinct(), "stars")
+        if runs == 1:
+            break
         n, heads = e.agg(F.count("*"), F.count_distinct("hi")).first()
         if n == heads and e.join(e.select(F.col("hi").alias("lo")), "lo", "left_semi").head() is None:
             break
@@ -64,7 +70,7 @@ def components(edges: DataFrame, most: int = 60, chunk: int = CHUNK) -> DataFram
         large = written(both.where("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "large")
         low = written(large.groupBy("hi").agg(F.min("lo").alias("m")), "low")
         moved = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        stars = moved.union(low.select("hi", F.col("m").alias("lo"))).distinct()
+        left = moved.union(low.select("hi", F.col("m").alias("lo"))).distinct().toDF("a", "b")
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(e.select("lo", "lo").distinct())
