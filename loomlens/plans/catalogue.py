@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlens.functions import text as tx
-from loomlens.operators import answers, graph, index, parse, spans, store
+from loomlens.operators import answers, graph, index, parse, scan, spans, store
 from loomlens.operators.spread import spread
 from loomlens.sources.shared import fresh
 from loomlens.streaming import upsert
@@ -339,6 +339,29 @@ def segment_runs(t):
     return seg.groupBy("conv_id", "seg").agg(F.min("turn").alias("first_turn"), F.count("*").alias("n"))
 
 
+# All lines of all documents as one log: no part of it is a key that a window could be dealt out by.
+_ORDER = ["doc_id", "line_no"]
+_OVER = "OVER (ORDER BY doc_id, line_no ROWS UNBOUNDED PRECEDING)"
+
+
+@query(f"WITH {_LINES} SELECT doc_id, line_no, used::BIGINT AS used FROM (SELECT doc_id, line_no, sum(length(line) + 1) {_OVER} AS used FROM l) WHERE used <= 500000")
+def scan_budget(t):
+    return scan.budget(_lines(t).select(*_ORDER, F.length("line").alias("size")), F.col("size") + 1, _ORDER, 500_000).select(*_ORDER, "used")
+
+
+@query(f"WITH {_LINES} SELECT doc_id, line_no, last_value(CASE WHEN regexp_matches(line, '^[A-Z]') THEN line[1:20] END IGNORE NULLS) {_OVER} AS head FROM l")
+def scan_fill(t):
+    head = F.when(F.col("line").rlike("^[A-Z]"), F.substring("line", 1, 20))
+    return scan.filled(_lines(t).select(*_ORDER, head.alias("head")), F.col("head"), _ORDER, "filled").select(*_ORDER, F.col("filled").alias("head"))
+
+
+@query(f"WITH {_LINES} SELECT segment::BIGINT AS segment, count(*) AS lines, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM (SELECT doc_id, sum(CASE WHEN starts_with(line, 'T') THEN 1 ELSE 0 END) {_OVER} AS segment FROM l) GROUP BY 1")
+def scan_segments(t):
+    """Segments run on across documents."""
+    rows = scan.segments(_lines(t).select(*_ORDER, F.col("line").startswith("T").alias("begins")), F.col("begins"), _ORDER)
+    return rows.groupBy("segment").agg(F.count("*").alias("lines"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+
+
 @query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
 SELECT h.event_id, min(l.n - h.n)::BIGINT AS after FROM e h JOIN e l ON l.user_id = h.user_id AND l.n BETWEEN h.n + 1 AND h.n + 3 WHERE h.event_type = 'error' AND l.event_type = 'purchase' GROUP BY 1""")
 def bounded_forward_match(t):
