@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, chat_format, decontaminate, embedding_dedup, licenses, mixing, ngram_join, pii, quality, resampling, url_filter, warc
+from . import centroids, chat_format, decontaminate, embedding_dedup, licenses, mixing, ngram_join, pii, quality, repeats, resampling, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,11 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_url_filter, op3_license_scan, op4_preference_format, op5_personal_data, op6_mix_sources, op7_decontaminate, op8_warc_archive, op9_quality_classifier, op10_embedding_dedup, op11_importance_resampling, op12_centroid_clustering)}
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"), digest=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_url_filter, op3_license_scan, op4_preference_format, op5_personal_data, op6_mix_sources, op7_decontaminate, op8_warc_archive, op9_quality_classifier, op10_embedding_dedup, op11_importance_resampling, op12_centroid_clustering, op13_suffix_array_dedup)}
 
 SHINGLES = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS x FROM documents),
@@ -91,4 +95,4 @@ c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.a = vec_id
 """
 
-ORACLES = {"op1_ngram_jaccard_join": SHINGLES, "op4_preference_format": chat_format.SQL, "op8_warc_archive": WARC, "op10_embedding_dedup": COSINE, "op11_importance_resampling": resampling.SQL, "op12_centroid_clustering": centroids.cluster_sql()}
+ORACLES = {"op1_ngram_jaccard_join": SHINGLES, "op4_preference_format": chat_format.SQL, "op8_warc_archive": WARC, "op10_embedding_dedup": COSINE, "op11_importance_resampling": resampling.SQL, "op12_centroid_clustering": centroids.cluster_sql(), "op13_suffix_array_dedup": repeats.SQL}
