@@ -37,11 +37,22 @@ def admitted(rows: DataFrame, text: str, order: list, budget: int, by: str | Non
 
 
 def clamp_tokens(text: Column, most: int) -> Column:
-    """text, or its longest beginning that fits with an ellipsis. For short texts: every beginning is measured."""
+    """text, or its longest beginning that fits with an ellipsis. A token is four characters at most, and a longer beginning
+    never costs less, so the interval of lengths is halved until one is left."""
     if most <= 0:
         return F.lit("")
-    fits = F.filter(F.sequence(F.lit(0), F.length(text)), lambda n: tx.estimate_tokens(F.concat(F.substring(text, F.lit(1), n), F.lit("…"))) <= most)
-    return F.when(tx.estimate_tokens(text) <= most, text).otherwise(F.concat(F.rtrim(F.substring(text, F.lit(1), F.coalesce(F.array_max(fits), F.lit(0)))), F.lit("…")))
+    cut = lambda n: F.concat(F.substring(text, F.lit(1), n), F.lit("…"))
+    # All of 0..low fit, none above high does; low of -1: not even the ellipsis.
+    first = F.struct(F.lit(-1).alias("low"), F.least(F.length(text), F.lit(4 * most)).alias("high"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.least(F.floor((s["low"] + s["high"] + 2) / 2).cast("int"), s["high"])
+        fits = tx.estimate_tokens(cut(mid)) <= most
+        return F.when(s["low"] >= s["high"], s).otherwise(F.struct(F.when(fits, mid).otherwise(s["low"]).alias("low"), F.when(fits, s["high"]).otherwise(mid - 1).alias("high")))
+
+    steps = (4 * most + 1).bit_length() + 1
+    n = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, halve)["low"]
+    return F.when(tx.estimate_tokens(text) <= most, text).otherwise(F.concat(F.rtrim(F.substring(text, F.lit(1), F.greatest(n, F.lit(0)))), F.lit("…")))
 
 
 def plural(n: Column, one: str, more: str | None = None) -> Column:

@@ -190,13 +190,22 @@ def extract_symbols(source: str, language: str) -> list[Symbol]:
     """Declarations in order, with their extents, depth among each other and visibility."""
     raw = source.split("\n")
     if language == "markdown":
-        found, fenced = [], False
+        found, open_, fenced = [], [], False
         for i, line in enumerate(raw, 1):
-            fenced ^= line.lstrip().startswith(("```", "~~~"))
-            if not fenced and (m := re.match(r"(#{1,6})\s+(.*?)\s*#*\s*$", line)):
-                found.append(Symbol(m[2], "heading", i, len(raw), len(m[1]) - 1, line.strip(), True))
-        for a, s in enumerate(found):
-            s.end_line = next((x.start_line - 1 for x in found[a + 1 :] if x.depth <= s.depth), len(raw) - (raw[-1] == ""))
+            mark = line.lstrip(" ")
+            fenced ^= mark.startswith(("```", "~~~"))
+            depth = len(mark) - len(mark.lstrip("#"))
+            rest = mark[depth:]
+            if fenced or not 1 <= depth <= 6 or len(line) - len(mark) > 3 or rest[:1] not in ("", " ", "\t"):
+                continue
+            # Number signs at the end count only after white space.
+            name = rest.rstrip()
+            bare = name.rstrip("#")
+            name = bare.strip() if bare[-1:] in ("", " ", "\t") else name.strip()
+            while open_ and open_[-1].depth >= depth - 1:
+                open_.pop().end_line = i - 1
+            found.append(Symbol(name, "heading", i, len(raw) - (raw[-1] == ""), depth - 1, line.strip(), True))
+            open_.append(found[-1])
         return found[:SYMBOLS_MAX]
     if language in ("yaml", "toml"):
         key = re.compile(r"^([A-Za-z_][\w.-]*)\s*:" if language == "yaml" else r"^\[+([^\]]+)\]+")

@@ -22,8 +22,9 @@ def touched(changes: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """Spans that overlap a changed range (key, low, high), less those that contain another such span; all where that
     leaves none. One sort by key: a span contains another if one that starts no earlier ends before it, or with it."""
     met = changes.join(spans, key).where("stop >= low and start <= high").select(spans.columns).distinct()
-    later = Window.partitionBy(key).orderBy("start").rangeBetween(0, Window.unboundedFollowing)
-    alike = Window.partitionBy(key, "stop").orderBy("start").rangeBetween(0, Window.unboundedFollowing)
+    # Backwards, as a frame that grows is summed up as it goes; one that shrinks is summed up anew for each row.
+    later = Window.partitionBy(key).orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
+    alike = Window.partitionBy(key, "stop").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
     holds = (F.min("stop").over(later) < F.col("stop")) | (F.count("*").over(alike) > 1)
     met = met.withColumn("_holds", holds).withColumn("_all", F.min(F.col("_holds")).over(Window.partitionBy(key)))
     return met.where("not _holds or _all").select(spans.columns)

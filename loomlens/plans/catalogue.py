@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlens.functions import text as tx
-from loomlens.operators import answers, graph, index, parse, scan, spans, store
+from loomlens.operators import answers, graph, index, outline, parse, scan, spans, store
 from loomlens.operators.spread import spread
 from loomlens.sources.shared import fresh
 from loomlens.streaming import upsert
@@ -416,8 +416,10 @@ def json_field(t):
     return t("events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.page").alias("page"))
 
 
-@query("""WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'tests/' WHEN 1 THEN 'docs/' ELSE '' END || regexp_extract(url, '://[^/]*/([^?#]*)', 1) || CASE WHEN page_id % 3 = 0 THEN '/index.ts' ELSE '.ts' END AS path FROM pages)
-SELECT page_id, path, CASE WHEN regexp_matches(path, '(?i)(^|/)(tests?|__tests__|spec)/|\\.(test|spec)\\.[^/]+$|(^|/)test_[^/]*\\.py$') THEN 'test' WHEN regexp_matches(path, '(?i)(^|/)(examples?|samples?|docs?)/') THEN 'example' WHEN regexp_matches(path, '(?i)(^|/)(index|main|cli|app|server)\\.[^/]+$') THEN 'entrypoint' END AS class FROM p""")
+@query("""WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'tests/' WHEN 1 THEN 'docs/' ELSE '' END || regexp_extract(url, '://[^/]*/([^?#]*)', 1) || CASE WHEN page_id % 3 = 0 THEN '/index.ts' ELSE '.ts' END AS path FROM pages),
+x AS (SELECT page_id, path, string_split(lower(path), '/') AS parts, string_split(string_split(lower(path), '/')[-1], '.') AS w FROM p), y AS (SELECT *, parts[1:len(parts) - 1] AS folders, len(w) AS n FROM x)
+SELECT page_id, path, CASE WHEN list_has_any(folders, ['test', 'tests', '__tests__', 'spec']) OR n > 2 AND w[-2] IN ('test', 'spec') AND w[-1] <> '' OR starts_with(w[1], 'test_') AND n > 1 AND w[-1] = 'py' THEN 'test'
+WHEN list_has_any(folders, ['example', 'examples', 'sample', 'samples', 'doc', 'docs']) THEN 'example' WHEN n = 2 AND w[1] IN ('index', 'main', 'cli', 'app', 'server') AND w[-1] <> '' THEN 'entrypoint' END AS class FROM y""")
 def classify_paths(t):
     path = F.expr("concat(case page_id % 4 when 0 then 'tests/' when 1 then 'docs/' else '' end, regexp_extract(url, '://[^/]*/([^?#]*)', 1), case when page_id % 3 = 0 then '/index.ts' else '.ts' end)")
     return t("pages").select("page_id", path.alias("path")).withColumn("class", tx.path_class(F.col("path")))
@@ -444,16 +446,40 @@ o AS (SELECT page_id, level::INT - 1 AS depth, trim(regexp_replace(regexp_replac
 @query(f"""WITH {_HEADS} SELECT page_id, i::BIGINT AS seq, name, depth::BIGINT AS depth,
 coalesce((SELECT min(x.i) FROM o x WHERE x.page_id = o.page_id AND x.i > o.i AND x.depth <= o.depth) - 1, (SELECT max(x.i) FROM o x WHERE x.page_id = o.page_id))::BIGINT AS last FROM o""")
 def html_outline(t):
-    """Headings of pages in order, by the parse stage, each with the last heading that stands under it."""
-    html = F.regexp_replace("html", r"\s+", " ")
-    text = F.regexp_replace(F.regexp_replace(html, r"(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>", "\n#H$1 $2\n"), "<[^>]+>", " ")
-    for n in range(1, 7):
-        text = F.regexp_replace(text, f"#H{n} ", "#" * n + " ")
-    # What isn't a heading must not look like one.
-    kept = F.filter(F.split(text, "\n"), lambda x: x.rlike("^#{1,6} "))
-    files = t("pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".md")).alias("path"), F.array_join(kept, "\n").alias("content"))
-    found = parse.parse_files(files).select(F.regexp_replace("path", r"\.md$", "").cast("long").alias("page_id"), F.inline("symbols"))
-    return found.select("page_id", F.col("start_line").cast("long").alias("seq"), F.trim(F.regexp_replace("name", r"\s+", " ")).alias("name"), F.col("depth").cast("long").alias("depth"), F.col("end_line").cast("long").alias("last"))
+    """Headings of pages in order, each with the last heading that stands under it."""
+    found = outline.extents(outline.html_headings(t("pages"), "page_id"), "page_id", "seq")
+    return found.select("page_id", "seq", "name", F.col("depth").cast("long").alias("depth"), F.col("stop").alias("last"))
+
+
+# Pages as Markdown: a heading a line, every third with number signs after it, and a fence around every fifth.
+_MARKED = f"""{_HEADS}, md AS (SELECT page_id, unnest(CASE WHEN i % 5 = 0 THEN ['```', x, '```'] ELSE [x] END) AS line, i, generate_subscripts(CASE WHEN i % 5 = 0 THEN ['```', x, '```'] ELSE [x] END, 1) AS k
+FROM (SELECT page_id, i, repeat('#', depth + 1) || ' ' || name || CASE WHEN i % 3 = 0 THEN ' ##' ELSE '' END AS x FROM o)),
+ml AS (SELECT page_id, line, i, row_number() OVER (PARTITION BY page_id ORDER BY i, k) AS line_no, count(*) OVER (PARTITION BY page_id) AS n FROM md),
+hs AS (SELECT page_id, line_no AS start, n, depth, name FROM ml JOIN o USING (page_id, i) WHERE i % 5 <> 0)"""
+
+
+@query(f"""WITH {_MARKED} SELECT page_id, start, depth::BIGINT AS depth, trim(regexp_replace(name, '(^|[ \t]+)#+[ \t]*$', '')) AS name,
+coalesce((SELECT min(x.start) FROM hs x WHERE x.page_id = hs.page_id AND x.start > hs.start AND x.depth <= hs.depth) - 1, n)::BIGINT AS stop FROM hs""")
+def markdown_outline(t):
+    h = outline.html_headings(t("pages"), "page_id")
+    line = F.concat(F.expr("repeat('#', depth + 1)"), F.lit(" "), "name", F.when(F.col("seq") % 3 == 0, " ##").otherwise(""))
+    some = F.when(F.col("seq") % 5 == 0, F.array(F.lit("```"), line, F.lit("```"))).otherwise(F.array(line))
+    w = Window.partitionBy("page_id").orderBy("seq", "k")
+    lines = h.select("page_id", "seq", F.posexplode(some).alias("k", "line")).withColumn("line_no", F.row_number().over(w).cast("long"))
+    n = lines.groupBy("page_id").agg(F.max("line_no").alias("n"))
+    found = outline.extents(outline.markdown_headings(lines, "page_id").join(n, "page_id"), "page_id", last="n")
+    return found.select("page_id", "start", F.col("depth").cast("long").alias("depth"), "name", "stop")
+
+
+@query("""WITH k AS (SELECT conv_id, turn AS start, role AS name FROM conversations WHERE turn % 3 = 2 OR turn % 2 = 0), n AS (SELECT conv_id, max(turn) AS n FROM conversations GROUP BY 1)
+SELECT conv_id, start, name, coalesce(lead(start) OVER (PARTITION BY conv_id ORDER BY start) - 1, n)::BIGINT AS stop FROM k JOIN n USING (conv_id)""")
+def config_outline(t):
+    """Conversations as configuration: a turn is a table's head, a key with its value, or a line that goes on."""
+    text = F.regexp_replace("text", "[\r\n]+", " ")
+    line = F.when(F.col("turn") % 3 == 2, F.concat(F.lit("["), "role", F.lit("]"))).when(F.col("turn") % 2 == 0, F.concat("role", F.lit(": "), text)).otherwise(F.concat(F.lit("  "), text))
+    lines = t("conversations").select("conv_id", F.col("turn").alias("line_no"), line.alias("line"))
+    keys = outline.config_keys(lines, "conv_id").join(lines.groupBy("conv_id").agg(F.max("line_no").alias("n")), "conv_id")
+    return outline.flat_extents(keys, "conv_id", last="n").select("conv_id", "start", "name", "stop")
 
 
 @query()
@@ -514,11 +540,11 @@ def budget_reserve(t):
     return answers.admitted(t("documents").select("doc_id", "n_chars", row.alias("row")), "row", ["n_chars", "doc_id"], answers.clamp_budget(None)).select("doc_id", "cost", "used")
 
 
-@query(f"""WITH s AS (SELECT doc_id, replace(text[1:200], chr(10), ' ') AS x FROM documents), n AS (SELECT doc_id, x, unnest(range(0, length(x) + 1)) AS n FROM s), e AS (SELECT doc_id, x, n, x[1:n] || '…' AS cut FROM n),
+@query(f"""WITH s AS (SELECT doc_id, replace(text, chr(10), ' ') AS x FROM documents), n AS (SELECT doc_id, x, unnest(range(0, least(length(x), 48) + 1)) AS n FROM s), e AS (SELECT doc_id, x, n, x[1:n] || '…' AS cut FROM n),
 m AS (SELECT doc_id, max(n) FILTER ({_COST.format('cut')} <= 12) AS n FROM e GROUP BY 1)
 SELECT doc_id, CASE WHEN {_COST.format('x')} <= 12 THEN x ELSE rtrim(x[1:coalesce(n, 0)], ' ') || '…' END AS label FROM s LEFT JOIN m USING (doc_id)""")
 def clamp_tokens(t):
-    return t("documents").select("doc_id", answers.clamp_tokens(F.translate(F.substring("text", 1, 200), "\n", " "), 12).alias("label"))
+    return t("documents").select("doc_id", answers.clamp_tokens(F.translate("text", "\n", " "), 12).alias("label"))
 
 
 @query("""WITH s AS (SELECT source AS folder, lang AS kind, 'n' || (n_chars % 40) AS name, min(doc_id) AS seq FROM documents GROUP BY ALL), k AS (SELECT folder, kind, min(seq) AS first, list(name ORDER BY seq) AS names FROM s GROUP BY ALL),

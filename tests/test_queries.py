@@ -1,16 +1,17 @@
-"""Every query against its SQL on the smallest tables, and logs and diffs on fixtures."""
+"""Every query against its SQL, the structural queries on a small tree of our own, and logs and diffs on fixtures."""
 
 import os
 
 import duckdb
 import pytest
+import tree_fixture
 
 from loomlens.operators import logs
-from loomlens.plans import catalogue, fixture
+from loomlens.plans import catalogue
 
-QUERIES, ORACLES = catalogue.QUERIES | fixture.QUERIES, catalogue.ORACLES | fixture.ORACLES
+QUERIES, ORACLES = catalogue.QUERIES | tree_fixture.QUERIES, catalogue.ORACLES | tree_fixture.ORACLES
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")

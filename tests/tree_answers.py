@@ -1,4 +1,4 @@
-"""What the queries of fixture.py must return: columns with their SQL types, and rows, each read over against the fixture."""
+"""What the queries of tree_fixture.py must return: columns with their SQL types, and rows, each read over against the fixture."""
 
 # fmt: off
 ANSWERS: dict[str, tuple[dict[str, str], list[tuple]]] = {

@@ -1,5 +1,5 @@
 """The structural queries over a small tree, log, diff and notes of our own. What each must return is written down in
-fixture_answers.py, row by row, and is its SQL."""
+tree_answers.py, row by row."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomlens.operators import answers, logs, parse
 from loomlens.plans import tools
-from loomlens.plans.fixture_answers import ANSWERS
+from tree_answers import ANSWERS
 
 TREE = {
     ".gitignore": "dist/\n",
