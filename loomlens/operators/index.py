@@ -10,6 +10,8 @@ from loomlens.functions import text as tx
 from .spread import spread
 
 K1, B, TF_MAX, TERMS_MAX = 1.2, 0.75, 63, 4096
+#: What a symbol's name adds to the count of each of its terms.
+BOOST = 3
 
 
 def postings(docs: DataFrame, key: str = "doc_id", cap: int = TERMS_MAX) -> DataFrame:
@@ -21,6 +23,14 @@ def postings(docs: DataFrame, key: str = "doc_id", cap: int = TERMS_MAX) -> Data
     return ranked.where(F.col("rank") <= cap).select(key, "term", F.least("tf", F.lit(TF_MAX)).alias("tf"), "first")
 
 
+def boosted(postings: DataFrame, names: DataFrame, key: str = "doc_id") -> DataFrame:
+    """postings (key, term, tf) with BOOST more for each time that a term is part of a name (key, name); terms that are
+    not in the text stay out, and counts stop at TF_MAX."""
+    said = names.select(key, F.explode(tx.terms(F.col("name"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("times"))
+    rows = postings.join(said, [key, "term"], "left")
+    return rows.withColumn("tf", F.least(F.col("tf") + BOOST * F.coalesce("times", F.lit(0)), F.lit(TF_MAX))).drop("times")
+
+
 def lengths(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n): distinct terms of each text, without a shuffle."""
     return spread(docs.select(key, "text"), key).select(key, F.least(F.size(F.array_distinct(tx.terms(F.col("text")))), F.lit(TERMS_MAX)).alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlens.functions import text as tx
-from loomlens.operators import answers, graph, index, outline, parse, scan, spans, store
+from loomlens.operators import answers, graph, index, outline, parse, scan, segments, spans
 from loomlens.operators.spread import spread
 from loomlens.sources.shared import fresh
 from loomlens.streaming import upsert
@@ -62,12 +62,12 @@ def corpus_stats(t):
 
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, doc_id LIMIT 10")
 def bm25_topk(t):
-    return index.top(index.bm25(t("documents"), WORDS), 10).select("doc_id", F.round("score", 6).alias("score"))
+    return index.top(_index(t).search(WORDS), 10).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_BM25}, top AS (SELECT * FROM scored ORDER BY score DESC, doc_id LIMIT 180) SELECT doc_id, round(score, 6) AS score FROM top WHERE lang = 'en' ORDER BY top.score DESC, doc_id LIMIT 60")
 def bm25_filtered_after_topk(t):
-    first = index.top(index.bm25(t("documents"), WORDS), 180)
+    first = index.top(_index(t).search(WORDS), 180)
     kept = first.join(t("documents").select("doc_id", "lang").where("lang = 'en'"), "doc_id")
     return index.top(kept, 60).select("doc_id", F.round("score", 6).alias("score"))
 
@@ -196,7 +196,7 @@ def importance_rank(t):
 
 @query(f"WITH {_IMPORTANCE}, {_BM25}, f AS (SELECT 's' || (doc_id % 100 + 1) AS node, max(score) AS s FROM (SELECT * FROM scored ORDER BY score DESC, doc_id LIMIT 400) GROUP BY 1) SELECT imp.node, round(imp.score + coalesce(20 * f.s / (SELECT max(s) FROM f), 0), 6) AS score FROM imp LEFT JOIN f ON imp.node = f.node WHERE imp.node LIKE 's%'")
 def focus_blend(t):
-    top = index.top(index.bm25(t("documents"), WORDS), 400)
+    top = index.top(_index(t).search(WORDS), 400)
     f = top.groupBy(F.concat(F.lit("s"), F.col("doc_id") % 100 + 1).alias("node")).agg(F.max("score").alias("s"))
     most = F.broadcast(f.agg(F.max("s").alias("most")))  # one row
     imp = graph.importance(_edges(t)).where("node like 's%'").join(f, "node", "left").crossJoin(most)
@@ -492,15 +492,19 @@ def mask_source(t):
 _stored: dict[tuple[str, str], str] = {}
 
 
-def _index(t, sf_dir: str, names: bool = False) -> str:
-    """The folder of the stored index of the documents; built once for a session and a set of tables, then only read."""
+def _index(t) -> segments.Store:
+    """The stored index of the documents, built once for a session and the files as they are, then only read."""
     docs = t("documents").select("doc_id", "text")
-    key = (docs.sparkSession.sparkContext.applicationId, f"{sf_dir}:{names}")
+    spark = docs.sparkSession
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files = [jvm.org.apache.hadoop.fs.Path(f) for f in sorted(docs.inputFiles())]
+    state = [p.getFileSystem(conf).getFileStatus(p) for p in files]
+    key = (spark.sparkContext.applicationId, str([(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in state]))
     if key not in _stored:
-        folder = fresh(docs.sparkSession, "index")
-        store.build(docs, folder, names=_names(t) if names else None)
+        folder = fresh(spark, "index")
+        segments.Store(spark, folder).apply(0, docs)
         _stored[key] = folder
-    return _stored[key]
+    return segments.Store(spark, _stored[key])
 
 
 def _names(t) -> DataFrame:
@@ -508,26 +512,37 @@ def _names(t) -> DataFrame:
     return t("documents").select("doc_id", F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("name"))
 
 
-def stored(sql: str):
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), sf_dir)
-        ORACLES[f.__name__] = sql
-        return f
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, doc_id LIMIT 10")
+def postings_search(t):
+    return index.top(_index(t).search(WORDS), 10).select("doc_id", F.round("score", 6).alias("score"))
 
-    return add
+
+_EDITED = """l AS (SELECT doc_id, min(quality) AS q, max(toxic) AS x FROM labels GROUP BY 1),
+v AS (SELECT d.doc_id, d.lang, CASE WHEN q = 1 AND d.doc_id % 3 = 0 THEN 'license ' || text WHEN x = 1 THEN text || ' the license' ELSE text END AS text FROM documents d LEFT JOIN l USING (doc_id) WHERE coalesce(q, 1) <> 0)"""
 
 
-@stored(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, doc_id LIMIT 10")
-def postings_search(t, sf_dir):
-    found = store.search(t("documents").sparkSession, _index(t, sf_dir), WORDS)
-    return index.top(found, 10).select("doc_id", F.round("score", 6).alias("score"))
+@query(f"WITH {_EDITED}, {_BM25.replace('FROM documents', 'FROM v')} SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, doc_id LIMIT 50")
+def index_batches(t):
+    """An index that four batches of new, edited and deleted texts have made, the last of them twice."""
+    docs, spark = t("documents").select("doc_id", "text"), t("documents").sparkSession
+    marks = t("labels").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("x"))
+    toxic = docs.join(marks.where("x = 1"), "doc_id").select("doc_id", F.concat("text", F.lit(" the license")).alias("text"))
+    good = docs.join(marks.where("q = 1 and doc_id % 3 = 0"), "doc_id").select("doc_id", F.concat(F.lit("license "), "text").alias("text"))
+    store = segments.Store(spark, fresh(spark, "index"))
+    store.apply(1, docs.where("doc_id % 2 = 0"))
+    store.apply(2, docs.where("doc_id % 4 = 1"))
+    # What is new comes with edits of what is there already; no key twice.
+    store.apply(3, docs.where("doc_id % 4 = 3").join(toxic.select("doc_id"), "doc_id", "left_anti").unionByName(toxic))
+    for _ in range(2):
+        store.apply(4, good, marks.where("q = 0"))
+    return index.top(store.search(WORDS), 50).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_T}, {_FLAT}, {_POST}, names AS (SELECT doc_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS text FROM documents),
 said AS (SELECT doc_id, unnest({_TERMS}) AS term FROM names), times AS (SELECT doc_id, term, count(*) AS times FROM said GROUP BY ALL)
 SELECT doc_id, term, least(least(tf, 63) + 3 * coalesce(times, 0), 63) AS tf FROM post LEFT JOIN times USING (doc_id, term)""")
 def symbol_boost(t):
-    return store.boosted(index.postings(t("documents")).select("doc_id", "term", "tf"), _names(t)).select("doc_id", "term", F.col("tf").cast("long").alias("tf"))
+    return index.boosted(index.postings(t("documents")).select("doc_id", "term", "tf"), _names(t)).select("doc_id", "term", F.col("tf").cast("long").alias("tf"))
 
 
 _ROW = "doc_id || ' ' || lang || ' ' || coalesce(source, '')"
@@ -560,7 +575,7 @@ def names_packed(t):
 @query(f"""WITH {_BM25}, d AS (SELECT doc_id, doc_id // 50 AS folder, score FROM scored), g AS (SELECT folder, max(score) AS best FROM d GROUP BY 1)
 SELECT doc_id, folder, row_number() OVER (ORDER BY best DESC, folder, score DESC, doc_id) AS place FROM d JOIN g USING (folder) QUALIFY place <= 200""")
 def folders_by_best(t):
-    d = index.bm25(t("documents"), WORDS).withColumn("folder", F.expr("doc_id div 50"))
+    d = _index(t).search(WORDS).withColumn("folder", F.expr("doc_id div 50"))
     best = d.groupBy("folder").agg(F.max("score").alias("best"))
     order = [F.desc("best"), "folder", F.desc("score"), "doc_id"]
     first = d.join(best, "folder").orderBy(*order).limit(200)  # the first page of a listing
