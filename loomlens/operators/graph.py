@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlens.sources.shared import written
@@ -29,11 +29,15 @@ def resolve_ends(refs: DataFrame, files: DataFrame, endings: bool = True) -> Dat
     return n.where("fits = 1 or fits = 0 and n = 1").select("src", "ref", F.coalesce("fit", "any").alias("path"))
 
 
+def score(n_in: Column, n_out: Column) -> Column:
+    return 3 * F.log1p(n_in) + 0.5 * F.log1p(n_out)
+
+
 def importance(edges: DataFrame) -> DataFrame:
     """(node, n_in, n_out, score) from distinct edges (src, dst)."""
     ends = edges.select(F.col("src").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))
     n = ends.groupBy("node").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
-    return n.withColumn("score", 3 * F.log1p("n_in") + 0.5 * F.log1p("n_out"))
+    return n.withColumn("score", score(F.col("n_in"), F.col("n_out")))
 
 
 def walk(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:

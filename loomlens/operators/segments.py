@@ -13,7 +13,6 @@ manifest names. One writer at a time; keys are unique within a batch.
 
 from __future__ import annotations
 
-import json
 import math
 import uuid
 
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 
 from loomlens.functions import text as tx
 from loomlens.sources.shared import written
+from loomlens.sources.versions import Versions
 
 from . import index
 from .spread import spread
@@ -39,33 +39,12 @@ class Store:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _versions(self) -> list[int]:
-        at = self._path(f"{self.folder}/manifest")
-        names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
-        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+        self.versions = Versions(spark, folder)
+        self._path, self._fs = self.versions.path, self.versions.fs
 
     def manifest(self) -> dict:
         """What is live: the last version."""
-        versions = self._versions()
-        if not versions:
-            return {"version": 0, "batch": None, "segments": [], "deletes": [], "counts": [], "n_docs": 0, "n_filled": 0, "n_terms": 0}
-        stream = self._fs.open(self._path(f"{self.folder}/manifest/{versions[-1]:08d}.json"))
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _commit(self, m: dict) -> None:
-        final = self._path(f"{self.folder}/manifest/{m['version']:08d}.json")
-        at = self._path(f"{self.folder}/manifest/_{uuid.uuid4().hex}")
-        stream = self._fs.create(at)
-        stream.write(bytearray(json.dumps(m).encode()))
-        stream.close()
-        if self._fs.exists(final) or not self._fs.rename(at, final):
-            raise RuntimeError(f"version {m['version']} was committed by another writer")
+        return self.versions.last() or {"version": 0, "batch": None, "segments": [], "deletes": [], "counts": [], "n_docs": 0, "n_filled": 0, "n_terms": 0}
 
     def _table(self, kind: str, names: list[str], schema: str, tagged: bool = False) -> DataFrame:
         """Tables of a kind, together; tagged with the segment's name. No file is opened to learn a schema."""
@@ -129,7 +108,7 @@ class Store:
         m["segments"].append({"name": name, "docs": n})
         m["counts"].append(name)
         m |= {"version": m["version"] + 1, "batch": batch}
-        self._commit(m)
+        self.versions.commit(m)
         self.merge()
         return True
 
@@ -163,7 +142,7 @@ class Store:
                 d["rows"] = {s: k for s, k in d["rows"].items() if s not in old}
             m["deletes"] = [d for d in m["deletes"] if d["rows"]]
             m["version"] += 1
-            self._commit(m)
+            self.versions.commit(m)
 
     def search(self, words: list[str], key: str = "doc_id") -> DataFrame:
         """(key, score) of texts that hold any of the words, by BM25. What is known of the words is a row for each; only
@@ -192,12 +171,10 @@ class Store:
 
     def vacuum(self, keep: int = 1) -> int:
         """Removes what none of the last `keep` versions names, once nobody reads it; gives the number of folders."""
-        versions = self._versions()
+        versions = self.versions.all()
         live: set[str] = set()
         for v in versions[-keep:]:
-            stream = self._fs.open(self._path(f"{self.folder}/manifest/{v:08d}.json"))
-            m = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-            stream.close()
+            m = self.versions.read(v)
             live |= {f"{k}/{s['name']}" for s in m["segments"] for k in ("postings", "forward")} | {f"counts/{c}" for c in m["counts"]} | {f"deletes/{d['name']}" for d in m["deletes"]}
         gone = 0
         for kind in ("postings", "forward", "counts", "deletes"):
@@ -206,5 +183,5 @@ class Store:
                 if f"{kind}/{s.getPath().getName()}" not in live:
                     gone += self._fs.delete(s.getPath(), True)
         for v in versions[:-keep]:
-            self._fs.delete(self._path(f"{self.folder}/manifest/{v:08d}.json"), False)
+            self.versions.drop(v)
         return gone

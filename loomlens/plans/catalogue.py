@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlens.functions import text as tx
-from loomlens.operators import answers, graph, index, outline, parse, scan, segments, spans
+from loomlens.operators import answers, edges, graph, index, outline, parse, scan, segments, spans
 from loomlens.operators.spread import spread
 from loomlens.sources.shared import fresh
 from loomlens.streaming import upsert
@@ -241,6 +241,22 @@ def candidate_priority_resolve(t):
     return graph.resolve(refs, t("customer").select(F.col("c_custkey").alias("path")))
 
 
+_LEFT = """c AS (SELECT o_orderkey AS src, o_custkey AS ref, unnest([o_custkey * 7, o_custkey * 3, o_custkey]) AS path, unnest([0, 1, 2]) AS prio FROM orders),
+e AS (SELECT DISTINCT src, dst FROM (SELECT src, ref, arg_min(path, prio) AS dst FROM c JOIN (SELECT * FROM customer WHERE c_custkey % 10 <> 0) ON c_custkey = path GROUP BY ALL) WHERE src <> dst)"""
+
+
+@query(f"WITH {_LEFT}, i AS (SELECT dst, count(*) AS n_in FROM e GROUP BY 1), o AS (SELECT src, count(*) AS n_out FROM e GROUP BY 1), n AS (SELECT coalesce(dst, src) AS node, coalesce(n_in, 0) AS n_in, coalesce(n_out, 0) AS n_out FROM i FULL JOIN o ON src = dst) SELECT node, n_in, n_out, round(3 * ln(1 + n_in) + 0.5 * ln(1 + n_out), 6) AS score FROM n")
+def edges_batches(t):
+    """Importance after customers have come in batches under the references of orders, and some have gone again."""
+    view = edges.Edges(t("orders").sparkSession, fresh(t("orders").sparkSession, "edges"))
+    refs = t("orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("ref"), F.expr("array(o_custkey * 7, o_custkey * 3, o_custkey)").alias("candidates"))
+    files = t("customer").select(F.col("c_custkey").alias("path"))
+    view.apply(1, files.where("path % 4 < 2"), refs=refs.where("src % 3 <> 0"))
+    view.apply(2, files.where("path % 4 = 2"))
+    view.apply(3, files.where("path % 4 = 3"), files.where("path % 10 = 0"), refs.where("src % 3 = 0"))
+    return view.importance().select(F.col("node").cast("long").alias("node"), "n_in", "n_out", F.round("score", 6).alias("score"))
+
+
 def _walk_sql(depth: int) -> str:
     return f"""WITH RECURSIVE {_EDGES}, sym AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
 w AS (SELECT 'p1' AS node, 0 AS hop UNION SELECT dst, hop + 1 FROM w JOIN sym ON src = node WHERE hop < {depth}) SELECT node, min(hop)::BIGINT AS hop FROM w GROUP BY node"""
