@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from loomlens.functions import text as tx
 from loomlens.operators import answers, edges, graph, index, outline, parse, scan, segments, spans
 from loomlens.operators.spread import spread
+from loomlens.sources import feed
 from loomlens.sources.shared import fresh
-from loomlens.streaming import upsert
+from loomlens.streaming import follow, handles, upsert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -427,6 +428,67 @@ def stream_upsert_latest(t):
     return upsert.stream_latest(spark, f"{at}/in", rows.schema, "user_id", ["ts", "event_id"], f"{at}/out", f"{at}/state").drop("ts")
 
 
+@query("SELECT user_id::VARCHAR AS key, count(*) AS n FROM events GROUP BY 1")
+def feed_counts(t):
+    """Events as a feed of changed users: followed in batches at first, by the full way once far more has come, and once
+    more from the checkpoint."""
+    rows = t("events").select("event_id", F.col("user_id").alias("key"))
+    spark = rows.sparkSession
+    at = fresh(spark, "feed")
+
+    def run() -> None:
+        q = follow.follow_counts(spark, f"{at}/feed", f"{at}/counts", f"{at}/state", limit=400, overflow=1000)
+        q.processAllAvailable()
+        q.stop()
+
+    last = rows.agg(F.max("event_id")).first()[0] or 0
+    cuts = [-1, min(900, last // 2), last - last // 50, last]
+    for part, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        feed.publish(rows.where(F.col("event_id").between(low + 1, high)), f"{at}/feed", part, ["event_id"])
+        run()
+    return follow.counts(spark, f"{at}/counts").select("key", "n")
+
+
+@query("SELECT 0::BIGINT AS missing, count(*) AS seen, count(DISTINCT user_id) AS users FROM events")
+def stream_progress(t):
+    """What one running query, asked for twice, has noted of its batches."""
+    rows = t("events").select("event_id", "user_id")
+    spark = rows.sparkSession
+    at = fresh(spark, "progress")
+    rows.repartition(6).write.parquet(f"{at}/in")
+    listener = follow.Progress(spark, f"{at}/progress")
+    spark.streams.addListener(listener)
+
+    def start():
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+        return stream.writeStream.queryName(at.rpartition("/")[2]).format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(processingTime="0 seconds").start()
+
+    asked = [follow.shared(spark, at.rpartition("/")[2], start) for _ in range(2)]
+    asked[1].processAllAvailable()
+    asked[0].stop()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    spark.streams.removeListener(listener)
+    seen = follow.progress(spark, f"{at}/progress").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("seen"))
+    out = spark.read.schema(rows.schema).parquet(f"{at}/out").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+    return seen.crossJoin(out).select((F.col("seen") - F.col("n")).alias("missing"), "seen", "users")  # one row each
+
+
+_USES = "SELECT user_id::VARCHAR AS user, 'r' || substr(sha1(event_type || ':' || event_id % 40 || ':' || (event_id % 40 + 3) || ':event'), 1, 8) AS handle, event_id AS used FROM events"
+
+
+@query(f'WITH u AS ({_USES}), m AS (SELECT "user", handle, max(used) AS used FROM u GROUP BY ALL) SELECT "user", handle, used FROM m QUALIFY row_number() OVER (PARTITION BY "user" ORDER BY used DESC) <= 16')
+def handles_last_used(t):
+    """Handles that users' stores of 16 hold after all events."""
+    spark = t("events").sparkSession
+    at = fresh(spark, "handles")
+    place = F.col("event_id") % 40
+    uses = t("events").select(F.col("user_id").cast("string").alias("user"), tx.handle(F.col("event_type"), place, place + 3, F.lit("event")).alias("handle"), F.col("event_id").alias("used"))
+    uses.repartitionByRange(3, "used").write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(uses.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    handles.keep_handles(stream, f"{at}/state", f"{at}/evicted", 16).awaitTermination()
+    return handles.handles(spark, f"{at}/state")
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.page') AS page FROM events")
 def json_field(t):
     return t("events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.page").alias("page"))
