@@ -1,9 +1,10 @@
 """Passages that stand in several documents, by suffix arrays over what may repeat.
 
 A string of `least` bytes holds an anchor: the 20-byte run in it whose hash is smallest. Equal strings have equal anchors,
-so only anchors that stand twice can lie in a repeat. First, hashes of anchors are counted, dealt out by their leading
-bits; the answer is a filter of fixed size, which saturates on a huge corpus but never loses an anchor, and the list of
-hot ones, at most about a million by definition. Then each anchor that passes goes, with the bytes around it, to the task
+and around the anchor they share half of what is left of the string, before it or after it. So only anchors that stand
+twice with such an arm can lie in a repeat. First, hashes of anchors and of their arms are counted, dealt out by their
+leading bits; the answer is a filter of fixed size, which saturates on a huge corpus but never loses an anchor, and the
+list of hot anchors, at most about a million by definition. Then each anchor that passes goes, with the bytes around it, to the task
 of its hash. There an enhanced suffix array over those bytes is scanned with a stack: its common-prefix intervals with
 more than one left extension are the maximal repeats, each with all its occurrences, and every occurrence outside the
 group's smallest document is a passage to remove. Strings that reach over several anchors are put together by document.
@@ -28,8 +29,8 @@ from . import scratch, words
 GRAM = 20
 #: Bytes worked on at once; longer texts are cut into pieces that overlap by a string less one byte.
 SLICE = 1 << 20
-#: Bits of the filter of anchors that stand twice, and anchors that a counting group has at most, about.
-FILTER, GROUP = 27, 1 << 18
+#: Bits of the filter of what stands twice, and hashes that a counting group has at most, about.
+FILTER, GROUP = 28, 1 << 19
 #: An anchor is hot from so many occurrences on, and from one in so many of all on, so that hot ones are a bounded list.
 HOT, HOT_SHARE = 1000, 1 << 20
 #: Rows that a suffix array is built over at once, but for the end of the last anchor's.
@@ -64,8 +65,9 @@ def _pieces(offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 class Anchors:
-    """The anchors of a slice of texts: key, hash of the surroundings (snippet), row, place in the text, and where the
-    surroundings begin and end in data; the anchor is `lead` bytes into them."""
+    """The anchors of a slice of texts: key, keys with an arm before and after (0 where the text doesn't reach so far),
+    hash of the surroundings (snippet), row, place in the text, and where the surroundings begin and end in data; the
+    anchor is `lead` bytes into them."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray, row: np.ndarray, base: np.ndarray, least: int) -> None:
         self.data = data
@@ -83,6 +85,12 @@ class Anchors:
             self.key, self.row, self.place = h[p], row[piece], p - at[piece] + base[piece]
             self.lo, self.hi = np.maximum(p - (least - GRAM), at[piece]), np.minimum(p + least, at[piece + 1])
             self.lead = p - self.lo
+            # A string holds the anchor with this many bytes before it, or else with as many after it.
+            arm = (least - GRAM + 1) // 2
+            hashed = lambda a, b, salt: words._mixed((run[b] - run[a]) * down[a] + np.uint64(salt))
+            self.arms = np.zeros((2, len(p)), np.uint64)
+            for side, fits, a, b in ((0, self.lead >= arm, p - arm, p + GRAM), (1, self.hi - p >= GRAM + arm, p, p + GRAM + arm)):
+                self.arms[side, fits] = hashed(a[fits], b[fits], side + 1) | np.uint64(1)
             self.snippet = words._mixed((run[self.hi] - run[self.lo]) * down[self.lo] + ((self.hi - self.lo) * 64 + self.lead).astype(np.uint64))
 
     def bytes_of(self, at: np.ndarray) -> pa.Array:
@@ -115,25 +123,39 @@ class Shared:
     def __init__(self, bits: int, regions: np.ndarray, hot: np.ndarray) -> None:
         self.bits, self.regions, self.hot = bits, regions, hot
 
-    def split(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slot = _slot(key, self.bits)
-        bit = ((slot >> np.uint64(32)) << np.uint64(FILTER - self.bits)) | (slot & np.uint64((1 << (FILTER - self.bits)) - 1))
-        may = (self.regions[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        hot = np.zeros(len(key), bool)
+    def split(self, a: Anchors) -> tuple[np.ndarray, np.ndarray]:
+        """Places among a's anchors of those that may stand twice: not hot, and hot."""
+        may = np.flatnonzero(self._twice(a.arms[0]) | self._twice(a.arms[1]))
+        hot = np.zeros(len(may), bool)
         if len(self.hot):
+            slot = _slot(a.key[may], self.bits)
             hot = self.hot[np.minimum(np.searchsorted(self.hot, slot), len(self.hot) - 1)] == slot
-        return may & ~hot, hot
+        return may[~hot], may[hot]
+
+    def _twice(self, key: np.ndarray) -> np.ndarray:
+        slot = _slot(key, self.bits)
+        held = key > 0
+        for bit in _two_bits(slot & np.uint64(0xFFFFFFFF), self.bits):
+            bit = ((slot >> np.uint64(32)) << np.uint64(FILTER - self.bits)) | bit
+            held &= (self.regions[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return held
+
+
+def _two_bits(mark: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a slot's region that stand for a mark."""
+    width = np.uint64(FILTER - bits)
+    return mark & np.uint64((1 << (FILTER - bits)) - 1), ((mark * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)) >> (np.uint64(32) - width)
 
 
 def _shared(docs: DataFrame, least: int) -> Shared:
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     many = 2 * size // (least - GRAM + 2)
-    bits = min(max(6, (many // GROUP).bit_length()), 20)
+    bits = min(max(6, (3 * many // GROUP).bit_length()), 20)
     hot = max(HOT, many // HOT_SHARE)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [_slot(a.key, bits) for a in anchors(b.column("text"), least)]
+            keys = [_slot(k[k > 0], bits) for a in anchors(b.column("text"), least) for k in (a.key, *a.arms)]
             if not keys:
                 continue
             key, n = np.unique(np.concatenate(keys), return_counts=True)
@@ -147,18 +169,20 @@ def _shared(docs: DataFrame, least: int) -> Shared:
         marks, times = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint32) for c in ("marks", "times"))
         mark, at = np.unique(marks, return_inverse=True)
         n = np.bincount(at, times)
-        bit = mark[n >= 2] & np.uint32((1 << (FILTER - bits)) - 1)
         region = np.zeros(1 << (FILTER - bits - 3), np.uint8)
-        np.bitwise_or.at(region, bit >> 3, np.uint8(1) << (bit & np.uint32(7)).astype(np.uint8))
+        for bit in _two_bits(mark[n >= 2].astype(np.uint64), bits):
+            np.bitwise_or.at(region, (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
         often = mark[n > hot].astype(np.int64) + (slot << 32)
         return pa.table({"slot": pa.array([slot], pa.int32()), "region": pa.array([region.tobytes()], pa.binary()), "hot": pa.array([often.tolist()], pa.list_(pa.int64()))})
 
-    rows = docs.select("text").mapInArrow(counted, "slot int, marks binary, times binary").groupBy("slot").applyInArrow(summed, "slot int, region binary, hot array<long>")
     regions, found = np.zeros(1 << (FILTER - 3), np.uint8), []
     width = 1 << (FILTER - bits - 3)
-    for r in rows.collect():  # 2^FILTER bits in all, and hot anchors
-        regions[r.slot * width : (r.slot + 1) * width] = np.frombuffer(r.region, np.uint8)
-        found += r.hot
+    with scratch.freeing(docs.sparkSession):
+        rows = docs.select("text").mapInArrow(counted, "slot int, marks binary, times binary").groupBy("slot").applyInArrow(summed, "slot int, region binary, hot array<long>")
+        for r in rows.toArrow().to_batches():  # 2^FILTER bits in all, and hot anchors
+            for slot, region, hot in zip(r.column("slot").to_pylist(), r.column("region"), r.column("hot").to_pylist(), strict=True):
+                regions[slot * width : (slot + 1) * width] = np.frombuffer(region.as_buffer(), np.uint8)
+                found += hot
     return Shared(bits, regions, np.sort(np.array(found, np.uint64)))
 
 
@@ -173,7 +197,7 @@ def _found(docs: DataFrame, shared, least: int, hot: bool) -> DataFrame:
         for b in batches:
             doc, tag = b.column("doc_id"), b.column("tag")
             for a in anchors(b.column("text"), least):
-                at = np.flatnonzero(shared.value.split(a.key)[hot])
+                at = shared.value.split(a)[hot]
                 if not len(at):
                     continue
                 text = a.bytes_of(at)
@@ -338,8 +362,13 @@ def repeated_spans(docs: DataFrame, least: int = 50) -> DataFrame:
     docs = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= least)).select("doc_id", "tag", "text")
     shared = _shared(docs, least)
     sent = spark.sparkContext.broadcast(shared)  # 2^FILTER bits and the list of hot anchors
-    cold = _found(docs, sent, least, hot=False).repartition("anchor").sortWithinPartitions("anchor", "snippet", "doc_id").mapInArrow(_compared(least), SPANS)
-    return cold.unionByName(_hot_spans(spark, _found(docs, sent, least, hot=True), least)) if len(shared.hot) else cold
+    with scratch.freeing(spark):
+        cold = _found(docs, sent, least, hot=False).repartition("anchor").sortWithinPartitions("anchor", "snippet", "doc_id")
+        spans = scratch.written(cold.mapInArrow(_compared(least), SPANS), "spans")
+        if len(shared.hot):
+            spans = spans.unionByName(scratch.written(_hot_spans(spark, _found(docs, sent, least, hot=True), least), "spans"))
+    sent.unpersist()
+    return spans
 
 
 def _cut(kept: bool):

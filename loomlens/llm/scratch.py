@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,22 @@ def fresh(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Shuffle files go as soon as an action ends, not when the driver next collects its garbage.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of DataFrames that are made within it go when their action ends; for large shuffles that nothing reads
+    again."""
+    before = spark.conf.get(FREE, None)
+    spark.conf.set(FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE, before or "false")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once, kept as Parquet in the shared folder and read from there."""
     spark = df.sparkSession
