@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,43 @@ def resolve_ends(refs: DataFrame, files: DataFrame, endings: bool = True) -> Dat
     return n.where("fits = 1 or fits = 0 and n = 1").select("src", "ref", F.coalesce("fit", "any").alias("path"))
 
 
+def _tails(path: Column, proper: bool = False) -> Column:
+    """All ends of a path that begin at a segment, itself included unless proper."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(2 if proper else 1), F.size(parts) + (F.when(F.size(parts) == 1, 1).otherwise(0) if proper else 0)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+
+def locate_reported(reported: DataFrame, files: DataFrame) -> DataFrame:
+    """(ref, path): the file that a reported path means: the file of that path, else the only one that ends in it or that
+    it ends in, else null. Files (path) are counted by each of their ends first, so a name that a million files share is
+    one row, and paths are compared by equality only."""
+    refs, files = reported.select("ref").distinct(), files.select("path").distinct()
+    ends = files.select("path", F.explode(_tails(F.col("path"))).alias("ref")).groupBy("ref").agg(F.count("*").alias("n"), F.min("path").alias("path"), F.max(F.col("path") == F.col("ref")).alias("same"))
+    longer = refs.join(ends, "ref")
+    tails = refs.where("instr(ref, '/') > 0").select("ref", F.explode(_tails(F.col("ref"), proper=True)).alias("path"))
+    shorter = tails.join(files, "path").select("ref", F.lit(1).cast("long").alias("n"), "path", F.lit(False).alias("same"))
+    exact = F.max(F.when(F.col("same"), F.col("ref")))
+    n = longer.select("ref", "n", "path", "same").unionByName(shorter).groupBy("ref").agg(F.sum("n").alias("n"), F.min("path").alias("path"), exact.alias("exact"))
+    return refs.join(n, "ref", "left").select("ref", F.coalesce("exact", F.when(F.col("n") == 1, F.col("path"))).alias("path"))
+
+
+def follow(links: DataFrame, starts: DataFrame, most: int) -> DataFrame:
+    """(start, node, hops, cycle): where following each node's first link (src, dst, place; the smallest place, then dst)
+    ends, after `most` hops at most. A walk that comes back to where it has been stops there, and says so. Levels are
+    rounds of one recursive query; each row carries the nodes that it has passed."""
+    spark = links.sparkSession
+    first = links.groupBy("src").agg(F.min_by("dst", F.struct("place", "dst")).alias("dst"))
+    names = {k: f"_{k}_{uuid.uuid4().hex}" for k in ("links", "starts")}
+    written(first, "links").createOrReplaceTempView(names["links"])
+    starts.select("node").distinct().createOrReplaceTempView(names["starts"])
+    rows = spark.sql(f"""WITH RECURSIVE walk(start, node, hops, passed, cycle) AS (
+        SELECT node, node, 0, array(node), false FROM {names["starts"]}
+        UNION ALL
+        SELECT start, dst, hops + 1, array_append(passed, dst), array_contains(passed, dst) FROM walk JOIN {names["links"]} ON src = node WHERE hops < {int(most)} AND NOT cycle)
+        SELECT start, max_by(struct(node, cycle), hops) AS last, max(hops) AS hops FROM walk GROUP BY start""")
+    return rows.select("start", F.col("last.node").alias("node"), "hops", F.col("last.cycle").alias("cycle"))
+
+
 def score(n_in: Column, n_out: Column) -> Column:
     return 3 * F.log1p(n_in) + 0.5 * F.log1p(n_out)
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlens.functions import text as tx
-from loomlens.operators import answers, edges, graph, index, outline, parse, scan, segments, spans
+from loomlens.operators import answers, edges, graph, ignore, index, outline, parse, scan, segments, spans
 from loomlens.operators.spread import spread
-from loomlens.sources import feed
+from loomlens.sources import feed, notes, workspace
 from loomlens.sources.shared import fresh
 from loomlens.streaming import follow, handles, upsert
 
@@ -280,6 +280,54 @@ def bfs_4hop(t):
     return _walk(t, 4)
 
 
+_FIRST = "first AS (SELECT o_custkey AS src, arg_min(o_orderkey * 7 % 997 + 1, (o_orderdate, o_orderkey)) AS dst FROM orders WHERE o_custkey % 9 <> 0 GROUP BY 1)"
+
+
+@query(f"""WITH RECURSIVE {_FIRST}, walk AS (SELECT c_custkey AS start, c_custkey AS node, 0 AS hops, [c_custkey] AS passed, false AS cycle FROM customer
+UNION ALL SELECT start, dst, hops + 1, list_append(passed, dst), list_contains(passed, dst) FROM walk JOIN first ON src = node WHERE hops < 12 AND NOT cycle)
+SELECT start, arg_max(node, hops) AS node, max(hops)::BIGINT AS hops, arg_max(cycle, hops) AS cycle FROM walk GROUP BY start""")
+def follow_links(t):
+    """Customers lead on by their first order; some to nowhere, many into a circle."""
+    links = t("orders").where("o_custkey % 9 <> 0").selectExpr("o_custkey as src", "o_orderkey * 7 % 997 + 1 as dst", "struct(o_orderdate, o_orderkey) as place")
+    return graph.follow(links, t("customer").select(F.col("c_custkey").alias("node")), 12).withColumn("hops", F.col("hops").cast("long"))
+
+
+@query(f"""WITH {_PATHS}, {_HREF}, f AS (SELECT DISTINCT regexp_replace(p, '/+$', '') AS path FROM u), r AS (SELECT DISTINCT regexp_replace(regexp_replace(href, '^[a-z]+://', ''), '^/+|/+$', '', 'g') AS ref FROM h
+UNION SELECT 'build/' || path FROM f UNION SELECT 'app' FROM f),
+m AS (SELECT ref, count(*) AS n, min(path) AS path, max(CASE WHEN path = ref THEN path END) AS same FROM r JOIN f ON path = ref OR ends_with(path, '/' || ref) OR ends_with(ref, '/' || path) GROUP BY ref)
+SELECT ref, CASE WHEN same IS NOT NULL THEN same WHEN n = 1 THEN m.path END AS path FROM r LEFT JOIN m USING (ref)""")
+def locate_reported(t):
+    files = _paths(t).select(F.regexp_replace("p", "/+$", "").alias("path"))
+    refs = _hrefs(t).select(F.regexp_replace(F.regexp_replace("href", "^[a-z]+://", ""), "^/+|/+$", "").alias("ref"))
+    refs = refs.unionByName(files.select(F.concat(F.lit("build/"), "path").alias("ref"))).unionByName(files.select(F.lit("app").alias("ref")))
+    return graph.locate_reported(refs, files)
+
+
+def _rules() -> list[tuple[int, str, str]]:
+    """200 rules of every form, over what page paths are made of."""
+    forms = ("/en/{0}", "*{1}.html", "de/**/p{0}", "!en/{1}", "{0}/", "/fr/*/{1}*", "!p{0}*", "?{1}", "**/es/{1}/**", "[a-e]*/{0}")
+    return [(i, "" if i % 7 else "example.com", forms[i % len(forms)].format(i // 10, i % 10)) for i in range(200)]
+
+
+def _rule_rows() -> str:
+    rows = []
+    for number, base, line in _rules():
+        r = workspace.compile_rule(line, base)
+        rows.append(f"({number}, '{base}', '{r.pattern.pattern}', {str(r.negated).lower()}, {str(r.directory_only).lower()})")
+    return ", ".join(rows)
+
+
+@query(f"""WITH {_PATHS}, r AS (SELECT * FROM (VALUES {_rule_rows()}) v(number, base, pattern, negated, folders)), f AS (SELECT DISTINCT rtrim(p, '/') AS path FROM u WHERE rtrim(p, '/') <> ''),
+b AS (SELECT path, number, negated, folders, pattern, CASE WHEN base = '' THEN path ELSE path[length(base) + 2:] END AS rest FROM f JOIN r ON base = '' OR starts_with(path, base || '/')),
+a AS (SELECT *, string_split(rest, '/') AS x FROM b), e AS (SELECT path, number, negated, folders, pattern, unnest(list_transform(range(1, len(x) + 1), lambda k: array_to_string(x[1:k], '/'))) AS above, len(x) AS n, unnest(range(1, len(x) + 1)) AS k FROM a),
+l AS (SELECT path, max(number) AS number FROM e WHERE regexp_full_match(above, pattern) AND (k < n OR NOT folders) GROUP BY path)
+SELECT f.path, number::BIGINT AS rule, coalesce(NOT negated, false) AS ignored FROM f LEFT JOIN l USING (path) LEFT JOIN r USING (number)""")
+def ignore_rules(t):
+    files = _paths(t).select(F.rtrim(F.regexp_replace("p", "/+$", "")).alias("path"), F.lit(False).alias("is_dir")).where("path <> ''")
+    rules = files.sparkSession.createDataFrame(_rules(), "number int, base string, line string")
+    return ignore.ignored(files, rules).select("path", "rule", "ignored")
+
+
 _DIRS = "dirs AS (SELECT unnest(['en', 'en/1', 'en/12', 'fr', 'de/2', '']) AS dir)"
 
 
@@ -510,6 +558,18 @@ def note_search(t):
     return t("benchmark").select("item_id", score.cast("long").alias("score")).where("score > 0").orderBy(F.desc("score"), "item_id").limit(20)
 
 
+@query("SELECT item_id::VARCHAR AS id, text, [item_id % 3 || '.md'] AS paths, '2026-01-' || lpad((item_id % 28 + 1)::VARCHAR, 2, '0') AS created_at FROM benchmark ORDER BY created_at DESC, id DESC LIMIT 500")
+def notes_written(t):
+    """Benchmark items as notes: written in two goes, the second over some of the first, and read back."""
+    rows = t("benchmark").selectExpr("cast(item_id as string) as id", "text", "array(concat(item_id % 3, '.md')) as paths", "array('b') as tags", "concat('2026-01-', lpad(item_id % 28 + 1, 2, '0')) as created_at")
+    spark = rows.sparkSession
+    spark.dataSource.register(notes.Notes)
+    at = fresh(spark, "notes")
+    for part in (rows.where("length(id) % 2 = 0"), rows):
+        part.repartition(3).write.format("notes").mode("append").save(at)
+    return spark.read.format("notes").load(at).select("id", "text", "paths", "created_at")
+
+
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_name COLLATE en_us, p_partkey) AS place FROM part QUALIFY place <= 100")
 def locale_order(t):
     first = t("part").orderBy(F.collate("p_name", "UNICODE"), "p_partkey").limit(100)  # the first page of a listing
