@@ -8,85 +8,177 @@ from pyspark.sql import functions as F
 COLUMNS = ("log_id", "line_no", "severity", "file", "line", "col", "code", "message", "source")
 
 
-def _x(pattern: str, i: int) -> Column:
-    return F.regexp_extract("text", pattern, i)
-
-
-def _rows(df: DataFrame, source: str, severity: Column, file: Column, line: Column, col: Column, code: Column, message: Column) -> DataFrame:
-    blank = lambda c: F.when(c != "", c)
-    level = F.when(severity.isin("note", "help", "info"), "info").when(severity.isin("warning", "warn", "WARNING"), "warning").otherwise("error")
-    return df.select("log_id", "line_no", level.alias("severity"), blank(file).alias("file"), line.try_cast("int").alias("line"), col.try_cast("int").alias("col"), blank(code).alias("code"), message.alias("message"), F.lit(source).alias("source"))
-
-
-#: Pieces of the forms: a file, a line, a place in a line.
-_FILE, _LINE, _PLACE = r"([^\s:]+)", r":(\d+)", r":(\d+)(?::(\d+))?"
-#: Rank, source, form of a line without the white space around it, and by group number or as it stands: severity, file,
-#: line, column, code, message. The lowest rank is the most specific; GENERIC gives way to all.
+#: What a form found, before it is known whether another form found it too; the lowest rank is the most specific.
+FOUND = ("rank", "source", "severity", "file", "line", "col", "code", "message")
 GENERIC = 9
-FORMS = (
-    (0, "tsc", r"^(.+?)\((\d+),(\d+)\): (error|warning) (TS\d+): (.*)$", (4, 1, 2, 3, 5, 6)),
-    (0, "tsc", r"^(.+?):(\d+):(\d+) - (error|warning) (TS\d+): (.*)$", (4, 1, 2, 3, 5, 6)),
-    (4, "pytest", r"^FAILED\s+" + _FILE + r"(?:::(\S+))?(?:\s+-\s+(.+))?$", ("error", 1, "", "", 2, 3)),
-    (4, "pytest", r"^([^\s:]+\.py)" + _LINE + r":\s+([A-Z]\w*(?:Error|Exception)\b.*)$", ("error", 1, 2, "", "", 3)),
-    (6, "go", r"^(?:vet:\s+)?(?:\./)?([^\s:]+\.go)" + _PLACE + r":\s*(.+)$", ("error", 1, 2, 3, "", 4)),
-    (6, "go", r"^--- FAIL:\s+(\S+)", ("error", "", "", "", 1, 1)),
-    (7, "maven", r"^\[(ERROR|WARNING)\]\s+([^\s:]+\.(?:java|kt)):\[(\d+),(\d+)\]\s*(.+)$", (1, 2, 3, 4, "", 5)),
-    (GENERIC, "generic", r"(?i)^([^\s:][^:]*?)" + _PLACE + r":?\s*(error|warning|note)(?:\[([^\]]+)\])?:\s*(.+)$", (4, 1, 2, 3, 5, 6)),
-    (GENERIC, "generic", r"^(?:\S+\s)?(?:Error|FATAL|Exception)\s*:\s*(.+)$", ("error", "", "", "", "", 1)),
-)
-#: Signs that test runners put before the title of a failure; a title of that name is none.
-MARKS, NO_TITLE = r"^\s*(?:●|×|✕|✗|FAIL)\s+(.+?)\s*$", "console"
+# How far below its title a failure's first frame is looked for, and how far below its head an arrow.
 TITLE_REACH, HEAD_REACH = 24, 3
+# Signs before the title of a failed test, a title that is none, and endings of names that are raised.
+SIGNS, NO_TITLE, RAISED = ("●", "×", "✕", "✗", "FAIL"), "console", ("Error", "Exception", "Interrupt", "Warning", "Exit")
+
+
+def _part(parts: Column, i: int) -> Column:
+    return F.get(parts, F.lit(i))
+
+
+def _number(x: Column) -> Column:
+    return F.when(x.rlike("^[0-9]{1,9}$"), x.cast("int"))
+
+
+def _placed(x: Column) -> Column:
+    """(file, line, col) of file:line or file:line:col, read from the right; all null for anything else."""
+    p = F.split(x, ":")
+    n = F.size(p)
+    last, before = _number(F.get(p, n - 1)), _number(F.get(p, n - 2))
+    two = last.isNotNull() & before.isNotNull() & (n > 2)
+    one = last.isNotNull() & (n > 1)
+    file = F.when(two, F.array_join(F.slice(p, F.lit(1), F.greatest(n - 2, F.lit(0))), ":")).when(one, F.array_join(F.slice(p, F.lit(1), F.greatest(n - 1, F.lit(0))), ":"))
+    return F.struct(F.when(file != "", file).alias("file"), F.when(two, before).when(one, last).alias("line"), F.when(two, last).alias("col"))
+
+
+def _ends(file: Column, *endings: str) -> Column:
+    return F.coalesce(F.lower(F.substring_index(file, ".", -1)).isin(*endings) & F.contains(file, F.lit(".")), F.lit(False))
+
+
+def _level(x: Column) -> Column:
+    x = F.lower(x)
+    return F.when(x.isin("note", "help", "info"), "info").when(x.isin("warning", "warn"), "warning").otherwise("error")
+
+
+def _problem(fits: Column, rank: int, source: str, severity: Column | str, file=None, line=None, col=None, code=None, message=None) -> Column:
+    """A problem as FOUND has it, null where the form doesn't fit."""
+    text = lambda x: F.lit(None).cast("string") if x is None else F.when(x != "", x)
+    number = lambda x: F.lit(None).cast("int") if x is None else x
+    values = (F.lit(rank), F.lit(source), F.lit(severity) if isinstance(severity, str) else _level(severity), text(file), number(line), number(col), text(code), message)
+    return F.when(F.coalesce(fits, F.lit(False)), F.struct(*[v.alias(k) for k, v in zip(FOUND, values, strict=True)]))
+
+
+def _forms(lines: DataFrame) -> DataFrame:
+    """lines with what the tools' forms make of each, in columns _form0, _form1...: t is the line without the white space
+    around it, text as it came. Fields are what a tool's own signs part; they are columns first, so that a line is parted
+    once, whatever looks at the fields."""
+    t, raw, out = F.col("t"), F.col("text"), []
+    layers: list[dict[str, Column]] = [{}, {}, {}]
+
+    def let(x: Column, layer: int = 0) -> Column:
+        name = f"_field{layer}_{len(layers[layer])}"
+        layers[layer][name] = x
+        return F.col(name)
+
+    # tsc, plain: file(line,col): error TS1: message; and pretty: file:line:col - error TS1: message
+    for head, tail in ((let(F.substring_index(t, "): ", 1)), let(F.split(t, r"\): ", 2))), (let(F.substring_index(t, " - ", 1)), let(F.split(t, " - ", 2)))):
+        said = let(F.split(_part(tail, 1), " ", 3), 1)
+        code = _part(said, 1)
+        fits = _part(said, 0).isin("error", "warning") & code.rlike("^TS[0-9]+:$")
+        if len(out):
+            at = let(_placed(head), 1)
+            file, line, col = at["file"], at["line"], at["col"]
+        else:
+            inside = let(F.split(F.substring_index(head, "(", -1), ","), 1)
+            line, col = _number(_part(inside, 0)), _number(_part(inside, 1))
+            file = F.substring(head, F.lit(1), F.length(head) - F.length(F.substring_index(head, "(", -1)) - 1)
+            fits &= F.size(inside) == 2
+        out.append(_problem(fits & line.isNotNull() & col.isNotNull(), 0, "tsc", _part(said, 0), file, line, col, F.rtrim(code, F.lit(":")), F.coalesce(_part(said, 2), F.lit(""))))
+    # pytest's summary: FAILED file::test - message; and its last line: file.py:line: NameOfError: message
+    said = let(F.split(F.ltrim(F.substring(t, 7, 1 << 20)), " - ", 2))
+    node = let(F.split(F.trim(_part(said, 0)), "::", 2), 1)
+    out.append(_problem(t.startswith("FAILED ") & (_part(node, 0) != "") & ~F.trim(_part(said, 0)).rlike(r"\s"), 4, "pytest", "error", _part(node, 0), code=_part(node, 1), message=F.coalesce(F.trim(_part(said, 1)), F.lit("test failed"))))
+    said = let(F.split(t, ":\\s*", 3))
+    name = let(F.regexp_extract(_part(said, 2), r"^\w+", 0), 1)
+    fits = _ends(_part(said, 0), "py") & _number(_part(said, 1)).isNotNull() & name.rlike("^[A-Z]") & (name.endswith("Error") | name.endswith("Exception"))
+    out.append(_problem(fits, 4, "pytest", "error", _part(said, 0), _number(_part(said, 1)), message=_part(said, 2)))
+    # go build and vet: file.go:line:col: message; go test: --- FAIL: name (time)
+    bare = F.regexp_replace(F.regexp_replace(t, "^vet: +", ""), r"^\./", "")
+    p = let(F.split(bare, ":"))
+    col = let(_number(_part(p, 2)), 1)
+    message = let(F.trim(F.array_join(F.slice(p, F.when(col.isNull(), 3).otherwise(4), F.size(p)), ":")), 2)
+    out.append(_problem(_ends(_part(p, 0), "go") & _number(_part(p, 1)).isNotNull() & (message != ""), 6, "go", "error", _part(p, 0), _number(_part(p, 1)), col, message=message))
+    test = let(_part(F.split(F.ltrim(F.substring(t, 10, 1 << 20)), r"\s+"), 0))
+    out.append(_problem(t.startswith("--- FAIL:") & (test != ""), 6, "go", "error", code=test, message=F.concat(F.lit("test failed: "), test)))
+    # maven: [ERROR] file.java:[line,col] message
+    level = let(F.substring_index(F.substring_index(t, "]", 1), "[", -1))
+    file = let(F.substring_index(F.ltrim(F.substring(t, F.length(level) + 3, F.lit(1 << 20))), ":[", 1), 1)
+    rest = let(F.split(t, ":\\[", 2))
+    inside = let(F.split(F.substring_index(_part(rest, 1), "]", 1), ","), 1)
+    message = let(F.trim(F.substring(_part(rest, 1), F.length(F.substring_index(_part(rest, 1), "]", 1)) + 2, F.lit(1 << 20))), 1)
+    fits = t.startswith("[") & level.isin("ERROR", "WARNING") & _ends(file, "java", "kt") & _number(_part(inside, 1)).isNotNull()
+    out.append(_problem(fits & (F.size(inside) == 2) & (message != ""), 7, "maven", level, file, _number(_part(inside, 0)), _number(_part(inside, 1)), message=message))
+    # Any tool's file:line:col: error[code]: message, and a bare Error: message after at most one word
+    word = r"(?i)^(.*?)[:\s]+(error|warning|note)(?:\[([^\]]*)\])?:\s*(\S.*)$"
+    at = let(_placed(let(F.rtrim(F.regexp_extract(t, word, 1), F.lit(": ")))), 1)
+    out.append(_problem(at["line"].isNotNull() & at["file"].isNotNull(), GENERIC, "generic", F.regexp_extract(t, word, 2), at["file"], at["line"], at["col"], F.regexp_extract(t, word, 3), F.regexp_extract(t, word, 4)))
+    said = let(F.split(t, ":", 2))
+    head = let(F.split(F.rtrim(_part(said, 0)), r"\s+"), 1)
+    out.append(_problem((F.size(head) <= 2) & F.get(head, F.size(head) - 1).isin("Error", "FATAL", "Exception") & (F.trim(_part(said, 1)) != ""), GENERIC, "generic", "error", message=F.trim(_part(said, 1))))
+    # eslint, under the file's own line: line:col  level  message  rule, parted by two blanks or more
+    f = let(F.split(t, r"\s{2,}"))
+    place, n, rule = let(F.split(_part(f, 0), ":"), 1), F.size(f), F.get(f, F.size(f) - 1)
+    ruled = (n > 3) & rule.rlike("^[\\w@/-]+$")
+    fits = raw.rlike("^\\s") & F.col("above").isNotNull() & (F.size(place) == 2) & _number(_part(place, 0)).isNotNull() & _number(_part(place, 1)).isNotNull() & _part(f, 1).isin("error", "warning") & (n > 2)
+    message = F.array_join(F.slice(f, F.lit(3), F.greatest(F.when(ruled, n - 3).otherwise(n - 2), F.lit(0))), "  ")
+    out.append(_problem(fits, 1, "eslint", _part(f, 1), F.col("above"), _number(_part(place, 0)), _number(_part(place, 1)), F.when(ruled, rule), message))
+    # cargo: error[E1]: message, and the place after the arrow below
+    said = let(F.split(t, ":\\s*", 2))
+    level, code = let(F.substring_index(_part(said, 0), "[", 1), 1), let(F.substring_index(_part(said, 0), "[", -1), 1)
+    fits = level.isin("error", "warning") & (_part(said, 1) != "") & ((code == level) | code.rlike(r"^E[0-9]+\]$"))
+    at = let(_placed(let(F.trim(F.substring_index("arrow", "-->", -1)))), 1)
+    out.append(_problem(fits, 2, "cargo", level, at["file"], at["line"], at["col"], F.when(code != level, F.rtrim(code, F.lit("]"))), _part(said, 1)))
+    # python: the first thing raised after Traceback, at the last frame that isn't a library's
+    head = let(F.substring_index(raw, ":", 1))
+    raised = head.rlike("^[A-Za-z_][\\w.]*$") & F.contains(raw, F.lit(":"))
+    ending = F.lit(False)
+    for e in RAISED:
+        ending = ending | head.endswith(e)
+    frame = let(F.split("frame", '"'))
+    line = _number(F.regexp_extract(_part(frame, 2), "^, line ([0-9]+)", 1))
+    out.append(_problem(raised & ending & (F.col("trace") > 0), 3, "python", "error", _part(frame, 1), line, code=head, message=F.ltrim(F.substring(raw, F.length(head) + 2, F.lit(1 << 20)))))
+    # jest and vitest: a sign and the test's title, and the first frame of the project below
+    title = F.lit(None).cast("string")
+    for sign in SIGNS:
+        title = F.coalesce(title, F.when(t.startswith(sign + " "), F.trim(F.substring(t, len(sign) + 1, 1 << 20))))
+    title = let(title)
+    at = let(_placed(F.col("below")))
+    out.append(_problem((title != "") & (F.lower(title) != NO_TITLE), 5, "jest", "error", at["file"], at["line"], at["col"], message=title))
+    for layer in layers:
+        lines = lines.withColumns(layer)
+    return lines.withColumns({f"_form{i}": x for i, x in enumerate(out)})
+
+
+def _framed(t: Column) -> Column:
+    """The file:line:col that a stack's line shows: in brackets or after `at`, or the line itself; of the project's
+    scripts only."""
+    inner = F.when(F.contains(t, F.lit("(")) & t.startswith("at "), F.substring_index(F.substring_index(t, "(", -1), ")", 1)).when(t.startswith("at "), F.substring_index(t, " ", -1)).otherwise(F.rtrim(F.substring_index(t, " ", 1), F.lit(":")))
+    at = _placed(inner)
+    return F.when(at["col"].isNotNull() & _ends(at["file"], "js", "jsx", "ts", "tsx") & ~F.contains(t, F.lit("node_modules")), inner)
 
 
 def diagnostics(log: DataFrame) -> DataFrame:
     """Problems that compilers, linters and test runners report; what a specific form found beats the generic form.
 
-    Context is carried by windows over a log's lines: the file above (fill forward), the next location within a bound,
-    and the traceback that a line belongs to (running count). A head without a location is a problem without a place.
+    The log is read once: a sort by line gives each line what it needs of others, namely the file's line above, the next
+    arrow and the next frame within a bound, and the traceback that it is in; then every form is tried on the line alone.
+    A head without a location is a problem without a place.
     """
     w = Window.partitionBy("log_id").orderBy("line_no")
-    none = F.lit("")
-    found = []
-    bare = log.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
-    for rank, source, pattern, picks in FORMS:
-        severity, file, line, col, code, message = (_x(pattern, i) if isinstance(i, int) else F.lit(i) for i in picks)
-        if source == "pytest":
-            message = F.when(message == "", "test failed").otherwise(message)
-        if pattern.startswith("^---"):
-            message = F.concat(F.lit("test failed: "), message)
-        found.append(_rows(bare.where(F.col("text").rlike(pattern)), source, F.lower(severity), file, line, col, code, message).withColumn("rank", F.lit(rank)))
-
-    lint = r"^\s+(\d+):(\d+)\s+(error|warning)\s+(.*?\S)(?:\s{2,}([\w@/-]+))?\s*$"
-    above = F.last(F.when(F.col("text").rlike(r"^(?:[A-Za-z]:)?[/\w.][^\s:]*\.\w+\s*$"), F.rtrim("text")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    linted = log.withColumn("above", above).where(F.col("text").rlike(lint) & F.col("above").isNotNull())
-    found.append(_rows(linted, "eslint", _x(lint, 3), F.col("above"), _x(lint, 1), _x(lint, 2), _x(lint, 5), _x(lint, 4)).withColumn("rank", F.lit(1)))
-
-    # An arrow's line: the file, its line and column are what colons part after it.
-    ahead = [F.when(F.ltrim(F.lead("text", i).over(w)).startswith("-->"), F.trim(F.substring_index(F.lead("text", i).over(w), "-->", -1))) for i in range(1, HEAD_REACH + 1)]
-    head = r"^(error|warning)(\[E\d+\])?:\s*(\S.*)$"
-    cargo = bare.withColumn("at", F.split(F.coalesce(*ahead), ":")).where(F.col("text").rlike(head))
-    part = lambda i: F.coalesce(F.get("at", F.lit(i)), none)
-    found.append(_rows(cargo, "cargo", _x(head, 1), part(0), part(1), part(2), F.translate(_x(head, 2), "[]", ""), _x(head, 3)).withColumn("rank", F.lit(2)))
-
-    frame, raised = r'^\s*File "(.+?)", line (\d+)', r"^([A-Za-z_][\w.]*(?:Error|Exception|Interrupt|Warning|Exit)): ?(.*)$"
-    tb = log.withColumn("part", F.sum(F.col("text").startswith("Traceback").cast("int")).over(w)).where("part > 0")
-    own = Window.partitionBy("log_id", "part").orderBy("line_no")
-    project = F.col("text").rlike(frame) & ~F.col("text").rlike(r"site-packages|/lib/python|<frozen")
-    tb = tb.withColumn("frame", F.last(F.when(project, F.col("text")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    tb = tb.where(F.col("text").rlike(raised)).withColumn("n", F.row_number().over(own)).where("n = 1")
-    found.append(_rows(tb, "python", F.lit("error"), F.coalesce(F.regexp_extract("frame", frame, 1), none), F.coalesce(F.regexp_extract("frame", frame, 2), none), none, _x(raised, 1), _x(raised, 2)).withColumn("rank", F.lit(3)))
-
-    place = r"([^\s()]+\.[jt]sx?):(\d+):(\d+)"
-    shown = lambda i: F.lead("text", i).over(w)
-    ahead = [F.when(shown(i).rlike(r"^\s*(?:at\s.*?\(?)?" + place) & ~shown(i).contains("node_modules"), shown(i)) for i in range(1, TITLE_REACH + 1)]
-    jest = log.withColumn("at", F.coalesce(*ahead)).where(F.col("text").rlike(MARKS) & (F.lower(_x(MARKS, 1)) != NO_TITLE))
-    found.append(_rows(jest, "jest", F.lit("error"), *[F.coalesce(F.regexp_extract("at", place, i), none) for i in (1, 2, 3)], none, _x(MARKS, 1)).withColumn("rank", F.lit(5)))
-
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    key = Window.partitionBy("log_id", "file", "line", F.substring(F.regexp_replace(F.lower("message"), r"\s+", " "), 1, 120))
+    past, t = w.rowsBetween(Window.unboundedPreceding, 0), F.trim(F.regexp_replace("text", "[\\t\\r]", " "))
+    name = F.substring_index(F.rtrim("text"), "/", -1)
+    is_file = F.col("text").rlike("^\\S+\\s*$") & name.rlike("\\.\\w+$") & F.locate(":", F.col("text")).isin(0, 2) & F.col("text").rlike("^[/.\\w]")
+    trace = F.sum(F.col("text").startswith("Traceback").cast("int")).over(past)
+    lines = log.select("log_id", "line_no", "text").withColumn("t", t).withColumns({
+        "above": F.last(F.when(is_file, F.rtrim("text")), ignorenulls=True).over(past),
+        "arrow": F.first(F.when(F.ltrim("text").startswith("-->"), F.col("text")), ignorenulls=True).over(w.rowsBetween(1, HEAD_REACH)),
+        "below": F.first(_framed(t), ignorenulls=True).over(w.rowsBetween(1, TITLE_REACH)),
+        "trace": trace,
+    })
+    own = Window.partitionBy("log_id", "trace").orderBy("line_no")
+    framed = F.col("t").startswith('File "') & ~F.col("text").rlike("site-packages|/lib/python|<frozen")
+    lines = lines.withColumn("frame", F.last(F.when(framed, F.col("text")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    lines = _forms(lines)
+    every = lines.select("log_id", "line_no", "trace", F.inline(F.array(*[c for c in lines.columns if c.startswith("_form")]))).where("source is not null")
+    # Of what is raised in one traceback the first counts.
+    first = F.row_number().over(Window.partitionBy("log_id", "trace", "source").orderBy("line_no"))
+    every = every.withColumn("n", F.when(F.col("source") == "python", first).otherwise(1)).where("n = 1")
+    key = Window.partitionBy("log_id", "file", "line", F.substring(F.regexp_replace(F.lower("message"), "\\s+", " "), 1, 120))
     kept = every.withColumn("seq", F.min("line_no").over(key)).withColumn("n", F.row_number().over(key.orderBy((F.col("rank") == GENERIC).cast("int"), "rank", "line_no"))).where("n = 1")
     return kept.select(*COLUMNS, "seq")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlens.functions import text as tx
-from loomlens.operators import answers, edges, graph, ignore, index, outline, parse, scan, segments, spans
+from loomlens.operators import answers, edges, graph, ignore, index, logs, outline, parse, scan, segments, spans
 from loomlens.operators.spread import spread
 from loomlens.sources import feed, notes, workspace
 from loomlens.sources.shared import fresh
@@ -734,3 +734,75 @@ def churn_totals(t):
 @query("""SELECT user_id, count(*) AS problems, count(*) FILTER (event_type = 'error') AS errors, min(event_id) AS first FROM events GROUP BY 1""")
 def problems_by_file(t):
     return t("events").groupBy("user_id").agg(F.count("*").alias("problems"), F.count_if(F.col("event_type") == "error").alias("errors"), F.min("event_id").alias("first"))
+
+
+# Logs as tools write them, a log a user: what each event would have been, by its number; read back, they must give the
+# columns that they were made of.
+_SAID = "SELECT event_id AS i, user_id AS log_id, event_id % 12 AS form, (event_id % 90 + 1) AS l, (event_id % 7 + 1) AS c, 'value ' || event_id || ' is off' AS m FROM events"
+
+
+@query(f"""WITH s AS ({_SAID}) SELECT log_id, source, CASE WHEN form IN (2, 10) THEN 'warning' ELSE 'error' END AS severity, file, CASE WHEN form IN (5, 8, 11) THEN NULL ELSE l END AS line,
+CASE WHEN form IN (4, 5, 8, 11) THEN NULL ELSE c END AS col, code, CASE WHEN form = 8 THEN 'test failed: Test' || i ELSE m END AS message, count(*) OVER (PARTITION BY log_id) AS problems FROM (SELECT *,
+['tsc', 'tsc', 'eslint', 'cargo', 'python', 'pytest', 'jest', 'go', 'go', 'maven', 'generic', 'generic'][form + 1] AS source,
+['src/m' || i || '.ts', 'src/p' || i || '.tsx', '/src/e' || i || '.js', 'lib/r' || i || '.rs', 'app/q' || i || '.py', 'tests/t' || i || '.py', 'web/j' || i || '.test.ts', 'srv/g' || i || '.go', NULL, '/w/A' || i || '.java', 'c/f' || i || '.c', NULL][form + 1] AS file,
+['TS' || i, 'TS' || i, 'no-' || i, 'E' || i, 'ValueError', 'test_' || i, NULL, NULL, 'Test' || i, NULL, NULL, NULL][form + 1] AS code FROM s)""")
+def log_diagnostics(t):
+    i, m = F.col("event_id").cast("string"), F.concat(F.lit("value "), "event_id", F.lit(" is off"))
+    at, comma = F.format_string("%d:%d", F.expr("event_id % 90 + 1"), F.expr("event_id % 7 + 1")), F.format_string("%d,%d", F.expr("event_id % 90 + 1"), F.expr("event_id % 7 + 1"))
+    line = F.expr("cast(event_id % 90 + 1 as string)")
+    put = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    forms = [
+        [put("src/m", i, ".ts(", comma, "): error TS", i, ": ", m)],
+        [put("src/p", i, ".tsx:", at, " - error TS", i, ": ", m)],
+        [put("/src/e", i, ".js"), put("  ", at, "  warning  ", m, "  no-", i), put("")],
+        [put("error[E", i, "]: ", m), put("   |"), put("  --> lib/r", i, ".rs:", at)],
+        [put("Traceback (most recent call last):"), put('  File "app/q', i, '.py", line ', line, ", in main"), put('  File "/usr/lib/python3/site-packages/x.py", line 3, in f'), put("ValueError: ", m), put("KeyError: no more")],
+        [put("FAILED tests/t", i, ".py::test_", i, " - ", m)],
+        [put("  ● ", m), put(""), put("    at inner (node_modules/x.js:1:1)"), put("    at Object.<anonymous> (web/j", i, ".test.ts:", at, ")")],
+        [put("./srv/g", i, ".go:", at, ": ", m)],
+        [put("--- FAIL: Test", i, " (0.01s)")],
+        [put("[ERROR] /w/A", i, ".java:[", comma, "] ", m)],
+        [put("c/f", i, ".c:", at, ": warning: ", m)],
+        [put("x Error: ", m)],
+    ]
+    said = F.get(F.array(*[F.array(*x) for x in forms]), (F.col("event_id") % 12).cast("int"))
+    log = t("events").select(F.col("user_id").alias("log_id"), "event_id", F.posexplode(said).alias("k", "text")).select("log_id", (F.col("event_id") * 8 + F.col("k")).alias("line_no"), "text")
+    found = logs.diagnostics(log).withColumn("problems", F.count("*").over(Window.partitionBy("log_id")))
+    return found.select("log_id", "source", "severity", "file", F.col("line").cast("long").alias("line"), F.col("col").cast("long").alias("col"), "code", "message", "problems")
+
+
+_DIFFED = "SELECT l_orderkey AS log_id, l_linenumber AS n, l_linenumber % 4 AS kind, min(l_quantity::BIGINT) % 4 + 1 AS more, (min(l_partkey) % 3)::BIGINT AS less, (min(l_suppkey) % 50 + 1)::BIGINT AS low, 'd/f' || l_linenumber || '.txt' AS path FROM lineitem GROUP BY ALL"
+
+
+@query(f"""WITH d AS ({_DIFFED}) SELECT log_id, path, CASE kind WHEN 0 THEN 'modified' WHEN 1 THEN 'added' WHEN 2 THEN 'deleted' ELSE 'renamed' END AS status, CASE WHEN kind = 3 THEN 'old/f' || n || '.txt' END AS previous,
+CASE kind WHEN 2 THEN '1-1' ELSE low || '-' || (low + more - 1) || CASE WHEN kind = 0 THEN ',' || (low + 90) || '-' || (low + 90) ELSE '' END END AS ranges, CASE kind WHEN 2 THEN 0 WHEN 0 THEN more + 1 ELSE more END AS added, CASE kind WHEN 1 THEN 0 WHEN 2 THEN less + 1 ELSE less END AS removed FROM d""")
+def diff_changes(t):
+    """Diffs of orders, a file a line item: changed in two places, new, gone, or under another name."""
+    one = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.col("l_quantity").cast("bigint")).alias("l_quantity"), F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    d = one.selectExpr("l_orderkey as log_id", "l_linenumber as n", "l_linenumber % 4 as kind", "cast(l_quantity % 4 + 1 as int) as more", "cast(l_partkey % 3 as int) as less", "cast(l_suppkey % 50 + 1 as int) as at", "concat('d/f', l_linenumber, '.txt') as path")
+    old = F.when(F.col("kind") == 3, F.concat(F.lit("old/f"), "n", F.lit(".txt"))).otherwise(F.col("path"))
+    rows = lambda text, n: F.array_repeat(F.lit(text), n)
+    kind, gone = F.col("kind"), F.col("less") + F.when(F.col("kind") == 2, 1).otherwise(0)
+    heads = F.array(F.concat(F.lit("diff --git a/"), old, F.lit(" b/"), "path"), F.when(kind == 1, F.lit("--- /dev/null")).otherwise(F.concat(F.lit("--- a/"), old)), F.when(kind == 2, F.lit("+++ /dev/null")).otherwise(F.concat(F.lit("+++ b/"), "path")))
+    hunk = F.when(kind == 2, F.concat(F.lit("@@ -1,"), gone, F.lit(" +0,0 @@"))).otherwise(F.concat(F.lit("@@ -"), "at", F.lit(","), "less", F.lit(" +"), "at", F.lit(","), "more", F.lit(" @@ f()")))
+    body = F.concat(F.array(hunk), rows("-was", F.when(kind == 1, 0).otherwise(gone)), rows("+is", F.when(kind == 2, 0).otherwise(F.col("more"))))
+    again = F.when(kind == 0, F.array(F.concat(F.lit("@@ -7,0 +"), F.col("at") + 90, F.lit(" @@")), F.lit("+one"))).otherwise(F.array().cast("array<string>"))
+    lines = d.select("log_id", "n", F.posexplode(F.concat(heads, body, again)).alias("k", "text"))
+    found = logs.changes(lines.select("log_id", (F.col("n") * 100 + F.col("k")).alias("line_no"), "text"))
+    ranges = F.array_join(F.transform("ranges", lambda r: F.concat(r["from"], F.lit("-"), r["to"])), ",")
+    return found.select("log_id", "path", "status", "previous", ranges.alias("ranges"), "added", "removed")
+
+
+@query("""SELECT c_nationkey::BIGINT AS log_id, 'c/' || c_custkey AS path, 'untracked' AS status FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 = 0""")
+def status_untracked(t):
+    """Customers as a status listing: one in three unknown, of which every odd one is in the diff as well."""
+    c = t("customer").select(F.col("c_nationkey").cast("long").alias("log_id"), "c_custkey", F.concat(F.lit("c/"), "c_custkey").alias("path"))
+    lines = c.select("log_id", F.col("c_custkey").alias("line_no"), F.concat(F.when(F.col("c_custkey") % 3 == 0, "?? ").otherwise(" M "), "path").alias("text"))
+    return logs.untracked(lines, c.where("c_custkey % 2 = 1").select("log_id", "path"))
+
+
+@query("""SELECT n_regionkey::BIGINT AS log_id, list_extract(['origin/main', 'origin/master', 'main', 'master', 'origin/develop', 'develop'], min(n_nationkey % 7 + 1)::INT) AS base FROM nation WHERE n_nationkey % 7 < 6 AND n_regionkey > 0 GROUP BY 1""")
+def default_branch(t):
+    names = F.get(F.array(*map(F.lit, [*logs.BASES, "feature/x"])), (F.col("n_nationkey") % 7).cast("int"))
+    rows = t("nation").where("n_regionkey > 0").select(F.col("n_regionkey").cast("long").alias("log_id"), F.col("n_nationkey").alias("line_no"), F.concat(F.lit("  "), names).alias("text"))
+    return logs.default_base(rows)
