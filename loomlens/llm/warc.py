@@ -1,8 +1,9 @@
 """Sharded WARC archives: sorted by page, rolled by compressed size, committed by manifest, and read back.
 
-Each task writes its range of pages to files under temporary names and tells what it wrote. Only what the finished
-tasks told is renamed and listed in the manifest, so a lost or repeated task leaves nothing that a reader sees. The
-same pages give the same bytes under the same names.
+Pages are cut into shards by the exact sum of their bytes in order of page_id, so where a shard begins follows from the
+pages alone, not from a sample or from how Spark deals them out. Each task writes its shards to files under temporary
+names and tells what it wrote. Only what the finished tasks told is renamed and listed in the manifest, so a lost or
+repeated task leaves nothing that a reader sees. The same pages give the same bytes under the same names.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import math
 import re
 import uuid
 import zlib
@@ -19,15 +21,18 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlens.operators import scan
+
 from .scratch import fresh, small_batches, written
 
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 1000
 ROLL_BYTES = 64 << 20
+#: Bytes of payload of a shard, more where there would be over SHARDS of them: where they begin is SHARDS numbers at most.
+SHARD_BYTES, SHARDS = 8 << 20, 1 << 16
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = pa.schema([("temporary", pa.string()), ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha1", pa.string())])
@@ -61,17 +66,21 @@ def _page_record(page_id: int | None, digest: str, nth: int, url: str | None, pa
 
 
 def _stored(rows: Iterator[pa.RecordBatch], folder: str, roll: int) -> Iterator[pa.RecordBatch]:
-    """Writes a partition's pages; rows of kind 0 say of the page after them which page has its payload."""
+    """Writes a partition's pages, shard by shard; rows of kind 0 say of the page after them which page has its payload."""
     store, root = _store(folder)
-    part, told, out, sha = TaskContext.get().partitionId(), [], None, None
-    planned, refers, last, nth = None, None, None, 0
+    part, told, out, sha = None, [], None, None
+    planned, refers, last, nth, files = None, None, None, 0, 0
 
     def close() -> None:
         out.close()
         told[-1]["sha1"] = sha.hexdigest()
 
     for batch in rows:
-        for page_id, digest, kind, url, payload, to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "digest", "kind", "url", "payload", "refers")), strict=True):
+        for shard, page_id, digest, kind, url, payload, to in zip(*(batch.column(c).to_pylist() for c in ("shard", "page_id", "digest", "kind", "url", "payload", "refers")), strict=True):
+            if shard != part:
+                if out is not None:
+                    close()
+                part, files, out = shard, 0, None
             key = (page_id, digest)
             if kind == 0:
                 planned, refers = key, to
@@ -83,7 +92,8 @@ def _stored(rows: Iterator[pa.RecordBatch], folder: str, roll: int) -> Iterator[
             if out is None or told[-1]["bytes"] + len(record) > roll:
                 if out is not None:
                     close()
-                file = f"pages-{part:06d}-{len(told):05d}.warc.gz"
+                file = f"pages-{part:06d}-{files:05d}.warc.gz"
+                files += 1
                 told.append({"temporary": f"_temporary/{uuid.uuid4().hex}-{file}", "file": file, "records": 0, "bytes": 0})
                 out, sha = store.open_output_stream(f"{root}/{told[-1]['temporary']}", compression=None), hashlib.sha1()
                 record = _record("warcinfo", f"<urn:x-file:{file}>", [("WARC-Filename", file), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n") + record
@@ -106,7 +116,25 @@ def _renamed(rows: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordB
         yield batch
 
 
-def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
+def _shards(sizes: DataFrame, least: int) -> tuple[Column, int]:
+    """The shard of a page_id, and how many there are: from the sum of bytes over all smaller ids, which is exact. Bounds
+    are looked up in two steps, so that a row is compared with a few hundred of them."""
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    each = max(least, -(-total // SHARDS))
+    before = scan.running(sizes.where("page_id is not null"), F.col("size"), ["page_id"], "used")
+    firsts = before.select("page_id", F.floor((F.col("used") - F.col("size")) / each).alias("shard")).groupBy("shard").agg(F.min("page_id").alias("page_id"))
+    bounds = sorted(r.page_id for r in firsts.collect())  # SHARDS at most
+    step = max(1, math.isqrt(len(bounds)))
+    runs = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    if not runs:
+        return F.lit(0), 1
+    up_to = lambda array: F.size(F.filter(array, lambda b: b <= F.col("page_id")))
+    run = F.greatest(up_to(F.from_json(F.lit(str([r[0] for r in runs])), "array<bigint>")) - 1, F.lit(0))
+    held = F.get(F.from_json(F.lit(str(runs)), "array<array<bigint>>"), run)
+    return F.when(F.col("page_id").isNull(), 0).otherwise(run * step + F.greatest(up_to(held), F.lit(1)) - 1).cast("int"), len(bounds)
+
+
+def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, revisit_bytes: int = REVISIT_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Archives of pages (page_id long, url string, html string) in folder, one record a row; returns the manifest.
 
     Payload is html in UTF-8, empty for null. Of records with equal payloads of revisit_bytes or more the one with the
@@ -117,14 +145,16 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, revi
     spark = pages.sparkSession
     small_batches(spark)
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"")).alias("payload")).withColumn("digest", F.sha1("payload"))
-    info = written(src.where(F.octet_length("payload") >= revisit_bytes).select("page_id", "digest"), "payloads")
+    every = written(src.select("page_id", "digest", F.octet_length("payload").cast("long").alias("size")), "payloads")
+    shard, n_shards = _shards(every.groupBy("page_id").agg(F.sum("size").alias("size")), shard_bytes)
+    info = every.where(F.col("size") >= revisit_bytes).select("page_id", "digest")
     shared = info.groupBy("digest").agg(F.max("page_id").alias("refers"), F.count("*").alias("n")).where("n > 1 and refers is not null").drop("n")
     plan = info.join(shared, "digest").select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers").distinct()
     rows = src.select("page_id", "digest", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("refers")).unionByName(plan)
     store, root = _store(folder)
     store.create_dir(f"{root}/_temporary", recursive=True)
     order = ["page_id", "digest", "kind", "url"]
-    told = rows.repartitionByRange("page_id", "digest").sortWithinPartitions(*order).mapInArrow(partial(_stored, folder=folder, roll=roll_bytes), "temporary string, file string, records long, bytes long, sha1 string")
+    told = rows.withColumn("shard", shard).repartition(n_shards, "shard").sortWithinPartitions("shard", *order).mapInArrow(partial(_stored, folder=folder, roll=roll_bytes), "temporary string, file string, records long, bytes long, sha1 string")
     told = written(told, "told")
     told.mapInArrow(partial(_renamed, folder=folder), told.schema).write.format("noop").mode("overwrite").save()
     told.select("file", "records", "bytes", "sha1").write.parquet(f"{folder.rstrip('/')}/_manifest")
