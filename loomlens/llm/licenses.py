@@ -42,14 +42,25 @@ TAG_LINE = re.compile(rb"SPDX-License-Identifier[ \t]*:[ \t]*([^\r\n]*)", re.IGN
 TOKENS = re.compile(r"[()]|[A-Za-z0-9.:+-]+")
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
-#: How freely text under a licence may be used, by the beginning of its label; the longest beginning holds.
-FREEDOM = {"mit": 1.0, "isc": 1.0, "bsd": 1.0, "bsl": 1.0, "0bsd": 1.0, "zlib": 1.0, "unlicense": 1.0, "apache": 1.0, "cc0": 1.0, "public-domain": 1.0, "cc-by": 0.9, "cc-by-sa": 0.6, "mpl": 0.6, "epl": 0.6, "lgpl": 0.6, "gpl": 0.4, "agpl": 0.3, "cc-by-nd": 0.2, "cc-by-nc": 0.2, "reserved": 0.0}
+#: How freely text under a licence may be used, by identifier, or by its name before the version: only whole names and
+#: whole versions fit. Identifiers as they are published.
+FREEDOM = {
+    "mit": 1.0, "mit-0": 1.0, "x11": 1.0, "isc": 1.0, "0bsd": 1.0, "bsd": 1.0, "zlib": 1.0, "unlicense": 1.0, "wtfpl": 1.0, "bsl-1.0": 1.0, "apache": 1.0, "artistic-2.0": 1.0, "ncsa": 1.0, "postgresql": 1.0, "python-2.0": 1.0, "psf-2.0": 1.0, "upl-1.0": 1.0,
+    "cc0": 1.0, "public-domain": 1.0, "cc-by": 0.9, "odc-by-1.0": 0.9, "cc-by-sa": 0.6, "odbl-1.0": 0.6, "gfdl": 0.6, "mpl": 0.6, "epl": 0.6, "cddl": 0.6, "cpl-1.0": 0.6, "ms-pl": 0.6, "ms-rl": 0.6, "eupl": 0.6, "lgpl": 0.6, "gpl": 0.4, "osl-3.0": 0.4, "agpl": 0.3, "sspl-1.0": 0.2,
+    "busl-1.1": 0.2, "cc-by-nd": 0.2, "cc-by-nc": 0.2, "cc-by-nc-sa": 0.2, "cc-by-nc-nd": 0.1, "reserved": 0.0,
+}
 UNKNOWN = 0.1
+VERSION = re.compile(r"-(?:[0-9]+(?:\.[0-9]+)*|[0-9]-clause)(?:-[a-z]+)*$|-(?:only|or-later)$|\+$")
 
 
 def freedom(label: str) -> float:
-    at = max((b for b in FREEDOM if label.startswith(b)), key=len, default=None)
-    return FREEDOM[at] if at else UNKNOWN
+    """By the whole identifier, else by its name without endings and versions, from the last one on."""
+    while label not in FREEDOM:
+        shorter = VERSION.sub("", re.sub(r"-(?:only|or-later)$|\+$", "", label))
+        if shorter == label:
+            return UNKNOWN
+        label = shorter
+    return FREEDOM[label]
 
 
 def evaluate(expression: str) -> tuple[set[str], float] | None:
@@ -133,7 +144,10 @@ def scan(text: bytes, find: ahocorasick.Automaton) -> tuple[int, int, int | None
         tagged |= phrase == TAG
     scores += [freedom(x) for x in base | labels]
     if tagged:
-        for line in TAG_LINE.findall(text):
+        lines = TAG_LINE.findall(text)
+        # A tag in another form than the published one says nothing that could be relied on.
+        scores += [] if lines else [0.0]
+        for line in lines:
             expression = re.sub(r"(\*/|-->|[\"'`;,#*]+)\s*$", "", line.decode("utf-8", "replace").strip()).strip()
             if expression and (value := evaluate(expression)):
                 labels |= value[0]
@@ -159,8 +173,8 @@ def _scanned(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def license_scan(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id long, text string): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    score says how freely the text may be used by the strictest of its notices and tags, 0 to 1; 0 without any, and
-    for a malformed expression. Null and empty texts have no words and no labels; repeated rows and null doc_ids are
+    score says how freely the text may be used by the strictest of its notices and tags, 0 to 1; 0 without any, for a
+    malformed expression, and for a tag without its colon. Null and empty texts have no words and no labels; repeated rows and null doc_ids are
     returned as they are; other columns are ignored.
     """
     small_batches(docs.sparkSession)
