@@ -2,9 +2,13 @@
 
 A sample teaches rotations under which the signs of centred vectors are balanced bits that keep most of what the vectors
 say: in turn, codes are read off the rotated sample, and the rotation is fitted to the codes. Substrings of the codes
-are the keys of tables; vectors that agree in a whole substring are compared by cosine. Longer keys make smaller buckets
-and take more tables, and so more rotations, each learned from a start of its own. How many tables is read off pairs
-planted at the threshold, at every size alike; the length of keys only decides the cost.
+are the keys of tables. Each code stands in every table under its own key and, where the plan probes, under the keys that
+have one bit more; codes that meet in a table are compared by Hamming distance. Only the vectors of codes within the
+radius are fetched, and measured by cosine.
+
+Longer keys make smaller buckets and take more tables, and so more rotations, each learned from a start of its own;
+probes take fewer tables and more rows. Keys, tables, probes and radius are read off pairs planted at the threshold
+among vectors that the rotations were not learned from, at every size alike.
 """
 
 from __future__ import annotations
@@ -29,17 +33,23 @@ SAMPLE, PAIRED = 4_000, 1000
 ROUNDS, PLANTED = 20, 2000
 #: The least chance that a pair at the threshold is compared.
 RECALL = 0.9998
-#: A vector's row in a table costs about as much as comparing it with so many others.
-COPY = 4000
-#: Most vectors of one bucket that a task compares at once; larger buckets are dealt as pairs of blocks.
+#: A code's row in a table costs about as much as comparing it with so many others, and as much again for so many bits.
+COPY, CARRIED = 4000, 2048
+#: Most codes of one bucket that a task compares at once; larger buckets are dealt as pairs of blocks.
 BLOCK = 1024
+#: Codes have at least so many bits, so that short keys too come with a distance that tells vectors apart.
+LEAST_BITS = 128
 
 
 class Plan(NamedTuple):
-    """Keys of one width: their bits, how many tables, the mean of the sample, and the learned normals as columns."""
+    """Codes of one width: the keys' bits, how many tables, how many bits a probed key may differ in (0 or 1), the Hamming
+    distance of codes to compare, the mean of the sample, and the learned normals as columns. The first bits * tables
+    of a code are the keys."""
 
     bits: int
     tables: int
+    probes: int
+    radius: int
     mean: np.ndarray
     normals: np.ndarray
 
@@ -71,33 +81,38 @@ def _at_threshold(x: np.ndarray, threshold: float, rng: np.random.Generator) ->
     return a, t * a + math.sqrt(1 - t * t) * off
 
 
-def _keys(x: np.ndarray, plan: Plan) -> np.ndarray:
-    """The key of each vector in each table, (vectors, tables)."""
-    sides = (x - plan.mean) @ plan.normals >= 0
-    return _folded(sides.reshape(len(x), plan.tables, plan.bits))
+def _sides(x: np.ndarray, plan: Plan) -> np.ndarray:
+    """The code of each vector, (vectors, bits)."""
+    return (x - plan.mean) @ plan.normals >= 0
 
 
-def _folded(sides: np.ndarray) -> np.ndarray:
-    return (sides.astype(np.uint64) << np.arange(sides.shape[2], dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
+def _keys(sides: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The key of each code in each table, (codes, tables)."""
+    keyed = sides[:, : bits * tables].reshape(len(sides), tables, bits)
+    return (keyed.astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(2, dtype=np.uint64)
 
 
 def plan_tables(x: np.ndarray, label: np.ndarray, others: float, threshold: float, longest: int = 64, block: int = BLOCK, recall: float = RECALL, seed: int = 7) -> Plan:
-    """Keys for unit vectors x, a sample that stands for labels of `others` vectors on average.
-
-    For keys of each length, the tables are those that let planted pairs at the threshold agree in one with a chance of
-    `recall`, by how often their bits agree; of these the cheapest is taken, by how often other pairs' bits agree. It
-    is then tried on the planted pairs, and gets more tables, or shorter keys, until it meets them. Keys of no bits
-    make one table that compares all, so there always is an answer.
+    """Codes for unit vectors x, a sample that stands for labels of `others` vectors on average.
+
+    A quarter of the sample is held out of what rotations are learned from, and pairs at the threshold are planted
+    there. For keys of each length, with probes and without, the tables are those that let planted pairs meet in one
+    with a chance of `recall`, by how often their bits agree; of these the cheapest is taken, by how often other pairs'
+    bits agree. It is then tried on the planted pairs, and gets more tables, or shorter keys, until it meets them. The
+    radius is the largest distance of a planted pair and a standard deviation more. Keys of no bits make one table
+    that compares all codes, so there always is an answer.
     """
     rng = np.random.default_rng([seed, x.shape[1]])
-    width, mean = x.shape[1], x.mean(0)
-    a, b = _at_threshold(x, threshold, rng)
+    width, apart = x.shape[1], np.arange(len(x)) % 4 == 3
+    taught, held = (x, x) if len(x) < 64 else (x[~apart], x[apart])
+    mean = taught.mean(0)
+    a, b = _at_threshold(held, threshold, rng)
     learned: list[np.ndarray] = []
 
     def normals(n: int) -> np.ndarray:
         while len(learned) * width < n:
-            learned.append(learn_rotation(x - mean, rng))
-        return np.concatenate(learned, 1)[:, :n] if n else np.zeros((width, 0))
+            learned.append(learn_rotation(taught - mean, rng))
+        return np.concatenate(learned, 1)[:, :n]
 
     few = normals(max(256, width))
     side = lambda v: (v - mean) @ few >= 0
@@ -108,25 +123,29 @@ def plan_tables(x: np.ndarray, label: np.ndarray, others: float, threshold: floa
     if not same.any():
         same = np.triu(np.ones_like(same), 1)
     alike = ((signs @ signs.T / signs.shape[1] + 1) / 2)[same]
-    choices = [(others > block / 2, COPY * (1 + (1 + others) / block) + (1 + others) / 2, 0, 1)]
-    hit, met = np.ones(len(agree)), np.ones(len(alike))
+    choices = [(others > block / 2, COPY * (1 + (1 + others) / block) + (1 + others) / 2, 0, 1, 0)]
     for k in range(1, longest + 1):
-        hit, met = hit * agree, met * alike
-        tables = next((t for t in _counts(4096) if (1 - (1 - hit) ** t).mean() >= recall), 0)
-        if not tables:
-            break
-        bucket = 1 + others * (met.mean() if len(met) else 0.5**k)
-        # Buckets that fit a block first: those beyond are dealt as pairs of blocks, rows that grow with their square.
-        choices.append((bucket > block / 2, tables * (COPY * (1 + bucket / block) + bucket / 2), k, tables))
-    bits, tables = min(choices)[2:]
-    while bits:
-        plan = Plan(bits, tables, mean, normals(bits * tables))
-        if (_keys(a, plan) == _keys(b, plan)).any(1).mean() >= recall - 1 / PLANTED:
-            return plan
+        for probes in (0, 1):
+            hit, met = ((z**k + probes * k * z ** (k - 1) * (1 - z)) for z in (agree, alike))
+            tables = next((t for t in _counts(4096) if (1 - (1 - hit) ** t).mean() >= recall), 0)
+            if not tables:
+                continue
+            rows = 1 + probes * k / 2
+            bucket = rows * (1 + others * ((alike**k).mean() if len(alike) else 0.5**k))
+            compared = 1 + others * (met.mean() if len(met) else rows * 0.5**k)
+            # Buckets that fit a block first: those beyond are dealt as pairs of blocks, rows that grow with their square.
+            choices.append((bucket > block / 2, tables * (rows * COPY * (1 + k * tables / CARRIED) * (1 + bucket / block) + compared / 2), k, tables, probes))
+    bits, tables, probes = min(choices)[2:]
+    while True:
+        plan = Plan(bits, tables, probes, 0, mean, normals(max(LEAST_BITS, bits * tables)))
+        one, other = _sides(a, plan), _sides(b, plan)
+        meet = np.bitwise_count(_keys(one, bits, tables) ^ _keys(other, bits, tables)) <= probes
+        if meet.any(1).mean() >= recall - 1 / PLANTED:
+            distance = (one != other).sum(1)
+            return plan._replace(radius=int(math.ceil(distance.max() + distance.std())))
         tables += max(1, tables // 4)
         if tables > 4096:
             bits, tables = bits - 1, 1
-    return Plan(0, 1, mean, normals(0))
 
 
 def _counts(most: int) -> Iterator[int]:
@@ -141,61 +160,107 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _coded(rows: Iterator[pa.RecordBatch], plans, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """A row for each vector and table: the table's key, and the bits of all tables."""
+    """Rows of each code in each table: at home under its key, and as a guest under the keys that have one bit more, if
+    the plan probes. Codes that differ in one bit of a key meet once, where the one with that bit is at home."""
     for batch in rows:
         widths = np.asarray(batch.column("width"))
         for width in np.unique(widths).tolist():
             plan, part = plans.value[width], batch.filter(pa.array(widths == width))
-            sides = ((_unit(_matrix(part.column("v"), width)) - plan.mean) @ plan.normals >= 0).reshape(len(part), plan.tables, plan.bits)
-            keys = _folded(sides)
-            code = pa.array([c.tobytes() for c in np.packbits(sides.reshape(len(part), -1), 1)], pa.binary())
-            same = [part.column(c) for c in ("rep", "label", "copies", "width", "v")]
+            sides = _sides(_unit(_matrix(part.column("v"), width)), plan)
+            keys = _keys(sides, plan.bits, plan.tables)
+            code = pa.array([c.tobytes() for c in np.packbits(sides, 1)], pa.binary())
+            same = [*(part.column(c) for c in ("rep", "label", "width")), code]
             for t in range(plan.tables):
-                yield pa.RecordBatch.from_arrays([*same, code, pa.array(np.full(len(part), t, np.int32)), pa.array(keys[:, t])], schema=schema)
+                for more in [None, *range(plan.bits)] if plan.probes else [None]:
+                    fit, key = np.ones(len(part), bool), keys[:, t]
+                    if more is not None:
+                        bit = np.uint64(1) << np.uint64(more)
+                        fit, key = (key & bit) == 0, key | bit
+                    out = [*same, pa.array(np.full(len(part), t, np.int32)), pa.array(key.view(np.int64)), pa.array(np.full(len(part), more is None))]
+                    yield pa.RecordBatch.from_arrays(out, schema=schema).filter(pa.array(fit))
+
+
+def _close(t: pa.RecordBatch, shapes: dict[int, tuple[int, int, int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of the codes of one bucket, or pair of blocks of one, that lie within the radius, did not meet in an
+    earlier table, and are not both guests; in parts. A pair is found in one bucket and one pair of blocks only."""
+    bits, tables, probes, radius = shapes[t.column("width")[0].as_py()]
+    table, n = t.column("t")[0].as_py(), len(t)
+    across = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+    side, home = np.asarray(t.column("side")), np.asarray(t.column("home"))
+    packed = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(n, -1)
+    keys = _keys(np.unpackbits(packed, 1).astype(bool), bits, tables) if table else None
+    words = np.zeros((n, -(-packed.shape[1] // 8) * 8), np.uint8)
+    words[:, : packed.shape[1]] = packed
+    words = words.view(np.uint64)
+    for a in range(0, n, 256):
+        b = slice(a, min(a + 256, n))
+        distance = np.zeros((b.stop - a, n - a), np.uint16)
+        for w in range(words.shape[1]):
+            distance += np.bitwise_count(words[b, None, w] ^ words[None, a:, w])
+        near = (distance <= radius) & (np.arange(a, n)[None, :] > np.arange(a, b.stop)[:, None]) & (home[b, None] | home[None, a:])
+        if across:
+            near &= side[b, None] != side[None, a:]
+        i, j = np.nonzero(near)
+        i, j = i + a, j + a
+        for earlier in range(table):
+            new = np.bitwise_count(keys[i, earlier] ^ keys[j, earlier]) > probes
+            i, j = i[new], j[new]
+        yield i, j
+
+
+def _buckets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The buckets of sorted rows, one at a time, those of one row left out."""
+    held: list[pa.RecordBatch] = []
+    now = None
 
+    def whole() -> Iterator[pa.RecordBatch]:
+        if sum(map(len, held)) > 1:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-def _reranked(rows: Iterator[pa.RecordBatch], threshold: float, shapes: dict[int, tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-    """For each bucket, or pair of blocks of one: how many vectors each vector links with, and edges that span its links.
+    for batch in rows:
+        keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("width", "label", "t", "key", "i", "j")], 1)
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
+            if hi == lo:
+                continue
+            key = tuple(keys[lo])
+            if key != now:
+                yield from whole()
+                held = []
+            now = key
+            held.append(batch.slice(lo, hi - lo))
+    yield from whole()
 
-    A pair that meets in several tables counts in the first. Rows are sorted by bucket; one bucket's rows, at most two
-    blocks, are held at a time.
-    """
 
-    def answers(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        if len(t) < 2:
-            return None
-        width, table, n = t.column("width")[0].as_py(), t.column("t")[0].as_py(), len(t)
-        x = _unit(_matrix(t.column("v"), width))
-        rep, copies, side = (np.asarray(t.column(c)) for c in ("rep", "copies", "side"))
-        bits, tables = shapes[width]
-        code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(n, -1)
-        code = _folded(np.unpackbits(code, 1, bits * tables).reshape(n, tables, bits)) if table else None
+def _within(rows: Iterator[pa.RecordBatch], shapes: dict[int, tuple[int, int, int, int]]) -> Iterator[pa.RecordBatch]:
+    """The rows of each bucket that have another within the radius. At most two blocks are held at a time."""
+    for t in _buckets(rows):
+        hit = np.zeros(len(t), bool)
+        for i, j in _close(t, shapes):
+            hit[i] = hit[j] = True
+        if hit.any():
+            yield t.filter(pa.array(hit))
+
+
+def _reranked(rows: Iterator[pa.RecordBatch], threshold: float, shapes: dict[int, tuple[int, int, int, int]]) -> Iterator[pa.RecordBatch]:
+    """For each bucket, or pair of blocks of one: how many vectors each vector links with, and edges that span its links.
+    Rows are sorted by bucket; one bucket's rows, at most two blocks, are held at a time."""
+    for t in _buckets(rows):
+        n = len(t)
+        x = _unit(_matrix(t.column("v"), t.column("width")[0].as_py()))
+        rep, copies = (np.asarray(t.column(c)) for c in ("rep", "copies"))
         count, edges = np.zeros(n, np.int64), ([], [])
         root = np.arange(n)
 
-        def find(i: int) -> int:
+        def find(i: int, root=root) -> int:
             while root[i] != i:
                 root[i] = root[root[i]]
                 i = root[i]
             return i
 
-        across = t.column("i")[0].as_py() != t.column("j")[0].as_py()
-        for a in range(0, n, 256):
-            b = slice(a, min(a + 256, n))
-            cosine = x[b] @ x[a:].T
-            near = (cosine >= threshold - 1e-9) & (np.arange(a, n)[None, :] > np.arange(a, b.stop)[:, None])
-            if across:
-                near &= side[b, None] != side[None, a:]
-            i, j = np.nonzero(near)
-            found = cosine[i, j]
-            i, j = i + a, j + a
-            # At the threshold the order of summing decides; there, it is the same for every bucket.
-            close = np.flatnonzero(found < threshold + 1e-9)
-            found[close] = np.einsum("ij,ij->i", x[i[close]], x[j[close]])
-            good = found >= threshold
-            for earlier in range(table):
-                good &= code[i, earlier] != code[j, earlier]
+        for i, j in _close(t, shapes):
+            # One order of summing for every pair, so that the threshold means the same in every bucket.
+            good = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 8192]], x[j[k : k + 8192]]) >= threshold for k in range(0, len(i), 8192)] or [np.zeros(0, bool)])
             i, j = i[good], j[good]
             np.add.at(count, i, copies[j])
             np.add.at(count, j, copies[i])
@@ -206,29 +271,10 @@ def _reranked(rows: Iterator[pa.RecordBatch], threshold: float, shapes: dict[int
                     edges[0].append(rep[p])
                     edges[1].append(rep[q])
         hit = np.flatnonzero(count)
-        if not len(hit):
-            return None
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([rep[hit], np.array(edges[0], np.int64)])), pa.array(np.concatenate([count[hit], np.zeros(len(edges[0]), np.int64)])), pa.array([None] * len(hit) + [int(e) for e in edges[1]], pa.int64())], ["rep", "n", "other"]
-        )
-
-    held: list[pa.RecordBatch] = []
-    now = None
-    for batch in rows:
-        keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("width", "label", "t", "key", "i", "j")], 1)
-        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
-            if hi == lo:
-                continue
-            key = tuple(keys[lo])
-            if key != now and held:
-                if out := answers(held):
-                    yield out
-                held = []
-            now = key
-            held.append(batch.slice(lo, hi - lo))
-    if held and (out := answers(held)):
-        yield out
+        if len(hit):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([rep[hit], np.array(edges[0], np.int64)])), pa.array(np.concatenate([count[hit], np.zeros(len(edges[0]), np.int64)])), pa.array([None] * len(hit) + [int(e) for e in edges[1]], pa.int64())], ["rep", "n", "other"]
+            )
 
 
 def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.98, longest: int = 64, sample: int = SAMPLE, block: int = BLOCK, recall: float = RECALL) -> DataFrame:
@@ -237,8 +283,8 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.98, longest: i
 
     Rows link when their labels are equal and their cosine, in double precision, is threshold or more. Equal vectors of
     one label are collapsed first and counted as often as they occur. Pairs are found by tables of keys of at most
-    `longest` bits and measured on the original vectors. A pair at the threshold is met with a chance of about `recall`
-    or more, at every size, a nearer one with more; small labels are compared whole. No pair below the threshold is
+    `longest` bits, compared by the Hamming distance of their codes, and measured on the original vectors. A pair at the threshold is met with a chance of about `recall`
+    or more, at every size, a nearer one with more; the codes of small labels are compared whole. No pair below the threshold is
     linked. Vectors of several widths are searched each among their own; widths are taken to be few, as each has its
     rotations learned on the driver from at most `sample` vectors.
 
@@ -263,18 +309,23 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.98, longest: i
         plans[width] = plan_tables(_unit(np.stack(few["v"].to_list()).astype(np.float64)), few["label"].to_numpy(), others, threshold, longest, block, recall)
     if not plans:
         return src.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    shared = spark.sparkContext.broadcast(plans)  # width * bits * tables doubles for each width
-    schema = f"rep long, label long, copies long, width int, v array<{kind}>, code binary, t int, key long"
-    arrow = pa.schema([("rep", pa.int64()), ("label", pa.int64()), ("copies", pa.int64()), ("width", pa.int32()), ("v", pa.list_(pa.field("element", pa.float32() if kind == "float" else pa.float64()))), ("code", pa.binary()), ("t", pa.int32()), ("key", pa.int64())])
-    coded = written(classes.select("rep", "label", "copies", "width", "v").mapInArrow(partial(_coded, plans=shared, schema=arrow), schema), "codes")
+    shared = spark.sparkContext.broadcast(plans)  # width * max(bits * tables, LEAST_BITS) doubles for each width
+    arrow = pa.schema([("rep", pa.int64()), ("label", pa.int64()), ("width", pa.int32()), ("code", pa.binary()), ("t", pa.int32()), ("key", pa.int64()), ("home", pa.bool_())])
+    coded = written(classes.select("rep", "label", "width", "v").mapInArrow(partial(_coded, plans=shared, schema=arrow), "rep long, label long, width int, code binary, t int, key long, home boolean"), "codes")
     key = ["width", "label", "t", "key"]
-    full = coded.groupBy(*key).count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).drop("count")
+    full = coded.groupBy(*key).agg(F.count("*").alias("n"), F.max("home").alias("owned")).where("n > 1 and owned")
+    full = full.select(*key, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     dealt = coded.join(full, key).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"i": F.least("mine", "with"), "j": F.greatest("mine", "with"), "side": F.col("mine")}).drop("mine", "with", "blocks")
     order = [*key, "i", "j"]
-    shapes = {w: (p.bits, p.tables) for w, p in plans.items()}
-    met = dealt.repartition(*order).sortWithinPartitions(*order, "rep").mapInArrow(partial(_reranked, threshold=threshold, shapes=shapes), "rep long, n long, other long")
+    dealt = dealt.select("rep", *order, "side", "home", "code")
+    shapes = {w: (p.bits, p.tables, p.probes, p.radius) for w, p in plans.items()}
+    sorted_ = lambda rows: rows.repartition(*order).sortWithinPartitions(*order, "rep")
+    within = written(sorted_(dealt).mapInArrow(partial(_within, shapes=shapes), dealt.schema), "within")
+    # Vectors travel only to the buckets where their code has another within the radius.
+    fetched = within.join(classes.select("rep", "copies", "v"), "rep")
+    met = sorted_(fetched).mapInArrow(partial(_reranked, threshold=threshold, shapes=shapes), "rep long, n long, other long")
     met = written(met, "met")
     counted = met.where("other is null").groupBy("rep").agg(F.sum("n").alias("n"))
     grouped = components(met.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
