@@ -34,9 +34,11 @@ ROUNDS, PLANTED = 20, 2000
 #: The least chance that a pair at the threshold is compared.
 RECALL = 0.9998
 #: A code's row in a table costs about as much as comparing it with so many others, and as much again for so many bits.
-COPY, CARRIED = 4000, 2048
+COPY, CARRIED = 4000, 512
 #: Most codes of one bucket that a task compares at once; larger buckets are dealt as pairs of blocks.
 BLOCK = 1024
+#: Small buckets are compared together, up to so many codes at once.
+TOGETHER = 192
 #: Codes have at least so many bits, so that short keys too come with a distance that tells vectors apart.
 LEAST_BITS = 128
 
@@ -92,7 +94,7 @@ def _keys(sides: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return (keyed.astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(2, dtype=np.uint64)
 
 
-def plan_tables(x: np.ndarray, label: np.ndarray, others: float, threshold: float, longest: int = 64, block: int = BLOCK, recall: float = RECALL, seed: int = 7) -> Plan:
+def plan_tables(x: np.ndarray, label: np.ndarray, others: float, threshold: float, longest: int = 64, block: int = BLOCK, recall: float = RECALL, probing: tuple[int, ...] = (0, 1), seed: int = 7) -> Plan:
     """Codes for unit vectors x, a sample that stands for labels of `others` vectors on average.
 
     A quarter of the sample is held out of what rotations are learned from, and pairs at the threshold are planted
@@ -125,7 +127,9 @@ def plan_tables(x: np.ndarray, label: np.ndarray, others: float, threshold: floa
     alike = ((signs @ signs.T / signs.shape[1] + 1) / 2)[same]
     choices = [(others > block / 2, COPY * (1 + (1 + others) / block) + (1 + others) / 2, 0, 1, 0)]
     for k in range(1, longest + 1):
-        for probes in (0, 1):
+        for probes in probing:
+            if probes and k < 8:  # a short key with its neighbours says next to nothing
+                continue
             hit, met = ((z**k + probes * k * z ** (k - 1) * (1 - z)) for z in (agree, alike))
             tables = next((t for t in _counts(4096) if (1 - (1 - hit) ** t).mean() >= recall), 0)
             if not tables:
@@ -133,8 +137,8 @@ def plan_tables(x: np.ndarray, label: np.ndarray, others: float, threshold: floa
             rows = 1 + probes * k / 2
             bucket = rows * (1 + others * ((alike**k).mean() if len(alike) else 0.5**k))
             compared = 1 + others * (met.mean() if len(met) else rows * 0.5**k)
-            # Buckets that fit a block first: those beyond are dealt as pairs of blocks, rows that grow with their square.
-            choices.append((bucket > block / 2, tables * (rows * COPY * (1 + k * tables / CARRIED) * (1 + bucket / block) + compared / 2), k, tables, probes))
+            # Buckets of a few blocks first: larger ones are dealt as pairs of blocks, rows that grow with their square.
+            choices.append((bucket > 4 * block, tables * (rows * COPY * (1 + k * tables / CARRIED) * (1 + bucket / block) + compared / 2), k, tables, probes))
     bits, tables, probes = min(choices)[2:]
     while True:
         plan = Plan(bits, tables, probes, 0, mean, normals(max(LEAST_BITS, bits * tables)))
@@ -180,15 +184,24 @@ def _coded(rows: Iterator[pa.RecordBatch], plans, schema: pa.Schema) -> Iterator
                     yield pa.RecordBatch.from_arrays(out, schema=schema).filter(pa.array(fit))
 
 
+#: What makes a bucket, or a pair of blocks of one.
+BUCKET = ("width", "label", "t", "key", "i", "j")
+
+
+def _starts(t: pa.RecordBatch) -> np.ndarray:
+    """Which rows have another bucket than the row before."""
+    keys = np.stack([np.asarray(t.column(c)).astype(np.int64) for c in BUCKET], 1)
+    return np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])
+
+
 def _close(t: pa.RecordBatch, shapes: dict[int, tuple[int, int, int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j) of the codes of one bucket, or pair of blocks of one, that lie within the radius, did not meet in an
-    earlier table, and are not both guests; in parts. A pair is found in one bucket and one pair of blocks only."""
+    """Places (i, j) of codes in whole buckets of one width that share a bucket, lie within the radius, did not meet in
+    an earlier table, and are not both guests; in parts. A pair is found in one bucket and one pair of blocks only."""
     bits, tables, probes, radius = shapes[t.column("width")[0].as_py()]
-    table, n = t.column("t")[0].as_py(), len(t)
-    across = t.column("i")[0].as_py() != t.column("j")[0].as_py()
-    side, home = np.asarray(t.column("side")), np.asarray(t.column("home"))
+    table, side, home = (np.asarray(t.column(c)) for c in ("t", "side", "home"))
+    across = np.asarray(t.column("i")) != np.asarray(t.column("j"))
+    n, bucket = len(t), np.cumsum(_starts(t))
     packed = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(n, -1)
-    keys = _keys(np.unpackbits(packed, 1).astype(bool), bits, tables) if table else None
     words = np.zeros((n, -(-packed.shape[1] // 8) * 8), np.uint8)
     words[:, : packed.shape[1]] = packed
     words = words.view(np.uint64)
@@ -197,39 +210,44 @@ def _close(t: pa.RecordBatch, shapes: dict[int, tuple[int, int, int, int]]) -> I
         distance = np.zeros((b.stop - a, n - a), np.uint16)
         for w in range(words.shape[1]):
             distance += np.bitwise_count(words[b, None, w] ^ words[None, a:, w])
-        near = (distance <= radius) & (np.arange(a, n)[None, :] > np.arange(a, b.stop)[:, None]) & (home[b, None] | home[None, a:])
-        if across:
-            near &= side[b, None] != side[None, a:]
+        near = (distance <= radius) & (np.arange(a, n)[None, :] > np.arange(a, b.stop)[:, None]) & (bucket[b, None] == bucket[None, a:])
+        near &= (home[b, None] | home[None, a:]) & (~across[b, None] | (side[b, None] != side[None, a:]))
         i, j = np.nonzero(near)
         i, j = i + a, j + a
-        for earlier in range(table):
-            new = np.bitwise_count(keys[i, earlier] ^ keys[j, earlier]) > probes
-            i, j = i[new], j[new]
-        yield i, j
+        for k in range(0, len(i), 16384):
+            p, q = i[k : k + 16384], j[k : k + 16384]
+            apart = np.unpackbits(packed[p] ^ packed[q], 1, bits * tables).reshape(len(p), tables, bits).sum(2, dtype=np.uint8)
+            new = ~((apart <= probes) & (np.arange(tables) < table[p, None])).any(1)
+            yield p[new], q[new]
 
 
 def _buckets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The buckets of sorted rows, one at a time, those of one row left out."""
-    held: list[pa.RecordBatch] = []
+    """Sorted rows in whole buckets: a large one by itself, small ones of a width together."""
+    held: list[pa.RecordBatch] = []  # whole buckets
+    open_: list[pa.RecordBatch] = []  # the last bucket, which the next rows may go on with
     now = None
+    size = lambda parts: sum(map(len, parts))
 
-    def whole() -> Iterator[pa.RecordBatch]:
-        if sum(map(len, held)) > 1:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    def joined(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if size(parts) > 1:
+            yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
     for batch in rows:
-        keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("width", "label", "t", "key", "i", "j")], 1)
-        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
-            if hi == lo:
-                continue
-            key = tuple(keys[lo])
+        if not len(batch):
+            continue
+        cuts = [*np.flatnonzero(_starts(batch)).tolist(), len(batch)]
+        names = list(zip(*(np.asarray(batch.column(c))[cuts[:-1]].tolist() for c in BUCKET), strict=True))
+        for key, lo, hi in zip(names, cuts[:-1], cuts[1:], strict=True):
             if key != now:
-                yield from whole()
-                held = []
-            now = key
-            held.append(batch.slice(lo, hi - lo))
-    yield from whole()
+                if held and (size(held) + size(open_) > TOGETHER or held[0].column("width")[0].as_py() != now[0]):
+                    yield from joined(held)
+                    held = []
+                held, open_, now = held + (open_ if size(open_) > 1 else []), [], key
+            open_.append(batch.slice(lo, hi - lo))
+    if held and (size(held) + size(open_) > TOGETHER or held[0].column("width")[0].as_py() != now[0]):
+        yield from joined(held)
+        held = []
+    yield from joined(held + (open_ if size(open_) > 1 else []))
 
 
 def _within(rows: Iterator[pa.RecordBatch], shapes: dict[int, tuple[int, int, int, int]]) -> Iterator[pa.RecordBatch]:

@@ -354,6 +354,32 @@ def test_embedding_recall_about_a_common_direction(spark):
     assert want >= 2000 and 0.998 * want <= got <= want
 
 
+def test_embedding_probes(spark, monkeypatch):
+    """Keys with probed neighbours find each pair once, with and without split buckets."""
+    planned, plans = embedding_dedup.plan_tables, []
+    x = pairs_at(np.random.default_rng(5), 300, 0.9801, mean=0.5, width=32)
+
+    def probing(few, label, others, *a):
+        plans.append(planned(few, label, 4e5, *a, probing=(1,)))
+        return plans[-1]
+
+    monkeypatch.setattr(embedding_dedup, "plan_tables", probing)
+    for block in (32, 1024):
+        got, want = links_found(spark, x, block=block)
+        assert plans[-1].probes == 1 and plans[-1].bits >= 8 and plans[-1].radius < plans[-1].normals.shape[1]
+        assert want >= 600 and 0.995 * want <= got <= want
+
+
+@pytest.mark.parametrize("width, others", [(64, 1e8), (384, 1e7)])
+def test_embedding_plans_reach_vectors_they_have_not_seen(width, others):
+    x, y = (pairs_at(np.random.default_rng(seed), 1500, 0.98, width=width) for seed in (1, 2))
+    plan = embedding_dedup.plan_tables(x, np.zeros(len(x)), others, 0.98)
+    one, other = (embedding_dedup._sides(v, plan) for v in (y[:1500], y[1500:]))
+    one_key, other_key = (embedding_dedup._keys(s, plan.bits, plan.tables) for s in (one, other))
+    meet = (np.bitwise_count(one_key ^ other_key) <= plan.probes).any(1) & ((one != other).sum(1) <= plan.radius)
+    assert meet.mean() >= 0.998 and ((one[1:] != one[:-1]).sum(1) > plan.radius).mean() > 0.99
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
