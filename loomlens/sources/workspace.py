@@ -5,10 +5,10 @@ from __future__ import annotations
 import os
 import posixpath
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition, StringEndsWith, StringStartsWith
 
 DEPTH_MAX, FILES_MAX, BYTES_MAX, SNIFF = 24, 20_000, 524_288, 8192
 SCHEMA = "path string, size long, mtime_ms long, content string"
@@ -90,8 +90,9 @@ class Ignore:
         return out
 
 
-def walk(root: str) -> Iterator[tuple[str, int, int]]:
-    """(path, size, mtime in ms) in path order; symbolic links are left out, ignored directories are not entered."""
+def walk(root: str, starts: str = "", ends: str = "") -> Iterator[tuple[str, int, int]]:
+    """(path, size, mtime in ms) in path order, of paths with that beginning and end; symbolic links are left out, ignored
+    directories and those that can't hold such paths are not entered."""
     ignore = Ignore()
 
     def visit(at: str, depth: int) -> Iterator[tuple[str, int, int]]:
@@ -105,9 +106,10 @@ def walk(root: str) -> Iterator[tuple[str, int, int]]:
             if e.is_symlink() or e.name == ".git":
                 continue
             if e.is_dir():
-                if depth < DEPTH_MAX and not ignore.ignores(path, True):
+                leads = (path + "/").startswith(starts) or starts.startswith(path + "/")
+                if leads and depth < DEPTH_MAX and not ignore.ignores(path, True):
                     yield from visit(path, depth + 1)
-            elif not ignore.ignores(path, False):
+            elif path.startswith(starts) and path.endswith(ends) and not ignore.ignores(path, False):
                 s = e.stat()
                 yield path, s.st_size, s.st_mtime_ns // 1_000_000
 
@@ -122,10 +124,11 @@ class _Slice(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.root, self.most = options["path"], int(options.get("maxfiles", FILES_MAX))
+        self.starts = self.ends = ""
         self.bytes, self.slices = int(options.get("maxbytes", BYTES_MAX)), int(options.get("slices", 8))
 
     def partitions(self) -> list[InputPartition]:
-        files = list(walk(self.root))[: self.most]
+        files = list(walk(self.root, self.starts, self.ends))[: self.most]
         n = max(1, -(-len(files) // self.slices))
         return [_Slice(files[i : i + n]) for i in range(0, len(files), n)] or [_Slice([])]
 
@@ -139,9 +142,29 @@ class _Reader(DataSourceReader):
             yield path, size, mtime, content
 
 
+class _Pushed(_Reader):
+    """Conditions on path that the walk itself keeps: a beginning, an end, one path; one of each, others stay Spark's.
+    `maxfiles` then counts the files that meet them."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            on_path = getattr(f, "attribute", None) == ("path",)
+            if on_path and isinstance(f, StringStartsWith) and not self.starts:
+                self.starts = f.value
+            elif on_path and isinstance(f, StringEndsWith) and not self.ends:
+                self.ends = f.value
+            else:
+                if on_path and isinstance(f, EqualTo) and not self.starts:
+                    self.starts = f.value  # narrows the walk; Spark compares whole paths
+                yield f
+
+
 class Workspace(DataSource):
     """spark.dataSource.register(Workspace); spark.read.format("workspace").load(root). content is null for binary and
-    over-large files. The tree is one that the driver and all executors see under the same path."""
+    over-large files. The tree is one that the driver and all executors see under the same path; listing.tree lists one of any size on the executors.
+
+    With the option `push`, conditions on path reach the walk; the session then needs
+    spark.sql.python.filterPushdown.enabled."""
 
     @classmethod
     def name(cls) -> str:
@@ -151,4 +174,5 @@ class Workspace(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(dict(self.options))
+        options = dict(self.options)
+        return (_Pushed if options.get("push") == "true" else _Reader)(options)

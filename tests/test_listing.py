@@ -1,0 +1,82 @@
+"""Listing by rounds against the walk of one process, and conditions that reach the walk."""
+
+import io
+from contextlib import redirect_stdout
+
+import pytest
+from pyspark.sql import functions as F
+
+from loomlens.sources import listing, workspace
+
+
+@pytest.fixture(scope="module")
+def small(tmp_path_factory):
+    root = tmp_path_factory.mktemp("small")
+    for path, text in {
+        ".gitignore": "*.log\nbuild/\n/only.txt\n", "only.txt": "x", "a/only.txt": "x", "a/b/c.py": "print()", "a/b/d.log": "x", "build/x.py": "x",
+        "a/.gitignore": "!keep.log\nsecret*\n", "a/keep.log": "x", "keep.log": "x", "a/secret.py": "x", "a/b/build/y.py": "x", "secret.py": "x",
+        "ab/e.py": "", "a/bin.dat": "a\0b", ".git/config": "x", "sp ace/ü.py": "é", "a/b/.gitignore": "!secret.py\n", "a/b/secret.py": "x",
+    }.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(text, encoding="utf-8")
+    (root / "link.py").symlink_to(root / "a/b/c.py")
+    (root / "loop").symlink_to(root / "a")
+    (root / "empty").mkdir()
+    return str(root)
+
+
+@pytest.mark.parametrize("starts, ends", [("", ""), ("a/", ""), ("a", ".py"), ("a/b/c.py", ""), ("none/", ""), ("", ".log"), ("build/", "")])
+def test_rounds_equal_the_walk(spark, small, starts, ends):
+    got = sorted(map(tuple, listing.listed(spark, small, starts, ends).collect()))
+    assert got == list(workspace.walk(small, starts, ends)) == [f for f in workspace.walk(small) if f[0].startswith(starts) and f[0].endswith(ends)]
+    assert (len(got) > 0) == (starts not in ("none/", "build/"))
+
+
+def test_contents_equal_those_of_the_source(spark, small):
+    spark.dataSource.register(workspace.Workspace)
+    want = sorted(map(tuple, spark.read.format("workspace").load(small).collect()), key=lambda r: r[0])
+    assert sorted(map(tuple, listing.tree(spark, small).collect()), key=lambda r: r[0]) == want
+    assert {r.path: r.content for r in listing.tree(spark, small, most=3).collect()}["a/b/c.py"] is None
+
+
+def test_an_empty_tree_and_none(spark, tmp_path):
+    assert listing.listed(spark, str(tmp_path)).collect() == []
+    with pytest.raises(NotADirectoryError):
+        listing.listed(spark, str(tmp_path / "gone"))
+
+
+def test_depth_has_an_end(spark, tmp_path):
+    (tmp_path / "a/b/c").mkdir(parents=True)
+    for folder in ("", "a/", "a/b/", "a/b/c/"):
+        (tmp_path / f"{folder}f").write_text("")
+    assert sorted(r.path for r in listing.listed(spark, str(tmp_path), depth=2).collect()) == ["a/b/f", "a/f", "f"]
+
+
+def test_a_hundred_thousand_files(spark, tmp_path):
+    """A third of the files in one folder; every rule and folder counted."""
+    (tmp_path / ".gitignore").write_text("*9.tmp\n")
+    for folder, n in [("hot", 33_000), *((f"d{i % 10}/e{i}", 670) for i in range(100))]:
+        (tmp_path / folder).mkdir(parents=True)
+        for k in range(n):
+            (tmp_path / folder / f"f{k}.tmp").touch()
+    got = listing.listed(spark, str(tmp_path))
+    count = got.groupBy(F.substring_index("path", "/", 1).alias("top")).count()
+    assert {r.top: r["count"] for r in count.collect()} == {".gitignore": 1, "hot": 29_700} | {f"d{i}": 6_030 for i in range(10)}
+
+
+def test_conditions_reach_the_walk(spark, small, monkeypatch):
+    spark.dataSource.register(workspace.Workspace)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        read = spark.read.format("workspace").option("push", "true").load(small)
+        for condition in ("startswith(path, 'a/') and endswith(path, '.py')", "path = 'a/b/c.py'", "startswith(path, 'a') and startswith(path, 'ab')", "size > 0 and endswith(path, '.py')"):
+            found = read.where(condition)
+            text = io.StringIO()
+            with redirect_stdout(text):
+                found.explain()
+            got = sorted(r.path for r in found.collect())
+            assert got and got == sorted(r.path for r in spark.createDataFrame(list(workspace.walk(small)), "path string, size long, mtime_ms long").where(condition).collect())
+            # What the walk keeps is no filter of Spark's any more.
+            assert "EndsWith(path" not in text.getvalue() and "StartsWith(path, a/)" not in text.getvalue()
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
