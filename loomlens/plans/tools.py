@@ -380,6 +380,17 @@ def trace(ix: Index, path: str, direction: str = "dependents", depth: int = 1) -
     return out.select("path", "hop", tx.path_class(F.col("path")).alias("class"), "owner", F.coalesce(F.col("owner") != F.col("mine"), F.lit(False)).alias("crosses")).orderBy("hop", "path")
 
 
+def trace_externals(ix: Index, path: str, most: int = 20) -> DataFrame:
+    """(path, external): what a file imports from outside the tree, in order; its own imports only."""
+    return ix.externals.where(F.col("src") == path).select(F.col("src").alias("path"), F.explode(F.slice("externals", 1, most)).alias("external"))
+
+
+def trace_notes(notes: DataFrame, path: str, most: int = 3, width: int = 160) -> DataFrame:
+    """(id, text): the newest notes on a traced file, their texts cut to a width."""
+    short = F.when(F.length("text") <= width, F.col("text")).otherwise(F.concat(F.rtrim(F.substring("text", 1, width - 1)), F.lit("…")))
+    return notes_on(notes, [path], most).select("id", short.alias("text"))
+
+
 def locate(ix: Index, target: str) -> DataFrame:
     """(path, symbol, choices): what to trace: a path of the tree, else the files that declare a symbol of that name; only
     where choices is 1 it is clear which."""
@@ -405,9 +416,9 @@ def references(ix: Index, path: str, symbol: str, per_file: int = 4) -> DataFram
     return spans.best(found, ["path"], ["line"], per_file).orderBy("path", "line")
 
 
-def changes(ix: Index, diff: DataFrame, status: DataFrame | None = None) -> DataFrame:
+def changes(ix: Index, diff: DataFrame, status: DataFrame | None = None, prefix: str = "") -> DataFrame:
     """(path, status, added, removed, symbols, dependents): what a diff (log_id, line_no, text) touched, and the files that a
-    status listing has as unknown."""
+    status listing has as unknown; of those the ones at or under a prefix."""
     c = logs.changes(diff)
     ranges = c.select(F.col("path"), F.inline("ranges")).withColumnsRenamed({"from": "low", "to": "high"})
     near = ix.symbols.select("path", F.col("start_line").alias("start"), F.col("end_line").alias("stop"), "name")
@@ -417,6 +428,7 @@ def changes(ix: Index, diff: DataFrame, status: DataFrame | None = None) -> Data
     used = ix.edges.groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("dependents"))
     more = () if status is None else (logs.untracked(status, c),)
     whole = c if not more else c.unionByName(more[0], allowMissingColumns=True).na.fill(0, ["added", "removed"])
+    whole = _under(whole, prefix)
     out = whole.join(names, "path", "left").join(used, "path", "left")
     return out.select("path", "status", "previous", "added", "removed", "symbols", F.coalesce("dependents", F.lit(0)).alias("dependents")).orderBy(F.desc(F.col("added") + F.col("removed")), "path")
 
@@ -445,21 +457,28 @@ def by_file(problems: DataFrame) -> DataFrame:
 
 
 def diagnose(ix: Index, log: DataFrame, warnings: bool = False, most: int = 15) -> DataFrame:
-    """Problems of a log in reading order, their files matched to the tree by a unique ending, with the symbol around."""
+    """Problems of a log in reading order, 1 to 100 at most, their files matched to the tree by a unique ending, with the
+    symbol around."""
+    most = min(max(most, 1), 100)
     found = logs.ranked(logs.diagnostics(log))
     found = found if warnings else found.where("severity = 'error'")
-    named = found.where("file is not null").select("file").distinct()
-    tail = lambda c: F.element_at(F.split(c, "/"), -1)
-    match = named.withColumn("base", tail("file")).join(ix.files.select("path", tail("path").alias("base")), "base").where("path = file or endswith(path, concat('/', file)) or endswith(file, concat('/', path))")
-    one = match.groupBy("file").agg(F.min("path").alias("path"), F.count("*").alias("n")).where("n = 1").drop("n")
+    one = graph.locate_reported(found.where("file is not null").select(F.col("file").alias("ref")), ix.files.select("path")).withColumnRenamed("ref", "file")
     at = found.join(one, "file", "left")
     around = spans.enclosing(at.where("path is not null and line is not null").select("path", "line").distinct(), ix.symbols.select("path", F.col("start_line").alias("start"), F.col("end_line").alias("stop"), "depth", "name"), "path")
     out = at.join(around.withColumnRenamed("name", "symbol"), ["path", "line"], "left")
     return out.where(F.col("place") <= most).select("place", "severity", F.coalesce("path", "file").alias("file"), "line", "col", "code", "message", "source", "symbol").orderBy("place")
 
 
+def unexplained(log: DataFrame, most: int = 20) -> DataFrame:
+    """(log_id, line_no, text): the last lines that say anything of the logs in which no problem was recognised, for a
+    failed run that would have no answer else."""
+    return logs.tail(log.join(logs.diagnostics(log).select("log_id").distinct(), "log_id", "left_anti"), most)
+
+
 def notes(rows: DataFrame, query: str = "", path: str | None = None, limit: int = 20) -> DataFrame:
-    """Notes (id, text, paths, tags, created_at) that answer to a query, the best first; the newest without one."""
+    """Notes (id, text, paths, tags, created_at) that answer to a query, the best first; the newest without one. 1
+    to 100 of them."""
+    limit = min(max(limit, 1), 100)
     rows = rows if path is None else rows.where(F.array_contains("paths", path))
     if not query.strip():
         return rows.withColumn("score", F.lit(0)).orderBy(F.desc("created_at"), "id").limit(limit)

@@ -65,6 +65,34 @@ def test_changes_diagnose_notes(spark, ix):
     assert {r.label: r.n for r in tools.health(ix).collect()} == {"files": 10, "files not read": 1, "files without symbols": 4, "imports from outside": 1}
 
 
+def test_traced_externals_and_notes(spark, ix):
+    assert [tuple(r) for r in tools.trace_externals(ix, "packages/web/src/page.ts").collect()] == [("packages/web/src/page.ts", "react")]
+    assert tools.trace_externals(ix, "packages/web/src/page.ts", 0).collect() == tools.trace_externals(ix, "tool/run.py").collect() == []
+    rows = [(f"n{i}", "long " * 40 if i == 4 else "short", ["tool/run.py"] if i else ["other"], [], f"2024-01-0{i + 1}") for i in range(5)]
+    table = spark.createDataFrame(rows, "id string, text string, paths array<string>, tags array<string>, created_at string")
+    got = [tuple(r) for r in tools.trace_notes(table, "tool/run.py").collect()]
+    assert [i for i, _ in got] == ["n4", "n3", "n2"] and len(got[0][1]) == 160 and got[0][1].endswith("…") and got[1][1] == "short"
+
+
+def test_changes_under_a_prefix(spark, ix):
+    text = "".join(f"diff --git a/{p} b/{p}\n--- a/{p}\n+++ b/{p}\n@@ -1 +1 @@\n-a\n+b\n" for p in ("tool/util.py", "tool/run.py", "toolbox.py", "packages/web/src/page.ts"))
+    diff = spark.createDataFrame([(0, i, x) for i, x in enumerate(text.split("\n"))], "log_id int, line_no int, text string")
+    assert [r.path for r in tools.changes(ix, diff).collect()] == ["packages/web/src/page.ts", "tool/run.py", "tool/util.py", "toolbox.py"]
+    assert [r.path for r in tools.changes(ix, diff, prefix="tool").collect()] == ["tool/run.py", "tool/util.py"]
+
+
+def test_failed_runs_without_problems_keep_their_end(spark, ix):
+    text = {0: ["src/a.ts:4:3 - error TS1: no", "end"], 1: ["starting", "", "  ", "killed " + "x" * 300, "exit 9"], 2: ["", " "]}
+    log = spark.createDataFrame([(k, i, x) for k, v in text.items() for i, x in enumerate(v)], "log_id int, line_no int, text string")
+    got = sorted((r.log_id, r.line_no, r.text) for r in tools.unexplained(log, 2).collect())
+    assert [g[:2] for g in got] == [(1, 3), (1, 4)] and got[1][2] == "exit 9" and len(got[0][2]) == 200
+    assert len(tools.unexplained(log).collect()) == 3 and tools.unexplained(log.limit(0)).collect() == []
+    # An exact path beats files that end in it; a name that several files end in stays as it is reported.
+    named = spark.createDataFrame([(0, i, f"{p}:1:1 - error TS{i}: no") for i, p in enumerate(("tool/util.py", "package.json", "x/index.ts"))], "log_id int, line_no int, text string")
+    assert [r.file for r in tools.diagnose(ix, named, most=0).collect()] == ["tool/util.py"]
+    assert [r.file for r in tools.diagnose(ix, named).collect()] == ["tool/util.py", "package.json", "x/index.ts"]
+
+
 def test_parse_cache(spark, tmp_path):
     """Rows are read back while path, size and time stay, and only what is asked for."""
     files = lambda rows: spark.createDataFrame(rows, "path string, size long, mtime_ms long, content string")
