@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,19 +51,27 @@ def locate_reported(reported: DataFrame, files: DataFrame) -> DataFrame:
 
 def follow(links: DataFrame, starts: DataFrame, most: int) -> DataFrame:
     """(start, node, hops, cycle): where following each node's first link (src, dst, place; the smallest place, then dst)
-    ends, after `most` hops at most. A walk that comes back to where it has been stops there, and says so. Levels are
-    rounds of one recursive query; each row carries the nodes that it has passed."""
-    spark = links.sparkSession
-    first = links.groupBy("src").agg(F.min_by("dst", F.struct("place", "dst")).alias("dst"))
-    names = {k: f"_{k}_{uuid.uuid4().hex}" for k in ("links", "starts")}
-    written(first, "links").createOrReplaceTempView(names["links"])
-    starts.select("node").distinct().createOrReplaceTempView(names["starts"])
-    rows = spark.sql(f"""WITH RECURSIVE walk(start, node, hops, passed, cycle) AS (
-        SELECT node, node, 0, array(node), false FROM {names["starts"]}
-        UNION ALL
-        SELECT start, dst, hops + 1, array_append(passed, dst), array_contains(passed, dst) FROM walk JOIN {names["links"]} ON src = node WHERE hops < {int(most)} AND NOT cycle)
-        SELECT start, max_by(struct(node, cycle), hops) AS last, max(hops) AS hops FROM walk GROUP BY start""")
-    return rows.select("start", F.col("last.node").alias("node"), "hops", F.col("last.cycle").alias("cycle"))
+    ends, after `most` hops at most. A walk that comes back to where it has been stops there, and says so. A round takes
+    the walks that still go on one hop further, each with the nodes that it has passed, and is written; no round has more
+    rows than there are starts."""
+    first = written(links.groupBy("src").agg(F.min_by("dst", F.struct("place", "dst")).alias("dst")), "links")
+    node = starts.schema["node"].dataType
+    live = starts.select("node").distinct().select(F.col("node").alias("start"), "node", F.lit(0).alias("hops"), F.array("node").alias("passed"), F.lit(False).alias("cycle"))
+    went, dst, ended = F.col("src").isNotNull(), F.col("dst").cast(node), []
+    for _ in range(int(most)):
+        step = live.join(first, live.node == first.src, "left")
+        moved = lambda then, name: F.when(went, then).otherwise(F.col(name)).alias(name)
+        step = step.select("start", moved(dst, "node"), moved(F.col("hops") + 1, "hops"), moved(F.array_append("passed", dst), "passed"), moved(F.array_contains("passed", dst), "cycle"), went.alias("went"))
+        step = written(step, "walk")
+        goes_on = F.col("went") & F.coalesce(~F.col("cycle"), F.lit(False))
+        ended.append(step.where(~goes_on).select("start", "node", "hops", "cycle"))
+        live = step.where(goes_on)
+        if live.head() is None:
+            break
+    rows = live.select("start", "node", "hops", "cycle")
+    for some in ended:
+        rows = rows.unionByName(some)
+    return rows
 
 
 def score(n_in: Column, n_out: Column) -> Column:

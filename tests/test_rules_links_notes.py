@@ -83,6 +83,17 @@ def test_links_are_followed_to_their_end(spark):
     assert {r.start: (r.node, r.hops, r.cycle) for r in got.collect()} == want
 
 
+def test_following_knows_no_limit_of_rows(spark):
+    """All walks together have more rows than a recursive query may give."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", 100)
+    try:
+        links = spark.range(100).selectExpr("id as src", "id + 1 as dst", "0 as place")
+        got = graph.follow(links, spark.range(100).selectExpr("id as node"), 12)
+        assert {(r.start, r.node, r.hops, r.cycle) for r in got.collect()} == {(i, min(i + 12, 100), min(12, 100 - i), False) for i in range(100)}
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
 def saved(spark, at, rows, mode="append", **options):
     table = spark.createDataFrame([(i, f"t{i}", [p], None, c) for i, p, c in rows], notes.SCHEMA).repartition(3)
     table.write.format("notes").options(**options).mode(mode).save(at)
