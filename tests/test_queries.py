@@ -96,3 +96,16 @@ diff --git a/p.ts b/q.ts
 rename from p.ts"""
     got = {r.path: (r.status, r.previous, [tuple(x) for x in r.ranges], r.added, r.removed) for r in logs.changes(table(spark, diff)).collect()}
     assert got == {"x.ts": ("modified", None, [(1, 2), (10, 10)], 2, 3), "n.ts": ("added", None, [(1, 1)], 1, 0), "d.ts": ("deleted", None, [(1, 1)], 0, 1), "q.ts": ("renamed", "p.ts", [], 0, 0)}
+
+
+def test_clamping_works_a_text_out_once(spark):
+    """However long the text, only a beginning is tried, and what the text is made of stands in the plan once."""
+    from pyspark.sql import functions as F
+
+    from loomlens.operators import answers
+
+    rows = spark.createDataFrame([(None,), ("",), ("ab c\n" * 20_000,), ("x" * 48,)], "x string")
+    rows = rows.select(answers.clamp_tokens(F.translate("x", "\n", " "), 12).alias("label"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+    got = [r.label for r in rows.collect()]
+    assert got[:2] == [None, ""] and got[2].startswith("ab c ab c") and got[2].endswith("…") and len(got[2]) <= 48 and got[3] == "x" * 48
