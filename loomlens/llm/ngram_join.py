@@ -11,9 +11,11 @@ rare. Those prefixes make an inverted index whose lists are sorted by set size a
   all. What two sets differ in from a hub they were both verified against gives their intersection without reading
   either set, and sets that are already connected are not compared at all.
 
-Rows stay in proportion to the index: a list of n similar sets gives about n pairs, not n * n. Lists of more than HOT
-entries are dealt out: twice over random parts, whose hubs connect what is similar, then, where sets of more than one
-label are left, over cells, so that each two parts of the list meet in one.
+Rows stay in proportion to the index: a list of n similar sets gives about n pairs, not n * n. What hubs leave apart is
+first offered its nearest set of another label in each list, a row an entry at most, and connected by what proves
+similar; only sets of labels that are still apart are then all compared. Lists of more than HOT entries are dealt out:
+twice over random parts for hubs and nearest sets, then, where sets of more than one label are left, over cells, so that
+each two parts of the list meet in one.
 """
 
 from __future__ import annotations
@@ -31,15 +33,19 @@ from pyspark.sql import functions as F
 
 from . import words
 from .graph import components
-from .scratch import small_batches, written
+from .scratch import freeing, small_batches, written
 
 #: Counting buckets for the order of elements: 2**BUCKET_BITS counters, whatever the corpus.
 BUCKET_BITS = 18
 CHUNKS = 16
-#: Bits of a set's parity bitmap.
-BITS = 512
-#: Sets of more elements than LONG, for which that is crowded, also have one of WIDE bits; it stays out of the index.
+#: Bits of a set's parity bitmap: the least power of 2 from BITS to MOST_BITS that a set of its size does not crowd.
+BITS, MOST_BITS = 512, 4096
+#: Sets of more elements than LONG also have one of WIDE bits; it stays out of the index.
 LONG, WIDE = 1500, 8192
+#: Which pairs of a list are made: sets with hubs; sets with their nearest of another label; all of different labels.
+HUBS, NEAREST, ALL = "hubs", "nearest", "all"
+#: Rounds of nearest sets at most; what they leave apart is compared in full.
+ROUNDS = 2
 #: Entries of an index list, about, that one task compares.
 HOT = 1000
 #: Pairs and labels (some 24 bytes each) are broadcast up to this many, else joined by shuffle.
@@ -151,6 +157,15 @@ def _bitmap(s: np.ndarray, bits: int = BITS) -> np.ndarray:
     return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1)
 
 
+def _width(n: int) -> int:
+    """Bits for the bitmap of a set of n elements: unlike sets of fewer than 1.8 elements a bit differ in more bits than
+    similar ones can."""
+    bits = BITS
+    while bits < MOST_BITS and 9 * bits < 5 * n:
+        bits *= 2
+    return bits
+
+
 def _noted(rows: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """The part of the filter for ids that begin with the same four bits."""
     parts: dict[int, np.ndarray] = {}
@@ -197,7 +212,7 @@ def _bitmaps(rows: Iterator[pa.RecordBatch], k: int, wanted) -> Iterator[pa.Reco
     none = np.zeros(0, np.int64)
     for out in _wanted(rows, k, wanted):
         wide = _lists([_bitmap(s, WIDE).view(np.int64) if len(s) > LONG else none for _, s in out])
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([len(s) for _, s in out], pa.int64()), pa.array([_bitmap(s).tobytes() for _, s in out], pa.binary()), wide], ["sid", "n", "bits", "wide"])
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([len(s) for _, s in out], pa.int64()), pa.array([_bitmap(s, _width(len(s))).tobytes() for _, s in out], pa.binary()), wide], ["sid", "n", "bits", "wide"])
 
 
 def _elements(rows: Iterator[pa.RecordBatch], k: int, wanted) -> Iterator[pa.RecordBatch]:
@@ -221,7 +236,8 @@ class _Blocks:
         self.rows[-1].append(row)
 
     def similar(self, n: int, pos: int, bits: np.ndarray) -> list[tuple]:
-        """Rows (sid, pos, bits, label) that may be similar to a set of n elements with this one at pos."""
+        """Rows (sid, pos, bits, label) that may be similar to a set of n elements with this one at pos, each with the
+        share of elements, or less, in which they differ. The bitmap of n is as wide as theirs or wider, and folded."""
         t, found = self.t, []
         for b in range(len(self.size) - 1, -1, -1):
             m = self.size[b]
@@ -232,54 +248,75 @@ class _Blocks:
                 continue
             rows = [x for x in self.rows[b] if m - x[1] >= need]
             if rows:
-                apart = np.bitwise_count(np.stack([x[2] for x in rows]) ^ bits).sum(1)
-                found += [x for x, d in zip(rows, apart.tolist(), strict=True) if d <= n + m - 2 * need]
+                theirs = np.stack([x[2] for x in rows])
+                apart = np.bitwise_count(theirs ^ np.bitwise_xor.reduce(bits.reshape(-1, theirs.shape[1]))).sum(1)
+                found += [(x, d / (n + m)) for x, d in zip(rows, apart.tolist(), strict=True) if d <= n + m - 2 * need]
         return found
 
 
-def _compared(rows: Iterator[pa.RecordBatch], t: Fraction, labelled: bool) -> Iterator[pa.RecordBatch]:
+def _offered(nearest: dict[int, tuple], labels: dict[int, int]) -> list[tuple[int, int]]:
+    """The nearest pairs of a list's sets, less those that sets of its most frequent label would offer."""
+    main = max(labels, key=lambda x: (labels[x], x)) if labels else None
+    return sorted({pair for _, pair, label in nearest.values() if label != main})
+
+
+def _compared(rows: Iterator[pa.RecordBatch], t: Fraction, how: str) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of sets to verify, from entries sorted by element, part of its list, size, position and id.
 
-    First round: each set against the part's hubs. Second round (labelled): sets against all earlier ones of the part
-    with another label.
+    HUBS: each set against the part's hubs. ALL: sets against all earlier ones of the part with another label. NEAREST:
+    of those pairs, for each set the one with the fewest differing bits for its size.
     """
     now, blocks, last = None, None, None
+    labels: dict[int, int] = {}
+    nearest: dict[int, tuple] = {}
     for batch in rows:
-        token, part, sid, n, pos = (batch.column(x).to_pylist() for x in ("token", "part", "sid", "n", "pos"))
-        label = batch.column("label").to_pylist() if labelled else sid
-        bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(len(batch), BITS // 64)
-        out: tuple[list, list] = ([], [])
+        token, part, sid, n, pos, bits = (batch.column(x).to_pylist() for x in ("token", "part", "sid", "n", "pos", "bits"))
+        label = sid if how == HUBS else batch.column("label").to_pylist()
+        out: list[tuple[int, int]] = []
         for i, key in enumerate(zip(token, part, strict=True)):
             if key != now:
-                now, blocks, labels = key, _Blocks(t), set()
+                out += _offered(nearest, labels)
+                now, blocks, labels, nearest = key, _Blocks(t), {}, {}
                 last = None
             if last == (sid[i], n[i]):
                 continue
             last = (sid[i], n[i])
-            if labelled and labels <= {label[i]}:
-                found = []
+            own = np.frombuffer(bits[i], np.uint64)
+            found = blocks.similar(n[i], pos[i], own) if blocks.size and (how == HUBS or labels.keys() != {label[i]}) else []
+            if how != HUBS:
+                labels[label[i]] = labels.get(label[i], 0) + 1
+                found = [x for x in found if x[0][3] != label[i]]
+            if how == NEAREST:
+                for x, d in found:
+                    offer = (d, (x[0], sid[i]))
+                    for one, its in ((x[0], x[3]), (sid[i], label[i])):
+                        if one not in nearest or offer < nearest[one][:2]:
+                            nearest[one] = (*offer, its)
             else:
-                found = blocks.similar(n[i], pos[i], bits[i]) if blocks.size else []
-            if labelled:
-                labels.add(label[i])
-                found = [x for x in found if x[3] != label[i]]
-            out[0].extend(x[0] for x in found)
-            out[1].extend([sid[i]] * len(found))
-            if labelled or not found:
-                blocks.add(n[i], pos[i], (sid[i], pos[i], bits[i], label[i]))
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+                out += [(x[0], sid[i]) for x, _ in found]
+            if how != HUBS or not found:
+                blocks.add(n[i], pos[i], (sid[i], pos[i], own, label[i]))
+        if out:
+            yield _both(out)
+    if out := _offered(nearest, labels):
+        yield _both(out)
+
 
+def _both(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], ["a", "b"])
 
-def _small(df: DataFrame) -> DataFrame:
+
+def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df, to be broadcast if it was counted to be small enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= most else df
 
 
-def _pairs(parts: DataFrame, t: Fraction, labelled: bool) -> DataFrame:
-    """(a, b) to verify, from entries with the part of a list that they are in."""
-    laid = parts.repartition("token", "part").sortWithinPartitions("token", "part", "n", "pos", "sid")
-    return laid.mapInArrow(partial(_compared, t=t, labelled=labelled), "a long, b long").distinct()
+def _pairs(parts: DataFrame, bits: DataFrame, t: Fraction, how: str) -> DataFrame:
+    """(a, b) to verify, written, from entries with the part of a list that they are in. Bitmaps go with the entries in
+    one shuffle only, whose files go at once."""
+    with freeing(parts.sparkSession):
+        laid = parts.join(bits, "sid").repartition("token", "part").sortWithinPartitions("token", "part", "n", "pos", "sid")
+        return written(laid.mapInArrow(partial(_compared, t=t, how=how), "a long, b long").distinct(), "pairs")
 
 
 def _dealt(listed: DataFrame) -> DataFrame:
@@ -305,8 +342,8 @@ def _cells(labelled: DataFrame) -> DataFrame:
     h, m, s, label = F.col("h"), F.col("m"), F.col("s"), F.col("label")
     main = upto("s", lambda j: cell(h * s + j, F.lit(0)))
     other = F.concat(upto("m", lambda i: cell(i * s + h, F.lit(1))), upto("s", lambda j: cell((m + F.least(h, j)) * s + F.greatest(h, j), label)))
-    rows = rows.select("token", "sid", "n", "pos", "bits", F.inline(F.when(F.col("is_main"), main).otherwise(other)))
-    return labelled.where("parts = 1").select("token", "sid", "n", "pos", "bits", F.lit(0).cast("long").alias("part"), "label").unionByName(rows)
+    rows = rows.select("token", "sid", "n", "pos", F.inline(F.when(F.col("is_main"), main).otherwise(other)))
+    return labelled.where("parts = 1").select("token", "sid", "n", "pos", F.lit(0).cast("long").alias("part"), "label").unionByName(rows)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -374,22 +411,36 @@ def _grouped(docs: DataFrame, k: int, similarity: Fraction) -> tuple[DataFrame,
 
     bitmaps = looked_up(lists, _bitmaps, "sid long, n long, bits binary, wide array<long>").dropDuplicates(["sid"])
     bitmaps = written(bitmaps, "bitmaps")
-    listed = written(lists.join(_small(bitmaps.select("sid", "bits")), "sid"), "listed")
+    bits = _small(bitmaps.select("sid", "bits"), BROADCAST_ROWS // 4)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = written(_plausible(pairs, bitmaps, t), "plausible")
         ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b"))
         return _verified(pairs, looked_up(ids, _elements, "sid long, part int, items array<long>"))
 
-    tested = written(_pairs(_dealt(listed), t, False), "pairs")
+    tested = _pairs(_dealt(lists), bits, t, HUBS)
     answers = written(verified(tested), "answers")
     good = _linked("n", "m", "d", t)
-    first = answers.where(good).select("a", "b")
-    label = written(components(first).select(F.col("node").alias("sid"), F.col("component").alias("label")), "labels")
-
-    # Second round: what hubs left apart. Lists whose sets are all connected give nothing.
-    relabelled = listed.join(_small(label), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    pairs = written(_pairs(_cells(relabelled), t, True).join(tested, ["a", "b"], "left_anti"), "pairs")
+    linked = answers.where(good).select("a", "b")
+    label = written(components(linked).select(F.col("node").alias("sid"), F.col("component").alias("label")), "labels")
+    known_links = lambda: label.where("sid <> label").select(F.col("sid").alias("a"), F.col("label").alias("b"))
+
+    def relabelled() -> DataFrame:
+        return lists.join(_small(label), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+
+    # What hubs left apart and its nearest set connects.
+    for _ in range(ROUNDS):
+        offered = written(_pairs(_dealt(relabelled()), bits, t, NEAREST).join(tested, ["a", "b"], "left_anti"), "offered")
+        if offered.head() is None:
+            break
+        linked = written(verified(offered).where(good).select("a", "b"), "linked")
+        tested = tested.unionByName(offered)
+        if linked.head() is None:
+            break
+        label = written(components(known_links().union(linked)).select(F.col("node").alias("sid"), F.col("component").alias("label")), "labels")
+
+    # All of what is still apart. Lists whose sets are all connected give nothing.
+    pairs = written(_pairs(_cells(relabelled()), bits, t, ALL).join(tested, ["a", "b"], "left_anti"), "pairs")
     hub = answers.where("differ is not null").groupBy("b").agg(F.min_by(F.struct("a", "m", "differ"), F.struct(F.size("differ"), "a")).alias("h"))
     near = hub.select(F.col("b").alias("sid"), "h.*")
     own = answers.where("differ is not null").select(F.col("a").alias("sid"), "a", F.col("n").alias("m"), F.expr("cast(array() as array<bigint>)").alias("differ")).dropDuplicates(["sid"])
@@ -399,8 +450,7 @@ def _grouped(docs: DataFrame, k: int, similarity: Fraction) -> tuple[DataFrame,
     known = derived.where("a_hub = b_hub").where(_linked("a_n", "b_n", "size(a_differ) + size(b_differ) - 2 * size(array_intersect(a_differ, b_differ))", t)).select("a", "b")
     rest = written(derived.where("not (a_hub <=> b_hub) or a_hub is null").select("a", "b"), "rest")
     more = known.union(verified(rest).where(good).select("a", "b")) if rest.head() else known
-    links = label.where("sid <> label").select(F.col("sid").alias("a"), F.col("label").alias("b")).union(more)
-    return signed, components(links).select(F.col("node").alias("sid"), F.col("component").alias("set"))
+    return signed, components(known_links().union(more)).select(F.col("node").alias("sid"), F.col("component").alias("set"))
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 3, similarity: Fraction = Fraction(9, 10)) -> DataFrame:

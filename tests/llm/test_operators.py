@@ -599,3 +599,38 @@ def test_components_against_plain_search(spark, chunk):
     alone = {a for a, b in edges[:-2] if a == b} - {x for a, b in edges[:-2] if a != b for x in (a, b)}
     got = graph.components(spark.createDataFrame(edges, "a long, b long").repartition(4), chunk=chunk).collect()
     assert {r.node: r.component for r in got} == {x: c for x, c in low.items() if x not in alone} and len({r.node for r in got}) == len(got)
+
+
+def _group(rng, n):
+    """Variants of one text, most of them about as similar to each other as the threshold asks for; and unlike long texts
+    that share a phrase."""
+    base = [f"b{i}" for i in range(300)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for j in range(3 + i % 2):
+            w[rng.randrange(len(w))] = f"v{i}.{j}"
+        rows.append((i, " ".join(w), "s0"))
+    for i in range(n // 4):
+        rows.append((5000 + i, " ".join(["one phrase that all share", *(f"u{i}.{j}" for j in range(2500))]), "s0"))
+    return rows
+
+
+def test_pairs_grow_with_a_group_of_near_copies(spark, monkeypatch):
+    made, plausible = [], ngram_join._plausible
+    monkeypatch.setattr(ngram_join, "_plausible", lambda pairs, *x: made.append(pairs.count()) or plausible(pairs, *x))
+    counts = []
+    for n in (60, 240):
+        made.clear()
+        rows = _group(random.Random(3), n)
+        got = {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard_join(docs(spark, rows), 5, Fraction(4, 5)).collect()}
+        sets = [(i, {tuple(w[j : j + 5]) for j in range(len(w) - 4)}) for i, t, _ in rows for w in [t.split()]]
+        want = {i: i for i, _ in sets}
+        for x, (a, s) in enumerate(sets):
+            for b, u in sets[:x]:
+                if 5 * len(s & u) >= 4 * len(s | u) and want[a] != want[b]:
+                    old, new = max(want[a], want[b]), min(want[a], want[b])
+                    want = {i: new if c == old else c for i, c in want.items()}
+        assert got == want
+        counts.append(sum(made))
+    assert counts[1] <= 6 * counts[0], counts
