@@ -5,8 +5,10 @@ import hashlib
 import random
 import re
 from fractions import Fraction
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -634,3 +636,23 @@ def test_pairs_grow_with_a_group_of_near_copies(spark, monkeypatch):
         assert got == want
         counts.append(sum(made))
     assert counts[1] <= 6 * counts[0], counts
+
+
+def _entries(texts, labels):
+    """One index list of all the texts' sets, as the join lays it."""
+    rows = pa.RecordBatch.from_arrays([pa.array([t.encode() for t in texts], pa.binary())], ["text"])
+    made = pa.Table.from_batches(ngram_join._bitmaps(iter([rows]), 5, SimpleNamespace(value=np.full(1 << 15, 255, np.uint8)))).to_pylist()
+    made = sorted(({"token": 1, "part": 0, "sid": r["sid"], "n": r["n"], "pos": 0, "bits": r["bits"], "label": labels[i]} for i, r in enumerate(made)), key=lambda r: (r["n"], r["sid"]))
+    return pa.RecordBatch.from_pylist(made)
+
+
+def test_unlike_long_sets_of_a_list_make_no_pairs():
+    entries = _entries([" ".join(f"u{i}.{j}" for j in range(3000)) for i in range(20)], range(20))
+    assert sum(map(len, ngram_join._compared(iter([entries]), Fraction(4, 5), ngram_join.ALL))) == 0
+
+
+def test_a_set_apart_from_its_group_is_offered_one_pair():
+    texts = [" ".join(f"v{i}" if j == 7 * i else f"b{j}" for j in range(300)) for i in range(40)]
+    entries = _entries(texts, [0] * 39 + [1])
+    made = {how: sum(map(len, ngram_join._compared(iter([entries]), Fraction(4, 5), how))) for how in (ngram_join.NEAREST, ngram_join.ALL)}
+    assert made == {ngram_join.NEAREST: 1, ngram_join.ALL: 39}
