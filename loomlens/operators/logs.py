@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlens.sources.shared import fresh
+
 COLUMNS = ("log_id", "line_no", "severity", "file", "line", "col", "code", "message", "source")
 
 
@@ -53,24 +55,51 @@ def _problem(fits: Column, rank: int, source: str, severity: Column | str, file=
     return F.when(F.coalesce(fits, F.lit(False)), F.struct(*[v.alias(k) for k, v in zip(FOUND, values, strict=True)]))
 
 
-def _forms(lines: DataFrame) -> DataFrame:
-    """lines with what the tools' forms make of each, in columns _form0, _form1...: t is the line without the white space
-    around it, text as it came. Fields are what a tool's own signs part; they are columns first, so that a line is parted
-    once, whatever looks at the fields."""
-    t, raw, out = F.col("t"), F.col("text"), []
-    layers: list[dict[str, Column]] = [{}, {}, {}]
+class _Form:
+    """A form: `may` is a plain test that every line of the form passes, `find` gives the problems of lines. Fields are
+    what a tool's own signs part; they are columns first, so that a line is parted once, whatever looks at the fields."""
+
+    def __init__(self, may: Column) -> None:
+        self.may, self.layers, self.problem = may, ({}, {}, {}), None
 
-    def let(x: Column, layer: int = 0) -> Column:
-        name = f"_field{layer}_{len(layers[layer])}"
-        layers[layer][name] = x
+    def let(self, x: Column, layer: int = 0) -> Column:
+        name = f"_field{layer}_{len(self.layers[layer])}"
+        self.layers[layer][name] = x
         return F.col(name)
 
+    def find(self, lines: DataFrame) -> DataFrame:
+        for layer in self.layers:
+            lines = lines.withColumns(layer) if layer else lines
+        return lines.select("log_id", "line_no", "trace", F.inline(F.array(self.problem)))
+
+
+def _any(t: Column, *words: str) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(t, F.lit(w))
+    return out
+
+
+def _forms() -> list[_Form]:
+    """The tools' forms: t is the line without the white space around it, text as it came."""
+    t, raw, lower = F.col("t"), F.col("text"), F.lower("t")
+    out: list[_Form] = []
+
+    def form(may: Column):
+        out.append(_Form(may))
+        return out[-1].let
+
+    def found(*x, **y) -> None:
+        out[-1].problem = _problem(*x, **y)
+
     # tsc, plain: file(line,col): error TS1: message; and pretty: file:line:col - error TS1: message
-    for head, tail in ((let(F.substring_index(t, "): ", 1)), let(F.split(t, r"\): ", 2))), (let(F.substring_index(t, " - ", 1)), let(F.split(t, " - ", 2)))):
+    for sign, pattern in (("): ", r"\): "), (" - ", " - ")):
+        let = form(_any(t, f"{sign}error TS", f"{sign}warning TS"))
+        head, tail = let(F.substring_index(t, sign, 1)), let(F.split(t, pattern, 2))
         said = let(F.split(_part(tail, 1), " ", 3), 1)
         code = _part(said, 1)
         fits = _part(said, 0).isin("error", "warning") & code.rlike("^TS[0-9]+:$")
-        if len(out):
+        if sign == " - ":
             at = let(_placed(head), 1)
             file, line, col = at["file"], at["line"], at["col"]
         else:
@@ -78,52 +107,62 @@ def _forms(lines: DataFrame) -> DataFrame:
             line, col = _number(_part(inside, 0)), _number(_part(inside, 1))
             file = F.substring(head, F.lit(1), F.length(head) - F.length(F.substring_index(head, "(", -1)) - 1)
             fits &= F.size(inside) == 2
-        out.append(_problem(fits & line.isNotNull() & col.isNotNull(), 0, "tsc", _part(said, 0), file, line, col, F.rtrim(code, F.lit(":")), F.coalesce(_part(said, 2), F.lit(""))))
+        found(fits & line.isNotNull() & col.isNotNull(), 0, "tsc", _part(said, 0), file, line, col, F.rtrim(code, F.lit(":")), F.coalesce(_part(said, 2), F.lit("")))
     # pytest's summary: FAILED file::test - message; and its last line: file.py:line: NameOfError: message
+    let = form(t.startswith("FAILED "))
     said = let(F.split(F.ltrim(F.substring(t, 7, 1 << 20)), " - ", 2))
     node = let(F.split(F.trim(_part(said, 0)), "::", 2), 1)
-    out.append(_problem(t.startswith("FAILED ") & (_part(node, 0) != "") & ~F.trim(_part(said, 0)).rlike(r"\s"), 4, "pytest", "error", _part(node, 0), code=_part(node, 1), message=F.coalesce(F.trim(_part(said, 1)), F.lit("test failed"))))
+    found(t.startswith("FAILED ") & (_part(node, 0) != "") & ~F.trim(_part(said, 0)).rlike(r"\s"), 4, "pytest", "error", _part(node, 0), code=_part(node, 1), message=F.coalesce(F.trim(_part(said, 1)), F.lit("test failed")))
+    let = form(_any(lower, ".py:") & _any(t, "Error", "Exception"))
     said = let(F.split(t, ":\\s*", 3))
     name = let(F.regexp_extract(_part(said, 2), r"^\w+", 0), 1)
     fits = _ends(_part(said, 0), "py") & _number(_part(said, 1)).isNotNull() & name.rlike("^[A-Z]") & (name.endswith("Error") | name.endswith("Exception"))
-    out.append(_problem(fits, 4, "pytest", "error", _part(said, 0), _number(_part(said, 1)), message=_part(said, 2)))
+    found(fits, 4, "pytest", "error", _part(said, 0), _number(_part(said, 1)), message=_part(said, 2))
     # go build and vet: file.go:line:col: message; go test: --- FAIL: name (time)
+    let = form(_any(lower, ".go:"))
     bare = F.regexp_replace(F.regexp_replace(t, "^vet: +", ""), r"^\./", "")
     p = let(F.split(bare, ":"))
     col = let(_number(_part(p, 2)), 1)
     message = let(F.trim(F.array_join(F.slice(p, F.when(col.isNull(), 3).otherwise(4), F.size(p)), ":")), 2)
-    out.append(_problem(_ends(_part(p, 0), "go") & _number(_part(p, 1)).isNotNull() & (message != ""), 6, "go", "error", _part(p, 0), _number(_part(p, 1)), col, message=message))
+    found(_ends(_part(p, 0), "go") & _number(_part(p, 1)).isNotNull() & (message != ""), 6, "go", "error", _part(p, 0), _number(_part(p, 1)), col, message=message)
+    let = form(t.startswith("--- FAIL:"))
     test = let(_part(F.split(F.ltrim(F.substring(t, 10, 1 << 20)), r"\s+"), 0))
-    out.append(_problem(t.startswith("--- FAIL:") & (test != ""), 6, "go", "error", code=test, message=F.concat(F.lit("test failed: "), test)))
+    found(t.startswith("--- FAIL:") & (test != ""), 6, "go", "error", code=test, message=F.concat(F.lit("test failed: "), test))
     # maven: [ERROR] file.java:[line,col] message
+    let = form(t.startswith("[") & _any(t, ":["))
     level = let(F.substring_index(F.substring_index(t, "]", 1), "[", -1))
     file = let(F.substring_index(F.ltrim(F.substring(t, F.length(level) + 3, F.lit(1 << 20))), ":[", 1), 1)
     rest = let(F.split(t, ":\\[", 2))
     inside = let(F.split(F.substring_index(_part(rest, 1), "]", 1), ","), 1)
     message = let(F.trim(F.substring(_part(rest, 1), F.length(F.substring_index(_part(rest, 1), "]", 1)) + 2, F.lit(1 << 20))), 1)
     fits = t.startswith("[") & level.isin("ERROR", "WARNING") & _ends(file, "java", "kt") & _number(_part(inside, 1)).isNotNull()
-    out.append(_problem(fits & (F.size(inside) == 2) & (message != ""), 7, "maven", level, file, _number(_part(inside, 0)), _number(_part(inside, 1)), message=message))
+    found(fits & (F.size(inside) == 2) & (message != ""), 7, "maven", level, file, _number(_part(inside, 0)), _number(_part(inside, 1)), message=message)
     # Any tool's file:line:col: error[code]: message, and a bare Error: message after at most one word
+    let = form(t.rlike(r"(?i)[0-9][:\s]+(?:error|warning|note)[\[:]"))
     word = r"(?i)^(.*?)[:\s]+(error|warning|note)(?:\[([^\]]*)\])?:\s*(\S.*)$"
     at = let(_placed(let(F.rtrim(F.regexp_extract(t, word, 1), F.lit(": ")))), 1)
-    out.append(_problem(at["line"].isNotNull() & at["file"].isNotNull(), GENERIC, "generic", F.regexp_extract(t, word, 2), at["file"], at["line"], at["col"], F.regexp_extract(t, word, 3), F.regexp_extract(t, word, 4)))
+    found(at["line"].isNotNull() & at["file"].isNotNull(), GENERIC, "generic", F.regexp_extract(t, word, 2), at["file"], at["line"], at["col"], F.regexp_extract(t, word, 3), F.regexp_extract(t, word, 4))
+    let = form(t.rlike(r"^\S*\s*(?:Error|FATAL|Exception) *:"))
     said = let(F.split(t, ":", 2))
     head = let(F.split(F.rtrim(_part(said, 0)), r"\s+"), 1)
-    out.append(_problem((F.size(head) <= 2) & F.get(head, F.size(head) - 1).isin("Error", "FATAL", "Exception") & (F.trim(_part(said, 1)) != ""), GENERIC, "generic", "error", message=F.trim(_part(said, 1))))
+    found((F.size(head) <= 2) & F.get(head, F.size(head) - 1).isin("Error", "FATAL", "Exception") & (F.trim(_part(said, 1)) != ""), GENERIC, "generic", "error", message=F.trim(_part(said, 1)))
     # eslint, under the file's own line: line:col  level  message  rule, parted by two blanks or more
+    let = form(F.col("above").isNotNull() & t.rlike("^[0-9]") & raw.rlike("^\\s"))
     f = let(F.split(t, r"\s{2,}"))
     place, n, rule = let(F.split(_part(f, 0), ":"), 1), F.size(f), F.get(f, F.size(f) - 1)
     ruled = (n > 3) & rule.rlike("^[\\w@/-]+$")
     fits = raw.rlike("^\\s") & F.col("above").isNotNull() & (F.size(place) == 2) & _number(_part(place, 0)).isNotNull() & _number(_part(place, 1)).isNotNull() & _part(f, 1).isin("error", "warning") & (n > 2)
     message = F.array_join(F.slice(f, F.lit(3), F.greatest(F.when(ruled, n - 3).otherwise(n - 2), F.lit(0))), "  ")
-    out.append(_problem(fits, 1, "eslint", _part(f, 1), F.col("above"), _number(_part(place, 0)), _number(_part(place, 1)), F.when(ruled, rule), message))
+    found(fits, 1, "eslint", _part(f, 1), F.col("above"), _number(_part(place, 0)), _number(_part(place, 1)), F.when(ruled, rule), message)
     # cargo: error[E1]: message, and the place after the arrow below
+    let = form(t.startswith("error") | t.startswith("warning"))
     said = let(F.split(t, ":\\s*", 2))
     level, code = let(F.substring_index(_part(said, 0), "[", 1), 1), let(F.substring_index(_part(said, 0), "[", -1), 1)
     fits = level.isin("error", "warning") & (_part(said, 1) != "") & ((code == level) | code.rlike(r"^E[0-9]+\]$"))
     at = let(_placed(let(F.trim(F.substring_index("arrow", "-->", -1)))), 1)
-    out.append(_problem(fits, 2, "cargo", level, at["file"], at["line"], at["col"], F.when(code != level, F.rtrim(code, F.lit("]"))), _part(said, 1)))
+    found(fits, 2, "cargo", level, at["file"], at["line"], at["col"], F.when(code != level, F.rtrim(code, F.lit("]"))), _part(said, 1))
     # python: the first thing raised after Traceback, at the last frame that isn't a library's
+    let = form((F.col("trace") > 0) & raw.rlike("^[A-Za-z_][\\w.]*:"))
     head = let(F.substring_index(raw, ":", 1))
     raised = head.rlike("^[A-Za-z_][\\w.]*$") & F.contains(raw, F.lit(":"))
     ending = F.lit(False)
@@ -131,17 +170,17 @@ def _forms(lines: DataFrame) -> DataFrame:
         ending = ending | head.endswith(e)
     frame = let(F.split("frame", '"'))
     line = _number(F.regexp_extract(_part(frame, 2), "^, line ([0-9]+)", 1))
-    out.append(_problem(raised & ending & (F.col("trace") > 0), 3, "python", "error", _part(frame, 1), line, code=head, message=F.ltrim(F.substring(raw, F.length(head) + 2, F.lit(1 << 20)))))
+    found(raised & ending & (F.col("trace") > 0), 3, "python", "error", _part(frame, 1), line, code=head, message=F.ltrim(F.substring(raw, F.length(head) + 2, F.lit(1 << 20))))
     # jest and vitest: a sign and the test's title, and the first frame of the project below
-    title = F.lit(None).cast("string")
+    title, signed = F.lit(None).cast("string"), F.lit(False)
     for sign in SIGNS:
+        signed = signed | t.startswith(sign + " ")
         title = F.coalesce(title, F.when(t.startswith(sign + " "), F.trim(F.substring(t, len(sign) + 1, 1 << 20))))
+    let = form(signed)
     title = let(title)
     at = let(_placed(F.col("below")))
-    out.append(_problem((title != "") & (F.lower(title) != NO_TITLE), 5, "jest", "error", at["file"], at["line"], at["col"], message=title))
-    for layer in layers:
-        lines = lines.withColumns(layer)
-    return lines.withColumns({f"_form{i}": x for i, x in enumerate(out)})
+    found((title != "") & (F.lower(title) != NO_TITLE), 5, "jest", "error", at["file"], at["line"], at["col"], message=title)
+    return out
 
 
 def _framed(t: Column) -> Column:
@@ -156,7 +195,8 @@ def diagnostics(log: DataFrame) -> DataFrame:
     """Problems that compilers, linters and test runners report; what a specific form found beats the generic form.
 
     The log is read once: a sort by line gives each line what it needs of others, namely the file's line above, the next
-    arrow and the next frame within a bound, and the traceback that it is in; then every form is tried on the line alone.
+    arrow and the next frame within a bound, and the traceback that it is in. A line is kept once for each form that it may
+    have, by form, and each form is tried on its own lines alone: all forms in one step are more code than the JVM compiles.
     A head without a location is a problem without a place.
     """
     w = Window.partitionBy("log_id").orderBy("line_no")
@@ -170,11 +210,21 @@ def diagnostics(log: DataFrame) -> DataFrame:
         "below": F.first(_framed(t), ignorenulls=True).over(w.rowsBetween(1, TITLE_REACH)),
         "trace": trace,
     })
-    own = Window.partitionBy("log_id", "trace").orderBy("line_no")
+    # The last frame so far, if it is of the same traceback.
     framed = F.col("t").startswith('File "') & ~F.col("text").rlike("site-packages|/lib/python|<frozen")
-    lines = lines.withColumn("frame", F.last(F.when(framed, F.col("text")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    lines = _forms(lines)
-    every = lines.select("log_id", "line_no", "trace", F.inline(F.array(*[c for c in lines.columns if c.startswith("_form")]))).where("source is not null")
+    frame = F.last(F.when(framed, F.struct("trace", "text")), ignorenulls=True).over(past)
+    lines = lines.withColumn("frame", frame).withColumn("frame", F.when(F.col("frame.trace") == F.col("trace"), F.col("frame.text")))
+    forms = _forms()
+    may = F.array_compact(F.array(*[F.when(f.may, i) for i, f in enumerate(forms)]))
+    lines = lines.withColumn("form", F.explode(may))
+    path = fresh(log.sparkSession, "lines")
+    lines.write.partitionBy("form").parquet(path)
+    # A log in which no line may be a problem has no folder to take the form from.
+    lines = log.sparkSession.read.schema(lines.schema).parquet(path)
+    every = None
+    for i, f in enumerate(forms):
+        found = f.find(lines.where(F.col("form") == i)).where("source is not null")
+        every = found if every is None else every.unionByName(found)
     # Of what is raised in one traceback the first counts.
     first = F.row_number().over(Window.partitionBy("log_id", "trace", "source").orderBy("line_no"))
     every = every.withColumn("n", F.when(F.col("source") == "python", first).otherwise(1)).where("n = 1")

@@ -71,6 +71,25 @@ nothing here"""
     assert logs.diagnostics(table(spark, "all is well")).collect() == []
 
 
+def most_code(spark, df):
+    """Bytes of the longest generated method of a query."""
+    debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$").__getattr__("MODULE$")
+    found = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+    return max(found.apply(i)._3().maxMethodCodeSize() for i in range(found.size()))
+
+
+def test_forms_are_small_enough_to_compile(spark):
+    """HotSpot leaves methods of over 8,000 bytes uncompiled, which made each line cost many times as much."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = logs.diagnostics(table(spark, "Traceback\n  File \"a.py\", line 2, in f\nKeyError: x\nTraceback\nValueError: y"))
+        assert 0 < most_code(spark, found) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # A frame counts for its own traceback only.
+    assert {(r.code, r.file, r.line) for r in found.collect()} == {("KeyError", "a.py", 2), ("ValueError", None, None)}
+
+
 def test_changes(spark):
     diff = """diff --git a/x.ts b/x.ts
 --- a/x.ts
