@@ -240,24 +240,40 @@ def ranked(problems: DataFrame) -> DataFrame:
     return problems.withColumn("place", F.row_number().over(w))
 
 
+# What a line of a diff begins with, the longer signs first: the last two are lines that came or went.
+HEAD, OLD, NEW, HUNK, CAME, WENT = range(6)
+MARKS = ("diff --git ", "--- ", "+++ ", "@@ -", "+", "-")
+
+
+def _marked(diff: DataFrame) -> DataFrame:
+    """Lines that a diff says something by, with their kind; the text only where it is looked at again."""
+    kind, text = F.lit(None).cast("int"), F.col("text")
+    for i, mark in reversed(list(enumerate(MARKS))):
+        kind = F.when(text.startswith(mark), i).otherwise(kind)
+    return diff.select("log_id", "line_no", kind.alias("kind"), F.when(kind <= HUNK, text).alias("text")).where("kind is not null")
+
+
 def changes(diff: DataFrame) -> DataFrame:
     """Files of a unified diff without context, from (log_id, line_no, text): path, status, previous, ranges, added, removed."""
-    w = Window.partitionBy("log_id").orderBy("line_no")
-    d = diff.withColumn("part", F.sum(F.col("text").startswith("diff --git ").cast("int")).over(w)).where("part > 0")
+    w, of = Window.partitionBy("log_id").orderBy("line_no"), lambda kind: F.col("kind") == kind
+    d = _marked(diff).withColumn("part", F.sum(of(HEAD).cast("int")).over(w)).where("part > 0")
     # A hunk's head says by its third word where it is in the new file: +start or +start,count.
-    at = F.col("text").startswith("@@ -")
-    new = F.split(F.substring_index(F.get(F.split("text", " "), F.lit(2)), "+", -1), ",")
-    start = F.get(new, F.lit(0)).try_cast("int")
-    count = F.coalesce(F.get(new, F.lit(1)).try_cast("int"), F.lit(1))
+    # Worked out in columns first, once: what stands inside collect_list is worked out anew wherever it is named.
+    at = F.when(of(HUNK), F.split(F.substring_index(F.get(F.split("text", " "), F.lit(2)), "+", -1), ","))
+    start = F.get("at", F.lit(0)).try_cast("int")
+    count = F.coalesce(F.get("at", F.lit(1)).try_cast("int"), F.lit(1))
     low = F.greatest(start, F.lit(1))
     span = F.struct(low.alias("from"), F.when(count > 0, start + count - 1).otherwise(low).alias("to"))
-    old, new = F.max(F.regexp_extract("text", r"^--- (?:a/)?(.+)$", 1)), F.max(F.regexp_extract("text", r"^\+\+\+ (?:b/)?(.+)$", 1))
-    heads = F.max(F.when(F.col("text").startswith("diff --git "), F.regexp_extract("text", r"^diff --git a/(.+) b/(.+)$", 1))), F.max(F.when(F.col("text").startswith("diff --git "), F.regexp_extract("text", r"^diff --git a/(.+) b/(.+)$", 2)))
+    old, new = F.regexp_extract("text", r"^--- (?:a/)?(.+)$", 1), F.regexp_extract("text", r"^\+\+\+ (?:b/)?(.+)$", 1)
+    said = F.when(of(HEAD), F.col("text")).when(of(OLD), old).when(of(NEW), new)
+    d = d.withColumn("at", at).select("log_id", "part", "kind", said.alias("said"), F.when(of(HUNK), F.struct("line_no", span.alias("s"))).alias("span"))
     g = d.groupBy("log_id", "part").agg(
-        heads[0].alias("a"), heads[1].alias("b"), old.alias("old"), new.alias("new"),
-        F.transform(F.array_sort(F.collect_list(F.when(at, F.struct("line_no", span.alias("s"))))), lambda x: x["s"]).alias("ranges"),
-        F.sum((F.col("text").startswith("+") & ~F.col("text").startswith("+++ ")).cast("long")).alias("added"), F.sum((F.col("text").startswith("-") & ~F.col("text").startswith("--- ")).cast("long")).alias("removed"),
+        *[F.max(F.when(of(kind), F.col("said"))).alias(name) for kind, name in ((HEAD, "head"), (OLD, "old"), (NEW, "new"))],
+        F.transform(F.array_sort(F.collect_list("span")), lambda x: x["s"]).alias("ranges"),
+        F.sum(of(CAME).cast("long")).alias("added"), F.sum(of(WENT).cast("long")).alias("removed"),
     )
+    # A part has one head.
+    g = g.withColumns({name: F.regexp_extract("head", r"^diff --git a/(.+) b/(.+)$", i) for i, name in ((1, "a"), (2, "b"))})
     status = F.when(F.col("old") == "/dev/null", "added").when(F.col("new") == "/dev/null", "deleted").when(F.col("a") != F.col("b"), "renamed").otherwise("modified")
     return g.select("log_id", F.when(F.col("new") == "/dev/null", F.col("a")).otherwise(F.col("b")).alias("path"), status.alias("status"), F.when(F.col("a") != F.col("b"), F.col("a")).alias("previous"), "ranges", "added", "removed")
 

@@ -117,6 +117,20 @@ rename from p.ts"""
     assert got == {"x.ts": ("modified", None, [(1, 2), (10, 10)], 2, 3), "n.ts": ("added", None, [(1, 1)], 1, 0), "d.ts": ("deleted", None, [(1, 1)], 0, 1), "q.ts": ("renamed", "p.ts", [], 0, 0)}
 
 
+def test_diffs_move_once(spark):
+    """Lines of a log are dealt while they are few rows, a range is worked out once, and what is no mark stays behind."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = QUERIES["diff_changes"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange") == 1 and plan.count("split(substring_index") == 1
+    lines = table(spark, "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,2 +1,2 @@\n same\n--- it\n-\n++++\n+++ new\n\\\\ No newline")
+    assert logs._marked(lines).where("text is not null").count() == 6
+    got = [(r.path, r.status, r.added, r.removed, [tuple(x) for x in r.ranges]) for r in logs.changes(lines).collect()]
+    assert got == [("x", "modified", 1, 1, [(1, 2)])]
+
+
 def test_clamping_works_a_text_out_once(spark):
     """However long the text, only a beginning is tried, and what the text is made of stands in the plan once."""
     from pyspark.sql import functions as F
