@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlens.sources.shared import written
@@ -41,12 +41,19 @@ class Edges:
         names = [f"{self.folder}/{kind}/{x['name']}" for x in m["tables"][kind][since:] if x["rows"]]
         return self.spark.read.schema(schema).parquet(*names) if names else self.spark.createDataFrame([], schema)
 
-    def _put(self, m: dict, df: DataFrame, kind: str, name: str) -> int:
+    def _put(self, m: dict, df: DataFrame, kind: str, name: str, stored: bool = False) -> int:
+        """Appends rows to a table, each once in `waits`, whose equal rows meet in the ranges that they are dealt to.
+        What is worked out to get them is written first, as it is counted and looked at for bounds; rows that are only
+        read from stored ones are not."""
         schema, key = TABLES[kind]
-        rows = written(df.selectExpr(*[f"cast({c.split()[0]} as {c.split()[1]})" for c in schema.split(", ")]), kind)
+        rows = df.selectExpr(*[f"cast({c.split()[0]} as {c.split()[1]})" for c in schema.split(", ")])
+        rows = rows if stored else written(rows, kind)
         n = rows.count()
         if n:
-            rows.repartitionByRange(max(1, -(-n // FILE_ROWS)), *rows.columns).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{self.folder}/{kind}/{name}")
+            path = f"{self.folder}/{kind}/{name}"
+            dealt = rows.repartitionByRange(max(1, -(-n // FILE_ROWS)), *rows.columns)
+            (dealt.distinct() if kind == "waits" else dealt).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+            n = self.spark.read.schema(schema).parquet(path).count() if kind == "waits" else n
         m["tables"][kind].append({"name": name, "rows": n})
         return n
 
@@ -79,17 +86,18 @@ class Edges:
         sources = written(waiting.unionByName(new.select("src")).distinct(), "sources")
         # Of a source's references those of its last batch count.
         mine = self._of(known, "src", sources).join(new.select("src").distinct(), "src", "left_anti")
-        last = mine.groupBy("src").agg(F.max("batch").alias("batch"))
-        mine = mine.join(last, ["src", "batch"]).select("src", "ref", "prio", "path").unionByName(new)
+        mine = mine.withColumn("last", F.max("batch").over(Window.partitionBy("src"))).where("batch = last")
+        mine = mine.select("src", "ref", "prio", "path").unionByName(new)
         mine = written(mine.where("path is not null"), "mine")
-        self._put(m, new.withColumn("batch", F.lit(batch)), "refs", name)
-        self._put(m, new.where("path is not null").select("path", "src").distinct(), "waits", name)
+        self._put(m, new.withColumn("batch", F.lit(batch)), "refs", name, stored=True)
+        self._put(m, new.where("path is not null").select("path", "src"), "waits", name, stored=True)
 
         files = self._of(self._table(m, "files"), "path", mine.select("path").distinct()).groupBy("path").agg(F.sum("sign").alias("have")).where("have > 0")
         dst = mine.join(files, "path").groupBy("src", "ref").agg(F.min_by("path", "prio").alias("dst"))
-        now = dst.where("src <> dst").select("src", "dst").distinct()
-        before = self._of(self._table(m, "edges"), "src", sources).groupBy("src", "dst").agg(F.sum("sign").alias("n")).where("n > 0").select("src", "dst")
-        change = now.withColumn("sign", F.lit(1)).unionByName(before.withColumn("sign", F.lit(-1))).groupBy("src", "dst").agg(F.sum("sign").alias("sign")).where("sign <> 0")
+        # What is there now and the signed rows of before meet once.
+        now = dst.where("src <> dst").select("src", "dst", F.lit(1).alias("now"), F.lit(0).alias("sign"))
+        before = self._of(self._table(m, "edges"), "src", sources).select("src", "dst", F.lit(0).alias("now"), "sign")
+        change = now.unionByName(before).groupBy("src", "dst").agg((F.max("now") - (F.sum("sign") > 0).cast("int")).alias("sign")).where("sign <> 0")
         n_edges = self._put(m, change, "edges", name)
         report = {"moved": n_moved, "sources": sources.count(), "references": mine.select("src", "ref").distinct().count(), "edges": n_edges}
         m |= {"version": m["version"] + 1, "batch": batch}
@@ -110,10 +118,8 @@ class Edges:
                 rows = rows.groupBy("src", "dst").agg(F.sum("sign").alias("sign")).where("sign <> 0")
             elif kind == "refs":
                 rows = rows.join(rows.groupBy("src").agg(F.max("batch").alias("batch")), ["src", "batch"])
-            else:
-                rows = rows.distinct()
             folded: dict = {"tables": {kind: []}}
-            self._put(folded, rows, kind, f"{m['version']:06d}-{uuid.uuid4().hex[:8]}")
+            self._put(folded, rows, kind, f"{m['version']:06d}-{uuid.uuid4().hex[:8]}", stored=kind == "waits")
             m["tables"][kind] = folded["tables"][kind]
 
     def edges(self) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from loomlens.operators import edges, graph
-from loomlens.sources.shared import fresh
+from loomlens.sources.shared import fresh, written
 
 
 def files(spark, paths):
@@ -69,6 +69,17 @@ def test_many_keys_are_joined_instead(spark, monkeypatch, few):
     assert view.edges().collect() == [] and view.importance().collect() == []
 
 
+def test_stored_rows_are_not_written_twice(spark, monkeypatch):
+    """References and what waits for them go from the batch's own table to theirs; equal rows of the latter are one."""
+    kept = []
+    monkeypatch.setattr(edges, "written", lambda df, name: kept.append(name) or written(df, name))
+    view = edges.Edges(spark, fresh(spark, "edges"))
+    view.apply(1, files(spark, ["b"]), refs=table(spark, {"x": {"r": ["b", "b"], "q": ["b"]}}))
+    assert not {"refs", "waits"} & set(kept)
+    m = view.manifest()
+    assert m["tables"]["waits"][0]["rows"] == view._table(m, "waits").count() == 1 and view.edges().collect() == [("x", "b")]
+
+
 def test_resolve_agrees(spark):
     refs = table(spark, {"x": {"r": ["b", "a"]}, "y": {"r": ["z"]}})
     assert {(r.src, r.dst) for r in graph.resolve(refs, files(spark, ["a", "b"])).collect()} == {("x", "b"), ("y", None)}
